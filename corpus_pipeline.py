@@ -7,6 +7,7 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phaseflux.llm import exact_dedup, minhash_dedup, packing, quality, substring_dedup
 from phaseflux.llm.queries import vocabulary
@@ -40,7 +41,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id has; a document without words left goes."""
-    return substring_dedup.cut_spans(docs, _scratch(spark))
+    out = substring_dedup.cut_spans(docs, _scratch(spark))
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,13 +108,13 @@ def oracle_sql() -> dict[str, str]:
             FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id""",
         "op10_substring_dedup": f"""
             WITH d AS (
-                SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {space}), x -> x <> '') AS w FROM documents),
+                SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {space}), lambda x: x <> '') AS w FROM documents),
             k AS (
                 SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
             f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM k),
             c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM f WHERE first < doc_id),
             g AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM c GROUP BY doc_id)
             SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
-                sha256(array_to_string(list_filter(d.w, (x, j) -> NOT list_contains(coalesce(g.gone, []), j)), ' ')) AS kept_sha256
+                sha256(array_to_string(list_filter(d.w, lambda x, j: NOT list_contains(coalesce(g.gone, []), j)), ' ')) AS kept_sha256
             FROM d LEFT JOIN g USING (doc_id)""",
     }
