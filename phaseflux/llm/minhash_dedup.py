@@ -1,9 +1,11 @@
 """Near duplicates of texts: universal-hash minima, banding, verification, components.
 
 Texts with the same set of shingles count as one from the start. Bands of a signature deal the distinct sets
-into buckets. First each set is compared with the least and the greatest id of its buckets, which ties the
-copies of one text together in linear work; then only sets that share a bucket but not yet a component are
-paired. Every pair is screened by its signatures and confirmed on the full sets.
+into buckets. First each set is compared with the least and the greatest id of its buckets, which ties the copies
+of one text together. Buckets that still hold several components are then ordered by the keys of the next
+bands, so that their most similar sets stand together, and each set is compared with its neighbours: small
+buckets in full, large ones in linear work and over many tasks. Every pair is screened by its signatures and
+confirmed on the full sets. Each of the 28 bands orders its buckets in another way.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .scratch import Scratch, fresh
 BANDS, ROWS = 28, 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
+#: In buckets that hold several components after the first step: places of the order within which rows are paired,
+#: and keys of further bands that make the order.
+NEAR, DEPTH = 8, 3
 _SETS = "doc_id long, n_shingles long, cls binary, bands array<long>, signature binary"
 _PAIR = "a long, b long"
 
@@ -89,6 +94,26 @@ def _screening(threshold: float, count: int):
     return run
 
 
+def _neighbours(reach: int):
+    """Pairs of a bucket's rows that stand within `reach` places and belong to different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((0, 4), np.int64)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch[x].to_numpy() for x in ("band", "key", "r", "component")], 1).astype(np.int64)])
+            pairs = []
+            for step in range(1, reach + 1):
+                one, two = rows[:-step], rows[step:]
+                fresh_ = np.arange(step, len(rows)) >= len(last)  # the later of the two has not been seen before
+                good = (one[:, :2] == two[:, :2]).all(1) & (one[:, 3] != two[:, 3]) & fresh_
+                pairs.append(np.stack([np.minimum(one[good, 2], two[good, 2]), np.maximum(one[good, 2], two[good, 2])], 1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+            last = rows[-reach:]
+
+    return run
+
+
 def _setting(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,10 +177,13 @@ def near_dedup(
     found = scratch.keep(components(links, scratch))
     named = held.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = named.join(ends.select("band", "key"), ["band", "key"], "left_semi").groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = scratch.keep(named.join(split.select("band", "key"), ["band", "key"], "left_semi"))
-    one, two = open_.alias("one"), open_.alias("two")
-    apart = (F.col("one.band") == F.col("two.band")) & (F.col("one.key") == F.col("two.key")) & (F.col("one.component") < F.col("two.component"))
-    rest = one.join(two, apart).select(F.least("one.rep", "two.rep").alias("a"), F.greatest("one.rep", "two.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    # keys of the following bands order a bucket so that its most similar sets stand together
+    turned = reps.select(F.col("rep").alias("r"), F.posexplode("bands").alias("band", "key"), F.concat("bands", "bands").alias("twice"))
+    turned = turned.select("r", "band", "key", *(F.expr(f"twice[band + {i}]").alias(f"k{i}") for i in range(1, DEPTH + 1)))
+    order = ["band", "key", *(f"k{i}" for i in range(1, DEPTH + 1)), "r"]
+    open_ = turned.join(split.select("band", "key"), ["band", "key"], "left_semi").join(found, F.col("r") == F.col("node"), "left").select(*order, F.coalesce("component", "r").alias("component"))
+    beside = open_.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "r", "component").mapInArrow(_neighbours(NEAR), _PAIR)
+    rest = beside.distinct().join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, reps, texts, scratch, size, percent, bands * rows)
     found = scratch.keep(components(links.union(more), scratch), found)
     ids = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("reached"))
