@@ -145,6 +145,8 @@ def posterior(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
 
     It starts from: a bad vote makes a bad text more likely than not. Votes count as independent given the truth.
     """
+    if not counts:
+        return {}
     patterns = np.array(sorted(counts), np.int64)
     number = np.array([counts[int(x)] for x in patterns], np.float64)
     digits = _digits(patterns)
