@@ -191,7 +191,7 @@ class Places:
 
     def _bounds(self) -> tuple[np.ndarray, ...]:
         each, first = np.unique(self.length, return_index=True)
-        return each, first, np.append(first[1:], len(self.length))
+        return each, first, np.append(first, len(self.length))[1:]
 
     def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.zeros(len(length), np.int64)
