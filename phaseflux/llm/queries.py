@@ -39,7 +39,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.bpe_decode(byte_bpe.bpe_encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = byte_bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

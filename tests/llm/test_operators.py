@@ -136,6 +136,7 @@ def test_bpe(spark, texts):
     odd = [(1000 + i, "".join(rng.choices(" \t\n'stmdlvreL9é 中,.\x85\0\U0001f600", k=rng.randint(0, 50)))) for i in range(500)] + [(2000, "ab" * 999), (2001, "<|endoftext|>")]
     got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in byte_bpe.bpe_decode(byte_bpe.bpe_encode(frame(spark, texts + odd), path), path).collect()}
     assert got == {i: (model.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts + odd}
+    assert got == {r.doc_id: (r.ids, bytes(r.decoded)) for r in byte_bpe.bpe_round_trip(frame(spark, texts + odd), path).collect()}
 
 
 def test_packing(spark, texts):
