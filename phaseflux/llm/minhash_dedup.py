@@ -2,10 +2,10 @@
 
 Texts with the same set of shingles count as one from the start. Bands of a signature deal the distinct sets
 into buckets. First each set is compared with the least and the greatest id of its buckets, which ties the copies
-of one text together. Buckets that still hold several components are then ordered by the keys of the next
-bands, so that their most similar sets stand together, and each set is compared with its neighbours: small
-buckets in full, large ones in linear work and over many tasks. Every pair is screened by its signatures and
-confirmed on the full sets. Each of the 28 bands orders its buckets in another way.
+of one text together in linear work; those pairs are screened by their signatures. The sets of buckets that
+then still hold several components are joined without a loss: ordered from their rarest shingle on, two sets
+of the wanted similarity must meet within a short prefix of both, so only sets that share a rare shingle are
+paired, and never all sets of a bucket. Every pair is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from .scratch import Scratch, fresh
 BANDS, ROWS = 28, 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
-#: In buckets that hold several components after the first step: places of the order within which rows are paired,
-#: and keys of further bands that make the order.
-NEAR, DEPTH = 8, 3
+#: Counters of the sketch that orders shingles from rare to frequent; any order gives the same links.
+COUNTERS = 1 << 18
 _SETS = "doc_id long, n_shingles long, cls binary, bands array<long>, signature binary"
 _PAIR = "a long, b long"
+_PREFIX = "token long, r long, component long, n long, place long"
 
 
 def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -94,37 +94,76 @@ def _screening(threshold: float, count: int):
     return run
 
 
-def _neighbours(reach: int):
-    """Pairs of a bucket's rows that stand within `reach` places and belong to different components."""
+def _setting(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].cast(pa.binary())
+            for a, b in words.chunks(texts):
+                sets = shingles(texts.slice(a, b - a).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "items"])
+
+    return run
+
+
+def _counting(counters: int):
+    """How often the shingles of a task's sets fall on each counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((0, 4), np.int64)
+        counts = np.zeros(counters, np.int64)
         for batch in batches:
-            rows = np.concatenate([last, np.stack([batch[x].to_numpy() for x in ("band", "key", "r", "component")], 1).astype(np.int64)])
-            pairs = []
-            for step in range(1, reach + 1):
-                one, two = rows[:-step], rows[step:]
-                fresh_ = np.arange(step, len(rows)) >= len(last)  # the later of the two has not been seen before
-                good = (one[:, :2] == two[:, :2]).all(1) & (one[:, 3] != two[:, 3]) & fresh_
-                pairs.append(np.stack([np.minimum(one[good, 2], two[good, 2]), np.maximum(one[good, 2], two[good, 2])], 1))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-            last = rows[-reach:]
+            for x in batch["items"]:
+                np.add.at(counts, _counter(np.frombuffer(x.as_buffer(), np.uint64), counters), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["counter", "n"])
 
     return run
 
 
-def _setting(size: int):
+def _counter(items: np.ndarray, counters: int) -> np.ndarray:
+    return (items & np.uint64(counters - 1)).astype(np.int64)
+
+
+def _prefixes(counts: np.ndarray, percent: int):
+    """The rarest shingles of each set, as many as a similar set may lack and one more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].cast(pa.binary())
-            for a, b in words.chunks(texts):
-                sets = shingles(texts.slice(a, b - a).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "items"])
+            for at in range(0, batch.num_rows, 256):
+                part, tokens, sizes = batch.slice(at, 256), [], []
+                for x in part["items"]:
+                    items = np.frombuffer(x.as_buffer(), np.uint64)
+                    order = np.lexsort((items, counts[_counter(items, len(counts))]))
+                    tokens.append(items[order[: len(items) + 1 - -(-percent * len(items) // 100)]])
+                    sizes.append(len(items))
+                many = np.array([len(x) for x in tokens], np.int64)
+                place = np.concatenate([np.arange(x) for x in many])
+                spread = lambda x: pa.array(np.repeat(np.asarray(x), many))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), spread(part["doc_id"]), spread(part["component"]), spread(sizes), pa.array(place)], ["token", "r", "component", "n", "place"]
+                )
 
     return run
 
 
+def _meeting(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Distinct pairs of sets of different components that meet within their prefixes; every link between components is one of them.
+
+    With sizes x <= y a link has at least t = percent * (x + y) / (100 + percent) common shingles, so the first of them,
+    in the common order, has t - 1 behind it in both sets.
+    """
+    sketch = sets.select("items").mapInArrow(_counting(COUNTERS), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[sketch["counter"].to_numpy()] = np.minimum(sketch["n"].to_numpy(), np.iinfo(np.int32).max)
+    heads = scratch.keep(sets.select("doc_id", "component", "items").mapInArrow(_prefixes(counts, percent), _PREFIX))
+    of = lambda x: heads.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("r", "component", "n", "place")))
+    least = lambda total: f"(({percent} * ({total}) + {99 + percent}) div {100 + percent})"
+    small, large = of("a").where(f"place_a + {least('2 * n_a')} <= n_a"), of("b")
+    common = least("n_a + n_b")
+    fit = f"(n_a < n_b or n_a = n_b and r_a < r_b) and component_a != component_b and 100 * n_a >= {percent} * n_b and place_a + {common} <= n_a and place_b + {common} <= n_b"
+    pairs = small.join(large, "token").where(fit).select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct()
+    return scratch.keep(pairs)
+
+
 def _confirming(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,16 +180,21 @@ def _confirming(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int, count: int) -> DataFrame:
-    """Of distinct pairs of ids, those whose full sets are similar enough."""
+def _alike(pairs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, count: int) -> DataFrame:
+    """Of distinct pairs of ids, those whose signatures are similar enough."""
     sign = lambda x: reps.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"))
-    alike = scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct())
-    wanted = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
-    sets = scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_setting(size), "doc_id long, items binary").distinct())
+    return scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct())
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """(doc_id, items): the sets of the wanted ids, a frame of one column."""
+    return scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_setting(size), "doc_id long, items binary").distinct())
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of distinct pairs of ids, those whose full sets are similar enough."""
     items = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"x{x}"))
-    good = scratch.keep(alike.join(items("a"), "a").join(items("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirming(percent), _PAIR))
-    scratch.drop(alike, sets)
-    return good
+    return scratch.keep(pairs.join(items("a"), "a").join(items("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirming(percent), _PAIR))
 
 
 def near_dedup(
@@ -173,19 +217,20 @@ def near_dedup(
     ends = scratch.keep(ends)
     star = held.join(ends, ["band", "key"]).select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
     star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
-    links = _confirmed(star, reps, texts, scratch, size, percent, bands * rows)
-    found = scratch.keep(components(links, scratch))
+    alike = _alike(star, reps, scratch, percent, bands * rows)
+    sets = _sets(texts, alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct(), scratch, size)
+    links = _confirmed(alike, sets, scratch, percent)
+    scratch.drop(alike, sets)
+    found = scratch.keep(components(links, scratch), links)
     named = held.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = named.join(ends.select("band", "key"), ["band", "key"], "left_semi").groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    # keys of the following bands order a bucket so that its most similar sets stand together
-    turned = reps.select(F.col("rep").alias("r"), F.posexplode("bands").alias("band", "key"), F.concat("bands", "bands").alias("twice"))
-    turned = turned.select("r", "band", "key", *(F.expr(f"twice[band + {i}]").alias(f"k{i}") for i in range(1, DEPTH + 1)))
-    order = ["band", "key", *(f"k{i}" for i in range(1, DEPTH + 1)), "r"]
-    open_ = turned.join(split.select("band", "key"), ["band", "key"], "left_semi").join(found, F.col("r") == F.col("node"), "left").select(*order, F.coalesce("component", "r").alias("component"))
-    beside = open_.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "r", "component").mapInArrow(_neighbours(NEAR), _PAIR)
-    rest = beside.distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, texts, scratch, size, percent, bands * rows)
-    found = scratch.keep(components(links.union(more), scratch), found)
+    shared = named.join(ends.select("band", "key"), ["band", "key"], "left_semi")
+    split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct())
+    sets = _sets(texts, open_.select("doc_id"), scratch, size)
+    sets = scratch.keep(sets.join(open_, "doc_id"), sets)
+    more = _confirmed(_meeting(sets, scratch, percent), sets, scratch, percent)
+    found = scratch.keep(components(found.union(more), scratch), found)
+    scratch.drop(sets)
     ids = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("reached"))
     ids = scratch.keep(ids)
     out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")

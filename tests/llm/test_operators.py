@@ -85,6 +85,31 @@ def test_near(spark, texts):
     assert sorted(r.doc_id for r in minhash_dedup.keep_near(frame(spark, texts), Scratch(spark), size=2).collect()) == [i for i, x in want.items() if x[2]]
 
 
+def test_near_family(spark):
+    """A large family of versions, linked and just not linked, that share many buckets, beside repeated and short texts."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    rows = []
+    for _ in range(220):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 14)), replace=False):
+            w[at] = f"w{rng.integers(0, 400)}"
+        rows.append(" ".join(w))
+    rows = list(enumerate([*rows, *rows[:5], *(f"w1 w2 w{i}" for i in range(30))]))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_dedup(frame(spark, rows), Scratch(spark), size=2).collect()}
+    assert got == dict(enumerate(reached(len(sets), links)))
+    # the join of open sets alone finds every link between components
+    held = [(i, i, np.sort(np.array([hash(x) & (1 << 63) - 1 for x in s], np.uint64)).tobytes()) for i, s in enumerate(sets)]
+    open_ = spark.createDataFrame([(i, c, bytearray(x)) for i, c, x in held], "doc_id long, component long, items binary")
+    pairs = {(r.b, r.a) for r in minhash_dedup._meeting(open_, Scratch(spark), 80).collect()}
+    assert set(links) <= pairs and len(pairs) < len(sets) * (len(sets) - 1) / 2
+
+
 def test_substring(spark, texts):
     words = {i: (t or "").encode().split() for i, t in texts}
     first, want = {}, {}
