@@ -214,16 +214,15 @@ def near_dedup(
     reps = scratch.keep(signed.join(classes, "cls").where("doc_id = rep").select("rep", "bands", "signature"))
     held = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     ends = held.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    ends = scratch.keep(ends)
-    star = held.join(ends, ["band", "key"]).select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
+    shared = scratch.keep(held.join(ends, ["band", "key"]))  # the few rows whose bucket holds another set
+    star = shared.select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
     star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
     alike = _alike(star, reps, scratch, percent, bands * rows)
     sets = _sets(texts, alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct(), scratch, size)
     links = _confirmed(alike, sets, scratch, percent)
     scratch.drop(alike, sets)
     found = scratch.keep(components(links, scratch), links)
-    named = held.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    shared = named.join(ends.select("band", "key"), ["band", "key"], "left_semi")
+    shared = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct())
     sets = _sets(texts, open_.select("doc_id"), scratch, size)
