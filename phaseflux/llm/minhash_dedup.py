@@ -26,6 +26,8 @@ from .scratch import Scratch, fresh
 BANDS, ROWS = 28, 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
+#: Bits of the bitmap of wanted ids (16 MiB at most, whatever the input); its false hits cost time, never results.
+MARKS = 1 << 27
 #: Counters of the sketch that orders shingles from rare to frequent; any order gives the same links.
 COUNTERS = 1 << 18
 _SETS = "doc_id long, n_shingles long, cls binary, bands array<long>, signature binary"
@@ -94,9 +96,32 @@ def _screening(threshold: float, count: int):
     return run
 
 
-def _setting(size: int):
+def _mark(ids: pa.Array, marks: int) -> np.ndarray:
+    return (words.mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(marks)).astype(np.int64)
+
+
+def _marking(marks: int):
+    """The words of a bitmap that a task's ids touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(marks // 8, np.uint8)
+        for batch in batches:
+            at = _mark(batch["doc_id"], marks)
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        seen = seen.view("<i8")
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["word", "bits"])
+
+    return run
+
+
+def _setting(size: int, seen: np.ndarray):
+    """The sets of the texts whose ids the bitmap has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = _mark(batch["doc_id"], len(seen) * 8)
+            batch = batch.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             texts = batch["text"].cast(pa.binary())
             for a, b in words.chunks(texts):
                 sets = shingles(texts.slice(a, b - a).to_pylist(), size)
@@ -186,9 +211,17 @@ def _alike(pairs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, co
     return scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct())
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(doc_id, items): the sets of the wanted ids, a frame of one column."""
-    return scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_setting(size), "doc_id long, items binary").distinct())
+def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, marks: int = MARKS) -> DataFrame:
+    """(doc_id, items): the sets of the wanted ids, a kept table of one column without nulls.
+
+    A bitmap of fixed size holds most other texts back where they are read, so that the shuffle carries the wanted
+    sets, not every text. The semi join takes out what the bitmap lets through by chance.
+    """
+    touched = wanted.mapInArrow(_marking(marks), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # marks / 64 rows at most
+    seen = np.zeros(marks // 64, "<i8")
+    seen[touched["word"].to_numpy()] = touched["bits"].to_numpy()
+    sets = texts.where("doc_id is not null").mapInArrow(_setting(size, seen.view(np.uint8)), "doc_id long, items binary")
+    return scratch.keep(sets.join(wanted, "doc_id", "left_semi").distinct())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -218,14 +251,15 @@ def near_dedup(
     star = shared.select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
     star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
     alike = _alike(star, reps, scratch, percent, bands * rows)
-    sets = _sets(texts, alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct(), scratch, size)
+    ends = scratch.keep(alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct())
+    sets = _sets(texts, ends, scratch, size)
     links = _confirmed(alike, sets, scratch, percent)
     scratch.drop(alike, sets)
     found = scratch.keep(components(links, scratch), links)
     shared = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct())
-    sets = _sets(texts, open_.select("doc_id"), scratch, size)
+    sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct()), scratch, size)
     sets = scratch.keep(sets.join(open_, "doc_id"), sets)
     more = _confirmed(_meeting(sets, scratch, percent), sets, scratch, percent)
     found = scratch.keep(components(found.union(more), scratch), found)
