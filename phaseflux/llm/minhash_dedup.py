@@ -26,8 +26,8 @@ from .scratch import Scratch, fresh
 BANDS, ROWS = 28, 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
-#: Bits of the bitmap of wanted ids (16 MiB at most, whatever the input); its false hits cost time, never results.
-MARKS = 1 << 27
+#: Bits of the bitmap of wanted ids: so many an id, and at most (16 MiB, whatever the input); false hits cost time, never results.
+MARKS_EACH, MARKS = 32, 1 << 27
 #: Counters of the sketch that orders shingles from rare to frequent; any order gives the same links.
 COUNTERS = 1 << 18
 _SETS = "doc_id long, n_shingles long, cls binary, bands array<long>, signature binary"
@@ -217,6 +217,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, mark
     A bitmap of fixed size holds most other texts back where they are read, so that the shuffle carries the wanted
     sets, not every text. The semi join takes out what the bitmap lets through by chance.
     """
+    marks = min(marks, max(64, 1 << (MARKS_EACH * wanted.count()).bit_length()))
     touched = wanted.mapInArrow(_marking(marks), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # marks / 64 rows at most
     seen = np.zeros(marks // 64, "<i8")
     seen[touched["word"].to_numpy()] = touched["bits"].to_numpy()
