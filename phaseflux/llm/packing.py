@@ -261,5 +261,6 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, id_col: str = "doc_
     places = Places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("at"))
+    # up to `capacity` rows for each task's part: far larger in memory than as a file, so never a broadcast by file size
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("at"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placing(places), _OUT)
