@@ -26,8 +26,8 @@ from .scratch import Scratch, fresh
 BANDS, ROWS = 28, 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
-#: Bits of the bitmap of wanted ids: so many an id, and at most (16 MiB, whatever the input); false hits cost time, never results.
-MARKS_EACH, MARKS = 32, 1 << 27
+#: Bits of the bitmap of wanted ids: so many an id, and at most (4 MiB, whatever the input); false hits cost time, never results.
+MARKS_EACH, MARKS = 32, 1 << 25
 #: Counters of the sketch that orders shingles from rare to frequent; any order gives the same links.
 COUNTERS = 1 << 18
 _SETS = "doc_id long, n_shingles long, cls binary, bands array<long>, signature binary"
