@@ -1,10 +1,10 @@
-"""Near duplicates of vectors, by sorted projection passes.
+"""Near duplicates of vectors, by comparing every two of a label block by block.
 
-Equal vectors count as one from the start. Each pass gives every distinct vector a key of concatenated random
-projection signs, orders all of them by group and key, and compares each with its next neighbours in that
-order, block by block. A row carries its rank in every pass, so a pass knows which pairs an earlier pass has
-compared and counts a link once without keeping a list of pairs: a block returns counts, and a forest of
-edges with fewer rows than the block has.
+Equal vectors count as one from the start. The distinct ones are ordered by label and by the signs of random
+projections, so that like vectors stand together, and cut into blocks. Every two blocks that hold a common label are
+a task of their own. In it, runs of vectors are compared unless the balls around them show that no two can link.
+A task returns counts, and a forest of edges with fewer rows than it has, not pairs. The order decides cost, never
+results.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-#: Passes, neighbours compared after each vector, vectors of a block, signs of a key.
-PASSES, WINDOW, BLOCK, SIGNS = 12, 512, 4096, 60
+#: Keys that the order goes by, vectors of a run, of a block at most, signs of a key, blocks that a small table is cut into.
+PASSES, WINDOW, BLOCK, SIGNS, SPREAD = 1, 512, 4096, 60, 32
+
+_HELD = ("rep", "grp", "copies")
 
 
 def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,11 +44,14 @@ def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keying(passes: int, signs: int, seed: int = 11):
+    """Each vector's keys, and the vector at length one as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weight = np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             keys = np.zeros((batch.num_rows, passes), np.int64)
+            units: list[bytes] = [b""] * batch.num_rows
             sizes = batch["size"].to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 if size not in planes:
@@ -55,9 +60,14 @@ def _keying(passes: int, signs: int, seed: int = 11):
                 for at in range(0, len(rows), 1024):
                     part = rows[at : at + 1024]
                     vectors = np.array(batch["vector"].take(pa.array(part)).to_pylist(), np.float64)
+                    # scaled first, so that no product over- or underflows
+                    vectors /= np.abs(vectors).max(1, keepdims=True)
+                    vectors /= np.sqrt((vectors * vectors).sum(1, keepdims=True))
                     keys[part] = ((vectors @ planes[size] > 0).reshape(-1, passes, signs) * weight).sum(2)
+                    for i, unit in zip(part.tolist(), vectors, strict=True):
+                        units[i] = unit.tobytes()
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * passes), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["grp"], flat], ["rep", "grp", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in _HELD), pa.array(units, pa.binary()), flat], [*_HELD, "unit", "keys"])
 
     return run
 
@@ -66,7 +76,7 @@ def _numbering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch["pass"], batch["rep"], pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["pass", "rep", "part", "at"])
+        yield pa.RecordBatch.from_arrays([*(batch[x] for x in (*_HELD, "unit")), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], [*_HELD, "unit", "part", "at"])
         at += n
 
 
@@ -86,38 +96,50 @@ def _forest(rows: np.ndarray, cols: np.ndarray, count: int) -> np.ndarray:
         root = new
 
 
+def _balls(vectors: np.ndarray, first: int, window: int) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(first index, vectors, centre, greatest angle to it) of each run of `window` vectors."""
+    out = []
+    for a in range(0, len(vectors), window):
+        own = vectors[a : a + window]
+        centre = own.sum(0)
+        norm = np.sqrt(centre @ centre)
+        angle = float(np.arccos(np.clip((own @ (centre / norm)).min(), -1, 1))) if norm > 1e-6 else np.pi
+        out.append((first + a, own, centre / max(norm, 1e-6), angle))
+    return out
+
+
 def _comparing(window: int, least: float):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("rank")
-        turn, own, rank = block["pass"].to_numpy(), block["own"].to_numpy(), block["rank"].to_numpy()
-        rep, copies = block["rep"].to_numpy(), block["copies"].to_numpy()
-        # rows of one group and pass stand together; only those of one length can be compared
-        group = np.cumsum(np.concatenate([[True], (block["grp"].to_numpy()[1:] != block["grp"].to_numpy()[:-1]) | (turn[1:] != turn[:-1])]))
-        ranks = np.array(block["ranks"].tolist(), np.int64)
-        links = np.zeros(len(block), np.int64)
-        rows: list[np.ndarray] = []
-        cols: list[np.ndarray] = []
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            vectors = np.array(block["vector"].iloc[at].tolist(), np.float64)
-            # scaled first, so that no product over- or underflows
-            vectors /= np.abs(vectors).max(1, keepdims=True)
-            vectors /= np.sqrt((vectors * vectors).sum(1, keepdims=True))
-            for a in range(0, len(at), window):
-                b = min(a + window, len(at))
-                near = vectors[a:b] @ vectors[a : b + window].T
-                i, j = np.nonzero(near >= least)
-                good = (j > i) & (j - i <= window) & own[at[a + i]]
-                i, j = at[a + i[good]], at[a + j[good]]
-                seen = (np.abs(ranks[i] - ranks[j]) <= window) & (np.arange(ranks.shape[1]) < turn[i][:, None])
-                new = ~seen.any(1)
-                i, j = i[new], j[new]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                rows.append(i)
-                cols.append(j)
-        root = _forest(np.concatenate(rows), np.concatenate(cols), len(block))
-        out = (links > 0) | (root != np.arange(len(block)))
+    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6  # more than any rounding of an angle
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("rank")
+        grp, rep, copies = tile["grp"].to_numpy(), tile["rep"].to_numpy(), tile["copies"].to_numpy()
+        one, two = tile["one"].iloc[0], tile["two"].iloc[0]
+        middle = len(tile) if one == two else int((tile["block"] == one).sum())
+        links, root = np.zeros(len(tile), np.int64), np.arange(len(tile))
+        edges = np.flatnonzero(grp[1:] != grp[:-1]) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(tile)], strict=True):
+            if one != two and not lo < middle < hi:
+                continue
+            vectors = np.frombuffer(b"".join(tile["unit"].iloc[lo:hi]), np.float64).reshape(hi - lo, -1)
+            left = _balls(vectors[: middle - lo], lo, window)
+            right = left if one == two else _balls(vectors[middle - lo :], middle, window)
+            for k, (a, these, centre, angle) in enumerate(left):
+                for b, those, other, wide in right[k if one == two else 0 :]:
+                    if np.arccos(np.clip(centre @ other, -1, 1)) > angle + wide + reach:
+                        continue
+                    near = these @ those.T >= least
+                    if a == b:
+                        near = np.triu(near, 1)
+                    if not near.any():
+                        continue
+                    links[a : a + len(these)] += (near @ copies[b : b + len(those)].astype(np.float64)).astype(np.int64)
+                    links[b : b + len(those)] += (copies[a : a + len(these)].astype(np.float64) @ near).astype(np.int64)
+                    i, j = np.nonzero(near)
+                    i, j = root[a + i], root[b + j]
+                    if (apart := i != j).any():
+                        root = _forest(i[apart], j[apart], len(tile))[root]
+        out = (links > 0) | (root != np.arange(len(tile)))
         return pd.DataFrame({"rep": rep[out], "links": links[out], "to": rep[root[out]]})
 
     return run
@@ -129,8 +151,9 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row; other columns are not read.
 
-    Vectors of one label link by a cosine of at least `least`, in double precision. Every pair that stands
-    within `window` places in any pass is compared; equal vectors always link. Vectors of other lengths, and
+    Vectors of one label link by a cosine of at least `least`, in double precision; equal vectors always link. No
+    pair of one label and length is left out: work grows with the square of a label's distinct vectors, and a vector
+    is sent to as many tasks as its label has blocks. `passes`, `window` and `block` decide cost only. Vectors of other lengths, and
     vectors that are null, empty or zero, that hold a null or a value that is not finite, or whose label is
     null link with nothing and are their own component. Rows that share an id are one vector for components.
     Rows without an id link with nothing, have no component and are not kept. No rows: no rows.
@@ -142,18 +165,19 @@ def near_vectors(
     classes = scratch.keep(good.groupBy("label", "size", "cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     first = good.join(classes, ["label", "size", "cls"]).where("vec_id = rep").dropDuplicates(["rep", "label", "size", "cls"])
     reps = scratch.keep(first.select("rep", F.xxhash64("label", "size").alias("grp"), "size", "copies", "vector"))
-    keys = reps.select("rep", "grp", "size", "vector").mapInArrow(_keying(passes, SIGNS), "rep long, grp long, keys array<long>")
-    each = keys.select("rep", "grp", F.posexplode("keys").alias("pass", "key"))
-    order = ["pass", "grp", "key", "rep"]
-    placed = scratch.keep(each.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "rep").mapInArrow(_numbering, "pass int, rep long, part int, at long"))
+    keys = reps.select("rep", "grp", "copies", "size", "vector").mapInArrow(_keying(passes, SIGNS), "rep long, grp long, copies long, unit binary, keys array<long>")
+    order = ["grp", "keys", "rep"]
+    placed = scratch.keep(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbering, "rep long, grp long, copies long, unit binary, part int, at long"))
     sizes = sorted(placed.groupBy("part").agg(F.max("at")).collect())  # one row for each partition
     base = vectors.sparkSession.createDataFrame([(p, int(sum(n + 1 for q, n in sizes if q < p))) for p, _ in sizes], "part int, base long")
-    ranks = placed.join(base, "part").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", (F.col("base") + F.col("at")).alias("rank")))), lambda x: x["rank"]).alias("ranks"))
-    full = reps.join(ranks, "rep").select("*", F.posexplode("ranks").alias("pass", "rank"))
-    at, off = F.floor(F.col("rank") / block).cast("long"), F.pmod("rank", F.lit(block))
-    homes = F.array(F.struct(at.alias("block"), F.lit(True).alias("own")), F.struct((at - 1).alias("block"), F.lit(False).alias("own")))
-    dealt = full.withColumn("home", F.explode(F.when(off < window, homes).otherwise(F.slice(homes, 1, 1)))).select("rep", "grp", "copies", "vector", "ranks", "pass", "rank", "home.block", "home.own")
-    found = scratch.keep(dealt.groupBy("block").applyInPandas(_comparing(window, least), "rep long, links long, to long"))
+    rows_of = min(block, max(window, sum(n + 1 for _, n in sizes) // SPREAD))
+    rank = F.col("base") + F.col("at")
+    dealt = placed.join(F.broadcast(base), "part").select("rep", "grp", "copies", "unit", rank.alias("rank"), F.floor(rank / rows_of).cast("long").alias("block"))
+    # groups of several blocks: fewer than there are blocks
+    wide = dealt.groupBy("grp").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
+    spans = dealt.join(F.broadcast(wide), "grp", "left").withColumn("low", F.coalesce("low", "block")).withColumn("high", F.coalesce("high", "block"))
+    met = spans.withColumn("with", F.explode(F.sequence("low", "high"))).select("rep", "grp", "copies", "unit", "rank", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    found = scratch.keep(met.groupBy("one", "two").applyInPandas(_comparing(window, least), "rep long, links long, to long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.select("rep", "to"), scratch)
     ids = classes.join(counts, "rep", "left").join(reached, F.col("rep") == F.col("node"), "left")

@@ -150,6 +150,26 @@ def test_embeddings(spark):
     assert got == {i: (counts[i], comp[i], comp[i] == i) for i in range(len(rows))}
 
 
+def test_embedding_family(spark):
+    """One label with more near, unequal vectors than any sorted neighbourhood, and pairs that stand alone; others beside it."""
+    rng = np.random.default_rng(5)
+    family = rng.standard_normal(24) + rng.standard_normal((14_000, 24)) * 0.2
+    alone = rng.standard_normal((1000, 24))
+    rows = np.concatenate([family, alone, alone + rng.standard_normal((1000, 24)) * 0.25])
+    labels = np.where(np.arange(len(rows)) % 400 == 7, 1, 0)
+    unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+    counts, first = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    near = [np.flatnonzero((unit @ unit[i] >= 0.93) & (labels == labels[i])) for i in range(len(rows))]
+    for i, x in enumerate(near):
+        counts[i] = len(x) - 1
+    while (new := np.array([first[x].min() for x in near])).tolist() != first.tolist():
+        first = new
+    assert counts.max() > 10_000 and (counts[14_000:] == 1).sum() > 1000
+    frame_ = spark.createDataFrame([(i, v, int(y)) for i, (v, y) in enumerate(zip(rows.tolist(), labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame_, Scratch(spark)).collect()}
+    assert got == {i: (counts[i], first[i]) for i in range(len(rows))}
+
+
 def test_bpe(spark, texts):
     import public_tokenizers
     import tiktoken
