@@ -21,6 +21,8 @@ from .scratch import fresh
 
 #: Buckets of the scorer, texts that it is trained on (about), steps, the score below which a text is rejected.
 BUCKETS, SAMPLE, STEPS, LEAST = 2048, 4000, 400, 0.5
+#: Words of a window within which repeated words are counted; windows cover the whole text.
+WINDOW = 1000
 #: Bounds of a labeller's bad votes: on good texts at most, on bad texts at least. Without them two kinds of junk
 #: with different signs may end as the two sides.
 FALSE, HIT = 0.002, 0.05
@@ -69,9 +71,11 @@ class Measured:
         chars = np.repeat(np.arange(n), np.diff(at))
         count = lambda flags: np.bincount(chars[flags[: len(chars)]], minlength=n)
         echo = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (self.row[1:] == self.row[:-1])]) if len(hashes) else np.zeros(0, bool)
-        order = np.lexsort((hashes, self.row))
+        # repeats count within a window only: over a whole text their share would rise with its length
+        window = np.cumsum((np.arange(len(hashes)) - self.first[self.row]) % WINDOW == 0)
+        order = np.lexsort((hashes, window))
         again = np.zeros(len(hashes), bool)
-        again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (self.row[order[1:]] == self.row[order[:-1]])
+        again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (window[order[1:]] == window[order[:-1]])
         last, before = data[np.maximum(ends - 1, 0)], data[np.maximum(ends - 2, starts)]
         ascii_ = (data < 0x80) & ((signs == 1) | (signs == 2))
         self.of = {

@@ -245,6 +245,20 @@ def test_quality(spark):
     assert quality.keep_quality(docs).columns == docs.columns
 
 
+def test_quality_of_long_text(spark):
+    """Clean texts joined to one of 200,000 words are judged like the texts."""
+    sf = SF.replace("0.001", "0.1")
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").select("text").collect()
+    long = " ".join(" ".join(dict.fromkeys(r.text for r in good)).split()[:200_000])
+    assert long.count(" ") == 199_999
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10**6, long), (10**6 + 1, long[: len(long) // 2])], "doc_id long, text string")
+    rows = [r for r in quality.score_quality(docs.union(extra)).collect() if r.doc_id >= 10**6]
+    assert len(rows) == 2 and all(r.votes == "1111111" and r.posterior > 0.9 and r.kept for r in rows)
+    # a short passage over and over is still bad in every window
+    assert quality.Measured([b" ".join([long[:600].encode()] * 500)]).of["variety"][0] < 0.3
+
+
 def test_html():
     page = '<html><head><title>t</title><style>p{}</style></head><body><header class="x">Top</header><nav><a href="/">m</a></nav><div class="cookie-notice">We use cookies</div><div id="wrap"><div class="post"><h2>Head &amp; tail</h2><p>One,\n two, <b>three</b> and a lot more text<br>here.<p>Four five six, seven &eacute;.</div><div class="comments"><p>Nice, really nice, very nice post, thanks a lot for it, indeed.</p></div></div><form><input>Send</form><script>var x="</p>";</script><footer>f</footer>'
     assert html_text.main_text(page) == "Head & tail One, two, three and a lot more text here. Four five six, seven é."
