@@ -80,8 +80,11 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._text(data)
 
-    def unknown_decl(self, data: str) -> None:
-        pass
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Passes over '<![': a closed CDATA section as a whole, anything else up to the next '>', as browsers do."""
+        close = self.rawdata.find("]]>", i) if self.rawdata.startswith(("<![CDATA[", "<![cdata["), i) else -1
+        at = close + 2 if close >= 0 else self.rawdata.find(">", i)
+        return at + 1 if at >= 0 else len(self.rawdata)
 
     def _text(self, data: str) -> None:
         if not self.gone[self.open[-1]]:
@@ -115,11 +118,8 @@ def _names(attrs: dict[str, str | None]) -> set[str]:
 def main_text(html: str | None) -> str:
     """Text of the page's article: blocks in page order, white space within and between them one space."""
     tree = _Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # the parser's own, on some broken declarations: what it has read until then counts
-        pass
+    tree.feed(html or "")
+    tree.close()
     count, tag, parent = len(tree.tag), tree.tag, tree.parent
     text, linked = [0] * count, [0] * count
     para: dict[int, list[int]] = {}

@@ -267,6 +267,15 @@ def test_html():
     assert html_text.main_text("<div>" * 5000 + "<p>deep" + "</div>" * 5000) == "deep"
 
 
+def test_html_declarations():
+    for odd in ("<![foo]>", "<![ x ]>", "<![>", "<![if !IE]>", "<![endif]-->", "<![CDATA[a > b]]>", "<!x>", "<![if x>"):
+        assert html_text.main_text(f"<p>One, two{odd} three</p><p>and four</p>") == "One, two three and four", odd
+    assert html_text.main_text("<p>One</p><![foo") == "One"
+    rng = random.Random(8)
+    for _ in range(3000):  # no page ends the job
+        html_text.main_text("".join(rng.choice(["<![", "<!", "<!--", "]]>", "]>", "-->", "<p>", "</", "<a", " ", "x", "CDATA[", "if", "&#", "&", ";", "<?", '"', "=", ">"]) for _ in range(12)))
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/x", "https://www.Example.com/en/?q", "http://b.net/es/1#t", "http://net/fr/", "http://x.org/", None, "no", "http://example.com", "ftp://n.com/a?b/c", "http://anet/es/"]
     rows = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
