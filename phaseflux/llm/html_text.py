@@ -2,7 +2,8 @@
 
 Every paragraph passes points for its length and commas to its ancestors, fewer the farther they are; a
 container's points are discounted by the share of its text that stands in links. The best container is kept
-with those siblings that score well or read like running text.
+with those siblings that score well or read like running text. Elements whose names tell of a part beside the article
+are left out, unless they hold most of the page: then the name is that of a layout around it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
     "p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_DROP = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noscript object option script search select style svg template textarea title video audio".split())
+_DROP = frozenset("aside button canvas datalist dialog footer head iframe input menu nav noscript object option script search select style svg template textarea title video audio".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Start tags that close an open element of these names.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -34,6 +35,10 @@ _PARTS = frozenset(
     "comment comments commentlist disqus discussion reply replies respond responses widget widgets pagination pager complementary contentinfo search hidden".split()
 )
 _TOP = frozenset(("header", "banner"))
+#: Of these the parts that may well be longer than the article.
+_TALK = frozenset("comment comments commentlist disqus discussion reply replies respond responses".split())
+#: Characters out of links that a named element must have to be taken for a layout.
+LAYOUT = 140
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -44,6 +49,7 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.gone, self.inside, self.link = ["#"], [-1], [False], [False], [False]
+        self.names: list[set[str]] = [set()]  # what names an element as a part beside the article
         self.open = [0]
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
@@ -61,7 +67,9 @@ class _Tree(HTMLParser):
         up = self.open[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.gone.append(self.gone[up] or self._left_out(tag, dict(attrs), self.inside[up]))
+        gone, names = self._left_out(tag, dict(attrs), self.inside[up])
+        self.gone.append(self.gone[up] or gone)
+        self.names.append(names)
         self.inside.append(self.inside[up] or tag in _MAIN)
         self.link.append(self.link[up] or tag == "a")
         self.open.append(len(self.tag) - 1)
@@ -100,14 +108,51 @@ class _Tree(HTMLParser):
             if name in _FENCE:
                 return
 
-    def _left_out(self, tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    def _left_out(self, tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, set[str]]:
+        """Whether the element is left out whatever it holds, and the names by which it may be."""
         if tag in _DROP or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-            return True
+            return True, set()
         if tag in ("html", "body", "article", "main") and not inside and attrs.get("role") != "complementary":
             names = _names(attrs) if tag == "article" else set()
-            return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
+            return False, names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}
         names = _names(attrs)
-        return bool(names & _PARTS or not inside and names & _TOP or re.search(r"display\s*:\s*none", attrs.get("style") or ""))
+        found = names & _PARTS | (set() if inside else names & _TOP) | ({"form"} if tag == "form" else set())
+        return bool(re.search(r"display\s*:\s*none", attrs.get("style") or "")), found
+
+
+def _sides(tree: _Tree) -> list[bool]:
+    """Whether each element is left out by its names.
+
+    It stays if it holds most of the page's text out of links, or if the elements of that name together do, so that
+    the name tells nothing. Discussions may be longer than the article: of these only what holds a main heading stays.
+    """
+    count, parent, names = len(tree.tag), tree.parent, tree.names
+    if not any(names):
+        return [False] * count
+    plain, titled = [0] * count, [False] * count
+    for node, _, data in tree.runs:
+        plain[node] += 0 if tree.link[node] else len(" ".join(data.split()))
+    for node in range(count - 1, 0, -1):
+        plain[parent[node]] += plain[node]
+        titled[node] = titled[node] or tree.tag[node] in ("h1", "main")
+        titled[parent[node]] = titled[parent[node]] or titled[node]
+    most = lambda n, whole: n >= LAYOUT and 2 * n > whole
+    talk, base = [False] * count, plain[0]
+    for node in range(1, count):
+        own = bool(names[node] & _TALK) and not (titled[node] and most(plain[node], plain[0]))
+        base -= plain[node] * (own and not talk[parent[node]])
+        talk[node] = talk[parent[node]] or own
+    left = [bool(names[x]) and not talk[x] and not most(plain[x], base) for x in range(count)]
+    sums: dict[str, int] = {}
+    above: list[set[str]] = [set()] * count
+    for node in range(1, count):
+        above[node] = above[parent[node]]
+        if left[node]:
+            for name in names[node] - above[node]:
+                sums[name] = sums.get(name, 0) + plain[node]
+            above[node] = above[node] | names[node]
+    loose = {name for name, n in sums.items() if most(n, base)}
+    return [talk[x] or left[x] and bool(names[x] - loose) for x in range(count)]
 
 
 def _names(attrs: dict[str, str | None]) -> set[str]:
@@ -120,10 +165,20 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    sides = _sides(tree)
+    return _article(tree, sides) or (_article(tree, [False] * len(sides)) if any(sides) else "")
+
+
+def _article(tree: _Tree, sides: list[bool]) -> str:
+    """The text of the best container, without the elements in `sides` and what they hold."""
     count, tag, parent = len(tree.tag), tree.tag, tree.parent
+    gone = list(tree.gone)
+    for node in range(1, count):
+        gone[node] = gone[node] or sides[node] or gone[parent[node]]
+    runs = [x for x in tree.runs if not gone[x[0]]]
     text, linked = [0] * count, [0] * count
     para: dict[int, list[int]] = {}
-    for node, _, data in tree.runs:
+    for node, _, data in runs:
         n = len(" ".join(data.split()))
         if not n:
             continue
@@ -162,7 +217,7 @@ def main_text(html: str | None) -> str:
     kept = {best}
     if tag[best] not in _MAIN and best:
         for node in range(1, count):
-            if parent[node] != parent[best] or tree.gone[node] or not text[node]:
+            if parent[node] != parent[best] or gone[node] or not text[node]:
                 continue
             density = linked[node] / text[node]
             running = tag[node] == "p" and density < 0.25 or tag[node] in _HEADING and density < 0.25
@@ -173,7 +228,7 @@ def main_text(html: str | None) -> str:
     for node in range(1, count):
         within[node] = node in kept or within[parent[node]]
     blocks: dict[int, list[str]] = {}
-    for node, block, data in tree.runs:
+    for node, block, data in runs:
         if within[node]:
             blocks.setdefault(block, []).append(data)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x)
@@ -189,7 +244,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars), one row per input row; other columns are not read.
 
     text is the page's article; n_chars its code points. Null and empty pages, and pages without text outside
-    menus and the like, have an empty text. Null ids and repeated rows are treated like others. No rows: no rows.
+    menus and the like, have an empty text; names of classes, ids and roles alone never make it empty. Null ids and repeated rows are treated like others. No rows: no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")

@@ -267,6 +267,23 @@ def test_html():
     assert html_text.main_text("<div>" * 5000 + "<p>deep" + "</div>" * 5000) == "deep"
 
 
+def test_html_named_layouts():
+    """Layouts that are named after a part of the page keep the article; the parts themselves still go."""
+    paras = [f"Paragraph {i}, which is long enough to be read as running text, has commas, and goes on for a while." for i in range(6)]
+    body, want = "".join(f"<p>{x}</p>" for x in paras), " ".join(paras)
+    side = '<div class="sidebar"><p>Some, other, text beside it.</p></div><div class="cookie-notice">We use cookies</div>'
+    talk = '<div id="comments">' + "<p>Nice, really nice, very nice post, thanks a lot for it, indeed, once more.</p>" * 40 + "</div>"
+    for name in ('class="site has-sidebar"', 'class="no-sidebar"', 'class="post social-share"', 'role="search"', 'class="overflow-hidden"', 'class="elementor-widget elementor-widget-text-editor"'):
+        assert html_text.main_text(f"<body><div {name}><div>{body}</div>{side}</div>") == want, name
+        assert html_text.main_text(f"<body><div {name}><div>{body}</div></div>{talk}") == want, name
+    assert html_text.main_text(f'<div class="content-with-comments"><h1>Head</h1><div>{body}</div>{talk}</div>') == f"Head {want}"
+    assert html_text.main_text(f"<body><form action=x><div>{body}</div><input></form>{side}") == want
+    widgets = "".join(f'<div class="elementor-widget"><p>{x}</p></div>' for x in paras)
+    assert html_text.main_text(f"<body><div>{widgets}</div>{side}{talk}") == want
+    assert html_text.main_text(f"<body><div>{body}</div>{side}{talk}") == want
+    assert html_text.main_text('<div class="widget"><p>Short.</p></div>') == "Short."
+
+
 def test_html_declarations():
     for odd in ("<![foo]>", "<![ x ]>", "<![>", "<![if !IE]>", "<![endif]-->", "<![CDATA[a > b]]>", "<!x>", "<![if x>"):
         assert html_text.main_text(f"<p>One, two{odd} three</p><p>and four</p>") == "One, two three and four", odd
