@@ -21,8 +21,6 @@ from .byte_bpe import classes
 
 #: Buckets, embedding width, labelled texts for each language (about), passes over them, step, rate of rejected right answers.
 BUCKETS, WIDTH, SAMPLE, EPOCHS, STEP, REJECT = 1 << 15, 16, 600, 6, 2.0, 0.01
-#: Languages that training takes, the most frequent first.
-LANGUAGES = 64
 UNDEFINED = "und"
 _TURN = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -99,10 +97,11 @@ def _counting(buckets: int):
 def sampled(docs: DataFrame, per_language: int = SAMPLE, buckets: int = BUCKETS, lang_col: str = "lang") -> list:
     """Subword shares of about so many labelled texts of each language, the ones with the least id hashes.
 
-    The rows' number is bounded by the languages taken and `per_language`; a row has `buckets` shares at most.
+    No language is left out, however rare. The rows' number is bounded by that of the languages and `per_language`;
+    a row has `buckets` shares at most.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), "text", F.xxhash64("doc_id", F.lit(5)).alias("turn"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return []
     # a language's rows with a hash in its lowest part: about per_language of them
@@ -171,8 +170,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score, confident), one row per input row; other columns are not read.
 
     Rows whose crc32 of the id as text leaves `held` when divided by `folds` are held out; the model learns from
-    others that have a text and a language, a bounded sample of about `per_language` each. lang_pred is a learned
-    language, `und` with score 0 for texts that are null or have no letter; score is the calibrated probability;
+    others that have a text and a language, a bounded sample of about `per_language` each, whose sum grows with the
+    number of languages on the driver. lang_pred is a learned language, `und` with score 0 for texts that are null or have no letter; score is the calibrated probability;
     `confident` is false where that falls below what all but a hundredth of right answers reach. A null id is
     not held out, and not learnt from. Without any labelled text all are `und`. No rows: no rows.
     """

@@ -233,6 +233,20 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_many_languages(spark):
+    """Each of 80 languages is learned, also the rarest."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(80):
+        own = ["".join(rng.choices([chr(0x4E00 + 30 * k + i) for i in range(30)], k=4)) for _ in range(20)]
+        rows += [(" ".join(rng.choices(own, k=12)), f"l{k}") for _ in range(60 if k < 70 else 50)]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = [(r.lang_pred, rows[r.doc_id][1]) for r in language_id.identify(docs).where("held_out").collect()]
+    assert {y for _, y in got} == {f"l{k}" for k in range(80)}
+    rare = [a == b for a, b in got if int(b[1:]) >= 70]
+    assert sum(rare) / len(rare) > 0.9 and sum(a == b for a, b in got) / len(got) > 0.9
+
+
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
