@@ -14,7 +14,7 @@ import json
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .scratch import bounded
 
 # Classes: letter, number, other, space that starts a pre-token, white space that goes with the run before
 # what follows, white space that stands alone, apostrophe of a contraction with one or two letters, end of a text.
@@ -30,8 +31,8 @@ _L, _N, _O, _SP, _WS, _W1, _C1, _C2, _END = range(9)
 # States before a character: nothing open; in letters, numbers, others, white space; after a starting space;
 # with one or two letters of a contraction to come.
 _NONE, _IN_L, _IN_N, _IN_O, _IN_W, _AFTER, _ONE, _TWO = range(8)
-#: Slices that a worker keeps.
-KEPT = 700_000
+#: Slices that a worker keeps (about 30 MB), bytes of text that it works on at a time.
+KEPT, CHUNK = 400_000, 1 << 20
 
 
 @lru_cache(1)
@@ -140,8 +141,11 @@ def starts(points: np.ndarray, ends: np.ndarray, width: int = 256) -> np.ndarray
         total[reach:] = flat.take(total[:-reach] * size + total[reach:])
         reach *= 2
     entry = act[np.concatenate([[0], total[:-1]]).astype(np.intp), _NONE]
-    state = act.ravel().take(before.astype(np.intp) * 8 + entry)
-    return begins.ravel().take(grid.astype(np.intp) * 8 + state).T.reshape(-1)[:n]
+    out, act, begins = np.empty((rows, width), bool), act.ravel(), begins.ravel()
+    for i in range(0, width, 16):  # a few columns at a time, so that no index array is as long as the text
+        state = act.take(before[i : i + 16] * np.intp(8) + entry)
+        out[:, i : i + 16] = begins.take(grid[i : i + 16] * np.intp(8) + state).T
+    return out.reshape(-1)[:n]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,8 +174,7 @@ class Merger:
 
     def __init__(self, ids: dict[bytes, int], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
         """pairs: of two ids, the rank and the id of the merged token; whole: a slice that is a token is taken as it is."""
-        self.ids, self.whole = ids, whole
-        self.pairs = pairs
+        self.ids, self.whole = ids if whole else {x: i for x, i in ids.items() if len(x) == 1}, whole
         self.byte = np.array([ids[bytes([i])] for i in range(256)], np.int64)
         self.bits = max(10, (8 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -188,6 +191,12 @@ class Merger:
             at[left] = (at[left] + 1) & (len(self.keys) - 1)
         self.ranks[at] = rank
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank by key, for slices that are merged one pair at a time."""
+        used = self.keys >= 0
+        return dict(zip(self.keys[used].tolist(), self.ranks[used].tolist(), strict=True))
+
     @classmethod
     def of_ranks(cls, ranks: dict[bytes, int]) -> Merger:
         pairs = {}
@@ -274,19 +283,19 @@ class Merger:
         n = len(ids)
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
         find = self.pairs.get
-        heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := find((ids[i], ids[i + 1])))]
+        heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := find(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, one, two, to = heapq.heappop(heap)
+            rank, i, one, two = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j >= n or ids[i] != one or ids[j] != two:
                 continue
-            ids[i], gone[j], after[i] = to, True, after[j]
+            ids[i], gone[j], after[i] = int(self.result[rank]), True, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (p := find((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (p[0], k, ids[k], ids[after[k]], p[1]))
+                if k >= 0 and after[k] < n and (p := find(ids[k] << 20 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (p, k, ids[k], ids[after[k]]))
         return [ids[i] for i in range(n) if not gone[i]]
 
 
@@ -435,7 +444,7 @@ def _encoding(path: str, decode: bool):
         kept, back = slices_of_ranks(path), decoder(path)
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
-            for a, b in words.chunks(texts, 1 << 20):
+            for a, b in words.chunks(texts, CHUNK):
                 flat, at = kept.ids(texts.slice(a, b - a).to_pylist())
                 ends = np.cumsum(back.sizes[flat])
                 base = np.repeat(np.concatenate([[0], ends])[at[:-1]], np.diff(at))
@@ -483,4 +492,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -27,18 +27,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(near.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def components(pairs: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of `pairs` (two long columns) that is not itself the least of its component.
 
     Pairs with a null or with two equal ends are no links; repeated pairs count once. No pairs: no rows.
-    Each round is written to the shared folder; it ends when a round changes nothing.
+    Each round is written to the shared folder; it ends when a round changes nothing. `rows` is a bound of the
+    number of pairs, if one is known: tables then have files in proportion to their rows.
     """
     a, b = (F.col(x) for x in pairs.columns[:2])
-    state = scratch.keep(pairs.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    state = scratch.keep(pairs.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows=rows)
     seen = None
     while True:
         mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen or not mark[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        state = scratch.keep(_small_star(_large_star(state)), state)
+        state = scratch.keep(_small_star(_large_star(state)), state, 2 * mark[0])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, fresh
+from .scratch import Scratch, bounded, fresh
 from .words import mix
 
 #: Digests of a shard, about; a shard is a row of some 6 MB at most.
@@ -145,11 +145,11 @@ def groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     The lower half of the ids is the history that the perfect hash covers; the other rows, and those
     without an id, are looked up in it.
     """
-    rows = scratch.keep(digests(docs, id_col, text_col))
-    cut = rows.agg(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
+    rows = scratch.keep(digests(bounded(docs), id_col, text_col))
+    cut, count = rows.agg(F.percentile_approx("doc_id", 0.5, 1000), F.count("*")).first()
     old = F.coalesce(F.col("doc_id") <= F.lit(cut).cast("long"), F.lit(False))
     index, shards = build_index(rows.where(old), scratch)
-    return rows, scratch.keep(lookup(rows.where(~old), index, shards), index)
+    return rows, scratch.keep(lookup(rows.where(~old), index, shards), index, count)
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,8 +170,9 @@ def keep_exact(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     """The input's rows and columns without later copies: one row for each distinct normalised text."""
     digest, key, keep = fresh("digest__", docs), fresh("id__", docs), fresh("keep__", docs)
     _, found = groups(docs, scratch, id_col, text_col)
-    winners = found.select(F.col("digest").alias(f"{digest}w"), F.col("keep_id").alias(keep))
+    # texts move once: the join and the choice of one row need the same partitioning, in which a hot text spreads by id
+    winners = found.select(F.col("digest").alias(f"{digest}w"), F.coalesce("keep_id", F.lit(_NONE)).alias(keep))
     plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumns({digest: F.unhex(F.sha2(plain, 256)), key: F.col(id_col).cast("long")})
-    stay = rows.join(winners, (F.col(digest) == F.col(f"{digest}w")) & F.col(key).eqNullSafe(F.col(keep)), "left_semi")
+    rows = docs.withColumns({digest: F.unhex(F.sha2(plain, 256)), key: F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))})
+    stay = rows.join(winners, (F.col(digest) == F.col(f"{digest}w")) & (F.col(key) == F.col(keep)), "left_semi")
     return stay.dropDuplicates([digest, key]).select(*docs.columns)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -246,5 +248,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text is the page's article; n_chars its code points. Null and empty pages, and pages without text outside
     menus and the like, have an empty text; names of classes, ids and roles alone never make it empty. Null ids and repeated rows are treated like others. No rows: no rows.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .byte_bpe import classes
+from .scratch import bounded
 
 #: Buckets, embedding width, labelled texts for each language (about), passes over them, step, rate of rejected right answers.
 BUCKETS, WIDTH, SAMPLE, EPOCHS, STEP, REJECT = 1 << 15, 16, 600, 6, 2.0, 0.01
@@ -176,6 +177,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     not held out, and not learnt from. Without any labelled text all are `und`. No rows: no rows.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), F.coalesce(fold == held, F.lit(False)).alias("held_out"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), F.coalesce(fold == held, F.lit(False)).alias("held_out"))
     model = train(sampled(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()), per_language))
     return rows.select("doc_id", "text", "held_out").mapInArrow(_predicting(model), "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")

@@ -2,10 +2,10 @@
 
 Texts with the same set of shingles count as one from the start. Bands of a signature deal the distinct sets
 into buckets. First each set is compared with the least and the greatest id of its buckets, which ties the copies
-of one text together in linear work; those pairs are screened by their signatures. The sets of buckets that
-then still hold several components are joined without a loss: ordered from their rarest shingle on, two sets
-of the wanted similarity must meet within a short prefix of both, so only sets that share a rare shingle are
-paired, and never all sets of a bucket. Every pair is confirmed on the full sets.
+of one text together in linear work. The sets of buckets that then still hold several components are joined without
+a loss: ordered from their rarest shingle on, two sets of the wanted similarity must meet within a short prefix of
+both, so only sets that share a shingle of their prefixes are paired. Pairs of either kind are screened by their
+signatures and then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .scratch import Scratch, fresh
+from .scratch import Scratch, bounded, fresh
 
 #: Bands and rows of a band; at similarity 0.8 a pair shares no bucket with a chance of 4e-7.
 BANDS, ROWS = 28, 4
@@ -205,10 +205,10 @@ def _confirming(percent: int):
     return run
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, count: int) -> DataFrame:
+def _alike(pairs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, count: int, rows: int | None = None) -> DataFrame:
     """Of distinct pairs of ids, those whose signatures are similar enough."""
     sign = lambda x: reps.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"))
-    return scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct())
+    return scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct(), rows=rows)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, marks: int = MARKS) -> DataFrame:
@@ -242,31 +242,33 @@ def near_dedup(
     with nothing. Rows that share an id are one document, in one component. Rows without an id link with
     nothing, have no component and are not marked kept. No rows: no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.keep(texts.mapInArrow(_signing(size, bands, rows), _SETS))
-    classes = scratch.keep(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    reps = scratch.keep(signed.join(classes, "cls").where("doc_id = rep").select("rep", "bands", "signature"))
+    count = signed.count()
+    classes = scratch.keep(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep is not null"), rows=count)
+    reps = scratch.keep(signed.join(classes, "cls").where("doc_id = rep").select("rep", "bands", "signature"), rows=count)
     held = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     ends = held.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = scratch.keep(held.join(ends, ["band", "key"]))  # the few rows whose bucket holds another set
     star = shared.select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
-    star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
-    alike = _alike(star, reps, scratch, percent, bands * rows)
-    ends = scratch.keep(alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct())
+    met = shared.count()
+    star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), rows=2 * met)
+    alike = _alike(star, reps, scratch, percent, bands * rows, 2 * met)
+    ends = scratch.keep(alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct(), rows=count)
     sets = _sets(texts, ends, scratch, size)
     links = _confirmed(alike, sets, scratch, percent)
     scratch.drop(alike, sets)
-    found = scratch.keep(components(links, scratch), links)
+    found = scratch.keep(components(links, scratch, 2 * met), links, count)
     shared = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct())
-    sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct()), scratch, size)
+    open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct(), rows=count)
+    sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct(), rows=count), scratch, size)
     sets = scratch.keep(sets.join(open_, "doc_id"), sets)
-    more = _confirmed(_meeting(sets, scratch, percent), sets, scratch, percent)
-    found = scratch.keep(components(found.union(more), scratch), found)
+    more = _confirmed(_alike(_meeting(sets, scratch, percent), reps, scratch, percent, bands * rows), sets, scratch, percent)
+    found = scratch.keep(components(found.union(more), scratch), found, count)
     scratch.drop(sets)
     ids = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("reached"))
-    ids = scratch.keep(ids)
+    ids = scratch.keep(ids, rows=count)
     out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     reached = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("reached")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

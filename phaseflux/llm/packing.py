@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .byte_bpe import slices_of_merges
-from .scratch import Scratch
+from .byte_bpe import CHUNK, slices_of_merges
+from .scratch import Scratch, bounded
 
 #: Groups of large lengths, and the share of a sequence from which a length is large.
 GROUPS, LARGE = 1500, 1 / 16
@@ -208,7 +208,7 @@ def _cutting(path: str, capacity: int, close: int):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
-            for a, b in words.chunks(texts):
+            for a, b in words.chunks(texts, CHUNK):
                 flat, at = kept.ids(texts.slice(a, b - a).to_pylist())
                 whole = np.insert(flat, at[1:], close).astype("<u4")
                 ends = at[1:] + np.arange(1, len(at))
@@ -254,9 +254,9 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, id_col: str = "doc_
     32-bit numbers. Null and empty texts are one id, `close`. Null ids and repeated rows are packed like others.
     No rows: no rows. The vocabulary file must lie at that path on every executor.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.keep(rows.mapInArrow(_cutting(vocabulary, capacity, close), _PIECES))
-    sums = scratch.keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
+    sums = scratch.keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), rows=pieces.count())
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     places = Places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

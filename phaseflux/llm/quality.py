@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import fresh
+from .scratch import bounded, fresh
 
 #: Buckets of the scorer, texts that it is trained on (about), steps, the score below which a text is rejected.
 BUCKETS, SAMPLE, STEPS, LEAST = 2048, 4000, 400, 0.5
@@ -235,7 +235,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Fitted
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, F.lit(9)).alias("turn"), F.col(text_col).cast("string").alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, F.lit(9)).alias("turn"), F.col(text_col).cast("string").alias("text"))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = LEAST) -> DataFrame:

@@ -1,33 +1,71 @@
 """Intermediate tables in the folder that every executor shares.
 
 Operators cut long lineages by writing a table and reading it again, so that a lost executor costs one
-stage and not the whole history. The folder is spark.checkpoint.dir; only where that is unset (tests on
-one machine) a folder of the machine is taken.
+stage and not the whole history. The folder is spark.checkpoint.dir; only where that is unset and the master is this
+machine alone (tests) a folder of the machine is taken.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from types import TracebackType
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file at least, where a table's rows are counted; bytes of an Arrow batch at most.
+ROWS, BATCH = 16_384, 4 << 20
+_open: set[Scratch] = set()
+
 
 def root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/phaseflux").rstrip("/")
+    """The shared folder. On a cluster without one this raises: rows in executors' own folders would be lost unseen."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (shared or f"file://{tempfile.gettempdir()}/checkpoints/phaseflux").rstrip("/")
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """The frame, after its session's limit for Arrow batches was lowered to BATCH bytes (Spark's own default is 64 MB).
+
+    A worker holds a batch or two, its JVM as much again. A smaller limit stays as it is; a row beyond it is a batch.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"-?\d+", conf.get(key, "0"))
+    if int(held[0]) <= 0 or int(held[0]) > BATCH:
+        conf.set(key, str(BATCH))
+    return frame
 
 
 class Scratch:
-    """Tables of one call of an operator. close() deletes them, once nothing that was made from them will be read again."""
+    """Tables of one call of an operator. close() deletes them, once nothing that was made from them will be read again.
+
+    As a context manager it closes itself; one that nobody closes is closed when the interpreter ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self._n = spark, f"{root(spark)}/tables-{uuid.uuid4().hex}", 0
+        _open.add(self)
 
-    def keep(self, frame: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
-        """The same rows, read from a table written now; `replaces`, an earlier table, is deleted then."""
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.close()
+
+    def keep(self, frame: DataFrame, replaces: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+        """The same rows, read from a table written now; `replaces`, an earlier table, is deleted then.
+
+        `rows` is a bound of their number: the table then has no more files than that many rows are worth.
+        """
         self._n += 1
         path = f"{self.path}/{self._n}"
-        frame.write.parquet(path)
+        out = frame if rows is None else frame.coalesce(max(1, -(-rows // ROWS)))
+        out.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._kept_at = path
         if replaces is not None:
@@ -45,7 +83,18 @@ class Scratch:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def close(self) -> None:
-        self._delete(self.path)
+        _open.discard(self)
+        if self._n:
+            self._delete(self.path)
+
+
+@atexit.register
+def _close_all() -> None:
+    for one in list(_open):
+        try:
+            one.close()
+        except (Py4JError, OSError, AttributeError):  # the session has ended before
+            _open.discard(one)
 
 
 def fresh(name: str, frame: DataFrame) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import Scratch, fresh
+from .scratch import Scratch, bounded, fresh
 
 #: Words of a window, and of the pieces that name one.
 WINDOW, PIECE = 13, 5
@@ -148,7 +148,7 @@ def _cover(count: int, heads: list[int] | None, tails: list[int] | None, copy: b
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """ord: the id, or above all ids where it is null; tkey tells rows apart that share an id."""
-    return docs.select(
+    return bounded(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).cast("string").alias("text")
     )
 
@@ -178,9 +178,10 @@ def path_ends(windows: DataFrame) -> DataFrame:
 def _marks(rows: DataFrame, scratch: Scratch, k: int, m: int) -> DataFrame:
     """(ord, tkey, copy, heads, tails) of the rows that lose words: whole copies, and ends of repeated paths."""
     named = scratch.keep(rows.select("ord", "tkey", "text").mapInArrow(_naming(k, m), _NAMES))
-    first = scratch.keep(named.groupBy("cls").agg(F.min("ord").alias("least")))
+    count = named.count()
+    first = scratch.keep(named.groupBy("cls").agg(F.min("ord").alias("least")), rows=count)
     copies = named.join(first, "cls").where("ord > least").select("ord", "tkey", F.lit(True).alias("copy")).distinct()
-    copies = scratch.keep(copies)
+    copies = scratch.keep(copies, rows=count)
     each = named.select("ord", "tkey", "cls8", F.explode("names").alias("name"))
     shared = scratch.keep(each.groupBy("name").agg(F.min("cls8").alias("a"), F.max("cls8").alias("b")).where("a != b").select("name"))
     own = each.select("ord", "tkey", "name").join(shared, "name").join(copies, ["ord", "tkey"], "left_anti")
