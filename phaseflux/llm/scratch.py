@@ -35,8 +35,7 @@ def bounded(frame: DataFrame) -> DataFrame:
     A worker holds a batch or two, its JVM as much again. A smaller limit stays as it is; a row beyond it is a batch.
     """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = re.match(r"-?\d+", conf.get(key, "0"))
-    if int(held[0]) <= 0 or int(held[0]) > BATCH:
+    if not re.fullmatch(r"\d+b?", held := conf.get(key)) or int(held.rstrip("b")) > BATCH:  # with a greater unit it is larger
         conf.set(key, str(BATCH))
     return frame
 
