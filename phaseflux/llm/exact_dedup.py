@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bounded, fresh
+from .scratch import ROWS, Scratch, bounded, fresh, gathered, size
 from .words import mix
 
 #: Digests of a shard, about; a shard is a row of some 6 MB at most.
@@ -139,8 +139,8 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return found.withColumn("keep_id", F.nullif(F.col("keep_id"), F.lit(_NONE)))
 
 
-def groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The digests() rows, and (digest, keep_id, group_size) of each distinct digest, both as tables.
+def groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, DataFrame]:
+    """The digests() rows as a table, their number, and (digest, keep_id, group_size) of each distinct digest as a table.
 
     The lower half of the ids is the history that the perfect hash covers; the other rows, and those
     without an id, are looked up in it.
@@ -149,7 +149,7 @@ def groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     cut, count = rows.agg(F.percentile_approx("doc_id", 0.5, 1000), F.count("*")).first()
     old = F.coalesce(F.col("doc_id") <= F.lit(cut).cast("long"), F.lit(False))
     index, shards = build_index(rows.where(old), scratch)
-    return rows, scratch.keep(lookup(rows.where(~old), index, shards), index, count)
+    return rows, count, scratch.keep(lookup(rows.where(~old), index, shards), index, count)
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,8 +160,8 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     count as kept. So do all rows that repeat the winner's id and text; keep_exact() leaves one of them.
     No rows: no rows.
     """
-    rows, found = groups(docs, scratch, id_col, text_col)
-    return rows.join(found, "digest").select(
+    rows, count, found = groups(docs, scratch, id_col, text_col)
+    return rows.join(found, "digest").coalesce(max(1, -(-count // ROWS))).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
@@ -169,10 +169,10 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
 def keep_exact(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without later copies: one row for each distinct normalised text."""
     digest, key, keep = fresh("digest__", docs), fresh("id__", docs), fresh("keep__", docs)
-    _, found = groups(docs, scratch, id_col, text_col)
+    _, _, found = groups(docs, scratch, id_col, text_col)
     # texts move once: the join and the choice of one row need the same partitioning, in which a hot text spreads by id
     winners = found.select(F.col("digest").alias(f"{digest}w"), F.coalesce("keep_id", F.lit(_NONE)).alias(keep))
     plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     rows = docs.withColumns({digest: F.unhex(F.sha2(plain, 256)), key: F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))})
     stay = rows.join(winners, (F.col(digest) == F.col(f"{digest}w")) & (F.col(key) == F.col(keep)), "left_semi")
-    return stay.dropDuplicates([digest, key]).select(*docs.columns)
+    return gathered(stay.dropDuplicates([digest, key]).select(*docs.columns), size(docs))

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .scratch import Scratch, bounded, fresh
+from .scratch import ROWS, Scratch, bounded, fresh, gathered, size as bytes_of
 
 #: Bands and rows of a band; at similarity 0.8 a pair shares no bucket with a chance of 4e-7.
 BANDS, ROWS = 28, 4
+#: So many rows of a narrow table weigh as much as a row with a whole set.
+WIDE = 4
 #: Standard errors by which a signature may miss the threshold.
 SLACK = 6
 #: Bits of the bitmap of wanted ids: so many an id, and at most (4 MiB, whatever the input); false hits cost time, never results.
@@ -211,7 +213,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, co
     return scratch.keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(_screening(percent / 100, count), _PAIR).distinct(), rows=rows)
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, marks: int = MARKS) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, rows: int, marks: int = MARKS) -> DataFrame:
     """(doc_id, items): the sets of the wanted ids, a kept table of one column without nulls.
 
     A bitmap of fixed size holds most other texts back where they are read, so that the shuffle carries the wanted
@@ -222,13 +224,13 @@ def _sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, mark
     seen = np.zeros(marks // 64, "<i8")
     seen[touched["word"].to_numpy()] = touched["bits"].to_numpy()
     sets = texts.where("doc_id is not null").mapInArrow(_setting(size, seen.view(np.uint8)), "doc_id long, items binary")
-    return scratch.keep(sets.join(wanted, "doc_id", "left_semi").distinct())
+    return scratch.keep(sets.join(wanted, "doc_id", "left_semi").distinct(), rows=WIDE * rows)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, rows: int | None = None) -> DataFrame:
     """Of distinct pairs of ids, those whose full sets are similar enough."""
     items = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"x{x}"))
-    return scratch.keep(pairs.join(items("a"), "a").join(items("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirming(percent), _PAIR))
+    return scratch.keep(pairs.join(items("a"), "a").join(items("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirming(percent), _PAIR), rows=rows)
 
 
 def near_dedup(
@@ -249,27 +251,27 @@ def near_dedup(
     reps = scratch.keep(signed.join(classes, "cls").where("doc_id = rep").select("rep", "bands", "signature"), rows=count)
     held = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     ends = held.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = scratch.keep(held.join(ends, ["band", "key"]))  # the few rows whose bucket holds another set
+    shared = scratch.keep(held.join(ends, ["band", "key"]), rows=WIDE * count)  # the few rows whose bucket holds another set
     star = shared.select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
     met = shared.count()
     star = scratch.keep(star.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), rows=2 * met)
     alike = _alike(star, reps, scratch, percent, bands * rows, 2 * met)
     ends = scratch.keep(alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct(), rows=count)
-    sets = _sets(texts, ends, scratch, size)
-    links = _confirmed(alike, sets, scratch, percent)
+    sets = _sets(texts, ends, scratch, size, count)
+    links = _confirmed(alike, sets, scratch, percent, WIDE * count)
     scratch.drop(alike, sets)
     found = scratch.keep(components(links, scratch, 2 * met), links, count)
     shared = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct(), rows=count)
-    sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct(), rows=count), scratch, size)
-    sets = scratch.keep(sets.join(open_, "doc_id"), sets)
+    sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct(), rows=count), scratch, size, count)
+    sets = scratch.keep(sets.join(open_, "doc_id"), sets, WIDE * count)
     more = _confirmed(_alike(_meeting(sets, scratch, percent), reps, scratch, percent, bands * rows), sets, scratch, percent)
     found = scratch.keep(components(found.union(more), scratch), found, count)
     scratch.drop(sets)
     ids = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("reached"))
     ids = scratch.keep(ids, rows=count)
-    out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
+    out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left").coalesce(max(1, -(-count // ROWS)))
     reached = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("reached")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -278,4 +280,4 @@ def keep_near(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     """The input's rows and columns, one document of each component; rows without an id stay."""
     gone, key = fresh("gone__", docs), fresh("id__", docs)
     drop = near_dedup(docs, scratch, id_col, text_col, size, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.withColumn(key, F.col(id_col).cast("long")).join(drop, F.col(key) == F.col(gone), "left_anti").select(*docs.columns)
+    return gathered(docs.withColumn(key, F.col(id_col).cast("long")).join(drop, F.col(key) == F.col(gone), "left_anti").select(*docs.columns), bytes_of(docs))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .byte_bpe import CHUNK, slices_of_merges
-from .scratch import Scratch, bounded
+from .scratch import ROWS, Scratch, bounded
 
 #: Groups of large lengths, and the share of a sequence from which a length is large.
 GROUPS, LARGE = 1500, 1 / 16
@@ -256,11 +256,13 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, id_col: str = "doc_
     """
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.keep(rows.mapInArrow(_cutting(vocabulary, capacity, close), _PIECES))
-    sums = scratch.keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), rows=pieces.count())
+    total = pieces.count()
+    sums = scratch.keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), rows=total)
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     places = Places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # up to `capacity` rows for each task's part: far larger in memory than as a file, so never a broadcast by file size
     ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("at"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placing(places), _OUT)
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").coalesce(max(1, -(-total // ROWS)))
+    return ranked.mapInArrow(_placing(places), _OUT)

@@ -263,4 +263,4 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(_judged(Measured(texts.slice(a, b - a).to_pylist()), fitted, least)[3])
             yield batch.select(names).filter(pa.array(np.concatenate([*kept, np.zeros(0, bool)])))
 
-    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return bounded(docs).withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -16,8 +16,8 @@ from types import TracebackType
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a file at least, where a table's rows are counted; bytes of an Arrow batch at most.
-ROWS, BATCH = 16_384, 4 << 20
+#: Rows and bytes of input that a task gets at least, where they are known; bytes of an Arrow batch and rows of a column batch at most.
+ROWS, LEAST, BATCH, COLUMNS = 16_384, 4 << 20, 4 << 20, 512
 _open: set[Scratch] = set()
 
 
@@ -30,14 +30,28 @@ def root(spark: SparkSession) -> str:
 
 
 def bounded(frame: DataFrame) -> DataFrame:
-    """The frame, after its session's limit for Arrow batches was lowered to BATCH bytes (Spark's own default is 64 MB).
+    """The frame in tasks of LEAST bytes of input or more, after its session's limits for batches were lowered.
 
-    A worker holds a batch or two, its JVM as much again. A smaller limit stays as it is; a row beyond it is a batch.
+    Of an Arrow batch a worker holds one or two, its JVM as much again (Spark's default is 64 MB); a reader of Parquet holds
+    so many whole texts at once. Smaller limits stay as they are; a row beyond the limit is a batch. Partitions of LEAST
+    bytes or more are not touched: at 128 MB a partition the number of tasks stays what it is.
     """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not re.fullmatch(r"\d+b?", held := conf.get(key)) or int(held.rstrip("b")) > BATCH:  # with a greater unit it is larger
         conf.set(key, str(BATCH))
-    return frame
+    if int(conf.get(key := "spark.sql.parquet.columnarReaderBatchSize")) > COLUMNS:
+        conf.set(key, str(COLUMNS))
+    return gathered(frame, size(frame))
+
+
+def size(frame: DataFrame) -> int:
+    """Bytes of a frame by Spark's estimate: for files those of the columns that are read."""
+    return frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def gathered(frame: DataFrame, total: int) -> DataFrame:
+    """A frame made from so many bytes, in no more partitions than that is worth."""
+    return frame.coalesce(min(max(1, -(-total // LEAST)), 1 << 30))
 
 
 class Scratch:

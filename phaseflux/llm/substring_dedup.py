@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .scratch import Scratch, bounded, fresh
+from .scratch import Scratch, bounded, fresh, gathered, size
 
 #: Words of a window, and of the pieces that name one.
 WINDOW, PIECE = 13, 5
+#: So many rows of a narrow table weigh as much as a row with a text or its names.
+WIDE = 4
 _NAMES = "ord long, tkey long, cls binary, cls8 long, names array<long>"
 _RUNS = "ord long, tkey long, start int, keys array<long>, checks array<int>"
 _OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, text string"
@@ -185,16 +187,16 @@ def _marks(rows: DataFrame, scratch: Scratch, k: int, m: int) -> DataFrame:
     each = named.select("ord", "tkey", "cls8", F.explode("names").alias("name"))
     shared = scratch.keep(each.groupBy("name").agg(F.min("cls8").alias("a"), F.max("cls8").alias("b")).where("a != b").select("name"))
     own = each.select("ord", "tkey", "name").join(shared, "name").join(copies, ["ord", "tkey"], "left_anti")
-    own = scratch.keep(own.groupBy("ord", "tkey").agg(F.collect_set("name").alias("names")), shared)
+    own = scratch.keep(own.groupBy("ord", "tkey").agg(F.collect_set("name").alias("names")), shared, WIDE * count)
     scratch.drop(named, first)
-    runs = scratch.keep(rows.join(own, ["ord", "tkey"]).select("ord", "tkey", "text", "names").mapInArrow(_running(k, m), _RUNS), own)
+    runs = scratch.keep(rows.join(own, ["ord", "tkey"]).select("ord", "tkey", "text", "names").mapInArrow(_running(k, m), _RUNS), own, WIDE * count)
     windows = scratch.keep(repeated_windows(runs))
     ends = scratch.keep(path_ends(windows), windows)
     at = F.posexplode(F.slice("keys", 2, F.size("keys") - 2))
     places = runs.select("ord", "tkey", "start", "checks", at.alias("i", "key")).select("ord", "tkey", "key", F.expr("checks[i + 1]").alias("check"), (F.col("start") + F.col("i")).alias("at"))
     marks = places.join(ends, ["key", "check"]).where("ord > owner")
     marks = marks.groupBy("ord", "tkey").agg(*(F.collect_set(F.when(F.col(x), F.col("at"))).alias(f"{x}s") for x in ("head", "tail")))
-    marks = scratch.keep(marks.join(copies, ["ord", "tkey"], "full"), ends)
+    marks = scratch.keep(marks.join(copies, ["ord", "tkey"], "full"), ends, WIDE * count)
     scratch.drop(runs, copies)
     return marks
 
@@ -209,7 +211,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     rows = _read(docs, id_col, text_col)
     marks = _marks(rows, scratch, k, m)
-    return rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "heads", "tails", "copy").mapInArrow(_cutting(k), _OUT)
+    return gathered(rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "heads", "tails", "copy"), size(docs)).mapInArrow(_cutting(k), _OUT)
 
 
 def cut_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = PIECE) -> DataFrame:
@@ -246,4 +248,4 @@ def _cut(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, k: int)
             columns = [pa.array(texts, pa.string()) if x == text_col else batch[x] for x in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return gathered(rows, size(docs)).mapInArrow(run, docs.schema)
