@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,20 +55,34 @@ def confidence(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+    """A calendar date, or the day of an ISO week (Monday without a day), each with hyphens or without; others are null."""
+    packed = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day = F.when(packed.rlike(r"^\d{4}-\d{2}-\d{2}$"), packed.try_cast("date"))
+    week = r"^(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)$"
+    part = lambda *groups: F.coalesce(*(F.nullif(F.regexp_extract(c, week, g), F.lit("")).cast("int") for g in groups))
+    year, number = part(1), part(2, 4)
+    start = F.date_add(F.trunc(F.make_date(F.when(year > 0, year), F.lit(1), F.lit(4)), "week"), (number - 1) * 7)
+    # the week belongs to the year of its Thursday
+    good = number.between(1, 53) & (F.year(F.date_add(start, 3)) == year)
+    return F.coalesce(day, F.when(good, F.date_add(start, F.coalesce(part(3, 5), F.lit(1)) - 1)))
 
 
 def cache_key(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.lower(c) for c in columns)), 256)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def area_vote(trees: Column) -> Column:
     """Plurality of the areas of tree numbers: null without any or on a tie for the first place, other if none maps."""
-    mapped = F.filter(F.transform(trees, lambda t: vocab.lookup(F.substring(t, 1, 3), vocab.TREES)), lambda x: x.isNotNull())
-    counts = F.transform(F.array_distinct(mapped), lambda a: F.struct(F.size(F.filter(mapped, lambda x: x == a)).alias("n"), a.alias("area")))
-    top = F.sort_array(counts, asc=False)
-    tie = (F.size(top) > 1) & (F.get(top, F.lit(0))["n"] == F.get(top, F.lit(1))["n"])
-    return F.when(F.coalesce(F.size(trees), F.lit(0)) <= 0, None).when(F.size(mapped) == 0, "other").when(tie, None).otherwise(F.get(top, F.lit(0))["area"])
+    mapped = F.filter(F.transform(trees, lambda t: vocab.case(F.substring(t, 1, 3), vocab.TREES)), lambda x: x.isNotNull())
+    count = lambda m, a: F.size(m) - F.size(F.array_remove(m, a))
+    ranked = lambda m: F.sort_array(F.transform(F.array_distinct(m), lambda a: F.struct(count(m, a).alias("n"), a.alias("area"))), asc=False)
+    first = lambda top: F.when(F.size(top) == 0, "other").when((F.size(top) == 1) | (top[0]["n"] > F.get(top, F.lit(1))["n"]), top[0]["area"])
+    return F.when(F.size(trees) > 0, bound(bound(mapped, ranked), first))
 
 
 @F.pandas_udf(T.StringType())
@@ -83,7 +98,7 @@ def canonical_drug(c: Column, ascii_only: bool = False) -> Column:
     """
     s = F.coalesce(c, F.lit(""))
     s = F.lower(s if ascii_only else decomposed(s))
-    for pattern, to in (
+    for pattern, to in (  # fixed values: the patterns and their order decide the name
         (r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " "), (r"[/,_;:\-–—]", " "), (r"[\"'“”‘’`]", ""), (r"(?U)[^\w\s]", " "), (r"(?U)\b(\d{1,3})\s*(lu|ga|y|i|tc|in)\b", "$1$2"),
     ):
         s = F.regexp_replace(s, pattern, to)
@@ -92,6 +107,7 @@ def canonical_drug(c: Column, ascii_only: bool = False) -> Column:
 
 
 REPLY = "array<struct<candidate_index:int,drug_modality:string,disease_area:string,modality_confidence:string,disease_confidence:string,reasoning:string>>"
+OUTCOME_REPLY = "array<struct<candidate_index:int,outcome:string,confidence:string,reasoning:string,evidence_sources:array<string>,approval_date:string,commercialization_date:string>>"
 
 
 @F.pandas_udf(T.StringType())
@@ -112,9 +128,38 @@ def first_array(s: pd.Series) -> pd.Series:
     return s.map(find)
 
 
-def reply(c: Column, salvage: bool = True) -> Column:
+def reply(c: Column, salvage: bool = True, schema: str = REPLY) -> Column:
     """A reply's items that have an integer index: fences removed, else the first array in the text."""
     bare = F.regexp_replace(strip(c), r"^```[a-zA-Z]*\s*|\s*```$", "")
-    parsed = F.when(F.startswith(bare, F.lit("[")), F.from_json(bare, REPLY))
-    whole = F.coalesce(parsed, F.from_json(F.when(parsed.isNull(), first_array(c)), REPLY)) if salvage else parsed
-    return F.filter(F.coalesce(whole, F.from_json(F.lit("[]"), REPLY)), lambda x: x["candidate_index"].isNotNull())
+    parsed = F.when(F.startswith(bare, F.lit("[")), F.from_json(bare, schema))
+    # Spark runs Python before any CASE, so the texts that need none go in as null
+    whole = F.coalesce(parsed, F.from_json(first_array(F.when(parsed.isNull(), c)), schema)) if salvage else parsed
+    return F.filter(F.coalesce(whole, F.from_json(F.lit("[]"), schema)), lambda x: x["candidate_index"].isNotNull())
+
+
+def slug(c: Column) -> Column:
+    """Lower case, spaces and slashes as underscores."""
+    return F.translate(F.lower(c), " /", "__")
+
+
+def application_number(*candidates: Column) -> Column:
+    """The first of some application numbers that is not empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates))
+
+
+def application_url(number: Column) -> Column:
+    """Address of an application's overview, by the number from its first digit on; empty without a number."""
+    return F.when(number.isNull(), "").otherwise(F.concat(F.lit(vocab.APPLICATION_URL), F.regexp_replace(number, r"^\D+", "")))
+
+
+def pct(c: Column) -> Column:
+    return F.format_string("%.1f%%", c * 100)
+
+
+def fold(a: Column, b: Column) -> Column:
+    """The ratio of two numbers in words."""
+    ratio = F.try_divide(a, b)
+    out = F.when(b == 0, vocab.INFINITE).when(ratio >= 2.5, F.format_string("%d-fold higher than", F.bround(ratio).cast("int"))).when(ratio >= 1.8, F.format_string("nearly %d-fold higher than", F.bround(ratio).cast("int")))
+    for least, words in vocab.FOLDS:
+        out = out.when(ratio >= least, words)
+    return out.otherwise(vocab.FEWEST)

@@ -21,6 +21,7 @@ CONFIDENCE = {"HIGH": 1.0, "MEDIUM": 0.5, "LOW": 0.25}
 OUTCOMES = {
     "FAILED_PHASE_1": "Failed Phase 1", "FAILED_PHASE_2": "Failed Phase 2", "FAILED_PHASE_3": "Failed Phase 3", "APPROVED": "Approved", "COMMERCIALIZED": "Commercialized", "ONGOING": "Ongoing", "UNKNOWN": "Unknown",
 }
+STEP_LABELS = {"Phase 1": "P1→P2", "Phase 2": "P2→P3", "Phase 3": "P3→Appr", "Approval": "Appr→Mkt"}
 BUCKETS = {"Commercialized": "commercialized", "Approved": "approved"}
 MODALITIES = ("peptide", "small_molecule", "monoclonal_antibody", "bispecific_antibody", "adc", "fusion_protein", "sirna", "antisense", "mrna", "cell_therapy", "gene_therapy", "vaccine", "unknown")
 AREAS = {
@@ -29,23 +30,37 @@ AREAS = {
 }
 AREA_ALIASES = {
     "immunology": "autoimmune", "allergy": "autoimmune", "endocrinology": "endocrine", "addiction": "psychiatry", "hepatology": "gastroenterology", "vascular": "cardiovascular",
-} | dict.fromkeys((
-    "dermatology musculoskeletal reproductive_health nephrology rare_disease anesthesiology pain_management transplant dentistry pediatrics radiology otolaryngology surgery emergency_medicine "
-    "critical_care neonatology geriatrics rheumatology reproductive gynecology obstetrics pain anesthesia transplantation dental drug_safety research_tool diagnostic general_health nutrition "
-    "toxicology wound_care plastic_surgery"
-).split(), "other")
+    "dermatology": "other", "musculoskeletal": "other", "reproductive_health": "other", "nephrology": "other", "rare_disease": "other", "anesthesiology": "other", "pain_management": "other",
+    "transplant": "other", "dentistry": "other", "pediatrics": "other", "radiology": "other", "otolaryngology": "other", "surgery": "other", "emergency_medicine": "other", "critical_care": "other",
+    "neonatology": "other", "geriatrics": "other", "rheumatology": "other", "reproductive": "other", "gynecology": "other", "obstetrics": "other", "pain": "other", "anesthesia": "other",
+    "transplantation": "other", "dental": "other", "drug_safety": "other", "research_tool": "other", "diagnostic": "other", "general_health": "other", "nutrition": "other", "toxicology": "other",
+    "wound_care": "other", "plastic_surgery": "other",
+}
 TREES = {
     "C01": "infectious_disease", "C02": "infectious_disease", "C03": "infectious_disease", "C04": "oncology", "C06": "gastroenterology", "C08": "respiratory", "C10": "neurology", "C11": "ophthalmology",
     "C12": "urology", "C14": "cardiovascular", "C15": "hematology", "C18": "metabolic", "C19": "endocrine", "C20": "autoimmune", "F03": "psychiatry",
 }
+APPLICATION_URL = "https://www.accessdata.fda.gov/scripts/cder/daf/index.cfm?event=overview.process&ApplNo="
+# Words for a ratio of at least so much, below those with a number; without a bound; the least.
+FOLDS = ((1.3, "substantially higher than"), (1.05, "slightly higher than"), (0.95, "comparable to"), (0.7, "slightly lower than"))
+INFINITE, FEWEST = "infinitely higher than", "substantially lower than"
 SALTS = ("hcl", "hydrochloride", "sodium", "potassium", "acetate", "sulfate", "mesylate", "tartrate", "maleate", "fumarate", "phosphate")
 DRUG_NOISE = (
-    "placebo sham control controls comparator active standard best available therapy bat injectable injection iv sc sq po oral intravenous subcutaneous solution powder tablet capsule suspension infusion bolus "
-    "extended release delayed immediate sustained modified dose dosing fixed protocol regimen arm group saline electrolyte glucose amino acid acids"
-).split()
+    "placebo", "sham", "control", "controls", "comparator", "active", "standard", "best", "available", "therapy", "bat", "injectable", "injection", "iv", "sc", "sq", "po", "oral", "intravenous", "subcutaneous",
+    "solution", "powder", "tablet", "capsule", "suspension", "infusion", "bolus", "extended", "release", "delayed", "immediate", "sustained", "modified", "dose", "dosing", "fixed", "protocol", "regimen", "arm",
+    "group", "saline", "electrolyte", "glucose", "amino", "acid", "acids",
+)
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 
 
+def case(column: Column, table: dict) -> Column:
+    """The table's value of a column as a CASE: cheaper than a map within a lambda, where maps are built again for each element."""
+    out = F
+    for key, value in table.items():
+        out = out.when(column == key, value)
+    return out
+
+
 def lookup(column: Column, table: dict, default: object = None) -> Column:
     """The table's value of a column, as one literal map."""
     found = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[column]

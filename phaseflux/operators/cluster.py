@@ -18,40 +18,74 @@ def string_key() -> Column:
 
 
 def hybrid_key() -> Column:
-    """MeSH terms of a side where it has any, else its normal form."""
+    """MeSH terms of a side where it has any, else its normal form; both sides alike."""
 
     def side(terms: str, plain: str) -> Column:
         known = F.array_sort(F.transform(F.col(terms), lambda t: text.strip(F.lower(t))))
         return F.when(F.size(terms) > 0, F.array_join(known, "|")).otherwise(text.cluster_key(F.col(plain)))
 
-    return F.concat_ws("__", side("mesh_drug_terms", "intervention"), text.cluster_key(F.col("indication")))
+    return F.concat_ws("__", side("mesh_drug_terms", "intervention"), side("mesh_condition_terms", "indication"))
+
+
+#: Ways to cluster by name; there is no strategy by embeddings, its name stands for the plain keys.
+STRATEGIES: dict[str, Strategy] = {"fuzzy": string_key, "embeddings": string_key, "hybrid": hybrid_key}
+LABELS = ("modality", "disease_area", "outcome", "approval_date", "market_date")
+_PHASES = {rank: name for name, rank in vocab.PHASE_RANK.items()}
+
+
+def rank(phase: str) -> Column:
+    return vocab.lookup(F.col(phase), vocab.PHASE_RANK)
+
+
+def approvals() -> dict[str, Column]:
+    """Approval and market dates of a trial row, as the view derives them from its completion."""
+    approved = F.when(F.col("outcome").isin("Approved", "Commercialized"), F.date_add("completion_date", F.col("quantity") * 10))
+    return {"approval_date": approved, "market_date": F.when(F.col("outcome") == "Commercialized", F.date_add(approved, F.col("quantity") * 20 - 300))}
+
+
+def modal(terms: Column) -> Column:
+    """The most frequent lower-case term of a list, the first of equals; null for none."""
+    plain = F.transform(terms, lambda t: text.strip(F.lower(t)))
+
+    def ranked(all_: Column) -> Column:
+        each = F.transform(F.array_distinct(all_), lambda t: F.struct((F.size(F.array_remove(all_, t)) - F.size(all_)).alias("less"), F.array_position(all_, t).alias("at"), t.alias("term")))
+        return F.array_min(each)["term"]
+
+    return text.bound(plain, ranked)
 
 
 def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
-    """One row per key: first names, trial ids in order with repeats, distinct sponsors first seen, top phase, dates, trees.
+    """One row per key: the first trial's names and labels, trial ids in order with repeats, distinct sponsors first seen, top
+    phase, dates, trees, modal MeSH terms, and the least p-value of its single-arm trials (`is_single_arm`, if there) by phase.
 
-    Order-sensitive lists carry `ord`. Scalars aggregate on the map side; the lists are as long as a candidate has trials.
+    Only one list carries the order (`ord`), as long as a candidate has trials; what a query does not use is not gathered.
     """
-    rows = trials.withColumn("candidate_id", key()).withColumn("rank", vocab.lookup(F.col("phase"), vocab.PHASE_RANK))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
-    first = F.min_by(F.struct("intervention", "indication", "modality", "disease_area", "outcome", "start_date", "completion_date", "quantity"), "ord")
+    rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | (approvals() if "outcome" in trials.columns else {}))
+    labels = [x for x in LABELS if x in rows.columns]  # trials that nobody has labelled have none
+    first = F.min_by(F.struct("intervention", "indication", *labels), "ord")
+    seen = F.sort_array(F.collect_list(F.struct("ord", "nct_id", "sponsor", "mesh_drug_terms", "mesh_condition_terms")))
+    single = F.col("is_single_arm") if "is_single_arm" in rows.columns else F.lit(True)
+    p = lambda i: F.min(F.when(single & (F.col("phase") == f"Phase {i}"), F.col("p_value")))
     out = rows.groupBy("candidate_id").agg(
-        first.alias("first"), listed("nct_id").alias("trial_ids"), F.array_distinct(F.filter(listed("sponsor"), lambda s: F.coalesce(s, F.lit("")) != "")).alias("sponsors"), F.max("rank").alias("rank"),
-        F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("trees")))).alias("trees"), F.min("ord").alias("ord"),
+        first.alias("first"), seen.alias("seen"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
+        F.collect_set("trees").alias("trees"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
     )
-    phases = {rank: name for name, rank in vocab.PHASE_RANK.items()}
+    sponsors = F.array_distinct(F.filter(F.col("seen.sponsor"), lambda s: F.coalesce(s, F.lit("")) != ""))
     return out.select(
-        "candidate_id", F.col("first.intervention").alias("drug_name"), "first.indication", "trial_ids", vocab.lookup(F.col("rank"), phases).alias("highest_phase"), "sponsors", "earliest_start", "latest_completion", "trees", "ord", "first.modality",
-        "first.disease_area", "first.outcome",
+        "candidate_id", text.cluster_key(F.col("first.intervention")).alias("drug_name"), text.cluster_key(F.col("first.indication")).alias("indication"), F.col("first.intervention").alias("drug_name_raw"),
+        F.col("seen.nct_id").alias("trial_ids"), vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
+        F.sort_array(F.array_distinct(F.flatten("trees"))).alias("trees"), "ord", modal(F.flatten("seen.mesh_drug_terms")).alias("mesh_drug"), modal(F.flatten("seen.mesh_condition_terms")).alias("mesh_indication"),
+        *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
     )
 
 
-def dated(cands: DataFrame, trials: DataFrame) -> DataFrame:
-    """Candidates with approval and market dates, which the view derives from the first trial."""
-    first = trials.select(F.col("ord"), F.col("completion_date"), F.col("quantity"))
-    rows = cands.join(first, "ord")
-    approved = F.when(F.col("outcome").isin("Approved", "Commercialized"), F.date_add("completion_date", F.col("quantity") * 10))
-    return rows.withColumn("approval_date", approved).withColumn("market_date", F.when(F.col("outcome") == "Commercialized", F.date_add(approved, F.col("quantity") * 20 - 300))).drop("completion_date", "quantity")
+def labelled(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
+    """Trial rows with their candidate's id, labels, top rank and whether the row is the candidate's first, in one shuffle."""
+    rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | approvals())
+    whole = Window.partitionBy("candidate_id")
+    first = F.min_by(F.struct("ord", *LABELS), "ord").over(whole)
+    rows = rows.withColumns({"first": first, "top": F.max("rank").over(whole)}).withColumns({x: F.col(f"first.{x}") for x in LABELS})
+    return rows.withColumn("is_first", F.col("first.ord") == F.col("ord")).withColumn("highest_phase", vocab.lookup(F.col("top"), _PHASES)).drop("first", "top", "rank")
 
 
 def modal_terms(trials: DataFrame, key: str, terms: str) -> DataFrame:
@@ -75,30 +109,30 @@ def two_level(names: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
-    """Candidates of one drug id (else MeSH drug) and indication as one; singles and ineligible ones pass through.
+    """Candidates of one drug id (else MeSH drug) and indication (MeSH, else its name) as one; the others pass through.
 
-    A merged candidate has the first one's names, distinct ids and sponsors in order, the top phase and the outer
-    dates, and loses its p-values, as the result it reproduces does.
+    A merged candidate has the first one's names and labels, distinct ids and sponsors in order, the top phase and the outer
+    dates, and loses its p-values, as the result it reproduces does. Candidates without either key group by themselves, so
+    that one aggregation makes all rows.
     """
     known = F.coalesce("drug_id", "mesh_drug")
-    rank = vocab.lookup(F.col("highest_phase"), vocab.PHASE_RANK)
-    rows = cands.where(known.isNotNull()).withColumns({"g_drug": known, "rank": rank})
-    listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]))
-    n = F.count("*")
-    sums = rows.groupBy("g_drug", "indication").agg(
-        F.min_by("candidate_id", "ord").alias("candidate_id"), F.min_by("drug_name", "ord").alias("drug_name"), n.alias("merged"), F.when(n > 1, F.array_distinct(listed("trial_ids"))).otherwise(listed("trial_ids")).alias("trial_ids"),
-        F.array_distinct(listed("sponsors")).alias("sponsors"), F.max("rank").alias("rank"), F.min("earliest_start").alias("earliest_start"), F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"),
+    rows = (cands if keep_unmatched else cands.where(known.isNotNull())).withColumns({
+        "g_drug": F.coalesce(known, "candidate_id"), "g_area": F.when(known.isNotNull(), F.coalesce("mesh_indication", "indication")), "rank": rank("highest_phase"),
+    })
+    n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors")))
+    firsts = [c for c in cands.columns if c not in ("trial_ids", "sponsors", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
+    sums = rows.groupBy("g_drug", "g_area", known.isNull().alias("alone")).agg(
+        F.min_by(F.struct(*firsts, *(c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns)), "ord").alias("first"), n.alias("merged"), listed.alias("parts"),
+        F.max("rank").alias("rank"), F.min("earliest_start").alias("earliest_start"), F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"),
+    )
+    one, ids = F.col("merged") == 1, F.flatten("parts.trial_ids")
+    kept = [F.when(one, F.col(f"first.{c}")).alias(c) for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns]
+    return sums.select(
+        *(F.col(f"first.{c}") for c in firsts), "merged", F.when(one, ids).otherwise(F.array_distinct(ids)).alias("trial_ids"), F.array_distinct(F.flatten("parts.sponsors")).alias("sponsors"),
+        vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), "earliest_start", "latest_completion", "ord", *kept,
     )
-    out = sums.withColumn("highest_phase", vocab.lookup(F.col("rank"), {v: k for k, v in vocab.PHASE_RANK.items()})).drop("rank", "g_drug")
-    if not keep_unmatched:
-        return out
-    return out.unionByName(cands.where(known.isNull()).withColumn("merged", F.lit(1).cast("long")).select(*out.columns))
 
 
 def coverage(cands: DataFrame) -> DataFrame:
     """Candidates and trial rows by kind of match."""
     return cands.groupBy("match").agg(F.count("*").alias("n_candidates"), F.sum(F.size("trial_ids").cast("long")).alias("n_trial_rows"))
-
-
-def top_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n).drop("rn")

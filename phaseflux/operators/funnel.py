@@ -1,4 +1,8 @@
-"""Phase-transition funnel in long form: a row per stratum and transition, from one pass over the candidates."""
+"""Phase-transition funnel in long form: a row per stratum and transition.
+
+Candidates contribute their level, trials their duration. Both become rows of one table of contributions, each with the strata
+it counts in, so that one aggregation makes overall, both margins and the pairs.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats, text, vocab
+from . import cluster
 
 STRATA = ("overall", "modality", "disease_area", "modality_disease_area")
+PHASES = vocab.STAGES[:3]
+_PLACE = "struct<stratum:string,modality:string,disease_area:string>"
 
 
 def level(phase: str = "highest_phase", outcome: str = "outcome") -> Column:
@@ -21,68 +28,113 @@ def resolved(null_counts: bool = True) -> Column:
     return F.coalesce(~F.col("outcome").isin("Ongoing", "Unknown"), F.lit(null_counts))
 
 
-def _stratum() -> Column:
-    flag = F.grouping_id()
-    return F.when(flag == 3, "overall").when(flag == 1, "modality").when(flag == 2, "disease_area").otherwise("modality_disease_area")
+def joined(cands: DataFrame, attributes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Candidates with their attributes and outcomes, null where they have none; the labels have a row per candidate at most."""
+    return cands.join(attributes, "candidate_id", "left").join(outcomes, "candidate_id", "left")
 
 
-def _stacked(counts: DataFrame, keys: list[str]) -> DataFrame:
-    pairs = ", ".join(f"'{a}', '{b}', c{i + 1}, c{i}" for i, (a, b) in enumerate(zip(vocab.STAGES, vocab.STAGES[1:], strict=False)))
-    rows = counts.select(*keys, "candidate_count", "market_years", F.expr(f"stack(4, {pairs}) AS (from_phase, to_phase, numerator, denominator)"))
-    return rows.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
+def _places(modality: Column, area: Column) -> Column:
+    """The strata that labels count in: a missing or empty one makes no stratum, but counts in `overall`."""
+    none = F.lit(None).cast("string")
+    m, a = (F.nullif(x, F.lit("")) for x in (modality, area))
+    place = lambda name, x, y: F.struct(F.lit(name).alias("stratum"), x.alias("modality"), y.alias("disease_area"))
+    return F.array_compact(F.array(place("overall", none, none), F.when(m.isNotNull(), place("modality", m, none)), F.when(a.isNotNull(), place("disease_area", none, a)), F.when(m.isNotNull() & a.isNotNull(), place("modality_disease_area", m, a))))
 
 
-def _counts() -> list[Column]:
-    reached = [F.sum((F.col("known") & (F.col("level") >= i)).cast("long")).alias(f"c{i}") for i in range(5)]
-    return [F.count("*").alias("candidate_count"), *reached, F.avg(stats.years(F.col("approval_date"), F.col("market_date"))).alias("market_years")]
+def _part(place: Column, **values: Column) -> Column:
+    """A contribution: 1 for a candidate with its level (null if its outcome is open), or a phase, with years."""
+    kinds = {"one": "long", "level": "int", "phase": "string", "years": "double"}
+    return F.struct(place.alias("place"), *(values.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()))
+
+
+def _counted(places: Column, level_: Column, years: Column) -> Column:
+    return F.transform(places, lambda x: _part(x, one=F.lit(1), level=level_, years=years))
+
+
+def _tallied(parts: DataFrame) -> DataFrame:
+    """The funnel of contributions; without any there is `overall` with zeros, for a row of nothing is added to it."""
+    zero = parts.sparkSession.range(1).select(_part(F.struct(F.lit("overall").alias("stratum"), F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("disease_area")), one=F.lit(0)).alias("part"))
+    rows = parts.select("part").unionByName(zero).select("part.place.*", "part.one", "part.level", "part.phase", "part.years")
+    reached = [F.sum((F.col("level") >= i).cast("long")) for i in range(5)]
+    spans = [F.when(F.col("phase") == p, F.col("years")) for p in PHASES] + [F.when(F.col("one") == 1, F.col("years"))]
+    sums = rows.groupBy("stratum", "modality", "disease_area").agg(
+        F.coalesce(F.sum("one"), F.lit(0)).alias("candidate_count"), *(F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(reached)),
+        *(f(s).alias(f"{n}{i}") for i, s in enumerate(spans) for n, f in (("y", F.avg), ("n", F.count))),
+    )
+    steps = ", ".join(f"'{a}', '{b}', c{i + 1}, c{i}, y{i}, n{i}" for i, (a, b) in enumerate(zip(vocab.STAGES, vocab.STAGES[1:], strict=False)))
+    out = sums.select("stratum", "modality", "disease_area", "candidate_count", F.expr(f"stack(4, {steps}) AS (from_phase, to_phase, numerator, denominator, avg_duration_years, n_durations)"))
+    return out.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
+
+
+def _years_to_market() -> Column:
+    return stats.years(F.col("approval_date"), F.col("market_date"))
+
+
+def _spans(trials: DataFrame) -> DataFrame:
+    """Years of the phase 1-3 trial rows that end after they start."""
+    return trials.where(F.col("phase").isin(*PHASES)).select("nct_id", "phase", stats.years(F.col("start_date"), F.col("completion_date")).alias("years")).where("years IS NOT NULL")
 
 
-def funnel(cands: DataFrame) -> DataFrame:
-    """(stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, rate, market_years).
+def _span_parts(labels: Column, spans: Column) -> Column:
+    """A study's durations once in each stratum that any of its (modality, disease_area) labels is in."""
+    places = F.array_distinct(F.flatten(F.transform(labels, lambda x: _places(x["modality"], x["disease_area"]))))
+    return F.flatten(F.transform(places, lambda place: F.transform(spans, lambda s: _part(place, phase=s["phase"], years=s["years"]))))
 
-    Grouping sets make overall, both margins and the pairs in one aggregation. A null or empty modality or area is in
-    `overall` only. Without candidates there is `overall` with zeros.
+
+def funnel(cands: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """(stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, avg_duration_years, n_durations, rate).
+
+    A null or empty modality or area counts in `overall` only. Without candidates there is `overall` with zeros. With `trials`
+    the phases have mean years over all trial rows of a study that the stratum's candidates name, whoever's rows they are.
+    """
+    known = F.when(resolved(), level())
+    parts = cands.select(F.explode(_counted(_places(F.col("modality"), F.col("disease_area")), known, _years_to_market())).alias("part"))
+    if trials is not None:
+        studies = cands.select("modality", "disease_area", F.explode(F.array_distinct("trial_ids")).alias("nct_id")).groupBy("nct_id").agg(F.collect_set(F.struct("modality", "disease_area")).alias("labels"))
+        rows = _spans(trials).groupBy("nct_id").agg(F.collect_list(F.struct("phase", "years")).alias("spans")).join(studies, "nct_id")
+        parts = parts.unionByName(rows.select(F.explode(_span_parts(F.col("labels"), F.col("spans"))).alias("part")))
+    return _tallied(parts)
+
+
+def of_trials(trials: DataFrame, key: cluster.Strategy = cluster.string_key) -> DataFrame:
+    """funnel() of the candidates that the trials cluster to, from one pass over the trials.
+
+    Rows get their candidate's labels in one shuffle; a second gathers each study's rows, from which both kinds of contribution come.
     """
-    rows = cands.withColumns({"level": level(), "known": resolved()})
-    m, d = F.col("modality"), F.col("disease_area")
-    sets = rows.groupingSets([(), ("modality",), ("disease_area",), ("modality", "disease_area")], "modality", "disease_area").agg(*_counts(), F.grouping_id().alias("gid"))
-    stratum = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "modality").when(F.col("gid") == 2, "disease_area").otherwise("modality_disease_area")
-    some = lambda c: F.coalesce(c, F.lit("")) != ""
-    sets = sets.withColumn("stratum", stratum).where((F.col("gid").isin(2, 3) | some(m)) & (F.col("gid").isin(1, 3) | some(d))).drop("gid")
-    # without rows, the empty grouping set gives none
-    none = cands.sparkSession.range(1).select(*(F.lit(None).cast("string").alias(x) for x in ("modality", "disease_area")), F.lit(0).cast("long").alias("candidate_count"), *(F.lit(0).cast("long").alias(f"c{i}") for i in range(5)), F.lit(None).cast("double").alias("market_years"), F.lit("overall").alias("stratum"))
-    empty = none.join(cands.limit(1).select(F.lit(1).alias("one")), how="left").where("one IS NULL").drop("one")
-    return _stacked(sets.unionByName(empty), ["stratum", "modality", "disease_area"])
+    rows = cluster.labelled(trials, key)
+    place = F.struct("modality", "disease_area")
+    counted = F.when(F.col("is_first"), F.struct("modality", "disease_area", F.when(resolved(), level()).alias("level"), _years_to_market().alias("years")))
+    years = F.when(F.col("phase").isin(*PHASES), stats.years(F.col("start_date"), F.col("completion_date")))
+    span = F.when(years.isNotNull(), F.struct("phase", years.alias("years")))
+    studies = rows.groupBy("nct_id").agg(F.collect_set(place).alias("labels"), F.collect_list(counted).alias("cands"), F.collect_list(span).alias("spans"))
+    parts = F.concat(F.flatten(F.transform("cands", lambda c: _counted(_places(c["modality"], c["disease_area"]), c["level"], c["years"]))), _span_parts(F.col("labels"), F.col("spans")))
+    return _tallied(studies.select(F.explode(parts).alias("part")))
 
 
 def transition(frame: DataFrame, keys: list[str]) -> DataFrame:
     """The reporting form: a missing outcome is not resolved, and there are no durations."""
     rows = frame.withColumns({"level": level(), "known": resolved(False)})
     reached = [F.sum((F.col("known") & (F.col("level") >= i)).cast("long")).alias(f"c{i}") for i in range(5)]
-    return _stacked(rows.groupBy(*keys).agg(F.count("*").alias("candidate_count"), *reached, F.lit(None).cast("double").alias("market_years")), keys).drop("market_years")
-
-
-def phase_years(cands: DataFrame, trials: DataFrame, by: str) -> DataFrame:
-    """Mean years of phase 1-3 trial rows, of all trials whose id a stratum's candidates have."""
-    ids = cands.where(F.coalesce(F.col(by), F.lit("")) != "").select(by, F.explode("trial_ids").alias("nct_id")).distinct()
-    spans = trials.where(F.col("phase").isin("Phase 1", "Phase 2", "Phase 3")).select("nct_id", "phase", stats.years(F.col("start_date"), F.col("completion_date")).alias("years")).where("years IS NOT NULL")
-    return ids.join(spans, "nct_id").groupBy(by, "phase").agg(F.avg("years").alias("avg_years"), F.count("*").alias("n_trials"))
+    pairs = ", ".join(f"'{a}', '{b}', c{i + 1}, c{i}" for i, (a, b) in enumerate(zip(vocab.STAGES, vocab.STAGES[1:], strict=False)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("candidate_count"), *reached)
+    out = counts.select(*keys, "candidate_count", F.expr(f"stack(4, {pairs}) AS (from_phase, to_phase, numerator, denominator)"))
+    return out.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
 
 
-def rebucketed(rows: DataFrame, by: str = "disease_area", to: str = "area") -> DataFrame:
-    """Funnel rows of one margin in display areas: counts add up, durations weigh by their denominators."""
-    weight = F.when(F.col("market_years").isNotNull(), F.col("denominator"))
-    out = rows.groupBy(text.display_area(F.col(by)).alias(to), "from_phase", "to_phase").agg(
-        F.sum("candidate_count").alias("candidate_count"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.try_divide(F.sum(F.col("market_years") * weight), F.sum(weight).cast("double")).alias("market_years")
+def rebucketed(rows: DataFrame, by: str = "disease_area", to: str = "area", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Funnel rows in display areas, within the columns `keep`: counts add up, durations weigh by their denominators."""
+    weight = F.when(F.col("avg_duration_years").isNotNull(), F.col("denominator"))
+    out = rows.groupBy(*keep, text.display_area(F.col(by)).alias(to), "from_phase", "to_phase").agg(
+        F.sum("candidate_count").alias("candidate_count"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.try_divide(F.sum(F.col("avg_duration_years") * weight), F.sum(weight).cast("double")).alias("avg_duration_years")
     )
     return out.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
 
 
 def oncology(rows: DataFrame) -> DataFrame:
-    """Oncology against the rest, both present even if empty."""
-    side = F.when(F.col("disease_area") == "oncology", "Oncology").otherwise("Non-oncology")
+    """Oncology against the rest, both present even if empty: display areas decide, so aliases of oncology would count."""
+    side = F.when(text.display_area(F.col("disease_area")) == "Oncology", "Oncology").otherwise("Non-Oncology")
     sums = rows.groupBy(side.alias("side"), "from_phase").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
-    pairs = [(s, a) for s in ("Oncology", "Non-oncology") for a in vocab.STAGES[:-1]]
+    pairs = [(s, a) for s in ("Oncology", "Non-Oncology") for a in vocab.STAGES[:-1]]
     dim = rows.sparkSession.createDataFrame(pairs, "side string, from_phase string")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return dim.join(sums, ["side", "from_phase"], "left").select("side", "from_phase", zero("numerator"), zero("denominator")).withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
@@ -90,11 +142,18 @@ def oncology(rows: DataFrame) -> DataFrame:
 
 def loa(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Likelihood of approval from each stage: the product of the rates from there on; from the market it is 1."""
-    wide = rows.groupBy(*keys).pivot("from_phase", list(vocab.STAGES[:-1])).agg(F.first("rate").alias("rate"), F.first("denominator").alias("n"))
-    at = lambda i: F.col(f"`{vocab.STAGES[i]}_rate`")
+    wide = rows.groupBy(*keys).agg(*(f(F.when(F.col("from_phase") == s, F.col(c))).alias(f"{n}{i}") for i, s in enumerate(vocab.STAGES[:-1]) for n, f, c in (("r", F.max, "rate"), ("d", F.max, "denominator"))))
     out, product = {}, F.lit(1.0)
     for i in range(3, -1, -1):
-        product = at(i) * product
+        product = F.col(f"r{i}") * product
         out[f"loa_{i + 1}"] = product
-    counts = {f"n_{i + 1}": F.col(f"`{vocab.STAGES[i]}_n`") for i in range(4)}
+    counts = {f"n_{i + 1}": F.col(f"d{i}") for i in range(4)}
     return wide.select(*keys, *(c.alias(k) for k, c in (out | counts).items()), F.lit(1.0).alias("loa_market"))
+
+
+def loa_table(rows: DataFrame) -> DataFrame:
+    """Likelihood of approval by display area, greatest first, with all indications at the end, from one reading of the funnel."""
+    of = F.when(F.col("stratum") == "overall", "All indications").otherwise(text.display_area(F.col("disease_area")))
+    sums = rows.where(F.col("stratum").isin("overall", "disease_area")).groupBy(of.alias("area"), "from_phase").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+    out = loa(sums.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator"))), ["area"])
+    return out.orderBy(F.col("area") == "All indications", F.desc("loa_1"), "area")

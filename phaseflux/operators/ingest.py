@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -53,6 +53,14 @@ def arm_stats(rows: DataFrame) -> DataFrame:
     return a.agg(F.count("*").alias("total"), n(s).alias("single"), n(d & ~c).alias("basket"), n(~d & c).alias("umbrella"), n(~d & ~c).alias("multi"), n(F.when(~s, F.col("n_rows"))).alias("rows_dropped"))
 
 
+def flagged(rows: DataFrame) -> DataFrame:
+    """Rows with `is_single_arm` by arms()'s rule, in one shuffle: a study's least and greatest value are the same."""
+    study = Window.partitionBy("nct_id")
+    value = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit("")).alias("value"))
+    one = [F.min(value(c)).over(study) == F.max(value(c)).over(study) for c in ("intervention", "indication")]
+    return rows.withColumn("is_single_arm", (F.coalesce("nct_id", F.lit("")) != "") & one[0] & one[1])
+
+
 def single_arm(rows: DataFrame) -> DataFrame:
     return rows.join(arms(rows).where("is_single_arm").select("nct_id"), "nct_id", "left_semi")
 
@@ -71,10 +79,55 @@ def with_terms(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     return rows.join(terms, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
-def matching(rows: DataFrame, titles: list[str], summaries: DataFrame, key: str, patterns: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """Rows with a keyword in a title, or in a summary of the same key: the summaries' keys join as a flag."""
-    like = lambda c: reduce(lambda a, b: a | b, (F.ilike(c, F.lit(p)) for p in patterns))
-    named = summaries.where(like(F.col("description"))).select(F.col(key).alias("_key")).distinct()
+def tree_numbers(conditions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per study the sorted distinct tree numbers, of branches C and F, of its conditions' MeSH terms."""
+    branch = F.col("tree_number").startswith("C") | F.col("tree_number").startswith("F")
+    return term_sets(conditions.join(terms.where(branch), "downcase_mesh_term").select("nct_id", "tree_number"), "nct_id", "tree_number")
+
+
+def scan(tables: dict[str, DataFrame], mesh_term: str | None = None, keywords: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """A trial row for each (study, drug, condition) of the registry's tables, in source form.
+
+    Interventional studies, drugs only; the lead sponsor with the least id; MeSH terms and tree numbers as sorted sets, empty
+    where there are none. `mesh_term` keeps studies with that very intervention term, `keywords` those with a pattern in a title
+    or summary; `most` caps the joined rows in source order, before anything else is done with them.
+    """
+    t = tables
+    studies = t["studies"].where(F.upper("study_type") == "INTERVENTIONAL")
+    if mesh_term:
+        studies = studies.join(t["browse_interventions"].where(F.col("mesh_term") == mesh_term).select("nct_id").distinct(), "nct_id", "left_semi")
+    if keywords:
+        studies = matching(studies, ["brief_title", "official_title"], t["brief_summaries"], "nct_id", keywords)
+    drugs = t["interventions"].where(F.upper("intervention_type") == "DRUG").select("nct_id", F.col("id").alias("i_id"), F.col("name").alias("intervention"))
+    rows = studies.join(drugs, "nct_id").join(t["conditions"].select("nct_id", F.col("id").alias("c_id"), F.col("name").alias("indication")), "nct_id")
+    rows = rows.withColumn("ord", F.struct("nct_id", "i_id", "c_id"))
+    rows = rows.orderBy("ord").limit(most) if most else rows
+    leads = lead(t["sponsors"].where("lead_or_collaborator = 'lead'"), "nct_id", "name", "id").withColumnRenamed("name", "sponsor")
+    sets = {
+        "mesh_drug_terms": term_sets(t["browse_interventions"], "nct_id", "mesh_term"), "mesh_condition_terms": term_sets(t["browse_conditions"], "nct_id", "mesh_term"), "trees": tree_numbers(t["browse_conditions"], t["mesh_terms"]),
+    }
+    rows = rows.join(leads, "nct_id", "left")
+    for name, terms in sets.items():
+        rows = rows.join(terms.withColumnRenamed("terms", name), "nct_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return rows.select("nct_id", "ord", "brief_title", F.col("phase").alias("phase_text"), F.col("overall_status").alias("status_text"), "start_date", "completion_date", "intervention", "indication", "sponsor", *sets)
+
+
+def with_p_values(trials: DataFrame, values: DataFrame) -> DataFrame:
+    """Trials with their study's p-values: an empty array, and no single arm, where it has none."""
+    got = values.select("nct_id", "p_values")
+    rows = trials.join(got, "nct_id", "left")
+    return rows.withColumns({"p_values": F.coalesce("p_values", F.expr("slice(array(named_struct('outcome_id', '', 'p_value', 0D, 'significant', false)), 1, 0)")), "has_p_values": F.col("p_values").isNotNull()})
+
+
+def peptides(cands: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Candidates whose modality has "peptide" in it, whatever else it says."""
+    return cands.join(attributes.where(F.contains(F.lower("modality"), F.lit("peptide"))).select("candidate_id"), "candidate_id", "left_semi")
+
+
+def matching(rows: DataFrame, titles: list[str], summaries: DataFrame, key: str, patterns: tuple[str, ...] = KEYWORDS, told: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows with a keyword in a title, or in a summary of the same key (`told`, if those differ): the summaries' keys join as a flag."""
+    like = lambda c, words=patterns: reduce(lambda a, b: a | b, (F.ilike(c, F.lit(p)) for p in words))
+    named = summaries.where(like(F.col("description"), told or patterns)).select(F.col(key).alias("_key")).distinct()
     hit = reduce(lambda a, b: a | b, (F.coalesce(like(F.col(t)), F.lit(False)) for t in titles), F.col("_key").isNotNull())
     return rows.join(named, F.col(key) == F.col("_key"), "left").where(hit).drop("_key")
 

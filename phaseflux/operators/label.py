@@ -2,66 +2,157 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats, text, vocab
+from ..functions import text, vocab
+from ..sources.readers import cache_upsert, latest
+from ..sources.shared import kept
 
 #: Rows of a request; prices in dollars a million tokens (input, output) by tier; cache write and read factors.
 BATCH = 50
 PRICES = {"tier1": (3.0, 15.0), "tier2": (5.0, 25.0)}
 WRITE, READ = 1.25, 0.10
 LOW = 0.25
+#: Where a request's candidates go in a user prompt.
+PLACE = "{{CANDIDATES_BLOCK}}"
+log = logging.getLogger(__name__)
 
-#: Takes the rows of one request and returns one JSON reply; None for a failed call.
-Model = Callable[[pd.DataFrame], str | None]
 
+class Answer(NamedTuple):
+    """A model's reply and the tokens it cost."""
 
-def block(fields: dict[str, str]) -> Column:
-    """A candidate's lines for a prompt, null as Unknown."""
-    return F.concat_ws("\n", F.format_string("[%d]", F.col("candidate_index")), *(F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))) for label, c in fields.items()))
+    reply: str | None
+    input_tokens: int = 0
+    output_tokens: int = 0
+    cache_write: int = 0
+    cache_read: int = 0
 
 
-def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
-    """`batch` and `candidate_index`: requests of about `size` rows, dealt by hash so that no task orders all rows."""
-    n = max(1, -(-rows.count() // size))
-    from pyspark.sql import Window
+#: Takes the system and the user prompt of one request; returns the reply, bare or as an Answer, or None for a failed call.
+Model = Callable[[str, str], "Answer | str | None"]
+_ASKED = "batch long, members array<struct<candidate_index:int,id:string>>, reply string, input_tokens long, output_tokens long, cache_write long, cache_read long"
+
+
+@dataclass(frozen=True)
+class Task:
+    """What a model is asked: a reply's schema, the lines of a candidate, how an item becomes columns, what stands for no answer."""
 
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(n)))
-    at = F.row_number().over(Window.partitionBy("batch").orderBy(id_col)) - 1
-    # a hash fills requests unevenly: those with more than `size` rows go on in further ones
-    return dealt.withColumn("_at", at).withColumns({"batch": F.struct("batch", F.floor(F.col("_at") / size).alias("part")), "candidate_index": (F.col("_at") % size).cast("int")}).drop("_at")
+    stage: str
+    system: str
+    user: str
+    schema: str
+    fields: dict[str, Callable[[], Column]]
+    parse: Callable[[Column], dict[str, Column]]
+    defaults: dict[str, Column]
+    unsure: Callable[[Column], Column]
 
 
-def ask(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
-    """(id, candidate_index, reply) of a request for each batch; the model is called on the executors."""
+def _unsure(item: Column, *names: str) -> Column:
+    """Low confidence; a missing one counts as none."""
+    return vocab.lookup(F.coalesce(*(item[x] for x in names), F.lit("")), vocab.CONFIDENCE, 0.0) <= LOW
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("candidate_index")
-        try:
-            answer = model(group)
-        except Exception:  # a failed request counts as one without an answer, as its rows go to the next tier
-            answer = None
-        return pd.DataFrame({id_col: group[id_col], "candidate_index": group["candidate_index"], "reply": [answer] * len(group)})
 
-    return rows.groupBy("batch").applyInPandas(run, f"{id_col} string, candidate_index int, reply string")
+def _plain(column: str) -> Callable[[], Column]:
+    return lambda: F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("Unknown"))
 
 
-def parsed(replies: DataFrame, id_col: str) -> DataFrame:
-    """Each candidate's own item of its reply, the last of repeated indexes, as attributes."""
-    own = F.filter(text.reply(F.col("reply")), lambda x: x["candidate_index"] == F.col("candidate_index"))
-    item = F.get(F.reverse(own), F.lit(0))
-    return replies.select(id_col, item.alias("item")).where("item IS NOT NULL").select(
-        id_col, text.modality(F.col("item.drug_modality")).alias("modality"), text.disease_area(F.coalesce("item.disease_area", F.lit("unknown"))).alias("disease_area"),
-        text.confidence(F.col("item.modality_confidence")).alias("modality_confidence"), text.confidence(F.col("item.disease_confidence")).alias("disease_confidence"), F.coalesce("item.reasoning", F.lit("")).alias("reasoning"),
+def classification() -> Task:
+    return Task(
+        "Classification", "Name the modality and the disease area of each candidate. Reply with a JSON array only, one object for each candidate_index.", f"Candidates:\n\n{PLACE}", text.REPLY,
+        {"Drug name": _plain("drug_name_raw"), "Indication": _plain("indication")},
+        lambda item: {
+            "modality": text.modality(F.coalesce(item["drug_modality"], F.lit("unknown"))), "disease_area": text.disease_area(F.coalesce(item["disease_area"], F.lit("unknown"))),
+            "modality_confidence": text.confidence(item["modality_confidence"]), "disease_confidence": text.confidence(item["disease_confidence"]), "reasoning": F.coalesce(item["reasoning"], F.lit("")),
+        },
+        {"modality": F.lit("unknown"), "disease_area": F.lit("unknown"), "modality_confidence": F.lit(0.0), "disease_confidence": F.lit(0.0), "reasoning": F.lit("")},
+        lambda item: _unsure(item, "modality_confidence") | (text.modality(F.coalesce(item["drug_modality"], F.lit("unknown"))) == "unknown"),
     )
 
 
+def adjudication() -> Task:
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("Unknown")
+    return Task(
+        "Adjudication", "Decide the development outcome of each candidate from its trials. Reply with a JSON array only, one object for each candidate_index.", f"Candidates:\n\n{PLACE}", text.OUTCOME_REPLY,
+        {
+            "Drug name": _plain("drug_name_raw"), "Indication": _plain("indication"), "Highest phase reached": _plain("highest_phase"), "Number of trials": lambda: F.size("trial_ids").cast("string"),
+            "Sponsors": lambda: listed("sponsors"), "Earliest trial start": _plain("earliest_start"), "Latest trial completion": _plain("latest_completion"),
+        },
+        lambda item: {
+            "outcome": vocab.lookup(F.coalesce(item["outcome"], F.lit("UNKNOWN")), vocab.OUTCOMES, "Unknown"), "confidence": text.confidence(item["confidence"]), "reasoning": F.coalesce(item["reasoning"], F.lit("")),
+            "evidence_sources": F.coalesce(item["evidence_sources"], F.array().cast("array<string>")), "approval_date": text.iso_date(item["approval_date"]), "market_date": text.iso_date(item["commercialization_date"]),
+        },
+        {"outcome": F.lit("Unknown"), "confidence": F.lit(0.0), "reasoning": F.lit(""), "evidence_sources": F.array().cast("array<string>"), "approval_date": F.lit(None).cast("date"), "market_date": F.lit(None).cast("date")},
+        lambda item: _unsure(item, "confidence") | (F.coalesce(item["outcome"], F.lit("UNKNOWN")) == "UNKNOWN"),
+    )
+
+
+def block(fields: dict[str, Callable[[], Column]], statuses: str | None = None) -> Column:
+    """A candidate's lines for a prompt, null as Unknown; its trials' statuses where there are any."""
+    lines = [F.concat(F.lit(f"{label}: "), value()) for label, value in fields.items()]
+    if statuses:
+        lines.append(F.when(F.col(statuses) != "", F.concat(F.lit("Trial statuses: "), F.col(statuses))))
+    return F.concat_ws("\n", F.format_string("[%d]", F.col("candidate_index")), *lines)
+
+
+def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
+    """`batch` and `candidate_index` (from 1): slices of `size` rows in the order of the ids, with no task that sees all rows.
+
+    Rows are dealt by ranges of ids and numbered within each; one count for each range gives its first number. The dealt rows are
+    held, as their bounds would be drawn anew otherwise.
+    """
+    dealt = rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.DISK_ONLY)
+    starts, total = {}, 0
+    for r in sorted(dealt.groupBy("_part").count().collect()):  # a row for each range
+        starts[r["_part"]], total = total, total + r["count"]
+    number = F.col("_at") + (vocab.lookup(F.col("_part"), starts) if starts else F.lit(0))
+    return dealt.withColumns({"batch": F.floor(number / size).cast("long"), "candidate_index": (number % size + 1).cast("int")}).drop("_part", "_at")
+
+
+def requests(rows: DataFrame, task: Task, id_col: str, size: int = BATCH) -> DataFrame:
+    """(batch, members, prompt): one row for each request."""
+    lines = batched(rows, id_col, size).select("batch", F.struct("candidate_index", F.col(id_col).alias("id"), block(task.fields, "statuses" if "statuses" in rows.columns else None).alias("block")).alias("one"))
+    listed = lines.groupBy("batch").agg(F.sort_array(F.collect_list("one")).alias("all"))  # `size` rows at most
+    members = F.transform("all", lambda x: F.struct(x["candidate_index"].alias("candidate_index"), x["id"].alias("id")))
+    return listed.select("batch", members.alias("members"), F.replace(F.lit(task.user), F.lit(PLACE), F.array_join("all.block", "\n\n")).alias("prompt"))
+
+
+def ask(asked: DataFrame, model: Model, system: str) -> DataFrame:
+    """(batch, members, reply, tokens) of each request; the model is called on the executors, once for each request that is read."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for prompt in part["prompt"]:
+                try:
+                    got = model(system, prompt)
+                except Exception:  # whatever a model's client raises: its rows go to the next tier
+                    log.warning("a request failed; its candidates go on without an answer", exc_info=True)
+                    got = None
+                out.append(got if isinstance(got, Answer) else Answer(got))
+            yield pd.concat([part[["batch", "members"]].reset_index(drop=True), pd.DataFrame(out, columns=Answer._fields)], axis=1)
+
+    return asked.mapInPandas(run, _ASKED)
+
+
+def parsed(answers: DataFrame, task: Task, id_col: str) -> DataFrame:
+    """Each candidate's own item of its reply, the last of repeated indexes, as labels and whether they are unsure."""
+    each = answers.select(F.explode("members").alias("m"), text.reply(F.col("reply"), schema=task.schema).alias("items"))
+    own = F.get(F.reverse(F.filter("items", lambda x: x["candidate_index"] == F.col("m.candidate_index"))), F.lit(0))
+    item = F.col("item")
+    labels = [c.alias(k) for k, c in task.parse(item).items()]
+    return each.select(F.col("m.id").alias(id_col), own.alias("item")).where("item IS NOT NULL").select(id_col, *labels, F.coalesce(task.unsure(item), F.lit(True)).alias("unsure"))
+
+
 def escalates() -> Column:
-    """Whether a first answer is too unsure: low confidence (missing counts as 0) or an unknown modality."""
+    """Whether a label is too unsure: low confidence (missing counts as 0) or an unknown modality."""
     return (F.coalesce("modality_confidence", F.lit(0.0)) <= LOW) | (F.coalesce("modality", F.lit("unknown")) == "unknown")
 
 
@@ -72,13 +163,38 @@ def merged(first: DataFrame, second: DataFrame, id_col: str) -> DataFrame:
     return first.join(two, id_col, "left").select(id_col, *(F.when(F.col("_new"), F.col(f"{c}_2")).otherwise(F.col(c)).alias(c) for c in names))
 
 
-def tiered(cands: DataFrame, tier1: Model, tier2: Model, id_col: str = "candidate_id") -> DataFrame:
-    """Attributes of all candidates: tier 1, tier 2 for unsure and missing ones, else unknown with confidence 0."""
-    ids = cands.select(id_col)
-    default = [F.coalesce("modality", F.lit("unknown")).alias("modality"), F.coalesce("disease_area", F.lit("unknown")).alias("disease_area"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("modality_confidence", "disease_confidence")), F.coalesce("reasoning", F.lit("")).alias("reasoning")]
-    one = ids.join(parsed(ask(batched(cands, id_col), tier1, id_col), id_col), id_col, "left").select(id_col, *default).persist()
-    unsure = cands.join(one.where(escalates()).select(id_col), id_col, "left_semi")
-    return merged(one, parsed(ask(batched(unsure, id_col), tier2, id_col), id_col), id_col)
+class Run(NamedTuple):
+    """Labels of all candidates, and the ledger's entries."""
+
+    labels: DataFrame
+    entries: DataFrame
+
+
+def _entries(answers: DataFrame, stage: str, model: str) -> DataFrame:
+    tokens = ("input_tokens", "output_tokens", "cache_write", "cache_read")
+    return answers.where("reply IS NOT NULL").select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), *tokens, F.size("members").cast("long").alias("n_candidates"), F.lit(False).alias("cache_hit"))
+
+
+def hits(rows: DataFrame, stage: str) -> DataFrame:
+    """The ledger's entry for candidates that cost nothing."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")]
+    return rows.agg(F.count("*").alias("n_candidates")).where("n_candidates > 0").select(F.lit(stage).alias("stage"), F.lit(None).cast("string").alias("model"), *zero, "n_candidates", F.lit(True).alias("cache_hit"))
+
+
+def tiered(cands: DataFrame, task: Task, tier1: Model, tier2: Model, id_col: str = "candidate_id", size: int = BATCH) -> Run:
+    """Labels by tier 1, by tier 2 for unsure and missing ones, else the defaults. An empty second answer leaves the first one.
+
+    The answers of a tier are written to the shared folder before anything is made of them: no request is sent twice.
+    """
+    first = kept(ask(requests(cands, task, id_col, size), tier1, task.system))
+    labels = parsed(first, task, id_col)
+    one = cands.select(id_col).join(labels, id_col, "left")
+    again = cands.join(one.where(F.coalesce("unsure", F.lit(True))).select(id_col), id_col, "left_semi")
+    second = kept(ask(requests(again, task, id_col, size), tier2, task.system))
+    both = merged(one, parsed(second, task, id_col), id_col)
+    some = F.col("unsure").isNotNull()
+    out = both.select(id_col, *(F.when(some, F.col(k)).otherwise(c).alias(k) for k, c in task.defaults.items()))
+    return Run(out, _entries(first, task.stage, "tier1").unionByName(_entries(second, task.stage, "tier2")))
 
 
 def split_cache(cands: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,6 +208,56 @@ def overridden(attributes: DataFrame) -> DataFrame:
     return attributes.withColumn("vote", vote).withColumns({"disease_area": F.coalesce("vote", "disease_area"), "disease_confidence": F.when(F.col("vote").isNotNull(), 1.0).otherwise(F.col("disease_confidence"))}).drop("vote")
 
 
+class Stage(NamedTuple):
+    """A stage's labels, the cache with its new entries, and the ledger's entries."""
+
+    labels: DataFrame
+    cache: DataFrame
+    entries: DataFrame
+
+
+def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: Model, tier2: Model, created_at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = cands.withColumn("cache_key", key)
+    names = list(task.defaults)
+    known, missing = split_cache(rows, cache.select("cache_key", *names))
+    run = tiered(missing, task, tier1, tier2)
+    fresh = kept(run.labels.join(rows.select("candidate_id", "cache_key"), "candidate_id"))
+    new = latest(fresh.select("cache_key", *names, created_at.alias("created_at"), "candidate_id"), ["cache_key"], ["candidate_id"])
+    return known.select("candidate_id", *names).unionByName(fresh.select("candidate_id", *names)), cache_upsert(cache, new.select(*cache.columns)), run.entries.unionByName(hits(known, task.stage))
+
+
+def classify(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column) -> Stage:
+    """Attributes of candidates: cached ones with their area normalised, else asked and cached as answered; then the vote of
+    the tree numbers overrides the area. Cached defaults of failed calls count as answers, as in the results reproduced."""
+    plain = cands.select("candidate_id", "drug_name", "drug_name_raw", "indication")
+    labels, cache, entries = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at)
+    labels = labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(cands.select("candidate_id", "trees"), "candidate_id")
+    return Stage(overridden(labels).drop("trees"), cache, entries)
+
+
+def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, failures: DataFrame | None = None) -> Stage:
+    """Outcomes of candidates: `failures` (of stopped_early(), off by default) cost nothing, then the cache, then the models.
+
+    A cache with the date columns keeps them.
+    """
+    names = ["candidate_id", "drug_name", "drug_name_raw", "indication", "highest_phase", "trial_ids", "sponsors", "earliest_start", "latest_completion", *(["statuses"] if "statuses" in cands.columns else [])]
+    rows, task = cands.select(*names), adjudication()
+    if failures is not None:
+        rows = rows.join(failures.select("candidate_id"), "candidate_id", "left_anti")
+    key = text.cache_key(F.col("drug_name"), F.col("indication"), F.col("highest_phase"))
+    labels, cache, entries = _stage(rows, cache, task, key, tier1, tier2, created_at)
+    if failures is not None:
+        labels = labels.unionByName(failures.select("candidate_id", *(F.col(k) if k in failures.columns else c.alias(k) for k, c in task.defaults.items())))
+        entries = entries.unionByName(hits(failures, task.stage))
+    return Stage(labels, cache, entries)
+
+
+def classify_one(spark: SparkSession, drug: str, indication: str, tier1: Model, tier2: Model) -> dict:
+    """Attributes of one drug and indication."""
+    row = spark.createDataFrame([(f"{drug}_{indication}", drug, indication)], "candidate_id string, drug_name_raw string, indication string")
+    return tiered(row, classification(), tier1, tier2).labels.first().asDict()
+
+
 def stopped_early(trials: DataFrame, key: str) -> DataFrame:
     """Candidates of which every trial was terminated or withdrawn and the top phase is 1 to 3: failed there."""
     rank = vocab.lookup(F.col("phase"), vocab.PHASE_RANK)
@@ -102,7 +268,7 @@ def stopped_early(trials: DataFrame, key: str) -> DataFrame:
 def statuses(trials: DataFrame, key: str) -> DataFrame:
     """'n Status' of a candidate's trials, sorted by status."""
     counts = trials.groupBy(key, "status").agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["status"])), ", ").alias("statuses"))
+    return counts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("status", "n"))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["status"])), ", ").alias("statuses"))
 
 
 def cost() -> Column:
@@ -112,11 +278,13 @@ def cost() -> Column:
 
 
 def ledger(entries: DataFrame) -> DataFrame:
-    """Per stage tokens, cost, rows and cost a candidate (null without candidates)."""
-    rows = entries.withColumn("cost", cost())
-    n = F.sum("n_candidates")
-    part = lambda t: F.coalesce(F.sum(F.when(F.col("model") == t, F.col("cost"))), F.lit(0.0)).alias(f"{t}_cost")
-    return rows.groupBy("stage").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), part("tier1"), part("tier2"), n.alias("n_candidates"), F.try_divide(F.sum("cost"), n.cast("double")).alias("cost_each"))
-
-
-__all__ = ["ask", "batched", "block", "cost", "escalates", "ledger", "merged", "overridden", "parsed", "split_cache", "statuses", "stats", "stopped_early", "tiered"]
+    """Per stage tokens (input with what the cache wrote and read), cost by tier, candidates asked and free, cost a candidate of each kind (null without any)."""
+    free = F.coalesce("cache_hit", F.lit(False)) if "cache_hit" in entries.columns else F.lit(False)
+    rows = entries.withColumns({"cost": F.when(free, 0.0).otherwise(cost()), "asked": F.when(free, 0).otherwise(F.col("n_candidates")), "free": F.when(free, F.col("n_candidates")).otherwise(0)})
+    of = lambda c, t: F.coalesce(F.sum(F.when(F.col("model") == t, F.col(c))), F.lit(0))
+    sums = rows.groupBy("stage").agg(
+        F.sum(F.expr("input_tokens + cache_write + cache_read")).alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), of("cost", "tier1").alias("tier1_cost"), of("cost", "tier2").alias("tier2_cost"),
+        F.sum("asked").alias("asked"), F.sum("free").alias("cache_hits"), F.sum("n_candidates").alias("n_candidates"), of("asked", "tier1").alias("tier1_asked"), of("asked", "tier2").alias("tier2_asked"),
+    )
+    each = {"cost_each": ("cost", "n_candidates"), "cost_asked": ("cost", "asked"), "tier1_each": ("tier1_cost", "tier1_asked"), "tier2_each": ("tier2_cost", "tier2_asked")}
+    return sums.withColumns({k: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) for k, (a, b) in each.items()})

@@ -6,7 +6,6 @@ import datetime as dt
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +38,23 @@ def trials(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cands(spark: SparkSession, d: str) -> DataFrame:
-    rows = trials(spark, d)
-    return cluster.dated(cluster.candidates(rows), rows)
+    return cluster.candidates(trials(spark, d))
+
 
+def funnels(spark: SparkSession, d: str) -> DataFrame:
+    """The funnel of the view's candidates; it reads every table once."""
+    return funnel.of_trials(trials(spark, d))
 
-_SPACES = r"regexp_replace({}, '\s+', ' ', 'g')"
-_KEY = "trim(regexp_replace(lower(intervention), '\\b(hcl|hydrochloride|sodium|potassium|acetate|sulfate|mesylate|tartrate|maleate|fumarate|phosphate)\\b', '', 'g')) || '__' || lower(indication)"
+
+_DRUG = "trim(regexp_replace(lower({}), '\\b(hcl|hydrochloride|sodium|potassium|acetate|sulfate|mesylate|tartrate|maleate|fumarate|phosphate)\\b', '', 'g'))"
+_KEY = f"{_DRUG.format('intervention')} || '__' || lower(indication)"
 _RANK = "CASE phase WHEN 'N/A' THEN 1 WHEN 'Phase 1' THEN 2 WHEN 'Phase 2' THEN 3 WHEN 'Phase 3' THEN 4 WHEN 'Phase 4' THEN 5 ELSE 0 END"
 _NAME = "CASE {} WHEN 1 THEN 'N/A' WHEN 2 THEN 'Phase 1' WHEN 3 THEN 'Phase 2' WHEN 4 THEN 'Phase 3' WHEN 5 THEN 'Phase 4' ELSE 'Unknown' END"
 _CANDS = f"""keyed AS (SELECT *, {_KEY} AS candidate_id, {_RANK} AS rank FROM trials),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY ord) AS rn FROM keyed),
 sums AS (SELECT candidate_id, max(rank) AS rank, min(start_date) AS earliest_start, max(completion_date) AS latest_completion, count(*) AS n_trials FROM keyed GROUP BY candidate_id),
 cands AS (
-    SELECT s.candidate_id, r.intervention AS drug_name, r.indication, {_NAME.format("s.rank")} AS highest_phase, r.modality, r.disease_area, r.outcome, s.earliest_start, s.latest_completion, s.n_trials, r.ord, r.mesh_drug,
+    SELECT s.candidate_id, {_DRUG.format("r.intervention")} AS drug_name, r.intervention AS drug_name_raw, lower(r.indication) AS indication, {_NAME.format("s.rank")} AS highest_phase, r.modality, r.disease_area, r.outcome, s.earliest_start, s.latest_completion, s.n_trials, r.ord, r.mesh_drug,
         CASE WHEN r.outcome IN ('Approved', 'Commercialized') THEN r.completion_date + r.quantity * 10 END AS approval_date,
         CASE WHEN r.outcome = 'Commercialized' THEN r.completion_date + r.quantity * 10 + r.quantity * 20 - 300 END AS market_date
     FROM sums s JOIN ranked r ON r.candidate_id = s.candidate_id AND r.rn = 1)"""
@@ -62,20 +65,37 @@ def _funnel_sql(known: str, source: str = "cands", keys: str = "") -> str:
     lead = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
     counts = ", ".join(f"count(*) FILTER (WHERE known AND level >= {i}) AS c{i}" for i in range(5))
-    return f"(SELECT {lead}count(*) AS candidate_count, {counts}, avg(CASE WHEN market_date - approval_date > 0 THEN (market_date - approval_date) / 365.25::DOUBLE END) AS market_years FROM (SELECT *, {_LEVEL} AS level, {known} AS known FROM {source}) {group})"
+    years = "CASE WHEN market_date - approval_date > 0 THEN (market_date - approval_date) / 365.25::DOUBLE END"
+    return f"(SELECT {lead}count(*) AS candidate_count, {counts}, avg({years}) AS market_years, count({years}) AS n_market FROM (SELECT *, {_LEVEL} AS level, {known} AS known FROM {source}) {group})"
 
 
 _KNOWN = "(outcome IS NULL OR outcome NOT IN ('Ongoing', 'Unknown'))"
 _STEPS = "(VALUES ('Phase 1', 'Phase 2', 0), ('Phase 2', 'Phase 3', 1), ('Phase 3', 'Approval', 2), ('Approval', 'Market', 3)) AS t(from_phase, to_phase, i)"
 _PICK = "CASE i WHEN 0 THEN c1 WHEN 1 THEN c2 WHEN 2 THEN c3 ELSE c4 END AS numerator, CASE i WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS denominator"
-_FUNNEL = f"""{_CANDS},
-f0 AS (
-    SELECT 'overall' AS stratum, NULL::VARCHAR AS modality, NULL::VARCHAR AS disease_area, * FROM {_funnel_sql(_KNOWN)}
-    UNION ALL SELECT 'modality', modality, NULL, * EXCLUDE (modality) FROM {_funnel_sql(_KNOWN, keys="modality")}
-    UNION ALL SELECT 'disease_area', NULL, disease_area, * EXCLUDE (disease_area) FROM {_funnel_sql(_KNOWN, keys="disease_area")}
-    UNION ALL SELECT 'modality_disease_area', modality, disease_area, * EXCLUDE (modality, disease_area) FROM {_funnel_sql(_KNOWN, keys="modality, disease_area")}),
-f1 AS (SELECT stratum, modality, disease_area, candidate_count, market_years, from_phase, to_phase, {_PICK} FROM f0, {_STEPS}),
+
+
+def funnel_ctes(source: str = "cands") -> str:
+    """The funnel in SQL: counts of each stratum from the candidates, durations from the trials of the studies that they name."""
+    ids = f"(SELECT DISTINCT c.modality, c.disease_area, k.nct_id FROM {source} c JOIN keyed k USING (candidate_id))"
+    counted, timed = [], []
+    for name in ("overall", "modality", "disease_area", "modality_disease_area"):
+        keys = [k for k in ("modality", "disease_area") if k in name]
+        some = " AND ".join([f"coalesce({k}, '') <> ''" for k in keys] or ["true"])
+        shown = ", ".join(k if k in keys else f"NULL::VARCHAR AS {k}" for k in ("modality", "disease_area"))
+        of = f"(SELECT * FROM {source} WHERE {some})"
+        counted.append(f"SELECT '{name}' AS stratum, {shown}, * EXCLUDE ({', '.join(keys)}) FROM {_funnel_sql(_KNOWN, of, ', '.join(keys))}" if keys else f"SELECT '{name}' AS stratum, {shown}, * FROM {_funnel_sql(_KNOWN, of)}")
+        studies = f"(SELECT DISTINCT {', '.join([*keys, 'nct_id'])} FROM ids WHERE {some})"
+        timed.append(f"SELECT '{name}' AS stratum, {shown}, phase, avg(y) AS y, count(*) AS n FROM {studies} JOIN spans USING (nct_id) GROUP BY {', '.join([*keys, 'phase'])}")
+    return f"""ids AS {ids},
+spans AS (SELECT nct_id, phase, (completion_date - start_date) / 365.25::DOUBLE AS y FROM trials WHERE completion_date > start_date AND phase IN ('Phase 1', 'Phase 2', 'Phase 3')),
+dur AS ({" UNION ALL ".join(timed)}),
+f0 AS ({" UNION ALL ".join(counted)}),
+f1 AS (SELECT f0.stratum, f0.modality, f0.disease_area, candidate_count, from_phase, to_phase, {_PICK}, CASE WHEN i = 3 THEN market_years ELSE dur.y END AS avg_duration_years, CASE WHEN i = 3 THEN n_market ELSE coalesce(dur.n, 0) END AS n_durations
+    FROM f0 CROSS JOIN {_STEPS} LEFT JOIN dur ON dur.stratum = f0.stratum AND dur.modality IS NOT DISTINCT FROM f0.modality AND dur.disease_area IS NOT DISTINCT FROM f0.disease_area AND dur.phase = from_phase),
 funnel AS (SELECT *, CASE WHEN denominator > 0 THEN numerator / denominator::DOUBLE ELSE 0.0 END AS rate FROM f1)"""
+
+
+_FUNNEL = f"{_CANDS}, {funnel_ctes()}"
 _AREA = "CASE {} WHEN 'infectious_disease' THEN 'Infectious disease' WHEN 'oncology' THEN 'Oncology' WHEN 'endocrine' THEN 'Endocrine' ELSE 'Others' END"
 
 
@@ -144,9 +164,7 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
 @query("j6_exists_filter", "SELECT p_partkey FROM part WHERE p_name ILIKE '%widget%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag ILIKE '%r%' AND l_quantity > 49)", False)
 def j6(spark: SparkSession, d: str) -> DataFrame:
     notes = adapter.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("description"))
-    rows = adapter.table(spark, d, "part")
-    named = notes.where(F.ilike("description", F.lit("%r%"))).select(F.col("p_partkey").alias("_key")).distinct()
-    return rows.join(named, F.col("p_partkey") == F.col("_key"), "left").where(F.ilike("p_name", F.lit("%widget%")) | F.col("_key").isNotNull()).select("p_partkey")
+    return ingest.matching(adapter.table(spark, d, "part"), ["p_name"], notes, "p_partkey", ("%widget%",), ("%r%",)).select("p_partkey")
 
 
 @query("p39_keywords", "SELECT doc_id FROM documents WHERE text ILIKE '%tion%' OR text ILIKE '%ung%' OR doc_id IN (SELECT conv_id FROM conversations WHERE text ILIKE '%tion%' OR text ILIKE '%ung%')", False)
@@ -201,9 +219,13 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy("modality").agg(F.count("*").alias("n"))
 
 
-@query("p14_iso_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS day FROM orders", False)
+@query("p14_iso_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 12 IN (1, 5) THEN o_orderdate::DATE END AS day FROM orders", False)
 def p14(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy")).otherwise("2020-13-45")
+    kind, day = F.col("o_orderkey") % 12, F.col("o_orderdate").cast("date")
+    year = F.year(F.date_add(F.trunc(day, "week"), 3)).cast("string")
+    week = F.concat(year, F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), F.lit("-"), (F.weekday(day) + 1).cast("string"))
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(kind == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(kind == 5, week)
+    raw = F.coalesce(raw, F.when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy")).otherwise("2020-13-45"))
     return adapter.table(spark, d, "orders").select("o_orderkey", text.iso_date(raw).alias("day"))
 
 
@@ -218,7 +240,7 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
 @query("p17_prompt_block", "SELECT p_partkey, '[' || (p_partkey % 50) || ']' || chr(10) || 'Drug: ' || p_name || chr(10) || 'Size: ' || CASE WHEN p_size > 40 THEN 'Unknown' ELSE p_size::VARCHAR END AS block FROM part", False)
 def p17(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.table(spark, d, "part").withColumn("candidate_index", F.col("p_partkey") % 50).withColumn("size", F.expr("CASE WHEN p_size <= 40 THEN p_size END"))
-    return rows.select("p_partkey", label.block({"Drug": "p_name", "Size": "size"}).alias("block"))
+    return rows.select("p_partkey", label.block({"Drug": label._plain("p_name"), "Size": label._plain("size")}).alias("block"))
 
 
 @query("p19_keys", "SELECT ord, sha256(lower(intervention) || '|' || lower(indication)) AS cache_key FROM trials")
@@ -248,16 +270,16 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy(cluster.string_key().alias("candidate_id")).agg(F.count("*").alias("n"))
 
 
-@query("a5_hybrid", "SELECT coalesce(mesh_drug, lower(intervention)) || '__' || lower(indication) AS candidate_id, count(*) AS n FROM trials GROUP BY 1")
+@query("a5_hybrid", "SELECT coalesce(mesh_drug, lower(intervention)) || '__' || coalesce(mesh_conditions, lower(indication)) AS candidate_id, count(*) AS n FROM trials GROUP BY 1")
 def a5(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy(cluster.hybrid_key().alias("candidate_id")).agg(F.count("*").alias("n"))
 
 
 @query("a6_candidates", f"""{_CANDS}, l AS (SELECT candidate_id, array_to_string(list(nct_id ORDER BY ord), '|') AS trial_ids FROM keyed GROUP BY 1),
     s AS (SELECT candidate_id, sponsor, min(ord) AS o FROM keyed WHERE sponsor IS NOT NULL GROUP BY ALL), p AS (SELECT candidate_id, array_to_string(list(sponsor ORDER BY o), '|') AS sponsors FROM s GROUP BY 1)
-    SELECT c.candidate_id, drug_name, indication, highest_phase, earliest_start, latest_completion, trial_ids, coalesce(sponsors, '') AS sponsors FROM cands c JOIN l USING (candidate_id) LEFT JOIN p USING (candidate_id)""")
+    SELECT c.candidate_id, drug_name, drug_name_raw, indication, highest_phase, earliest_start, latest_completion, trial_ids, coalesce(sponsors, '') AS sponsors FROM cands c JOIN l USING (candidate_id) LEFT JOIN p USING (candidate_id)""")
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.candidates(trials(spark, d)).select("candidate_id", "drug_name", "indication", "highest_phase", "earliest_start", "latest_completion", F.array_join("trial_ids", "|").alias("trial_ids"), F.array_join("sponsors", "|").alias("sponsors"))
+    return cluster.candidates(trials(spark, d)).select("candidate_id", "drug_name", "drug_name_raw", "indication", "highest_phase", "earliest_start", "latest_completion", F.array_join("trial_ids", "|").alias("trial_ids"), F.array_join("sponsors", "|").alias("sponsors"))
 
 
 @query("a7_modal_term", """c AS (SELECT nct_id, mesh_drug AS term, count(*) AS n, min(ord) AS o FROM trials WHERE mesh_drug IS NOT NULL GROUP BY ALL),
@@ -295,20 +317,27 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with a drug id for every other drug, or a MeSH term."""
+    """Candidates with a drug id for every other drug, or a MeSH term; their MeSH indication is left out."""
     rows = cands(spark, d)
     number = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
-    return rows.withColumn("drug_id", F.when(number % 4 < 2, F.concat(F.lit("DB"), (number % 100).cast("string")))).withColumn("mesh_drug", F.when(number % 4 == 2, F.concat(F.lit("m"), (number % 50).cast("string"))))
+    names = {"drug_id": F.when(number % 4 < 2, F.concat(F.lit("DB"), (number % 100).cast("string"))), "mesh_drug": F.when(number % 4 == 2, F.concat(F.lit("m"), (number % 50).cast("string"))), "mesh_indication": F.lit(None).cast("string")}
+    return rows.withColumns(names)
 
 
 _REMERGE = f"""{_CANDS}, n AS (SELECT *, regexp_extract(drug_name, '(\\d+)$', 1)::INT AS x FROM cands),
     g AS (SELECT *, CASE WHEN x % 4 < 2 THEN 'DB' || (x % 100) WHEN x % 4 = 2 THEN 'm' || (x % 50) END AS g FROM n)"""
 
 
-@query("a24_remerge", f"""{_REMERGE}, m AS (SELECT arg_min(candidate_id, ord) AS candidate_id, count(*) AS merged, min(earliest_start) AS earliest_start, max(latest_completion) AS latest_completion, max({_RANK.replace('phase', 'highest_phase')}) AS rank FROM g WHERE g IS NOT NULL GROUP BY g, indication)
-    SELECT candidate_id, merged, earliest_start, latest_completion, {_NAME.format('rank')} AS highest_phase FROM m UNION ALL SELECT candidate_id, 1, earliest_start, latest_completion, highest_phase FROM g WHERE g IS NULL""")
+@query("a24_remerge", f"""{_REMERGE}, t AS (SELECT coalesce(g, candidate_id) AS gd, CASE WHEN g IS NOT NULL THEN g.indication END AS gi, g.candidate_id, g.ord AS cord, k.ord, k.nct_id, k.sponsor FROM g JOIN keyed k USING (candidate_id)),
+    m AS (SELECT coalesce(g, candidate_id) AS gd, CASE WHEN g IS NOT NULL THEN indication END AS gi, arg_min(candidate_id, ord) AS candidate_id, arg_min(drug_name, ord) AS drug_name, count(*) AS merged, min(earliest_start) AS earliest_start, max(latest_completion) AS latest_completion, max({_RANK.replace('phase', 'highest_phase')}) AS rank FROM g GROUP BY ALL),
+    i1 AS (SELECT gd, gi, nct_id, min((cord, ord)) AS o FROM t GROUP BY ALL), i AS (SELECT gd, gi, array_to_string(list(nct_id ORDER BY o), '|') AS ids, count(*) AS n FROM i1 GROUP BY ALL),
+    r AS (SELECT gd, gi, array_to_string(list(nct_id ORDER BY cord, ord), '|') AS ids FROM t GROUP BY ALL),
+    s1 AS (SELECT gd, gi, sponsor, min((cord, ord)) AS o FROM t WHERE sponsor IS NOT NULL GROUP BY ALL), s AS (SELECT gd, gi, array_to_string(list(sponsor ORDER BY o), '|') AS sponsors FROM s1 GROUP BY ALL)
+    SELECT m.candidate_id, m.drug_name, m.merged, m.earliest_start, m.latest_completion, {_NAME.format('m.rank')} AS highest_phase, CASE WHEN m.merged = 1 THEN r.ids ELSE i.ids END AS trial_ids, coalesce(s.sponsors, '') AS sponsors
+    FROM m JOIN i ON i.gd = m.gd AND i.gi IS NOT DISTINCT FROM m.gi JOIN r ON r.gd = m.gd AND r.gi IS NOT DISTINCT FROM m.gi LEFT JOIN s ON s.gd = m.gd AND s.gi IS NOT DISTINCT FROM m.gi""")
 def a24(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.remerged(known(spark, d)).select("candidate_id", "merged", "earliest_start", "latest_completion", "highest_phase")
+    rows = cluster.remerged(known(spark, d))
+    return rows.select("candidate_id", "drug_name", "merged", "earliest_start", "latest_completion", "highest_phase", F.array_join("trial_ids", "|").alias("trial_ids"), F.array_join("sponsors", "|").alias("sponsors"))
 
 
 @query("a25_coverage", f"{_REMERGE} SELECT CASE WHEN x % 4 < 2 THEN 'drugbank' WHEN x % 4 = 2 THEN 'mesh' ELSE 'none' END AS match, count(*) AS n_candidates, sum(n_trials)::BIGINT AS n_trial_rows FROM g GROUP BY 1")
@@ -320,17 +349,37 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
 # Funnel
 
 
-@query("j10_joined", f"{_CANDS} SELECT candidate_id, drug_name, highest_phase, modality, disease_area, outcome, approval_date, market_date FROM cands")
+#: Labels as tables of their own, which some candidates lack.
+_LABELLED = f"""{_CANDS}, num AS (SELECT *, regexp_extract(drug_name, '(\\d+)$', 1)::INT AS x FROM cands),
+    attributes AS (SELECT candidate_id, CASE WHEN x % 11 = 0 THEN '' ELSE modality END AS modality, disease_area FROM num WHERE x % 7 <> 0), outcomes AS (SELECT candidate_id, outcome, approval_date, market_date FROM num WHERE x % 5 <> 0),
+    jc AS (SELECT c.candidate_id, c.drug_name, c.highest_phase, a.modality, a.disease_area, o.outcome, o.approval_date, o.market_date FROM cands c LEFT JOIN attributes a USING (candidate_id) LEFT JOIN outcomes o USING (candidate_id))"""
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates joined to attributes and outcomes that some of them lack."""
+    rows = cands(spark, d)
+    x = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
+    attributes = rows.where(x % 7 != 0).select("candidate_id", F.when(x % 11 == 0, "").otherwise(F.col("modality")).alias("modality"), "disease_area")
+    outcomes = rows.where(x % 5 != 0).select("candidate_id", "outcome", "approval_date", "market_date")
+    return funnel.joined(rows.select("candidate_id", "drug_name", "highest_phase", "trial_ids"), attributes, outcomes)
+
+
+@query("j10_joined", f"{_LABELLED} SELECT * FROM jc")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return cands(spark, d).select("candidate_id", "drug_name", "highest_phase", "modality", "disease_area", "outcome", "approval_date", "market_date")
+    return labelled(spark, d).drop("trial_ids")
 
 
-_F = "stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, rate, round(market_years, 9) AS market_years"
+_F = "stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, rate, round(avg_duration_years, 9) AS avg_duration_years, n_durations"
 
 
 @query("a8_funnel", f"{_FUNNEL} SELECT {_F} FROM funnel")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(funnel.funnel(cands(spark, d)), "market_years")
+    return _rounded(funnels(spark, d), "avg_duration_years")
+
+
+@query("a10_joined_funnel", f"{_LABELLED}, {funnel_ctes('jc')} SELECT {_F} FROM funnel")
+def a10(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(funnel.funnel(labelled(spark, d), trials(spark, d)), "avg_duration_years")
 
 
 @query("a11_appr_duration", f"{_CANDS} SELECT modality, round(avg(CASE WHEN market_date - approval_date > 0 THEN (market_date - approval_date) / 365.25::DOUBLE END), 9) AS years FROM cands GROUP BY modality")
@@ -338,13 +387,10 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return cands(spark, d).groupBy("modality").agg(F.round(F.avg(stats.years(F.col("approval_date"), F.col("market_date"))), 9).alias("years"))
 
 
-_YEARS = f"""{_CANDS}, ids AS (SELECT DISTINCT c.disease_area, k.nct_id FROM cands c JOIN keyed k USING (candidate_id)),
-    years AS (SELECT i.disease_area, t.phase, avg((completion_date - start_date) / 365.25::DOUBLE) AS avg_years, count(*) AS n_trials FROM ids i JOIN trials t USING (nct_id) WHERE completion_date > start_date AND t.phase IN ('Phase 1', 'Phase 2', 'Phase 3') GROUP BY ALL)"""
-
-
-@query("a12_phase_duration", f"{_YEARS} SELECT disease_area, phase, round(avg_years, 9) AS avg_years, n_trials FROM years")
+@query("a12_phase_duration", f"{_FUNNEL} SELECT stratum, modality, disease_area, from_phase AS phase, round(avg_duration_years, 9) AS avg_years, n_durations FROM funnel WHERE from_phase <> 'Approval' AND n_durations > 0")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(funnel.phase_years(cands(spark, d), trials(spark, d), "disease_area"), "avg_years")
+    rows = funnels(spark, d).where("from_phase != 'Approval' AND n_durations > 0")
+    return rows.select("stratum", "modality", "disease_area", F.col("from_phase").alias("phase"), F.round("avg_duration_years", 9).alias("avg_years"), "n_durations")
 
 
 _KNOWN2 = "coalesce(outcome NOT IN ('Ongoing', 'Unknown'), false)"
@@ -368,21 +414,21 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REBUCKET = f"""{_FUNNEL}, re AS (SELECT {_AREA.format('disease_area')} AS area, from_phase, to_phase, sum(candidate_count)::BIGINT AS candidate_count, sum(numerator)::BIGINT AS numerator, sum(denominator)::BIGINT AS denominator,
-    sum(market_years * denominator) / nullif(sum(denominator) FILTER (market_years IS NOT NULL), 0) AS market_years FROM funnel WHERE stratum = 'disease_area' GROUP BY ALL),
+    sum(avg_duration_years * denominator) / nullif(sum(denominator) FILTER (avg_duration_years IS NOT NULL), 0) AS avg_duration_years FROM funnel WHERE stratum = 'disease_area' GROUP BY ALL),
     re2 AS (SELECT *, CASE WHEN denominator > 0 THEN numerator / denominator::DOUBLE ELSE 0.0 END AS rate FROM re)"""
 
 
 def margins(spark: SparkSession, d: str, stratum: str = "disease_area") -> DataFrame:
-    return funnel.funnel(cands(spark, d)).where(F.col("stratum") == stratum)
+    return funnels(spark, d).where(F.col("stratum") == stratum)
 
 
-@query("a15_rebucket", f"{_REBUCKET} SELECT area, from_phase, to_phase, candidate_count, numerator, denominator, rate, round(market_years, 9) AS market_years FROM re2")
+@query("a15_rebucket", f"{_REBUCKET} SELECT area, from_phase, to_phase, candidate_count, numerator, denominator, rate, round(avg_duration_years, 9) AS avg_duration_years FROM re2")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(funnel.rebucketed(margins(spark, d)), "market_years")
+    return _rounded(funnel.rebucketed(margins(spark, d)), "avg_duration_years")
 
 
 @query("a16_oncology", f"""{_FUNNEL} SELECT side, from_phase, numerator, denominator, numerator / denominator::DOUBLE AS rate FROM (
-    SELECT CASE WHEN disease_area = 'oncology' THEN 'Oncology' ELSE 'Non-oncology' END AS side, from_phase, sum(numerator)::BIGINT AS numerator, sum(denominator)::BIGINT AS denominator FROM funnel WHERE stratum = 'disease_area' GROUP BY ALL)""")
+    SELECT CASE WHEN disease_area = 'oncology' THEN 'Oncology' ELSE 'Non-Oncology' END AS side, from_phase, sum(numerator)::BIGINT AS numerator, sum(denominator)::BIGINT AS denominator FROM funnel WHERE stratum = 'disease_area' GROUP BY ALL)""")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     return funnel.oncology(margins(spark, d))
 
@@ -402,16 +448,12 @@ def _round_loa(frame: DataFrame) -> DataFrame:
 
 @query("a17_loa", f"{_FUNNEL} SELECT stratum, modality, disease_area, {_LOA} FROM {_loa_sql('funnel', 'stratum, modality, disease_area')}")
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    return _round_loa(funnel.loa(funnel.funnel(cands(spark, d)), ["stratum", "modality", "disease_area"]))
+    return _round_loa(funnel.loa(funnels(spark, d), ["stratum", "modality", "disease_area"]))
 
 
 @query("a18_loa_table", f"{_REBUCKET} SELECT area, {_LOA} FROM {_loa_sql('re2', 'area')} UNION ALL SELECT 'All indications', {_LOA} FROM {_loa_sql('''(SELECT * FROM funnel WHERE stratum = 'overall')''', 'stratum')}")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    rows = funnel.funnel(cands(spark, d))
-    areas = funnel.loa(funnel.rebucketed(rows.where("stratum = 'disease_area'")), ["area"])
-    overall = funnel.loa(rows.where("stratum = 'overall'"), ["stratum"]).select(F.lit("All indications").alias("area"), *areas.columns[1:])
-    both = areas.withColumn("last", F.lit(0)).unionByName(overall.withColumn("last", F.lit(1)))
-    return _round_loa(both.orderBy("last", F.desc("loa_1"), "area").drop("last"))
+    return _round_loa(funnel.loa_table(funnels(spark, d)))
 
 
 # Report tables
@@ -432,16 +474,11 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(report.grid(funnel.rebucketed(margins(spark, d)), "area", True), "ci_low", "ci_high")
 
 
-@query("g9_bubbles", f"{_FUNNEL} SELECT modality, from_phase, denominator, round(greatest(8.0, least(60.0, sqrt(denominator) * 5)), 9) AS size FROM funnel WHERE stratum = 'modality'")
-def g9(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(report.bubbles(report.grid(margins(spark, d, "modality"), "modality", False)), "size").select("modality", "from_phase", "denominator", "size")
-
-
 _PAREA = f"parea AS (SELECT *, {_AREA.format('disease_area')} AS area FROM periods)"
 
 
 @query("g4_period_loa", f"""{_CANDS}, {_PERIODS}, {_PAREA}, tr AS ({_transition_sql('parea', 'area, period')}), l AS (SELECT * FROM {_loa_sql('tr', 'area, period')})
-    SELECT area, round(max(loa_1) FILTER (period = '1995–1997'), 9) AS "loa_1995-1997", round(max(loa_1) FILTER (period = '1998–2001'), 9) AS "loa_1998-2001", coalesce(max(n_1) FILTER (period = '1995–1997'), 0) AS "n_1995-1997", coalesce(max(n_1) FILTER (period = '1998–2001'), 0) AS "n_1998-2001" FROM l GROUP BY area""")
+    SELECT area, round(max(loa_1) FILTER (period = '1995–1997'), 9) AS "loa_1995-1997", round(max(loa_1) FILTER (period = '1998–2001'), 9) AS "loa_1998-2001", coalesce(max(n_1 + n_2 + n_3 + n_4) FILTER (period = '1995–1997'), 0) AS "n_1995-1997", coalesce(max(n_1 + n_2 + n_3 + n_4) FILTER (period = '1998–2001'), 0) AS "n_1998-2001" FROM l GROUP BY area""")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     return report.period_loa(cands(spark, d), PERIODS).select("area", *(F.round(f"`{c}`", 9).alias(c) for c in ("loa_1995-1997", "loa_1998-2001")), "`n_1995-1997`", "`n_1998-2001`")
 
@@ -459,9 +496,9 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return report.sponsor_summary(cands(spark, d))
 
 
-@query("g13_sponsor_bins", f"{_SPONSOR} SELECT CASE WHEN n_candidates >= 100 THEN 100 WHEN n_candidates >= 50 THEN 50 WHEN n_candidates >= 25 THEN 25 WHEN n_candidates >= 10 THEN 10 WHEN n_candidates >= 5 THEN 5 WHEN n_candidates >= 2 THEN 2 ELSE 1 END AS bin, count(*) AS n_sponsors FROM st GROUP BY 1")
+@query("g13_sponsor_bins", f"{_SPONSOR} SELECT CASE WHEN (SELECT max(n_candidates) FROM st) <= 50 THEN n_candidates WHEN n_candidates >= 100 THEN 100 WHEN n_candidates >= 50 THEN 50 WHEN n_candidates >= 25 THEN 25 WHEN n_candidates >= 10 THEN 10 WHEN n_candidates >= 5 THEN 5 WHEN n_candidates >= 2 THEN 2 ELSE 1 END::INT AS bin, count(*) AS n_sponsors FROM st GROUP BY 1")
 def g13(spark: SparkSession, d: str) -> DataFrame:
-    return report.sponsor_bins(report.sponsors(cands(spark, d)), 101)
+    return report.sponsor_bins(report.sponsors(cands(spark, d)))
 
 
 @query("l3_top_sponsors", f"{_SPONSOR} SELECT sponsor, n_candidates FROM st ORDER BY n_candidates DESC, sponsor LIMIT 20")
@@ -474,7 +511,8 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     return report.modality_shares(cands(spark, d))
 
 
-_BESTP = f"{_CANDS}, bp AS (SELECT candidate_id, phase, min(p_value) AS best_p FROM keyed GROUP BY ALL)"
+_SINGLES = "singles AS (SELECT nct_id FROM trials GROUP BY nct_id HAVING count(DISTINCT intervention) = 1 AND count(DISTINCT indication) = 1)"
+_BESTP = f"{_CANDS}, {_SINGLES}, bp AS (SELECT candidate_id, phase, min(p_value) AS best_p FROM keyed SEMI JOIN singles USING (nct_id) GROUP BY ALL)"
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -483,15 +521,15 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a23_best_p", f"{_BESTP} SELECT * FROM bp")
 def a23(spark: SparkSession, d: str) -> DataFrame:
-    return report.best_p(_keyed(spark, d), "candidate_id")
+    return report.best_p(ingest.flagged(_keyed(spark, d)), "candidate_id")
 
 
 @query("g5_summary", f"""{_BESTP}, w AS (SELECT candidate_id, max(best_p) FILTER (phase = 'Phase 1') AS p1, max(best_p) FILTER (phase = 'Phase 2') AS p2, max(best_p) FILTER (phase = 'Phase 3') AS p3 FROM bp GROUP BY 1)
-    SELECT c.candidate_id, drug_name, indication, highest_phase, outcome, n_trials, greatest(CASE WHEN latest_completion < DATE '2001-01-01' THEN latest_completion END, CASE WHEN approval_date < DATE '2001-01-01' THEN approval_date END, CASE WHEN market_date < DATE '2001-01-01' THEN market_date END) AS milestone,
-        CASE WHEN coalesce(p1, p2, p3) IS NULL THEN NULL ELSE coalesce(outcome = 'Failed Phase 1' AND p1 <= 0.05, false) OR coalesce(outcome = 'Failed Phase 2' AND p2 <= 0.05, false) OR coalesce(outcome = 'Failed Phase 3' AND p3 <= 0.05, false) OR coalesce(outcome IN ('Approved', 'Commercialized') AND p3 > 0.05, false) END AS inconsistent
-    FROM cands c LEFT JOIN w USING (candidate_id) WHERE modality = 'peptide'""")
+    SELECT c.candidate_id, drug_name, indication, highest_phase, modality, disease_area, outcome, greatest(CASE WHEN latest_completion < DATE '2001-01-01' THEN latest_completion END, CASE WHEN approval_date < DATE '2001-01-01' THEN approval_date END, CASE WHEN market_date < DATE '2001-01-01' THEN market_date END) AS latest_milestone_date,
+        CASE WHEN w.candidate_id IS NULL THEN NULL ELSE coalesce(outcome = 'Failed Phase 1' AND p1 <= 0.05, false) OR coalesce(outcome = 'Failed Phase 2' AND p2 <= 0.05, false) OR coalesce(outcome = 'Failed Phase 3' AND p3 <= 0.05, false) OR coalesce(outcome IN ('Approved', 'Commercialized') AND p3 > 0.05, false) END AS p_value_inconsistent
+    FROM cands c LEFT JOIN w ON w.candidate_id = c.candidate_id WHERE modality = 'peptide'""")
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    return report.summary(cands(spark, d), report.best_p(_keyed(spark, d), "candidate_id"), AS_OF, "peptide")
+    return report.summary(cluster.candidates(ingest.flagged(trials(spark, d))), AS_OF, "peptide")
 
 
 @query("g6_loa_chart", f"{_FUNNEL} SELECT modality, {_LOA} FROM {_loa_sql('''(SELECT * FROM funnel WHERE stratum = 'modality')''', 'modality')} WHERE n_1 + n_2 + n_3 + n_4 >= 10 ORDER BY loa_1, modality")
@@ -501,18 +539,18 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g7_phase_success", f"{_FUNNEL} SELECT disease_area, rate, denominator FROM funnel WHERE stratum = 'disease_area' AND from_phase = 'Phase 2' AND denominator > 0 ORDER BY rate, disease_area")
 def g7(spark: SparkSession, d: str) -> DataFrame:
-    return margins(spark, d).where("from_phase = 'Phase 2' AND denominator > 0").orderBy("rate", "disease_area").select("disease_area", "rate", "denominator")
+    return report.phase_success(margins(spark, d), "disease_area", "Phase 2")
 
 
-@query("g8_timeline", f"""{_YEARS}, s AS (SELECT disease_area, phase, i, coalesce(avg_years, 0.0) AS years FROM (SELECT DISTINCT disease_area FROM years) CROSS JOIN (VALUES ('Phase 1', 0), ('Phase 2', 1), ('Phase 3', 2)) AS p(phase, i) LEFT JOIN years USING (disease_area, phase))
-    SELECT disease_area, phase, round(years, 9) AS years, round(coalesce(sum(years) OVER (PARTITION BY disease_area ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 9) AS "offset" FROM s""")
+@query("g8_timeline", f"""{_REBUCKET}, s AS (SELECT area, from_phase, i, coalesce(avg_duration_years, 0.0) AS years, count(avg_duration_years) OVER (PARTITION BY area) AS known FROM re2 JOIN {_STEPS.replace("t(from_phase, to_phase, i)", "t(from_phase, to_, i)")} USING (from_phase))
+    SELECT area, from_phase, round(years, 9) AS years, round(coalesce(sum(years) OVER (PARTITION BY area ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 9) AS "offset", round(sum(CASE WHEN i < 3 THEN years END) OVER (PARTITION BY area), 9) AS total FROM s WHERE known > 0""")
 def g8(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(report.timeline(funnel.phase_years(cands(spark, d), trials(spark, d), "disease_area"), "disease_area"), "years", "offset")
+    return _rounded(report.timeline(funnel.rebucketed(margins(spark, d)), "area"), "years", "offset", "total")
 
 
 @query("j13_peptide_areas", f"{_FUNNEL} SELECT disease_area, from_phase, numerator, denominator FROM funnel WHERE stratum = 'modality_disease_area' AND modality = 'peptide'")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.funnel(cands(spark, d).where("modality = 'peptide'")).where("stratum = 'modality_disease_area'").select("disease_area", "from_phase", "numerator", "denominator")
+    return funnels(spark, d).where("stratum = 'modality_disease_area' AND modality = 'peptide'").select("disease_area", "from_phase", "numerator", "denominator")
 
 
 # Labels
@@ -532,9 +570,14 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return readers.cache_upsert(rows.where("created_at % 2 = 0"), rows.where("created_at % 2 = 1")).select("cache_key", "disease_area", "created_at")
 
 
-@query("k10_migrate", f"WITH {_CACHE} SELECT disease_area AS old_area, count(*) AS n FROM c WHERE disease_area <> 'oncology' GROUP BY 1", False)
+@query("k10_migrate", f"WITH {_CACHE} SELECT cache_key, CASE disease_area WHEN 'Dermatology' THEN 'other' WHEN 'allergy' THEN 'autoimmune' ELSE disease_area END AS disease_area, created_at FROM c", False)
 def k10(spark: SparkSession, d: str) -> DataFrame:
-    return readers.cache_migrate(_cache(spark, d))
+    return readers.cache_migrate(_cache(spark, d))[0]
+
+
+@query("k10_changes", f"WITH {_CACHE} SELECT disease_area AS old_area, count(*) AS n FROM c WHERE disease_area <> 'oncology' GROUP BY 1", False)
+def k10_changes(spark: SparkSession, d: str) -> DataFrame:
+    return readers.cache_migrate(_cache(spark, d))[1]
 
 
 @query("j20_cache_split", "SELECT CASE WHEN l.doc_id IS NULL THEN 'miss' ELSE 'hit' END AS side, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1", False)
@@ -554,12 +597,13 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
 def _answer(sure: bool) -> label.Model:
     """A stand-in for a model that answers by a rule; the first tier leaves out and doubts some rows."""
 
-    def call(rows: pd.DataFrame) -> str | None:
+    def call(system: str, prompt: str) -> str | None:
         items = []
-        for i, name in zip(rows["candidate_index"], rows["drug_name"], strict=True):
-            number = int(name.rsplit(" ", 1)[-1])
+        for part in prompt.split("\n\n")[1:]:
+            lines = part.split("\n")
+            number = int(lines[1].rsplit(" ", 1)[-1])
             if sure or number % 3:
-                items.append({"candidate_index": int(i), "drug_modality": "peptide" if number % 2 else "vaccine", "disease_area": "Allergy", "modality_confidence": "HIGH" if sure or number % 5 else "LOW", "disease_confidence": "MEDIUM"})
+                items.append({"candidate_index": int(lines[0].strip("[]")), "drug_modality": "peptide" if number % 2 else "vaccine", "disease_area": "Allergy", "modality_confidence": "HIGH" if sure or number % 5 else "LOW", "disease_confidence": "MEDIUM"})
         return "```json\n" + json.dumps(items) + "\n```"
 
     return call
@@ -567,8 +611,8 @@ def _answer(sure: bool) -> label.Model:
 
 @query("u1_tiered_labels", "SELECT p_partkey::VARCHAR AS candidate_id, CASE WHEN p_partkey % 2 = 1 THEN 'peptide' ELSE 'vaccine' END AS modality, 'autoimmune' AS disease_area, 1.0::DOUBLE AS modality_confidence, 0.5::DOUBLE AS disease_confidence FROM part", False)
 def u1(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapter.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("drug_name"))
-    return label.tiered(rows, _answer(False), _answer(True)).drop("reasoning")
+    rows = adapter.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("drug_name_raw"), F.lit(None).cast("string").alias("indication"))
+    return label.tiered(rows, label.classification(), _answer(False), _answer(True)).labels.drop("reasoning")
 
 
 @query("u7_mesh_override", f"{_VOTE}, a AS (SELECT t.ord, t.disease_area, CASE WHEN x.ord IS NULL THEN 'other' WHEN x.ties = 1 THEN x.area END AS vote FROM trials t LEFT JOIN x ON x.ord = t.ord) SELECT ord, coalesce(vote, disease_area) AS disease_area, CASE WHEN vote IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS disease_confidence FROM a")
@@ -586,13 +630,19 @@ def a31(spark: SparkSession, d: str) -> DataFrame:
     return label.statuses(_keyed(spark, d), "candidate_id")
 
 
-@query("a26_ledger", """c AS (SELECT event_type AS stage, CASE event_id % 3 WHEN 0 THEN 'tier2' ELSE 'tier1' END AS model, user_id AS i, (event_id % 7) * 10 AS w, (event_id % 11) * 10 AS r, (event_id % 5) * 10 AS o FROM events),
-    x AS (SELECT *, CASE model WHEN 'tier1' THEN (i * 3.0 + w * 3.0 * 1.25 + r * 3.0 * 0.1 + o * 15.0) ELSE (i * 5.0 + w * 5.0 * 1.25 + r * 5.0 * 0.1 + o * 25.0) END::DOUBLE / 1e6 AS cost FROM c)
-    SELECT stage, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(cost), 9) AS cost, round(coalesce(sum(cost) FILTER (model = 'tier1'), 0), 9) AS tier1_cost, round(coalesce(sum(cost) FILTER (model = 'tier2'), 0), 9) AS tier2_cost, (count(*) * 2)::BIGINT AS n_candidates, round(sum(cost) / (count(*) * 2), 9) AS cost_each FROM x GROUP BY 1""")
+@query("a26_ledger", """c AS (SELECT event_type AS stage, event_id % 7 = 6 AS hit, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 3 = 0 THEN 'tier2' ELSE 'tier1' END AS model, user_id AS i, (event_id % 7) * 10 AS w, (event_id % 11) * 10 AS r, (event_id % 5) * 10 AS o FROM events),
+    x AS (SELECT *, CASE WHEN hit THEN 0 WHEN model = 'tier1' THEN (i * 3.0 + w * 3.0 * 1.25 + r * 3.0 * 0.1 + o * 15.0) ELSE (i * 5.0 + w * 5.0 * 1.25 + r * 5.0 * 0.1 + o * 25.0) END::DOUBLE / 1e6 AS cost, CASE WHEN hit THEN 0 ELSE 2 END AS asked FROM c),
+    y AS (SELECT stage, sum(i + w + r)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(cost) AS cost, coalesce(sum(cost) FILTER (model = 'tier1'), 0) AS tier1_cost, coalesce(sum(cost) FILTER (model = 'tier2'), 0) AS tier2_cost, sum(asked)::BIGINT AS asked, sum(2 - asked)::BIGINT AS cache_hits, (count(*) * 2)::BIGINT AS n_candidates,
+        coalesce(sum(asked) FILTER (model = 'tier1'), 0)::BIGINT AS tier1_asked, coalesce(sum(asked) FILTER (model = 'tier2'), 0)::BIGINT AS tier2_asked FROM x GROUP BY 1)
+    SELECT stage, input_tokens, output_tokens, round(cost, 9) AS cost, round(tier1_cost, 9) AS tier1_cost, round(tier2_cost, 9) AS tier2_cost, asked, cache_hits, n_candidates, tier1_asked, tier2_asked,
+        round(cost / nullif(n_candidates, 0), 9) AS cost_each, round(cost / nullif(asked, 0), 9) AS cost_asked, round(tier1_cost / nullif(tier1_asked, 0), 9) AS tier1_each, round(tier2_cost / nullif(tier2_asked, 0), 9) AS tier2_each FROM y""".replace("c AS", "WITH c AS", 1), False)
 def a26(spark: SparkSession, d: str) -> DataFrame:
     e = adapter.table(spark, d, "events")
-    rows = e.select(F.col("event_type").alias("stage"), F.expr("CASE event_id % 3 WHEN 0 THEN 'tier2' ELSE 'tier1' END").alias("model"), F.col("user_id").alias("input_tokens"), F.expr("(event_id % 7) * 10").alias("cache_write"), F.expr("(event_id % 11) * 10").alias("cache_read"), F.expr("(event_id % 5) * 10").alias("output_tokens"), F.lit(2).alias("n_candidates"))
-    return _rounded(label.ledger(rows), "cost", "tier1_cost", "tier2_cost", "cost_each")
+    rows = e.select(
+        F.col("event_type").alias("stage"), F.expr("CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 3 = 0 THEN 'tier2' ELSE 'tier1' END").alias("model"), F.col("user_id").alias("input_tokens"), F.expr("(event_id % 7) * 10").alias("cache_write"), F.expr("(event_id % 11) * 10").alias("cache_read"),
+        F.expr("(event_id % 5) * 10").alias("output_tokens"), F.lit(2).cast("long").alias("n_candidates"), F.expr("event_id % 7 = 6").alias("cache_hit"),
+    )
+    return _rounded(label.ledger(rows), "cost", "tier1_cost", "tier2_cost", "cost_each", "cost_asked", "tier1_each", "tier2_each")
 
 
 # Evaluation
@@ -618,14 +668,18 @@ _IS = "CASE k.class WHEN 'approved' THEN {0} IN ('approved', 'commercialized') E
 _TP = f"{_PAIRS}, x AS (SELECT doc_id, truth, predicted, k.class, {_IS.format('truth')} AS t, {_IS.format('predicted')} AS p FROM pr, {_POS} WHERE predicted IS NOT NULL)"
 
 
-@query("j15_eval", f"{_PAIRS} SELECT count(predicted) AS matched, count(*) - count(predicted) AS unmatched, count(*) FILTER (truth = predicted) / count(predicted)::DOUBLE AS accuracy FROM pr", False)
+_METRICS = f"""{_TP}, c AS (SELECT class, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM x GROUP BY class),
+    m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0.0) AS recall, (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy, tp + fn AS support FROM c),
+    n AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM m)"""
+
+
+@query("j15_eval", f"""{_METRICS} SELECT (SELECT count(predicted) FROM pr) AS matched, (SELECT count(*) - count(predicted) FROM pr) AS unmatched, (SELECT count(*) FILTER (WHERE truth = predicted) / count(predicted)::DOUBLE FROM pr) AS accuracy,
+    round(sum(precision) / 3, 9) AS macro_precision, round(sum(recall) / 3, 9) AS macro_recall, round(sum(f1) / 3, 9) AS macro_f1, round(sum(accuracy) / 3, 9) AS macro_accuracy FROM n""", False)
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.evaluation(_pairs(spark, d))
+    return _rounded(evaluate.evaluation(_pairs(spark, d)), "macro_precision", "macro_recall", "macro_f1", "macro_accuracy")
 
 
-@query("a27_metrics", f"""{_TP}, c AS (SELECT class, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM x GROUP BY class),
-    m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0.0) AS recall, (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy, tp + fn AS support FROM c)
-    SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM m""", False)
+@query("a27_metrics", f"{_METRICS} SELECT * FROM n", False)
 def a27(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(_pairs(spark, d))
 
@@ -676,22 +730,36 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return readers.benchmark(rows).select("drug", "indication", "truth")
 
 
-@query("s14_predictions", f"{_CANDS} SELECT candidate_id, CASE outcome WHEN 'Commercialized' THEN 'commercialized' WHEN 'Approved' THEN 'approved' ELSE 'investigational' END AS bucket FROM cands")
+@query("s14_predictions", f"""{_LABELLED}, p AS (SELECT c.drug_name AS drug, c.indication, CASE o.outcome WHEN 'Commercialized' THEN 'commercialized' WHEN 'Approved' THEN 'approved' ELSE 'investigational' END AS predicted, c.candidate_id FROM cands c JOIN outcomes o USING (candidate_id))
+    SELECT drug, indication, arg_max(predicted, candidate_id) AS predicted FROM p GROUP BY 1, 2""")
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    return cands(spark, d).select("candidate_id", readers.bucket_of(F.col("outcome")).alias("bucket"))
+    rows = labelled(spark, d)
+    names = cands(spark, d).select("candidate_id", "drug_name", "indication")
+    x = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
+    return readers.predictions_of(names, rows.where(x % 5 != 0).select("candidate_id", "outcome"))
+
+
+def marketing(spark: SparkSession, d: str) -> DataFrame:
+    """Product records of each supplier, some still on the market, some without a number of their own."""
+    e = F.expr
+    return adapter.table(spark, d, "lineitem").select(
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("start"), F.when(F.col("l_returnflag") != "N", F.col("l_shipdate").cast("date")).alias("end"), e("CASE WHEN l_linenumber = 1 THEN concat('NDA', l_orderkey) WHEN l_linenumber = 2 THEN '' END").alias("application_number"),
+        e("CASE WHEN l_linenumber = 3 THEN array(concat('BLA0', l_partkey)) ELSE cast(array() AS array<string>) END").alias("nested_numbers"), e("CASE WHEN l_linenumber > 3 THEN concat('Labeler ', l_partkey) END").alias("labeler"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("ord"),
+    )
+
+
+_MARKETED = """m AS (SELECT *, (l_orderkey, l_linenumber, l_partkey, l_shipdate) AS ord, CASE WHEN l_linenumber = 1 THEN 'NDA' || l_orderkey WHEN l_linenumber = 3 THEN 'BLA0' || l_partkey END AS number, CASE WHEN l_linenumber > 3 THEN 'Labeler ' || l_partkey END AS labeler FROM lineitem),
+    r AS (SELECT l_suppkey, bool_or(l_returnflag = 'N') AS ongoing, min(l_shipdate::DATE) AS first_marketed, CASE WHEN NOT bool_or(l_returnflag = 'N') THEN max(l_shipdate::DATE) END AS last_marketed, arg_min(number, ord) FILTER (number IS NOT NULL) AS application_number, arg_min(labeler, ord) FILTER (labeler IS NOT NULL) AS sponsor FROM m GROUP BY 1)"""
 
 
-@query("a19_market_rollup", "SELECT l_suppkey, bool_or(l_returnflag = 'N') AS ongoing, min(l_shipdate::DATE) AS first_marketed, CASE WHEN NOT bool_or(l_returnflag = 'N') THEN max(l_shipdate::DATE) END AS last_marketed FROM lineitem GROUP BY 1", False)
+@query("a19_market_rollup", f"""WITH {_MARKETED} SELECT *, CASE WHEN application_number IS NULL THEN '' ELSE '{vocab.APPLICATION_URL}' || regexp_replace(application_number, '^\\D+', '') END AS overview_url,
+    'NDC: ' || CASE WHEN ongoing THEN 'active' ELSE 'inactive' END || '  |  start: ' || strftime(first_marketed, '%Y-%m-%d') || '  |  end: ' || coalesce(strftime(last_marketed, '%Y-%m-%d'), 'ongoing') AS evidence FROM r""", False)
 def a19(spark: SparkSession, d: str) -> DataFrame:
-    rows = adapter.table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("start"), F.when(F.col("l_returnflag") != "N", F.col("l_shipdate").cast("date")).alias("end"))
-    open_ = F.bool_or(F.col("end").isNull())
-    return rows.groupBy("l_suppkey").agg(open_.alias("ongoing"), F.min("start").alias("first_marketed"), F.when(~open_, F.max("end")).alias("last_marketed"))
+    return evaluate.marketed(marketing(spark, d), "l_suppkey").withColumn("evidence", evaluate.evidence())
 
 
 @query("a34_metadata", f"{_SPONSOR} SELECT (SELECT sum(denominator) FROM ({_transition_sql('cands', 'disease_area')}))::BIGINT AS transitions, (SELECT count(*) FROM cands) AS n_candidates, (SELECT count(*) FROM st) AS n_sponsors, (SELECT min(year(earliest_start)) FROM cands) AS first_year, (SELECT max(year(earliest_start)) FROM cands) AS last_year")
 def a34(spark: SparkSession, d: str) -> DataFrame:
     rows = cands(spark, d)
-    t = funnel.transition(rows, ["disease_area"]).agg(F.sum("denominator").alias("transitions"))
-    n = rows.agg(F.count("*").alias("n_candidates"), F.min(F.year("earliest_start")).alias("first_year"), F.max(F.year("earliest_start")).alias("last_year"))
-    s = report.sponsors(rows).agg(F.count("*").alias("n_sponsors"))
-    return t.join(n, F.lit(True)).join(s, F.lit(True))  # one row each
+    return report.metadata(rows, funnel.transition(rows, ["disease_area"]))

@@ -40,6 +40,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         e("CASE o_orderkey % 8 WHEN 0 THEN 'Failed Phase 1' WHEN 1 THEN 'Failed Phase 2' WHEN 2 THEN 'Failed Phase 3' WHEN 3 THEN 'Approved' WHEN 4 THEN 'Commercialized' WHEN 5 THEN 'Ongoing' WHEN 6 THEN 'Unknown' END").alias("outcome_text"),
         F.col("l_discount").alias("p_value"), F.col("l_quantity").cast("int").alias("quantity"),
         e("CASE WHEN p_size % 3 = 0 THEN array() ELSE array(lower(p_brand)) END").alias("mesh_drug_terms"),
+        e("CASE WHEN n_regionkey = 2 THEN array() WHEN n_regionkey = 3 THEN array(concat('Region ', n_regionkey), upper(n_name)) ELSE array(concat(' region ', n_regionkey, ' ')) END").alias("mesh_condition_terms"),
         F.array(F.concat(e(_of(TREE, "cast(p_partkey % 6 AS string)")), F.lit(".588")), F.concat(e(_of(TREE, "cast(l_suppkey % 6 AS string)")), F.lit(".180"))).alias("trees"),
     )
     return rows
@@ -57,5 +58,60 @@ SQL = f"""trials AS (
         CASE c_mktsegment WHEN 'MACHINERY' THEN 'oncology' WHEN 'BUILDING' THEN 'endocrine' WHEN 'AUTOMOBILE' THEN 'infectious_disease' WHEN 'FURNITURE' THEN 'other' ELSE 'unknown' END AS disease_area,
         CASE o_orderkey % 8 WHEN 0 THEN 'Failed Phase 1' WHEN 1 THEN 'Failed Phase 2' WHEN 2 THEN 'Failed Phase 3' WHEN 3 THEN 'Approved' WHEN 4 THEN 'Commercialized' WHEN 5 THEN 'Ongoing' WHEN 6 THEN 'Unknown' END AS outcome,
         l_discount AS p_value, l_quantity::INT AS quantity, CASE WHEN p_size % 3 = 0 THEN NULL ELSE lower(p_brand) END AS mesh_drug,
+        CASE WHEN n_regionkey = 2 THEN NULL WHEN n_regionkey = 3 THEN lower(n_name) || '|region 3' ELSE 'region ' || n_regionkey END AS mesh_conditions,
         {_of(TREE, "CAST(p_partkey % 6 AS VARCHAR)")} || '.588' AS tree1, {_of(TREE, "CAST(l_suppkey % 6 AS VARCHAR)")} || '.180' AS tree2
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The registry's tables as views of the star schema: studies and what hangs on them, keyed by nct_id."""
+    line, orders, part = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "part"))
+    customer, nation, supplier = (table(spark, sf_dir, x) for x in ("customer", "nation", "supplier"))
+    nct = lambda c: F.concat(F.lit("NCT"), F.lpad(F.col(c).cast("string"), 8, "0")).alias("nct_id")
+    e = F.expr
+    at = F.concat_ws(":", *(F.lpad(F.col(c).cast("string"), 10, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), F.date_format("l_shipdate", "yyyyMMdd")).alias("id")
+    drugs = line.join(part, line.l_partkey == part.p_partkey)
+    owners = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    places = owners.join(nation, owners.c_nationkey == nation.n_nationkey)
+    region = F.concat(F.lit("Region "), F.col("n_regionkey").cast("string"))
+    return {
+        "studies": orders.select(
+            nct("o_orderkey"), e("CASE WHEN o_orderkey % 10 = 9 THEN 'Observational' ELSE 'Interventional' END").alias("study_type"), e("concat('Study ', o_orderpriority)").alias("brief_title"),
+            e("concat('A study of ', CASE WHEN o_orderkey % 11 = 0 THEN 'PEPTIDE' ELSE 'drug' END, ' ', o_custkey)").alias("official_title"), F.col("o_orderpriority").alias("phase"), F.col("o_orderstatus").alias("overall_status"),
+            F.col("o_orderdate").cast("date").alias("start_date"), F.date_add(F.col("o_orderdate").cast("date"), F.pmod("o_orderkey", F.lit(900)).cast("int")).alias("completion_date"),
+        ),
+        "interventions": drugs.select(at, nct("l_orderkey"), e("CASE WHEN l_linenumber % 4 = 3 THEN 'Device' ELSE 'Drug' END").alias("intervention_type"), e("concat(p_name, ' ', p_partkey)").alias("name")),
+        "conditions": places.select(F.col("o_orderkey").alias("id"), nct("o_orderkey"), F.col("n_name").alias("name")).unionByName(
+            places.where("o_orderkey % 5 = 0").select((-F.col("o_orderkey")).alias("id"), nct("o_orderkey"), region.alias("name"))
+        ),
+        "sponsors": owners.where("o_orderkey % 13 != 0").select(F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("id"), nct("o_orderkey"), F.col("c_name").alias("name"), F.lit("lead").alias("lead_or_collaborator")).unionByName(
+            line.join(supplier, line.l_suppkey == supplier.s_suppkey).select(F.concat(F.lit("a"), at).alias("id"), nct("l_orderkey"), F.col("s_name").alias("name"), e("CASE WHEN l_linenumber = 6 THEN 'lead' ELSE 'collaborator' END").alias("lead_or_collaborator"))
+        ),
+        "browse_interventions": drugs.select(nct("l_orderkey"), e("CASE WHEN p_size % 3 <> 0 THEN p_brand END").alias("mesh_term")),
+        "browse_conditions": places.select(nct("o_orderkey"), region.alias("mesh_term"), F.lower(region).alias("downcase_mesh_term")),
+        "mesh_terms": table(spark, sf_dir, "region").select(e("concat('region ', r_regionkey)").alias("downcase_mesh_term"), F.explode(e("array(concat('C', r_regionkey, '4'), concat('F0', r_regionkey), concat('Z0', r_regionkey), CASE WHEN r_regionkey = 1 THEN 'C04' END)")).alias("tree_number")),
+        "brief_summaries": line.select(nct("l_orderkey"), e("CASE WHEN l_quantity > 49 THEN concat('of Peptides ', l_returnflag) ELSE 'none' END").alias("description")),
+    }
+
+
+_NCT = "'NCT' || lpad({}::VARCHAR, 8, '0')"
+_ID = "lpad(l_orderkey::VARCHAR, 10, '0') || ':' || lpad(l_linenumber::VARCHAR, 10, '0') || ':' || lpad(l_partkey::VARCHAR, 10, '0') || ':' || lpad(l_suppkey::VARCHAR, 10, '0') || ':' || strftime(l_shipdate, '%Y%m%d')"
+#: The same tables in DuckDB's SQL.
+REGISTRY = f"""studies AS (SELECT {_NCT.format('o_orderkey')} AS nct_id, CASE WHEN o_orderkey % 10 = 9 THEN 'Observational' ELSE 'Interventional' END AS study_type, 'Study ' || o_orderpriority AS brief_title,
+        'A study of ' || CASE WHEN o_orderkey % 11 = 0 THEN 'PEPTIDE' ELSE 'drug' END || ' ' || o_custkey AS official_title, o_orderdate::DATE AS start_date, o_orderdate::DATE + (o_orderkey % 900)::INT AS completion_date FROM orders),
+    interventions AS (SELECT {_ID} AS id, {_NCT.format('l_orderkey')} AS nct_id, CASE WHEN l_linenumber % 4 = 3 THEN 'Device' ELSE 'Drug' END AS intervention_type, p_name || ' ' || p_partkey AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+    places AS (SELECT o_orderkey, n_name, n_regionkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    conditions AS (SELECT o_orderkey AS id, {_NCT.format('o_orderkey')} AS nct_id, n_name AS name FROM places UNION ALL SELECT -o_orderkey, {_NCT.format('o_orderkey')}, 'Region ' || n_regionkey FROM places WHERE o_orderkey % 5 = 0),
+    sponsors AS (SELECT 'b' || o_orderkey AS id, {_NCT.format('o_orderkey')} AS nct_id, c_name AS name, 'lead' AS lead_or_collaborator FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 13 <> 0
+        UNION ALL SELECT 'a' || {_ID}, {_NCT.format('l_orderkey')}, s_name, CASE WHEN l_linenumber = 6 THEN 'lead' ELSE 'collaborator' END FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    browse_interventions AS (SELECT {_NCT.format('l_orderkey')} AS nct_id, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS mesh_term FROM lineitem JOIN part ON l_partkey = p_partkey),
+    browse_conditions AS (SELECT {_NCT.format('o_orderkey')} AS nct_id, 'Region ' || n_regionkey AS mesh_term, 'region ' || n_regionkey AS downcase_mesh_term FROM places),
+    mesh_terms AS (SELECT 'region ' || r_regionkey AS downcase_mesh_term, unnest(['C' || r_regionkey || '4', 'F0' || r_regionkey, 'Z0' || r_regionkey, CASE WHEN r_regionkey = 1 THEN 'C04' END]) AS tree_number FROM region),
+    brief_summaries AS (SELECT {_NCT.format('l_orderkey')} AS nct_id, CASE WHEN l_quantity > 49 THEN 'of Peptides ' || l_returnflag ELSE 'none' END AS description FROM lineitem),
+    drug_terms AS (SELECT nct_id, array_to_string(list_sort(list(DISTINCT mesh_term)), '|') AS terms FROM browse_interventions WHERE mesh_term IS NOT NULL GROUP BY 1),
+    condition_terms AS (SELECT nct_id, array_to_string(list_sort(list(DISTINCT mesh_term)), '|') AS terms FROM browse_conditions GROUP BY 1),
+    tree_numbers AS (SELECT nct_id, array_to_string(list_sort(list(DISTINCT tree_number)), '|') AS terms FROM browse_conditions JOIN mesh_terms USING (downcase_mesh_term) WHERE tree_number LIKE 'C%' OR tree_number LIKE 'F%' GROUP BY 1),
+    leads AS (SELECT nct_id, arg_min(name, id) AS sponsor FROM sponsors WHERE lead_or_collaborator = 'lead' GROUP BY 1),
+    scan AS (SELECT s.nct_id, i.id AS i_id, c.id AS c_id, s.brief_title, s.official_title, s.start_date, s.completion_date, i.name AS intervention, c.name AS indication, l.sponsor, coalesce(d.terms, '') AS drug_terms, coalesce(k.terms, '') AS condition_terms, coalesce(n.terms, '') AS trees
+        FROM studies s JOIN interventions i ON i.nct_id = s.nct_id AND upper(i.intervention_type) = 'DRUG' JOIN conditions c ON c.nct_id = s.nct_id LEFT JOIN leads l ON l.nct_id = s.nct_id
+        LEFT JOIN drug_terms d ON d.nct_id = s.nct_id LEFT JOIN condition_terms k ON k.nct_id = s.nct_id LEFT JOIN tree_numbers n ON n.nct_id = s.nct_id WHERE upper(s.study_type) = 'INTERVENTIONAL')"""

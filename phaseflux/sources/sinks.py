@@ -5,12 +5,15 @@ from __future__ import annotations
 import csv
 import html
 import math
+import re
 import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
+from .readers import LABELS
+
 Rows = list[dict]
 
 
@@ -31,6 +34,23 @@ def write_csv(rows: Rows, path: str) -> None:
             out.writerows(rows)
 
 
+def write_state(rows: Rows, path: str) -> None:
+    """The label file, as a whole, after every decision: its fixed columns whatever else the rows have."""
+    names = [x.split()[0] for x in LABELS.split(", ")]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        out = csv.DictWriter(file, names, extrasaction="ignore")
+        out.writeheader()
+        out.writerows(rows)
+
+
+def write_sample(old: DataFrame, new: DataFrame, path: str) -> None:
+    """The sampled pairs after those sampled before, as one CSV file; columns that one side lacks are empty."""
+    names = [*old.columns, *(c for c in new.columns if c not in old.columns)]
+    rows = collected(old) + collected(new)
+    write_csv([{c: r.get(c) for c in names} for r in rows], path)
+
+
 def cell(value: object) -> str:
     if value is None:
         return "—"
@@ -68,9 +88,9 @@ def _sheet(rows: Rows) -> str:
 
 
 def write_xlsx(tables: dict[str, Rows], path: str) -> None:
-    """A workbook with a sheet per table; names are cut to 31 characters."""
+    """A workbook with a sheet per table; names are cut to 31 characters, and those that a workbook may not have are spaces."""
     main, office = "http://schemas.openxmlformats.org", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    names = [x[:31] for x in tables]
+    names = [re.sub(r"[\\/*?:\[\]]", " ", x)[:31] for x in tables]
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         kinds = "".join(f'<Override PartName="/xl/worksheets/s{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(names)))
         out.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{main}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
