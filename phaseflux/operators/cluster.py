@@ -58,23 +58,23 @@ def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
     """One row per key: the first trial's names and labels, trial ids in order with repeats, distinct sponsors first seen, top
     phase, dates, trees, modal MeSH terms, and the least p-value of its single-arm trials (`is_single_arm`, if there) by phase.
 
-    Only one list carries the order (`ord`), as long as a candidate has trials; what a query does not use is not gathered.
+    Lists that keep the order (`ord`) are as long as a candidate has trials; what a query does not use is not gathered.
     """
     rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | (approvals() if "outcome" in trials.columns else {}))
     labels = [x for x in LABELS if x in rows.columns]  # trials that nobody has labelled have none
     first = F.min_by(F.struct("intervention", "indication", *labels), "ord")
-    seen = F.sort_array(F.collect_list(F.struct("ord", "nct_id", "sponsor", "mesh_drug_terms", "mesh_condition_terms")))
+    seen, terms = (F.sort_array(F.collect_list(F.struct("ord", *c))) for c in (("nct_id", "sponsor"), ("mesh_drug_terms", "mesh_condition_terms")))
     single = F.col("is_single_arm") if "is_single_arm" in rows.columns else F.lit(True)
     p = lambda i: F.min(F.when(single & (F.col("phase") == f"Phase {i}"), F.col("p_value")))
     out = rows.groupBy("candidate_id").agg(
-        first.alias("first"), seen.alias("seen"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
+        first.alias("first"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
         F.collect_set("trees").alias("trees"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
     )
     sponsors = F.array_distinct(F.filter(F.col("seen.sponsor"), lambda s: F.coalesce(s, F.lit("")) != ""))
     return out.select(
         "candidate_id", text.cluster_key(F.col("first.intervention")).alias("drug_name"), text.cluster_key(F.col("first.indication")).alias("indication"), F.col("first.intervention").alias("drug_name_raw"),
         F.col("seen.nct_id").alias("trial_ids"), vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
-        F.sort_array(F.array_distinct(F.flatten("trees"))).alias("trees"), "ord", modal(F.flatten("seen.mesh_drug_terms")).alias("mesh_drug"), modal(F.flatten("seen.mesh_condition_terms")).alias("mesh_indication"),
+        F.sort_array(F.array_distinct(F.flatten("trees"))).alias("trees"), "ord", modal(F.flatten("terms.mesh_drug_terms")).alias("mesh_drug"), modal(F.flatten("terms.mesh_condition_terms")).alias("mesh_indication"),
         *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
     )
 
