@@ -1,34 +1,40 @@
-"""URL rules, by a sorted array of digests that workers hold as one memory map.
+"""URL rules, by a sorted array of digests that workers share as a memory map.
 
-The rules' 64-bit digests stand sorted in the map, their full strings after them. A batch of URLs forms its
-candidate strings (each suffix of the host at a dot with each rule length of path), digests them, and finds
+The rules' 64-bit digests stand sorted in a file, their full strings after them. Spark gives each executor a copy of the
+file, which all its workers map, so that its pages are in memory once; a new executor fetches it again. A batch of URLs
+forms its candidate strings (each suffix of the host at a dot with each rule length of path), digests them, and finds
 all of them with one vectorised binary search; a hit counts only if the stored string is the same.
-The map has no file: the rules travel as a broadcast and are mapped anonymously, so a lost worker needs no
-folder of its machine to go on. Rules are a small fixed list, whose size build() checks.
+
+A list beyond MOST bytes is not sent to every executor: its digests and those of the distinct URLs' candidates are sorted
+and joined by Spark instead, with the same check of the strings.
 """
 
 from __future__ import annotations
 
+import hashlib
 import mmap
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of rules that a broadcast may have.
+from .scratch import bounded, root
+
+#: Bytes of rules that every executor may get.
 MOST = 64 << 20
 _OUT = "page_id long, host string, path string, rule string, verdict string"
 
 
 class Rules:
-    """(host, path, verdict) rules in one block of bytes: count, digests, verdicts, ends of strings, strings."""
+    """(host, path, verdict) rules in a mapped file: count, digests, verdicts, ends of strings, strings."""
 
-    def __init__(self, data: bytes, lengths: list[int]):
-        self.map = mmap.mmap(-1, max(len(data), 1))
-        self.map[: len(data)] = data
+    def __init__(self, path: str, lengths: list[int]):
+        with open(path, "rb") as file:
+            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         n = int(np.frombuffer(self.map, np.int64, 1)[0])
         self.keys = np.frombuffer(self.map, np.uint64, n, 8)
         self.allow = np.frombuffer(self.map, np.int64, n, 8 + 8 * n)
@@ -50,6 +56,21 @@ class Rules:
         return out
 
 
+def _shared(spark: SparkSession, data: bytes) -> str:
+    """Name under which every executor finds the bytes: the driver writes them to the shared folder, from which Spark hands them out."""
+    name = f"rules-{hashlib.blake2b(data, digest_size=12).hexdigest()}"
+    jvm, context = spark._jvm, spark.sparkContext
+    if not any(x.endswith(f"/{name}") for x in context.listFiles):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        context.addFile(path.toString())
+    return name
+
+
 def build(rules: Sequence[tuple[str, str, str]]) -> tuple[bytes, list[int]]:
     """The rules' block, and the lengths that their paths have."""
     rows = sorted({(xxhash.xxh64_intdigest(x), x, v) for h, p, v in rules for x in [_rule(h, p)]})
@@ -57,10 +78,7 @@ def build(rules: Sequence[tuple[str, str, str]]) -> tuple[bytes, list[int]]:
         raise ValueError(f"verdicts are allow or block, not {sorted(bad)}")
     ends = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in rows])]).astype(np.int64)
     head = [np.array([len(rows)], np.int64), np.array([k for k, _, _ in rows], np.uint64), np.array([v == "allow" for _, _, v in rows], np.int64), ends]
-    data = b"".join([*(x.tobytes() for x in head), *(x for _, x, _ in rows)])
-    if len(data) > MOST:
-        raise ValueError(f"{len(data)} bytes of rules are too many to send to every worker")
-    return data, sorted({len(p) for _, p, _ in rules})
+    return b"".join([*(x.tobytes() for x in head), *(x for _, x, _ in rows)]), sorted({len(p) for _, p, _ in rules})
 
 
 def _rule(host: str, path: str) -> bytes:
@@ -83,20 +101,25 @@ def split(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), path
 
 
-def _judging(data: bytes, lengths: list[int], default: str):
+def _candidates(host: str, path: str, lengths: Sequence[int]) -> list[bytes]:
+    """The strings of all rules that would fit a URL."""
+    out, suffix = [], host
+    while suffix:
+        out += [_rule(suffix, path[:n]) for n in lengths if n <= len(path)]
+        suffix = suffix.partition(".")[2]
+    return out
+
+
+def _judging(name: str, lengths: list[int], default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(data, lengths)
+        rules = Rules(SparkFiles.get(name), lengths)
         for batch in batches:
             urls = [split(x) for x in batch["url"].to_pylist()]
             of, strings = [], []
             for i, (host, path) in enumerate(urls):
-                suffix = host
-                while suffix:
-                    for n in lengths:
-                        if n <= len(path):
-                            of.append(i)
-                            strings.append(_rule(suffix, path[:n]))
-                    suffix = suffix.partition(".")[2]
+                own = _candidates(host, path, lengths)
+                of += [i] * len(own)
+                strings += own
             hits = rules.find(strings)
             best: list[int] = [-1] * len(urls)
             long = [-1] * len(urls)
@@ -112,13 +135,57 @@ def _judging(data: bytes, lengths: list[int], default: str):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def _forming(lengths: list[int]):
+    """Host, path and candidate strings, with their digests, of each distinct URL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = [split(x) for x in batch["url"].to_pylist()]
+            own = [_candidates(h, p, lengths) for h, p in urls]
+            keys = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in each] for each in own]
+            yield pa.RecordBatch.from_arrays([batch["url"], pa.array([h for h, _ in urls], pa.string()), pa.array([p for _, p in urls], pa.string()), pa.array(own, pa.list_(pa.binary())), pa.array(keys, pa.list_(pa.int64()))], ["url", "host", "path", "strings", "keys"])
+
+    return run
+
+
+def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        strings = [_rule(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in strings], pa.int64()), pa.array(strings, pa.binary()), batch["verdict"]], ["key", "string", "verdict"])
+
+
+def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same verdicts by a join of sorted digests, for lists of any size: distinct URLs meet the rules once.
+
+    A candidate that very many URLs have ("com/") is one row when it meets the rules; the URLs that have it are then split by
+    Spark's adaptive skew join, as it has one row on the other side.
+    """
+    rules = rules.select("host", "path", "verdict").distinct()
+    lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect())  # distinct lengths of paths: few
+    listed = rules.mapInArrow(_digesting, "key long, string binary, verdict string")
+    urls = rows.select("url").where("url IS NOT NULL").distinct().mapInArrow(_forming(lengths), "url string, host string, path string, strings array<binary>, keys array<long>")
+    each = urls.select("url", F.explode(F.arrays_zip("keys", "strings")).alias("c")).select("url", F.col("c.keys").alias("key"), F.col("c.strings").alias("string"))
+    hits = each.select("key", "string").distinct().join(listed.hint("merge"), ["key", "string"])
+    best = each.join(hits, ["key", "string"]).groupBy("url").agg(F.max(F.struct(F.length("string").alias("n"), "string", "verdict")).alias("best"))
+    judged = urls.select("url", "host", "path").join(best, "url", "left")
+    out = rows.join(judged, "url", "left")
+    name = F.decode(F.unhex(F.regexp_replace(F.hex("best.string"), "^((?:..)*?)00", "$1")), "UTF-8")
+    return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), name.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most: int = MOST) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per input row; other columns are not read.
 
     A rule (host, path, verdict) fits its host and all subdomains if the path starts with the rule's; of
     several the longest string decides. `default` is the verdict where none fits, since a URL that the
     array does not hold is not listed. A null URL, or one without "://", has an empty host and path, fits
-    no rule and gets the default. Null ids and repeated rows are judged like others. No rows: no rows.
+    no rule and gets the default. Null ids, repeated rows and very long URLs are judged like others. No rows: no rows.
+    Rules are a list, which is mapped, or a frame (host, path, verdict) of any size; beyond `most` bytes they are joined.
     """
-    data, lengths = build(rules)
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(_judging(data, lengths, default), _OUT)
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    if not isinstance(rules, DataFrame):
+        data, lengths = build(rules)
+        if len(data) <= most:
+            return rows.mapInArrow(_judging(_shared(pages.sparkSession, data), lengths, default), _OUT)
+        rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    return _joined(rows, rules, default)

@@ -332,6 +332,14 @@ def test_urls(spark):
         0: ("a.example.com", "/en/x", "example.com/en/", "block"), 1: ("www.example.com", "/en/", "www.example.com/en/", "allow"), 2: ("b.net", "/es/1", "net/es/", "block"), 3: ("net", "/fr/", "net/fr/", "block"),
         4: ("x.org", "/", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("example.com", "", None, "allow"), 8: ("n.com", "/a", "com/", "allow"), 9: ("anet", "/es/", None, "allow"),
     }
+    # a list that is too large to hand out is joined, with the same verdicts; so is a frame; null ids, repeats and a very long URL
+    more = rows.union(rows).union(spark.createDataFrame([(None, "http://net/fr/" + "x" * 200_000, "r"), (None, None, "r")], rows.schema))
+    want = sorted(map(str, url_filter.judge_urls(more, RULES).collect()))
+    assert len(want) == 22 and sum("page_id=None" in x for x in want) == 2
+    assert sorted(map(str, url_filter.judge_urls(more, RULES, most=10).collect())) == want
+    odd = [*RULES, ("b.net", "es", "allow"), ("", "/", "block")]
+    frame_ = spark.createDataFrame(odd, "host string, path string, verdict string")
+    assert sorted(map(str, url_filter.judge_urls(more, frame_).collect())) == sorted(map(str, url_filter.judge_urls(more, odd).collect()))
 
 
 def test_empty_tables(spark):
