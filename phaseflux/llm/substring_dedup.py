@@ -5,10 +5,11 @@ every window, each window is named by its least hash of `m` words (equal windows
 that one text alone holds are dropped, and only windows with another name are dealt out. A window that
 occurs in two documents becomes a row with its first document and its neighbours; where a window's only
 follower has it as only forerunner, both occur in the same places, so paths compact and only the two ends of a
-path return to each document that holds it. The ends are source coordinates: they mark, in each later
-document, the span that a smaller id also has.
+path return to each document that holds it. There they mark the span that a smaller id also has, with its source:
+that document and the place of the path in it. The words at the source are digested, and a span is cut only where
+its own words have the same digest; window hashes alone cut nothing.
 
-Whole documents that repeat another's words are set aside first; they are removed as a whole.
+Whole documents that repeat another's words (by a digest of all of them) are set aside first; they are removed as a whole.
 """
 
 from __future__ import annotations
@@ -108,6 +109,23 @@ def _running(k: int, m: int):
     return run
 
 
+def _digest(words_: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words_), digest_size=16).digest()
+
+
+def _attesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of the words at each source that a text is asked for."""
+    for batch in batches:
+        keys, checks, digests = [], [], []
+        for text, asks in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["asks"].to_pylist(), strict=True):
+            own = (text or b"").split()
+            for ask in asks:
+                keys.append(ask["key"])
+                checks.append(ask["check"])
+                digests.append(_digest(own[ask["at"] : ask["at"] + ask["length"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(checks, pa.int32()), pa.array(digests, pa.binary())], ["key", "check", "digest"])
+
+
 def _cutting(k: int):
     """Removes the words that the spans cover."""
 
@@ -117,17 +135,13 @@ def _cutting(k: int):
             for a, b in words.chunks(texts, 1 << 20):
                 part = batch.slice(a, b - a)
                 total, gone, spans, kept = [], [], [], []
-                for text, heads, tails, copy in zip(texts.slice(a, b - a).to_pylist(), part["heads"].to_pylist(), part["tails"].to_pylist(), part["copy"].to_pylist(), strict=True):
+                for text, found, copy in zip(texts.slice(a, b - a).to_pylist(), part["spans"].to_pylist(), part["copy"].to_pylist(), strict=True):
                     own = (text or b"").split()
                     total.append(len(own))
-                    cover = _cover(len(own), heads, tails, bool(copy), k)
+                    cover = _cover(own, found, bool(copy), k)
                     spans.append([{"start": s, "end": e} for s, e in cover])
                     gone.append(sum(e - s for s, e in cover))
-                    at, rest = 0, []
-                    for s, e in [*cover, (len(own), len(own))]:
-                        rest += own[at:s]
-                        at = e
-                    kept.append(b" ".join(rest))
+                    kept.append(b" ".join(_rest(own, cover)))
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string()),
                 ], ["doc_id", "n_words", "n_removed", "spans", "text"])
@@ -135,16 +149,26 @@ def _cutting(k: int):
     return run
 
 
-def _cover(count: int, heads: list[int] | None, tails: list[int] | None, copy: bool, k: int) -> list[tuple[int, int]]:
-    """Disjoint word ranges that the paths from each head to the next tail cover, or all of a copy."""
-    if copy and count >= k:
-        return [(0, count)]
+def _rest(own: list[bytes], cover: list[tuple[int, int]]) -> list[bytes]:
+    at, rest = 0, []
+    for s, e in [*cover, (len(own), len(own))]:
+        rest += own[at:s]
+        at = e
+    return rest
+
+
+def _cover(own: list[bytes], spans: list[dict] | None, copy: bool, k: int) -> list[tuple[int, int]]:
+    """Disjoint word ranges that the spans with their source's words cover, or all of a copy."""
+    if copy and len(own) >= k:
+        return [(0, len(own))]
     out: list[tuple[int, int]] = []
-    for s, e in zip(sorted(heads or []), sorted(tails or []), strict=True):
+    for s, e, digest in sorted((x["start"], x["end"], x["digest"]) for x in spans or []):
+        if _digest(own[s:e]) != digest:
+            continue
         if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], e + k)
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
-            out.append((s, e + k))
+            out.append((s, e))
     return out
 
 
@@ -178,7 +202,7 @@ def path_ends(windows: DataFrame) -> DataFrame:
 
 
 def _marks(rows: DataFrame, scratch: Scratch, k: int, m: int) -> DataFrame:
-    """(ord, tkey, copy, heads, tails) of the rows that lose words: whole copies, and ends of repeated paths."""
+    """(ord, tkey, copy, spans) of the rows that lose words: whole copies, and repeated paths with the digest of their source."""
     named = scratch.keep(rows.select("ord", "tkey", "text").mapInArrow(_naming(k, m), _NAMES))
     count = named.count()
     first = scratch.keep(named.groupBy("cls").agg(F.min("ord").alias("least")), rows=count)
@@ -194,13 +218,31 @@ def _marks(rows: DataFrame, scratch: Scratch, k: int, m: int) -> DataFrame:
     ends = scratch.keep(path_ends(windows), windows)
     at = F.posexplode(F.slice("keys", 2, F.size("keys") - 2))
     places = runs.select("ord", "tkey", "start", "checks", at.alias("i", "key")).select("ord", "tkey", "key", F.expr("checks[i + 1]").alias("check"), (F.col("start") + F.col("i")).alias("at"))
-    marks = places.join(ends, ["key", "check"]).where("ord > owner")
-    marks = marks.groupBy("ord", "tkey").agg(*(F.collect_set(F.when(F.col(x), F.col("at"))).alias(f"{x}s") for x in ("head", "tail")))
-    marks = scratch.keep(marks.join(copies, ["ord", "tkey"], "full"), ends, WIDE * count)
-    scratch.drop(runs, copies)
+    placed = scratch.keep(places.join(ends, ["key", "check"]), ends, WIDE * count)
+    scratch.drop(runs)
+    spans = scratch.keep(_spans(placed, k), rows=WIDE * count)
+    first = placed.where("head and ord = owner").groupBy("key", "check").agg(F.min(F.struct("ord", "tkey", "at")).alias("src"))
+    length = spans.groupBy("key", "check").agg(F.max(F.col("end") - F.col("start")).alias("length"))
+    asks = first.join(length, ["key", "check"]).groupBy("src.ord", "src.tkey").agg(F.collect_list(F.struct("key", "check", "src.at", "length")).alias("asks"))
+    asks = scratch.keep(asks, placed, count)
+    sources = rows.join(asks, ["ord", "tkey"]).select("text", "asks").mapInArrow(_attesting, "key long, check int, digest binary")
+    sources = scratch.keep(sources.distinct(), asks, WIDE * count)
+    marks = spans.join(sources, ["key", "check"]).groupBy("ord", "tkey").agg(F.collect_list(F.struct("start", "end", "digest")).alias("spans"))
+    marks = scratch.keep(marks.join(copies, ["ord", "tkey"], "full"), spans, WIDE * count)
+    scratch.drop(sources, copies)
     return marks
 
 
+def _spans(placed: DataFrame, k: int) -> DataFrame:
+    """(ord, tkey, start, end, key, check): word ranges from each head of a path to its tail, in texts after the path's first."""
+    ends = placed.where("ord > owner").groupBy("ord", "tkey").agg(
+        F.sort_array(F.collect_set(F.when(F.col("head"), F.struct("at", "key", "check")))).alias("heads"), F.sort_array(F.collect_set(F.when(F.col("tail"), F.col("at")))).alias("tails")
+    )
+    zipped = F.when(F.size("heads") == F.size("tails"), F.arrays_zip("heads", "tails")).otherwise(F.raise_error(F.lit("a path without an end")))
+    each = ends.select("ord", "tkey", F.explode(zipped).alias("x"))
+    return each.select("ord", "tkey", F.col("x.heads.at").alias("start"), (F.col("x.tails") + k).alias("end"), "x.heads.key", "x.heads.check")
+
+
 def substring_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = PIECE) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, text), one row per input row; other columns are not read.
 
@@ -211,7 +253,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     rows = _read(docs, id_col, text_col)
     marks = _marks(rows, scratch, k, m)
-    return gathered(rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "heads", "tails", "copy"), size(docs)).mapInArrow(_cutting(k), _OUT)
+    return gathered(rows.join(marks, ["ord", "tkey"], "left").select("doc_id", "text", "spans", "copy"), size(docs)).mapInArrow(_cutting(k), _OUT)
 
 
 def cut_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = PIECE) -> DataFrame:
@@ -225,7 +267,7 @@ def cut_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
 
 def _cut(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     names = docs.columns
-    extra = {x: fresh(f"{x}__", docs) for x in ("ord", "tkey", "heads", "tails", "copy")}
+    extra = {x: fresh(f"{x}__", docs) for x in ("ord", "tkey", "spans", "copy")}
     rows = docs.withColumns({extra["ord"]: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), extra["tkey"]: F.xxhash64(text_col)})
     rows = rows.join(marks.select(*(F.col(a).alias(b) for a, b in extra.items())), [extra["ord"], extra["tkey"]], "left")
 
@@ -233,17 +275,14 @@ def _cut(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, k: int)
         for batch in batches:
             texts = batch[text_col].to_pylist()
             keep = [True] * len(texts)
-            marked = zip(*(batch[extra[x]].to_pylist() for x in ("heads", "tails", "copy")), strict=True)
-            for i, (heads, tails, copy) in enumerate(marked):
-                if not heads and not copy:
+            marked = zip(batch[extra["spans"]].to_pylist(), batch[extra["copy"]].to_pylist(), strict=True)
+            for i, (spans, copy) in enumerate(marked):
+                if not spans and not copy:
                     continue
                 own = (texts[i] or "").encode().split()
-                cover = _cover(len(own), heads, tails, bool(copy), k)
-                at, rest = 0, []
-                for s, e in [*cover, (len(own), len(own))]:
-                    rest += own[at:s]
-                    at = e
+                cover = _cover(own, spans, bool(copy), k)
                 if cover:
+                    rest = _rest(own, cover)
                     texts[i], keep[i] = b" ".join(rest).decode(), bool(rest)
             columns = [pa.array(texts, pa.string()) if x == text_col else batch[x] for x in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
