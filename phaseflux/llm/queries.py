@@ -106,6 +106,18 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
             SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.c, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.c, v.vec_id)) AS kept
             FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id""",
+        "op2_minhash_dedup": f"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {space}), lambda x: x <> '') AS w FROM documents),
+            g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_slice(w, i, i + 1) END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+            h AS (SELECT doc_id, n, s FROM g JOIN n USING (doc_id)),
+            i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2),
+            l0 AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (x + y - c)),
+            l AS (SELECT a, b FROM l0 UNION ALL SELECT b, a FROM l0),
+            reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+            c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.c, d.doc_id)) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id""",
         "op10_substring_dedup": f"""
             WITH d AS (
                 SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {space}), lambda x: x <> '') AS w FROM documents),

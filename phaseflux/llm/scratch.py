@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of input that a task gets at least, where they are known; bytes of an Arrow batch and rows of a column batch at most.
 ROWS, LEAST, BATCH, COLUMNS = 16_384, 4 << 20, 4 << 20, 512
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: set[Scratch] = set()
 
 
@@ -78,12 +79,16 @@ class Scratch:
         self._n += 1
         path = f"{self.path}/{self._n}"
         out = frame if rows is None else frame.coalesce(max(1, -(-rows // ROWS)))
-        out.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEAN)
+        conf.set(_CLEAN, "true")  # nothing reads the shuffles of this write again: they go when it ends
+        try:
+            out.write.parquet(path)
+        finally:
+            conf.set(_CLEAN, before)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._kept_at = path
         if replaces is not None:
             self.drop(replaces)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that nothing refers to
         return out
 
     def drop(self, *frames: DataFrame) -> None:
