@@ -250,7 +250,9 @@ def near_dedup(
     classes = scratch.keep(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep is not null"), rows=count)
     reps = scratch.keep(signed.join(classes, "cls").where("doc_id = rep").select("rep", "bands", "signature"), rows=count)
     held = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    ends = held.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    # `^ 0` gives the joins exchanges of their own on these sides, so that a hot bucket's rows can be split there
+    own = F.expr("key ^ 0L AS key")
+    ends = held.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", own, "low", "high")
     shared = scratch.keep(held.join(ends, ["band", "key"]), rows=WIDE * count)  # the few rows whose bucket holds another set
     star = shared.select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep != to")
     met = shared.count()
@@ -262,7 +264,7 @@ def near_dedup(
     scratch.drop(alike, sets)
     found = scratch.keep(components(links, scratch, 2 * met), links, count)
     shared = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    split = shared.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", own)
     open_ = scratch.keep(shared.join(split, ["band", "key"]).select(F.col("rep").alias("doc_id"), "component").distinct(), rows=count)
     sets = _sets(texts, scratch.keep(open_.select("doc_id").distinct(), rows=count), scratch, size, count)
     sets = scratch.keep(sets.join(open_, "doc_id"), sets, WIDE * count)
