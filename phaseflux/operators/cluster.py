@@ -111,7 +111,7 @@ def two_level(names: DataFrame, lookup: DataFrame) -> DataFrame:
 def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     """Candidates of one drug id (else MeSH drug) and indication (MeSH, else its name) as one; the others pass through.
 
-    A merged candidate has the first one's names and labels, distinct ids and sponsors in order, the top phase and the outer
+    A merged candidate has the first one's names and labels, distinct ids and sponsors in order, all trees, the top phase and the outer
     dates, and loses its p-values, as the result it reproduces does. Candidates without either key group by themselves, so
     that one aggregation makes all rows.
     """
@@ -119,8 +119,8 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     rows = (cands if keep_unmatched else cands.where(known.isNotNull())).withColumns({
         "g_drug": F.coalesce(known, "candidate_id"), "g_area": F.when(known.isNotNull(), F.coalesce("mesh_indication", "indication")), "rank": rank("highest_phase"),
     })
-    n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors")))
-    firsts = [c for c in cands.columns if c not in ("trial_ids", "sponsors", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
+    n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors", "trees")))
+    firsts = [c for c in cands.columns if c not in ("trial_ids", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
     sums = rows.groupBy("g_drug", "g_area", known.isNull().alias("alone")).agg(
         F.min_by(F.struct(*firsts, *(c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns)), "ord").alias("first"), n.alias("merged"), listed.alias("parts"),
         F.max("rank").alias("rank"), F.min("earliest_start").alias("earliest_start"), F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"),
@@ -129,6 +129,7 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     kept = [F.when(one, F.col(f"first.{c}")).alias(c) for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns]
     return sums.select(
         *(F.col(f"first.{c}") for c in firsts), "merged", F.when(one, ids).otherwise(F.array_distinct(ids)).alias("trial_ids"), F.array_distinct(F.flatten("parts.sponsors")).alias("sponsors"),
+        F.sort_array(F.array_distinct(F.flatten("parts.trees"))).alias("trees"),
         vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), "earliest_start", "latest_completion", "ord", *kept,
     )
 
