@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text, vocab
 from . import cluster
 
-STRATA = ("overall", "modality", "disease_area", "modality_disease_area")
 PHASES = vocab.STAGES[:3]
-_PLACE = "struct<stratum:string,modality:string,disease_area:string>"
 
 
 def level(phase: str = "highest_phase", outcome: str = "outcome") -> Column:

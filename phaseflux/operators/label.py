@@ -60,14 +60,14 @@ def _unsure(item: Column, *names: str) -> Column:
     return vocab.lookup(F.coalesce(*(item[x] for x in names), F.lit("")), vocab.CONFIDENCE, 0.0) <= LOW
 
 
-def _plain(column: str) -> Callable[[], Column]:
+def field_of(column: str) -> Callable[[], Column]:
     return lambda: F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("Unknown"))
 
 
 def classification() -> Task:
     return Task(
         "Classification", "Name the modality and the disease area of each candidate. Reply with a JSON array only, one object for each candidate_index.", f"Candidates:\n\n{PLACE}", text.REPLY,
-        {"Drug name": _plain("drug_name_raw"), "Indication": _plain("indication")},
+        {"Drug name": field_of("drug_name_raw"), "Indication": field_of("indication")},
         lambda item: {
             "modality": text.modality(F.coalesce(item["drug_modality"], F.lit("unknown"))), "disease_area": text.disease_area(F.coalesce(item["disease_area"], F.lit("unknown"))),
             "modality_confidence": text.confidence(item["modality_confidence"]), "disease_confidence": text.confidence(item["disease_confidence"]), "reasoning": F.coalesce(item["reasoning"], F.lit("")),
@@ -82,8 +82,8 @@ def adjudication() -> Task:
     return Task(
         "Adjudication", "Decide the development outcome of each candidate from its trials. Reply with a JSON array only, one object for each candidate_index.", f"Candidates:\n\n{PLACE}", text.OUTCOME_REPLY,
         {
-            "Drug name": _plain("drug_name_raw"), "Indication": _plain("indication"), "Highest phase reached": _plain("highest_phase"), "Number of trials": lambda: F.size("trial_ids").cast("string"),
-            "Sponsors": lambda: listed("sponsors"), "Earliest trial start": _plain("earliest_start"), "Latest trial completion": _plain("latest_completion"),
+            "Drug name": field_of("drug_name_raw"), "Indication": field_of("indication"), "Highest phase reached": field_of("highest_phase"), "Number of trials": lambda: F.size("trial_ids").cast("string"),
+            "Sponsors": lambda: listed("sponsors"), "Earliest trial start": field_of("earliest_start"), "Latest trial completion": field_of("latest_completion"),
         },
         lambda item: {
             "outcome": vocab.lookup(F.coalesce(item["outcome"], F.lit("UNKNOWN")), vocab.OUTCOMES, "Unknown"), "confidence": text.confidence(item["confidence"]), "reasoning": F.coalesce(item["reasoning"], F.lit("")),

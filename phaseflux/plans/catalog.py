@@ -240,7 +240,7 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
 @query("p17_prompt_block", "SELECT p_partkey, '[' || (p_partkey % 50) || ']' || chr(10) || 'Drug: ' || p_name || chr(10) || 'Size: ' || CASE WHEN p_size > 40 THEN 'Unknown' ELSE p_size::VARCHAR END AS block FROM part", False)
 def p17(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.table(spark, d, "part").withColumn("candidate_index", F.col("p_partkey") % 50).withColumn("size", F.expr("CASE WHEN p_size <= 40 THEN p_size END"))
-    return rows.select("p_partkey", label.block({"Drug": label._plain("p_name"), "Size": label._plain("size")}).alias("block"))
+    return rows.select("p_partkey", label.block({"Drug": label.field_of("p_name"), "Size": label.field_of("size")}).alias("block"))
 
 
 @query("p19_keys", "SELECT ord, sha256(lower(intervention) || '|' || lower(indication)) AS cache_key FROM trials")
