@@ -182,6 +182,9 @@ def _meeting(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     counts = np.zeros(COUNTERS, np.int32)
     counts[sketch["counter"].to_numpy()] = np.minimum(sketch["n"].to_numpy(), np.iinfo(np.int32).max)
     heads = scratch.keep(sets.select("doc_id", "component", "items").mapInArrow(_prefixes(counts, percent), _PREFIX))
+    # a shingle of one component only, as a family of versions has many of, pairs nothing
+    shared = heads.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(F.expr("token ^ 0L AS token"))
+    heads = scratch.keep(heads.join(shared, "token"), heads)
     of = lambda x: heads.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("r", "component", "n", "place")))
     least = lambda total: f"(({percent} * ({total}) + {99 + percent}) div {100 + percent})"
     small, large = of("a").where(f"place_a + {least('2 * n_a')} <= n_a"), of("b")

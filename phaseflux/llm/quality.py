@@ -34,7 +34,6 @@ _SIGNS[0x30:0x3A] = 3
 _SIGNS[[0x20, 9, 10, 11, 12, 13]] = 4
 _SIGNS[list(b",;:'\"()-")] = 5
 _SIGNS[list(b".?!")] = 6
-_KINDS = 8
 #: Labellers: name, measure, bad beyond (below, above), good within (from, to), least measure of words.
 LABELLERS = (
     ("shouting", "upper", None, 0.30, 0.0, 0.15, 8),
