@@ -30,6 +30,8 @@ def hybrid_key() -> Column:
 #: Ways to cluster by name; there is no strategy by embeddings, its name stands for the plain keys.
 STRATEGIES: dict[str, Strategy] = {"fuzzy": string_key, "embeddings": string_key, "hybrid": hybrid_key}
 LABELS = ("modality", "disease_area", "outcome", "approval_date", "market_date")
+#: Stands before a text key in groups and windows: rows are then sorted by a number, where long names with common starts are slow to compare.
+_HASH = "_hash"
 _PHASES = {rank: name for name, rank in vocab.PHASE_RANK.items()}
 
 
@@ -66,7 +68,7 @@ def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
     seen, terms = (F.sort_array(F.collect_list(F.struct("ord", *c))) for c in (("nct_id", "sponsor"), ("mesh_drug_terms", "mesh_condition_terms")))
     single = F.col("is_single_arm") if "is_single_arm" in rows.columns else F.lit(True)
     p = lambda i: F.min(F.when(single & (F.col("phase") == f"Phase {i}"), F.col("p_value")))
-    out = rows.groupBy("candidate_id").agg(
+    out = rows.groupBy(F.xxhash64("candidate_id").alias(_HASH), "candidate_id").agg(
         first.alias("first"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
         F.collect_set("trees").alias("trees"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
     )
@@ -82,7 +84,7 @@ def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
 def labelled(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
     """Trial rows with their candidate's id, labels, top rank and whether the row is the candidate's first, in one shuffle."""
     rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | approvals())
-    whole = Window.partitionBy("candidate_id")
+    whole = Window.partitionBy(F.xxhash64("candidate_id"), "candidate_id")
     first = F.min_by(F.struct("ord", *LABELS), "ord").over(whole)
     rows = rows.withColumns({"first": first, "top": F.max("rank").over(whole)}).withColumns({x: F.col(f"first.{x}") for x in LABELS})
     return rows.withColumn("is_first", F.col("first.ord") == F.col("ord")).withColumn("highest_phase", vocab.lookup(F.col("top"), _PHASES)).drop("first", "top", "rank")
@@ -121,7 +123,7 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     })
     n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors", "trees")))
     firsts = [c for c in cands.columns if c not in ("trial_ids", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
-    sums = rows.groupBy("g_drug", "g_area", known.isNull().alias("alone")).agg(
+    sums = rows.groupBy(F.xxhash64("g_drug", "g_area").alias(_HASH), "g_drug", "g_area", known.isNull().alias("alone")).agg(
         F.min_by(F.struct(*firsts, *(c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns)), "ord").alias("first"), n.alias("merged"), listed.alias("parts"),
         F.max("rank").alias("rank"), F.min("earliest_start").alias("earliest_start"), F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"),
     )

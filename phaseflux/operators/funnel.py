@@ -104,7 +104,7 @@ def of_trials(trials: DataFrame, key: cluster.Strategy = cluster.string_key) ->
     counted = F.when(F.col("is_first"), F.struct("modality", "disease_area", F.when(resolved(), level()).alias("level"), _years_to_market().alias("years")))
     years = F.when(F.col("phase").isin(*PHASES), stats.years(F.col("start_date"), F.col("completion_date")))
     span = F.when(years.isNotNull(), F.struct("phase", years.alias("years")))
-    studies = rows.groupBy("nct_id").agg(F.collect_set(place).alias("labels"), F.collect_list(counted).alias("cands"), F.collect_list(span).alias("spans"))
+    studies = rows.groupBy(F.xxhash64("nct_id"), "nct_id").agg(F.collect_set(place).alias("labels"), F.collect_list(counted).alias("cands"), F.collect_list(span).alias("spans"))
     parts = F.concat(F.flatten(F.transform("cands", lambda c: _counted(_places(c["modality"], c["disease_area"]), c["level"], c["years"]))), _span_parts(F.col("labels"), F.col("spans")))
     return _tallied(studies.select(F.explode(parts).alias("part")))
 

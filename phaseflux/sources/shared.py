@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 
 
 def kept(frame: DataFrame) -> DataFrame:
-    """The frame from a checkpoint in the shared folder, so that a lost executor repeats nothing before it."""
+    """The frame from a checkpoint in the shared folder, so that a lost executor repeats nothing before it.
+
+    Its files go with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they stay.
+    """
     spark = frame.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
