@@ -89,6 +89,14 @@ def p38(spark: SparkSession, d: str) -> DataFrame:
     return label.batched(rows, "id").select("p_partkey", "batch", "candidate_index")
 
 
+@query("p17_requests", """WITH n AS (SELECT p_partkey::VARCHAR AS id, p_name || ' ' || p_partkey AS drug, row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS i FROM part)
+    SELECT i // 50 AS batch, string_agg(id, ',' ORDER BY i) AS members, md5('Candidates:' || chr(10) || chr(10) || string_agg('[' || (i % 50 + 1) || ']' || chr(10) || 'Drug name: ' || drug || chr(10) || 'Indication: Unknown', chr(10) || chr(10) ORDER BY i)) AS prompt FROM n GROUP BY 1""", False)
+def p17_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapter.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("drug_name_raw"), F.lit("").alias("indication"))
+    asked = label.requests(rows, label.classification(), "candidate_id")
+    return asked.select("batch", F.array_join("members.id", ",").alias("members"), F.md5("prompt").alias("prompt"))
+
+
 def _judge(sure: bool) -> label.Model:
     """A stand-in for a model of outcomes: the first tier leaves out one in three and doubts one in five."""
 
