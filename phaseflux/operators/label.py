@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +105,10 @@ def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
     """`batch` and `candidate_index` (from 1): slices of `size` rows in the order of the ids, with no task that sees all rows.
 
     Rows are dealt by ranges of ids and numbered within each; one count for each range gives its first number. The dealt rows are
-    held, as their bounds would be drawn anew otherwise.
+    written to the shared folder, as the ranges' bounds would be drawn anew if they were dealt again.
     """
-    dealt = rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.DISK_ONLY)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = kept(rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumns({"_part": F.spark_partition_id(), "_at": at}))
     starts, total = {}, 0
     for r in sorted(dealt.groupBy("_part").count().collect()):  # a row for each range
         starts[r["_part"]], total = total, total + r["count"]
