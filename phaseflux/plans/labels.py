@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evaluate, ingest, label
 from ..sources import adapter, readers
-from .catalog import _CANDS, _keyed, cands, query, trials
+from .catalog import _CANDS, _answer, _keyed, cands, query, trials
 
 _SHOWN = "nct_id, i_id || '/' || c_id AS at, brief_title, start_date, completion_date, intervention, indication, sponsor, drug_terms, condition_terms, trees"
 
@@ -145,8 +145,6 @@ def u7_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u7_classified", """SELECT p_partkey::VARCHAR AS candidate_id, CASE WHEN p_partkey % 2 = 1 THEN 'peptide' ELSE 'vaccine' END AS modality, CASE WHEN p_partkey % 4 = 0 THEN 'oncology' ELSE 'autoimmune' END AS disease_area, CASE WHEN p_partkey % 4 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS disease_confidence FROM part""", False)
 def u7_classified(spark: SparkSession, d: str) -> DataFrame:
-    from .catalog import _answer
-
     none = spark.createDataFrame([], "cache_key string, modality string, disease_area string, modality_confidence double, disease_confidence double, reasoning string, created_at int")
     return label.classify(_parts(spark, d), none, _answer(False), _answer(True), F.lit(1)).labels.select("candidate_id", "modality", "disease_area", "disease_confidence")
 

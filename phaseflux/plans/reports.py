@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import funnel, report
 from ..sources import adapter
-from .catalog import _AREA, _CANDS, _CI, _FUNNEL, _GRID, _PAREA, _PERIODS, _REBUCKET, PERIODS, _loa_sql, _rounded, _transition_sql, cands, funnels, margins, query
+from .catalog import AS_OF, _AREA, _CANDS, _CI, _FUNNEL, _GRID, _PAREA, _PERIODS, _REBUCKET, PERIODS, _loa_sql, _rounded, _transition_sql, cands, funnels, margins, query
 
 _STEP = "CASE from_phase WHEN 'Phase 1' THEN 'P1→P2' WHEN 'Phase 2' THEN 'P2→P3' WHEN 'Phase 3' THEN 'P3→Appr' ELSE 'Appr→Mkt' END"
 _CROSS = f"""{_REBUCKET}, cross0 AS (SELECT modality, {_AREA.format('disease_area')} AS area, from_phase, sum(numerator)::BIGINT AS numerator, sum(denominator)::BIGINT AS denominator FROM funnel WHERE stratum = 'modality_disease_area' GROUP BY ALL),
@@ -86,8 +86,6 @@ def a36(spark: SparkSession, d: str) -> DataFrame:
     SELECT first || '–' || (cut - 1) AS period, count(*) FILTER (year < cut) AS n FROM p, y GROUP BY ALL UNION ALL SELECT cut || '–' || last, count(*) FILTER (year >= cut) FROM p, y GROUP BY ALL""")
 def g3_default(spark: SparkSession, d: str) -> DataFrame:
     rows = cands(spark, d)
-    from .catalog import AS_OF
-
     counts = {r["year"]: r["n"] for r in report.start_years(rows).where("year IS NOT NULL").collect()}  # a row for each year
     return report.periods(rows, report.default_periods(counts, AS_OF)).groupBy("period").agg(F.count("*").alias("n"))
 
