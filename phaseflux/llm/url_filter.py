@@ -62,12 +62,13 @@ def _shared(spark: SparkSession, data: bytes) -> str:
     jvm, context = spark._jvm, spark.sparkContext
     if not any(x.endswith(f"/{name}") for x in context.listFiles):
         path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = files.create(path, True)
         try:
             out.write(data)
         finally:
             out.close()
-        context.addFile(path.toString())
+        context.addFile(files.makeQualified(path).toString())
     return name
 
 
