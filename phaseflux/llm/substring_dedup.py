@@ -218,7 +218,7 @@ def _marks(rows: DataFrame, scratch: Scratch, k: int, m: int) -> DataFrame:
     ends = scratch.keep(path_ends(windows), windows)
     at = F.posexplode(F.slice("keys", 2, F.size("keys") - 2))
     places = runs.select("ord", "tkey", "start", "checks", at.alias("i", "key")).select("ord", "tkey", "key", F.expr("checks[i + 1]").alias("check"), (F.col("start") + F.col("i")).alias("at"))
-    placed = scratch.keep(places.join(ends, ["key", "check"]), ends, WIDE * count)
+    placed = scratch.keep(places.join(ends, ["key", "check"]).where("ord > owner or head"), ends, WIDE * count)
     scratch.drop(runs)
     spans = scratch.keep(_spans(placed, k), rows=WIDE * count)
     first = placed.where("head and ord = owner").groupBy("key", "check").agg(F.min(F.struct("ord", "tkey", "at")).alias("src"))
