@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
+from . import byte_bpe, centroid_clustering, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
 from .scratch import Scratch
 
 #: (host, path, verdict) of the URL rules.
@@ -69,9 +69,44 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+    return out.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round as a query of its own: the numbers of the nearest centroids, then the floors of the means."""
+    steps = [
+        f"""
+            x AS MATERIALIZED (
+                SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::HUGEINT) AS v FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+            x1 AS MATERIALIZED (SELECT vec_id, unnest(v) AS e, unnest(range(64)) AS d FROM x),
+            c0 AS MATERIALIZED (
+                SELECT c, unnest(v) AS e, unnest(range(64)) AS d
+                FROM (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM x QUALIFY c < {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+            a{r} AS MATERIALIZED (
+                SELECT vec_id, min_by(c, dist * {k} + c) AS c, min(dist) AS dist
+                FROM (SELECT vec_id, c, sum((x1.e - c{r}.e) * (x1.e - c{r}.e)) AS dist FROM x1 JOIN c{r} USING (d) GROUP BY vec_id, c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+            c{r + 1} AS MATERIALIZED (
+                SELECT o.c, o.d, CASE WHEN m.n IS NULL THEN o.e ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS e
+                FROM c{r} o LEFT JOIN (SELECT c, d, sum(e) AS s, count(*) AS n FROM x1 JOIN a{r} USING (vec_id) GROUP BY c, d) m USING (c, d))""")
+    return "WITH" + ",".join(steps) + f""",
+            h AS (SELECT c, sha256(string_agg(e::VARCHAR, ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c)
+            SELECT vec_id, c::INT AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+                (sum(dist) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+            FROM a{rounds} JOIN h USING (c)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_minhash_dedup, op3_html_text, op4_byte_bpe, op5_language_id, op6_quality, op7_packing, op8_exact_dedup, op9_url_filter, op10_substring_dedup,
+        op13_centroid_clustering,
     )}
 
 
@@ -79,6 +114,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB's SQL for the queries that SQL expresses on whole tables."""
     space = r"'[\x20\x09-\x0D]+'"
     return {
+        "op13_centroid_clustering": _centroid_sql(),
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {space}, ' ', 'g') AS plain FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(plain) AS text_sha256
