@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroid_clustering, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
+from . import byte_bpe, centroid_clustering, divergence_audit, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
 from .scratch import Scratch
 
 #: (host, path, verdict) of the URL rules.
@@ -69,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"), Scratch(spark))
     return out.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
@@ -106,7 +110,7 @@ def _centroid_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_minhash_dedup, op3_html_text, op4_byte_bpe, op5_language_id, op6_quality, op7_packing, op8_exact_dedup, op9_url_filter, op10_substring_dedup,
-        op13_centroid_clustering,
+        op12_divergence_audit, op13_centroid_clustering,
     )}
 
 
@@ -114,6 +118,29 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB's SQL for the queries that SQL expresses on whole tables."""
     space = r"'[\x20\x09-\x0D]+'"
     return {
+        "op12_divergence_audit": r"""
+            WITH d AS (
+                SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+            t AS MATERIALIZED (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+            k AS MATERIALIZED (SELECT lang, term, count(*) AS all_n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+            c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+            v AS (SELECT lang, count(*) AS v, sum(all_n) AS all_total FROM k GROUP BY lang),
+            s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+            g AS MATERIALIZED (
+                SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v, coalesce(all_total, 0)::HUGEINT AS all_total
+                FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+            p AS MATERIALIZED (
+                SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+                    1 + (1000000000::HUGEINT * (k.all_n + 1)) // (g.all_total + g.v) AS q
+                FROM g JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+            f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+            r AS (
+                SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value
+                FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON (f.lang, f.source, f.item) = (x.lang, x.source, y.source)
+                UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+            FROM r QUALIFY part = 'pair' OR rank <= 200""",
         "op13_centroid_clustering": _centroid_sql(),
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {space}, ' ', 'g') AS plain FROM documents)

@@ -11,6 +11,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from types import TracebackType
 
 from py4j.protocol import Py4JError
@@ -55,6 +57,19 @@ def gathered(frame: DataFrame, total: int) -> DataFrame:
     return frame.coalesce(min(max(1, -(-total // LEAST)), 1 << 30))
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str | int]) -> Iterator[None]:
+    """Settings of the session for the actions within, and what was set before after them."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one call of an operator. close() deletes them, once nothing that was made from them will be read again.
 
