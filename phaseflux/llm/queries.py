@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroid_clustering, divergence_audit, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
+from . import byte_bpe, centroid_clustering, divergence_audit, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, quality, secret_scan, substring_dedup, url_filter
 from .scratch import Scratch
 
 #: (host, path, verdict) of the URL rules.
@@ -69,6 +69,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.scan(_table(spark, sf_dir, "documents"), Scratch(spark))
+    names = F.array(*map(F.lit, secret_scan.KINDS))
+    listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    count = [number(kind).alias(f"n_{name}") for kind, name in enumerate(secret_scan.KINDS[:3])]
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return spans.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(_table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -110,7 +120,7 @@ def _centroid_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_minhash_dedup, op3_html_text, op4_byte_bpe, op5_language_id, op6_quality, op7_packing, op8_exact_dedup, op9_url_filter, op10_substring_dedup,
-        op12_divergence_audit, op13_centroid_clustering,
+        op11_secret_scan, op12_divergence_audit, op13_centroid_clustering,
     )}
 
 
