@@ -98,8 +98,8 @@ def _scaled(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class _Tile:
     """One stripe of the pairs between two blocks of groups (or within one)."""
 
-    def __init__(self, lang: str, i: int, j: int):
-        self.lang, self.i, self.j, self.seen = lang, i, j, 0
+    def __init__(self, lang: str, i: int, j: int, block: int):
+        self.lang, self.i, self.j, self.block, self.seen = lang, i, j, block, 0
         self.bottoms: list[np.ndarray | None] = [None, None]
         self.sums: list[np.ndarray] = []
 
@@ -131,41 +131,45 @@ class _Tile:
         none = [_share(np.ones(len(x), np.int64), np.maximum(x, 1)) for x in self.bottoms]
         sums = self.sums or [np.zeros((len(none[0]), len(none[1])), np.int64)] * 2
         rest = [_scaled(none[0][:, None], none[1]), _scaled(none[1], none[0][:, None])]
-        a, b = (x.ravel() for x in np.meshgrid(self.i * BLOCK + np.arange(len(none[0])), self.j * BLOCK + np.arange(len(none[1])), indexing="ij"))
+        a, b = (x.ravel() for x in np.meshgrid(self.i * self.block + np.arange(len(none[0])), self.j * self.block + np.arange(len(none[1])), indexing="ij"))
         for way, (p, q) in enumerate(((a, b), (b, a))[: 1 if self.i == self.j else 2]):
             part = np.flatnonzero(p != q)
             full = [p, q, sums[way].ravel(), np.full(len(p), self.seen), rest[way].ravel()]
             yield pa.record_batch([pa.array([self.lang] * len(part), pa.string()), *(pa.array(x[part], pa.int64()) for x in full)], schema=_TILED)
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiled(block: int):
     """Submatrices of tiles from rows in the order of tile, stripe, chunk; a chunk of -1 opens a side of a tile."""
-    tile, key, chunk, parts = None, None, None, {}
-    for batch in batches:
-        cells = batch.column("cells")
-        flat, at = cells.flatten(), np.concatenate([[0], np.cumsum(np.asarray(cells.value_lengths().fill_null(0)))])
-        place, term, count = (np.asarray(flat.field(k)) for k in range(3))
-        heads = zip(*(batch.column(x).to_pylist() for x in ("lang", "i", "j", "stripe", "chunk", "side", "bottoms")), strict=True)
-        for row, (lang, i, j, stripe, number, side, bottoms) in enumerate(heads):
-            if (lang, i, j, stripe) != key:
-                if tile:
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, key, chunk, parts = None, None, None, {}
+        for batch in batches:
+            cells = batch.column("cells")
+            flat, at = cells.flatten(), np.concatenate([[0], np.cumsum(np.asarray(cells.value_lengths().fill_null(0)))])
+            place, term, count = (np.asarray(flat.field(k)) for k in range(3))
+            heads = zip(*(batch.column(x).to_pylist() for x in ("lang", "i", "j", "stripe", "chunk", "side", "bottoms")), strict=True)
+            for row, (lang, i, j, stripe, number, side, bottoms) in enumerate(heads):
+                if (lang, i, j, stripe) != key:
+                    if tile:
+                        if parts:
+                            tile.add(parts)
+                        yield from tile.result()
+                    tile, key, chunk, parts = _Tile(lang, i, j, block), (lang, i, j, stripe), -1, {}
+                if number < 0:
+                    tile.open(side, np.array(bottoms, np.int64))
+                    continue
+                if number != chunk:
                     if parts:
                         tile.add(parts)
-                    yield from tile.result()
-                tile, key, chunk, parts = _Tile(lang, i, j), (lang, i, j, stripe), -1, {}
-            if number < 0:
-                tile.open(side, np.array(bottoms, np.int64))
-                continue
-            if number != chunk:
-                if parts:
-                    tile.add(parts)
-                chunk, parts = number, {}
-            own = slice(at[row], at[row + 1])
-            parts[side] = tuple(x[own].copy() for x in (place, term, count))
-    if tile:
-        if parts:
-            tile.add(parts)
-        yield from tile.result()
+                    chunk, parts = number, {}
+                own = slice(at[row], at[row + 1])
+                parts[side] = tuple(x[own].copy() for x in (place, term, count))
+        if tile:
+            if parts:
+                tile.add(parts)
+            yield from tile.result()
+
+    return tiled
 
 
 def _counts(plain: DataFrame, least: int) -> DataFrame:
@@ -183,26 +187,26 @@ def _counts(plain: DataFrame, least: int) -> DataFrame:
     return rows.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "all_n", "term_id", (F.col("row") == F.col("term_id")).alias("first"))
 
 
-def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(counts: DataFrame, groups: DataFrame, block: int, chunk: int, stripe: int) -> DataFrame:
     """lang, a, b (numbers of groups), value of every ordered pair of different groups of a language."""
-    number = F.col("at").alias("at"), F.expr(f"at div {BLOCK}").alias("block"), F.col("at") % BLOCK
+    number = F.col("at").alias("at"), F.expr(f"at div {block}").alias("block"), F.col("at") % block
     blocks = (
         groups.select("lang", "v", "bottom", *number[:2]).groupBy("lang", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "bottom"))).alias("own"), F.max("v").alias("v"))  # at most BLOCK groups
-        .select("lang", "block", F.col("own.bottom").alias("bottoms"), F.expr(f"1 + v div {STRIPE}").alias("stripes"), F.count("*").over(Window.partitionBy("lang")).alias("blocks"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "bottom"))).alias("own"), F.max("v").alias("v"))  # at most `block` groups
+        .select("lang", "block", F.col("own.bottom").alias("bottoms"), F.expr(f"1 + v div {stripe}").alias("stripes"), F.count("*").over(Window.partitionBy("lang")).alias("blocks"))
     )
     cells = counts.join(groups.select("lang", "source", number[1], number[2].cast("int").alias("place")), ["lang", "source"])
-    packed = cells.groupBy("lang", "block", F.expr(f"term_id div {CHUNK}").alias("chunk")).agg(F.collect_list(F.struct("place", F.expr(f"cast(term_id % {CHUNK} AS int)").alias("term"), "n")).alias("cells"))
+    packed = cells.groupBy("lang", "block", F.expr(f"term_id div {chunk}").alias("chunk")).agg(F.collect_list(F.struct("place", F.expr(f"cast(term_id % {chunk} AS int)").alias("term"), "n")).alias("cells"))
     chunks = packed.join(blocks.drop("bottoms"), ["lang", "block"]).withColumn("stripe", F.expr("pmod(xxhash64(chunk), stripes)")).select("lang", "block", "blocks", "stripe", "chunk", "cells", F.lit(None).cast("array<bigint>").alias("bottoms"))
     opened = blocks.select("lang", "block", "blocks", F.explode(F.expr("sequence(0L, stripes - 1)")).alias("stripe"), F.lit(-1).cast("long").alias("chunk"), F.lit(None).cast("array<struct<place:int,term:int,n:bigint>>").alias("cells"), "bottoms")
     dealt = chunks.union(opened).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select("lang", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "stripe", "chunk", (F.col("block") > F.col("other")).cast("int").alias("side"), "cells", "bottoms")
     tile = ("lang", "i", "j", "stripe")
-    tiles = dealt.repartition(*tile).sortWithinPartitions(*tile, "chunk", "side").mapInArrow(_tiled, "lang string, a long, b long, value long, seen long, rest long")
+    tiles = dealt.repartition(*tile).sortWithinPartitions(*tile, "chunk", "side").mapInArrow(_tiled(block), "lang string, a long, b long, value long, seen long, rest long")
     return tiles.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"), F.max("rest").alias("rest"))
 
 
-def audit(documents: DataFrame, scratch: Scratch, least: int = 3, top: int = 200) -> DataFrame:
+def audit(documents: DataFrame, scratch: Scratch, least: int = 3, top: int = 200, block: int = BLOCK, chunk: int = CHUNK, stripe: int = STRIPE) -> DataFrame:
     """lang, source, part, item, value long, rank int: divergences between the sources of each language.
 
     A term is a run of letters A-Z, a-z or characters from U+0080 on, with A-Z lower-cased. Each language keeps the terms that at
@@ -211,6 +215,8 @@ def audit(documents: DataFrame, scratch: Scratch, least: int = 3, top: int = 200
     Part `pair` has each other source of the language with the sum over all kept terms; part `term` the group's own terms of
     p above the language's q, up to rank `top`. Ranks go by falling value, then by the item's UTF-8.
 
+    `block` groups, `chunk` rows of counts and about `stripe` terms make a tile, a chunk and a stripe: they decide cost, never results.
+
     Null languages, sources and texts count as empty; documents without terms still make groups, whose pairs have a value (0 if
     the language keeps no term). Repeated rows count as rows of their own, ids and other columns are not read. An empty table gives no rows.
     """
@@ -228,7 +234,7 @@ def audit(documents: DataFrame, scratch: Scratch, least: int = 3, top: int = 200
 
     by = groups.select("lang", "v", F.col("at").alias("a"), "source")
     item = groups.select("lang", F.col("at").alias("b"), F.col("source").alias("item"))
-    pair = _pairs(counts, groups).join(by, ["lang", "a"]).join(item, ["lang", "b"]).select("lang", "source", "item", (F.col("value") + F.col("rest") * (F.col("v") - F.col("seen"))).alias("value"))
+    pair = _pairs(counts, groups, block, chunk, stripe).join(by, ["lang", "a"]).join(item, ["lang", "b"]).select("lang", "source", "item", (F.col("value") + F.col("rest") * (F.col("v") - F.col("seen"))).alias("value"))
     own = counts.join(groups.select("lang", "source", "bottom", F.expr("all_total + v").alias("all_bottom")), ["lang", "source"])
     own = own.select("lang", "source", F.col("term").alias("item"), _share_sql("n + 1", "bottom").alias("p"), _share_sql("all_n + 1", "all_bottom").alias("q")).where("p > q")
     own = own.select("lang", "source", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
