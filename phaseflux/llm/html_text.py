@@ -3,7 +3,8 @@
 Every paragraph passes points for its length and commas to its ancestors, fewer the farther they are; a
 container's points are discounted by the share of its text that stands in links. The best container is kept
 with those siblings that score well or read like running text. Elements whose names tell of a part beside the article
-are left out, unless they hold most of the page: then the name is that of a layout around it.
+are left out, however long they are, unless they hold the page's heading: then the name is that of a layout around the article.
+Only where no article is left without them does it count how much of the page's text they hold. Work grows with the page's length.
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ _PARTS = frozenset(
 _TOP = frozenset(("header", "banner"))
 #: Of these the parts that may well be longer than the article.
 _TALK = frozenset("comment comments commentlist disqus discussion reply replies respond responses".split())
-#: Characters out of links that a named element must have to be taken for a layout.
-LAYOUT = 140
+#: Characters out of links that a named element must have to be taken for a layout, and that an article without a heading must have.
+LAYOUT, ALONE = 140, 25
+#: Ancestors that a paragraph gives points to.
+LEVELS = 64
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -53,6 +57,8 @@ class _Tree(HTMLParser):
         self.tag, self.parent, self.gone, self.inside, self.link = ["#"], [-1], [False], [False], [False]
         self.names: list[set[str]] = [set()]  # what names an element as a part beside the article
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # places of each name among the open elements
+        self.fences = [0]
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
 
@@ -74,16 +80,17 @@ class _Tree(HTMLParser):
         self.names.append(names)
         self.inside.append(self.inside[up] or tag in _MAIN)
         self.link.append(self.link[up] or tag == "a")
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _FENCE:
+            self.fences.append(len(self.open))
         self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # "/>" closes nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                del self.open[at:]
-                break
+        if self.at.get(tag):
+            self._cut(self.at[tag][-1])
         if tag in _BLOCK:
             self.block += 1
 
@@ -100,15 +107,19 @@ class _Tree(HTMLParser):
         if not self.gone[self.open[-1]]:
             self.runs.append((self.open[-1], self.block, data))
 
+    def _cut(self, to: int) -> None:
+        """Closes the open elements from a place on."""
+        while len(self.open) > to:
+            self.at[self.tag[self.open.pop()]].pop()
+        while self.fences[-1] >= to:
+            self.fences.pop()
+
     def _close(self, names: set[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[at]]
-            if name in names:
-                del self.open[at:]
-                self.block += 1
-                return
-            if name in _FENCE:
-                return
+        """Closes the last open element of these names, if it is no farther than the last fence."""
+        at = max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+        if at and at >= self.fences[-1]:
+            self._cut(at)
+            self.block += 1
 
     def _left_out(self, tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, set[str]]:
         """Whether the element is left out whatever it holds, and the names by which it may be."""
@@ -119,7 +130,48 @@ class _Tree(HTMLParser):
             return False, names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}
         names = _names(attrs)
         found = names & _PARTS | (set() if inside else names & _TOP) | ({"form"} if tag == "form" else set())
-        return bool(re.search(r"display\s*:\s*none", attrs.get("style") or "")), found
+        return bool(_HIDDEN.search(attrs.get("style") or "")), found
+
+
+def _headed(tree: _Tree) -> int:
+    """The page's heading: the first h1 with text that is not left out, else h2, h3; else 0. One in a discussion is none."""
+    talk = [False] * len(tree.tag)
+    for node in range(1, len(talk)):
+        talk[node] = talk[tree.parent[node]] or bool(tree.names[node] & _TALK) and tree.tag[node] not in _HEADING
+    first: dict[str, int] = {}
+    for spare in (False, True):  # a discussion's own heading does where the page has no other: a layout may be named after it
+        for node, _, data in tree.runs:
+            if data.strip() and (spare or not talk[node]):
+                at = node
+                for _ in range(4):  # inline elements within a heading
+                    if tree.tag[at] in _HEADING or not at:
+                        break
+                    at = tree.parent[at]
+                if tree.tag[at] in ("h1", "h2", "h3") and (not spare or tree.tag[at] == "h1"):
+                    first.setdefault(tree.tag[at], at)
+        if first:
+            break
+    return next((first[x] for x in ("h1", "h2", "h3") if x in first), 0)
+
+
+def _beside(tree: _Tree, heading: int) -> list[bool]:
+    """Whether each element is left out by its names: all that have any, but those around the heading. If one of these holds
+    the heading alone, its names are those of the page's building blocks and tell nothing."""
+    count, around = len(tree.tag), []
+    plain = [0] * count
+    for node, _, data in tree.runs:
+        plain[node] += len("".join(data.split()))
+    for node in range(count - 1, 0, -1):
+        plain[tree.parent[node]] += plain[node]
+    at = heading
+    while at > 0:
+        around.append(at)
+        at = tree.parent[at]
+    loose = set().union(*(tree.names[x] - _TALK for x in around if plain[x] == plain[heading]))
+    out = [bool(x - loose) for x in tree.names]
+    for node in around:
+        out[node] = False
+    return out
 
 
 def _sides(tree: _Tree) -> list[bool]:
@@ -167,16 +219,24 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    if not any(tree.names):
+        return _article(tree, [False] * len(tree.tag))[0]
+    heading = _headed(tree)
+    text, running, headed = _article(tree, _beside(tree, heading), heading)
+    if running >= (1 if headed else ALONE):
+        return text
     sides = _sides(tree)
-    return _article(tree, sides) or (_article(tree, [False] * len(sides)) if any(sides) else "")
+    return _article(tree, sides)[0] or (_article(tree, [False] * len(sides))[0] if any(sides) else "")
 
 
-def _article(tree: _Tree, sides: list[bool]) -> str:
-    """The text of the best container, without the elements in `sides` and what they hold."""
+def _article(tree: _Tree, sides: list[bool], heading: int = 0) -> tuple[str, int, bool]:
+    """The text of the best container, without the elements in `sides` and what they hold; how much of it is neither in
+    links nor in headings; whether it has the heading."""
     count, tag, parent = len(tree.tag), tree.tag, tree.parent
-    gone = list(tree.gone)
+    gone, block_of = list(tree.gone), [0] * count
     for node in range(1, count):
         gone[node] = gone[node] or sides[node] or gone[parent[node]]
+        block_of[node] = node if tag[node] in _BLOCK else block_of[parent[node]]
     runs = [x for x in tree.runs if not gone[x[0]]]
     text, linked = [0] * count, [0] * count
     para: dict[int, list[int]] = {}
@@ -186,14 +246,11 @@ def _article(tree: _Tree, sides: list[bool]) -> str:
             continue
         text[node] += n
         linked[node] += n * tree.link[node]
-        at = node
-        while at and tag[at] not in _BLOCK:
-            at = parent[at]
-        sums = para.setdefault(at, [0, 0])
+        sums = para.setdefault(block_of[node], [0, 0])
         sums[0] += n
         sums[1] += data.count(",") + data.count("،") + data.count("、") + data.count("，")
     if not para:
-        return ""
+        return "", 0, False
     for node in range(count - 1, 0, -1):  # children come after their parents
         text[parent[node]] += text[node]
         linked[parent[node]] += linked[node]
@@ -203,8 +260,8 @@ def _article(tree: _Tree, sides: list[bool]) -> str:
             continue
         points = (1 + commas + min(n / 100, 3)) * (1 - linked[node] / max(text[node], 1))
         up = parent[node] if tag[node] in ("p", "pre", "li", "dd", "dt", "td", "th", "blockquote") and node else node
-        share = 1.0
-        while up >= 0:
+        share = 1
+        while up >= 0 and share <= LEVELS:
             score[up] = score.get(up, 0.0) + points / share
             up, share = parent[up], share + 1
     for node in score:
@@ -230,10 +287,13 @@ def _article(tree: _Tree, sides: list[bool]) -> str:
     for node in range(1, count):
         within[node] = node in kept or within[parent[node]]
     blocks: dict[int, list[str]] = {}
+    running = 0
     for node, block, data in runs:
         if within[node]:
             blocks.setdefault(block, []).append(data)
-    return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x)
+            if not tree.link[node] and tag[block_of[node]] not in _HEADING:
+                running += len("".join(data.split()))
+    return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x), running, bool(heading) and within[heading] and not gone[heading]
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,6 +144,46 @@ def test_layouts_keep_their_article():
             assert html_text.main_text(shape.format(name, body, side)) == want, (name, shape)
 
 
+def test_parts_beside_a_short_article_go():
+    """Parts go by their names however long they are, with and without a heading, before and after the article, within a named layout or not."""
+    short = ["A short paragraph of the article, that is all.", "And another one, shorter still."]
+    long = "Running text beside the article, with commas, clauses, and all that makes it look like one, again and again. " * 4
+    parts = [f'<div class="{x}"><p>{long}</p></div>' for x in ("sidebar", "advertisement", "newsletter", "cookie-consent", "related", "footer", "menu", "widget", "promo", "notice", "comments")]
+    parts += [f"<form><p>{long}</p></form>", f'<div style="visibility: hidden"><p>{long}</p></div>', f"<aside><p>{long}</p></aside>"]
+    for part in parts:
+        for head in ("<h1>Title</h1>", "<h2>Title</h2>", ""):
+            for many in (1, 2):
+                own = head + "".join(f"<p>{x}</p>" for x in short[:many])
+                want = " ".join((["Title"] if head else []) + short[:many])
+                for shape in ('<div class="content">{0}</div>{1}', '{1}<div class="content">{0}</div>', "<div>{0}</div><div>{1}</div>", '<main class="content">{0}</main>{1}', "<article>{0}</article>{1}{1}"):
+                    assert html_text.main_text(f"<body>{shape.format(own, part)}</body>") == want, (shape, part[:40], head, many)
+                if head:
+                    for name in ("layout has-sidebar", "site with-widget", "no-footer", *(["with-comments"] if "h1" in head else [])):  # discussions have lesser headings of their own
+                        assert html_text.main_text(f'<body><div class="{name}"><div>{own}</div>{part}</div></body>') == want, (name, part[:40], head, many)
+
+
+def test_blocks_of_a_page_builder():
+    """Where heading and paragraphs each stand in a block of the same name, the name tells nothing."""
+    paras = [f"Paragraph {i}, long enough to be read as running text, with commas, and going on." for i in range(4)]
+    page = "".join(f'<div class="builder-widget">{x}</div>' for x in ["<h1>Head</h1>", *(f"<p>{x}</p>" for x in paras)])
+    assert html_text.main_text(f'<body><div>{page}</div><div class="sidebar"><p>{paras[0] * 9}</p></div></body>') == " ".join(["Head", *paras])
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    odd = ["<b>x</i>", "<div><p>x, y", "<b>x", "<span class=widget>x", "<li><b>x", "<td><b></p>", "</div>x ", "<h1>x</h2>"]
+    for piece in odd:
+        assert took(piece * (1_000_000 // len(piece))) < 12, piece
+    nested = "<p><table><td>" + "<b>" * 4000 + "<div>x</div>" * 20_000
+    assert took(nested) < 3
+
+
 def measured(text):
     """The labellers' measures of one text, a word and a byte at a time."""
     data = text.encode()
