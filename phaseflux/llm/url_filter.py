@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import mmap
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,14 @@ _OUT = "page_id long, host string, path string, rule string, verdict string"
 class Rules:
     """(host, path, verdict) rules in a mapped file: count, digests, verdicts, ends of strings, strings."""
 
-    def __init__(self, path: str, lengths: list[int]):
+    def __init__(self, path: str):
         with open(path, "rb") as file:
             self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         n = int(np.frombuffer(self.map, np.int64, 1)[0])
         self.keys = np.frombuffer(self.map, np.uint64, n, 8)
         self.allow = np.frombuffer(self.map, np.int64, n, 8 + 8 * n)
         self.ends = np.frombuffer(self.map, np.int64, n + 1, 8 + 16 * n)
-        self.text, self.lengths = 8 + 16 * n + 8 * (n + 1), lengths
+        self.text = 8 + 16 * n + 8 * (n + 1)
 
     def string(self, i: int) -> bytes:
         return self.map[self.text + self.ends[i] : self.text + self.ends[i + 1]]
@@ -72,14 +73,21 @@ def _shared(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def build(rules: Sequence[tuple[str, str, str]]) -> tuple[bytes, list[int]]:
-    """The rules' block, and the lengths that their paths have."""
+class Shape(NamedTuple):
+    """The lengths that rules' paths have, and the greatest that a rule's host has: no other candidates are formed."""
+
+    lengths: list[int]
+    widest: int
+
+
+def build(rules: Sequence[tuple[str, str, str]]) -> tuple[bytes, Shape]:
+    """The rules' block and shape."""
     rows = sorted({(xxhash.xxh64_intdigest(x), x, v) for h, p, v in rules for x in [_rule(h, p)]})
     if bad := {v for _, _, v in rows} - {"allow", "block"}:
         raise ValueError(f"verdicts are allow or block, not {sorted(bad)}")
     ends = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in rows])]).astype(np.int64)
     head = [np.array([len(rows)], np.int64), np.array([k for k, _, _ in rows], np.uint64), np.array([v == "allow" for _, _, v in rows], np.int64), ends]
-    return b"".join([*(x.tobytes() for x in head), *(x for _, x, _ in rows)]), sorted({len(p) for _, p, _ in rules})
+    return b"".join([*(x.tobytes() for x in head), *(x for _, x, _ in rows)]), Shape(sorted({len(p) for _, p, _ in rules}), max((len(h) for h, _, _ in rules), default=0))
 
 
 def _rule(host: str, path: str) -> bytes:
@@ -102,23 +110,23 @@ def split(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), path
 
 
-def _candidates(host: str, path: str, lengths: Sequence[int]) -> list[bytes]:
-    """The strings of all rules that would fit a URL."""
-    out, suffix = [], host
+def _candidates(host: str, path: str, shape: Shape) -> list[bytes]:
+    """The strings of all rules that would fit a URL: of its host the suffixes at a dot that are no longer than a rule's."""
+    out, suffix = [], host if len(host) <= shape.widest else host[-shape.widest - 1 :].partition(".")[2]
     while suffix:
-        out += [_rule(suffix, path[:n]) for n in lengths if n <= len(path)]
+        out += [_rule(suffix, path[:n]) for n in shape.lengths if n <= len(path)]
         suffix = suffix.partition(".")[2]
     return out
 
 
-def _judging(name: str, lengths: list[int], default: str):
+def _judging(name: str, shape: Shape, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(SparkFiles.get(name), lengths)
+        rules = Rules(SparkFiles.get(name))
         for batch in batches:
             urls = [split(x) for x in batch["url"].to_pylist()]
             of, strings = [], []
             for i, (host, path) in enumerate(urls):
-                own = _candidates(host, path, lengths)
+                own = _candidates(host, path, shape)
                 of += [i] * len(own)
                 strings += own
             hits = rules.find(strings)
@@ -136,13 +144,13 @@ def _judging(name: str, lengths: list[int], default: str):
     return run
 
 
-def _forming(lengths: list[int]):
+def _forming(shape: Shape):
     """Host, path and candidate strings, with their digests, of each distinct URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = [split(x) for x in batch["url"].to_pylist()]
-            own = [_candidates(h, p, lengths) for h, p in urls]
+            own = [_candidates(h, p, shape) for h, p in urls]
             keys = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in each] for each in own]
             yield pa.RecordBatch.from_arrays([batch["url"], pa.array([h for h, _ in urls], pa.string()), pa.array([p for _, p in urls], pa.string()), pa.array(own, pa.list_(pa.binary())), pa.array(keys, pa.list_(pa.int64()))], ["url", "host", "path", "strings", "keys"])
 
@@ -163,8 +171,9 @@ def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """
     rules = rules.select("host", "path", "verdict").distinct()
     lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect())  # distinct lengths of paths: few
+    widest = rules.agg(F.max(F.length("host"))).first()[0] or 0
     listed = rules.mapInArrow(_digesting, "key long, string binary, verdict string")
-    urls = rows.select("url").where("url IS NOT NULL").distinct().mapInArrow(_forming(lengths), "url string, host string, path string, strings array<binary>, keys array<long>")
+    urls = rows.select("url").where("url IS NOT NULL").distinct().mapInArrow(_forming(Shape(lengths, widest)), "url string, host string, path string, strings array<binary>, keys array<long>")
     each = urls.select("url", F.explode(F.arrays_zip("keys", "strings")).alias("c")).select("url", F.col("c.keys").alias("key"), F.col("c.strings").alias("string"))
     hits = each.select("key", "string").distinct().join(listed.hint("merge"), ["key", "string"])
     best = each.join(hits, ["key", "string"]).groupBy("url").agg(F.max(F.struct(F.length("string").alias("n"), "string", "verdict")).alias("best"))
@@ -185,8 +194,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
     """
     rows = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     if not isinstance(rules, DataFrame):
-        data, lengths = build(rules)
+        data, shape = build(rules)
         if len(data) <= most:
-            return rows.mapInArrow(_judging(_shared(pages.sparkSession, data), lengths, default), _OUT)
+            return rows.mapInArrow(_judging(_shared(pages.sparkSession, data), shape, default), _OUT)
         rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
     return _joined(rows, rules, default)

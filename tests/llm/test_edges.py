@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from phaseflux.llm import byte_bpe, embedding_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup
-from phaseflux.llm.queries import vocabulary
+from phaseflux.llm import byte_bpe, embedding_dedup, html_text, language_id, minhash_dedup, packing, quality, substring_dedup, url_filter
+from phaseflux.llm.queries import RULES, vocabulary
 from phaseflux.llm.scratch import Scratch, bounded, root
 
 SF = "/root/testdata/sf0.001"
@@ -184,6 +184,26 @@ def test_odd_pages_take_linear_time():
     assert took(nested) < 3
 
 
+def test_very_long_hosts(spark):
+    """Hosts of very many labels, and one of a single label of 1 MB, in memory that follows their length; both ways of judging."""
+    import tracemalloc
+
+    hosts = [".".join(["a"] * 100_000), ".".join(["a"] * 100_000) + ".example.com", "x" * 1_000_000, "x" * 1_000_000 + ".example.com", "." * 50_000 + "net", "www.example.com", "aexample.com"]
+    _, shape = url_filter.build(RULES)
+    for host in hosts:
+        tracemalloc.start()
+        got = url_filter._candidates(host, "/en/x", shape)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100_000 and len(got) < 50
+        every = [h for i in range(len(host)) if (h := host[i:]) and (i == 0 or host[i - 1] == ".") and len(h) <= shape.widest]
+        assert {x.split(b"/")[0].rstrip(b"\0") for x in got} == {x.encode() for x in every}
+    rows = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    want = [(None, "allow"), ("example.com/en/", "block"), (None, "allow"), ("example.com/en/", "block"), (None, "allow"), ("www.example.com/en/", "allow"), ("com/", "allow")]
+    for most in (url_filter.MOST, 10):
+        assert [(r.rule, r.verdict) for r in url_filter.judge_urls(rows, RULES, most=most).orderBy("page_id").collect()] == want
+
+
 def measured(text):
     """The labellers' measures of one text, a word and a byte at a time."""
     data = text.encode()
