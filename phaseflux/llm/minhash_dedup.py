@@ -22,8 +22,8 @@ from . import words
 from .components import components
 from .scratch import ROWS, Scratch, bounded, fresh, gathered, size as bytes_of
 
-#: Bands and rows of a band; at similarity 0.8 a pair shares no bucket with a chance of 4e-7.
-BANDS, ROWS = 28, 4
+#: Bands and minima of a band; at similarity 0.8 a pair shares no bucket with a chance of 4e-7.
+BANDS, MINIMA = 28, 4
 #: So many rows of a narrow table weigh as much as a row with a whole set.
 WIDE = 4
 #: Standard errors by which a signature may miss the threshold.
@@ -237,7 +237,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
 
 
 def near_dedup(
-    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = MINIMA
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row; other columns are not read.
 
