@@ -35,11 +35,11 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.source == "api":
         raise NotImplementedError("the REST source is not implemented")
     names = (*database.TABLES, "outcomes", "outcome_analyses")
-    tables = {n: spark.read.parquet(f"{a.path}/{n}.parquet") for n in names} if a.source == "parquet" else {n: database.query(spark, f"SELECT * FROM {n}") for n in names}
+    tables = {n: spark.read.parquet(f"{a.path}/{n}.parquet") for n in names} if a.source == "parquet" else {n: database.table(spark, n) for n in names}
     periods = [tuple(map(int, x.split("-"))) for x in a.periods] if a.periods else None
     config = Config(
         a.as_of, a.mesh_term, tuple(f"%{x}%" for x in a.keyword or ()), a.most if a.most > 0 else None, a.single_arm_only, method=a.method, drug_lookup=a.drug_lookup, drop_unmatched=not a.keep_unmatched, peptide_only=a.peptide_only,
-        cache=a.cache, output=a.output, formats=tuple(a.formats), periods=periods,
+        cache=a.cache, journal=a.journal, output=a.output, formats=tuple(a.formats), periods=periods,
     )
     got = run(spark, tables, _model(a.tier1), _model(a.tier2), config)
     return f"{got.report.text}\n\n{console.ledger(got.ledger)}"
@@ -124,7 +124,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     command(
         "run", _run, source={"choices": ["database", "parquet", "api"], "default": "database"}, path={}, as_of={"type": dt.date.fromisoformat, "default": dt.date.today()}, mesh_term={}, keyword={"action": "append"}, most={"type": int, "default": 5},
-        single_arm_only={"action": "store_true"}, method={"choices": ["fuzzy", "embeddings", "hybrid"], "default": "hybrid"}, drug_lookup={}, keep_unmatched={"action": "store_true"}, peptide_only={"action": "store_true"}, cache={}, output={},
+        single_arm_only={"action": "store_true"}, method={"choices": ["fuzzy", "embeddings", "hybrid"], "default": "hybrid"}, drug_lookup={}, keep_unmatched={"action": "store_true"}, peptide_only={"action": "store_true"}, cache={}, journal={}, output={},
         formats={"nargs": "*", "default": ["html"]}, periods={"nargs": "*"}, tier1=need, tier2=need,
     )
     command("validate", _validate, benchmark=need, predictions=need)

@@ -85,12 +85,34 @@ def tree_numbers(conditions: DataFrame, terms: DataFrame) -> DataFrame:
     return term_sets(conditions.join(terms.where(branch), "downcase_mesh_term").select("nct_id", "tree_number"), "nct_id", "tree_number")
 
 
+def sides(t: dict[str, DataFrame]) -> DataFrame:
+    """What hangs on a study, one row each: lead sponsor (the least id's), sorted distinct MeSH terms of drugs and conditions, and
+    the conditions' tree numbers in branches C and F; null or empty where there is none.
+
+    The side tables are one union of rows that hold a value of one kind each, aggregated once by study: one shuffle by nct_id,
+    and every table is read once. Only the vocabulary of terms meets the conditions before, one row for each term.
+    """
+    branch = F.col("tree_number").startswith("C") | F.col("tree_number").startswith("F")
+    numbers = t["mesh_terms"].where(branch).groupBy("downcase_mesh_term").agg(F.collect_set("tree_number").alias("numbers"))
+    rows = t["sponsors"].where("lead_or_collaborator = 'lead' AND id IS NOT NULL").select("nct_id", F.struct("id", "name").alias("lead"))
+    for more in (
+        t["browse_interventions"].where("mesh_term IS NOT NULL").select("nct_id", F.col("mesh_term").alias("drug")),
+        t["browse_conditions"].join(numbers, "downcase_mesh_term", "left").select("nct_id", F.col("mesh_term").alias("condition"), "numbers"),
+    ):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    sums = rows.groupBy("nct_id").agg(F.min("lead").alias("lead"), *(F.collect_set(x).alias(x) for x in ("drug", "condition", "numbers")))
+    return sums.select(
+        "nct_id", F.col("lead.name").alias("sponsor"), F.array_sort("drug").alias("mesh_drug_terms"), F.array_sort("condition").alias("mesh_condition_terms"), F.array_sort(F.array_distinct(F.flatten("numbers"))).alias("trees"),
+    )
+
+
 def scan(tables: dict[str, DataFrame], mesh_term: str | None = None, keywords: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """A trial row for each (study, drug, condition) of the registry's tables, in source form.
 
     Interventional studies, drugs only; the lead sponsor with the least id; MeSH terms and tree numbers as sorted sets, empty
     where there are none. `mesh_term` keeps studies with that very intervention term, `keywords` those with a pattern in a title
-    or summary; `most` caps the joined rows in source order, before anything else is done with them.
+    or summary; `most` caps the joined rows in source order, before anything else is done with them. `ord` has the names too, so that
+    rows whose ids are repeated have an order of their own.
     """
     t = tables
     studies = t["studies"].where(F.upper("study_type") == "INTERVENTIONAL")
@@ -100,15 +122,10 @@ def scan(tables: dict[str, DataFrame], mesh_term: str | None = None, keywords: t
         studies = matching(studies, ["brief_title", "official_title"], t["brief_summaries"], "nct_id", keywords)
     drugs = t["interventions"].where(F.upper("intervention_type") == "DRUG").select("nct_id", F.col("id").alias("i_id"), F.col("name").alias("intervention"))
     rows = studies.join(drugs, "nct_id").join(t["conditions"].select("nct_id", F.col("id").alias("c_id"), F.col("name").alias("indication")), "nct_id")
-    rows = rows.withColumn("ord", F.struct("nct_id", "i_id", "c_id"))
+    rows = rows.withColumn("ord", F.struct("nct_id", "i_id", "c_id", "intervention", "indication"))
     rows = rows.orderBy("ord").limit(most) if most else rows
-    leads = lead(t["sponsors"].where("lead_or_collaborator = 'lead'"), "nct_id", "name", "id").withColumnRenamed("name", "sponsor")
-    sets = {
-        "mesh_drug_terms": term_sets(t["browse_interventions"], "nct_id", "mesh_term"), "mesh_condition_terms": term_sets(t["browse_conditions"], "nct_id", "mesh_term"), "trees": tree_numbers(t["browse_conditions"], t["mesh_terms"]),
-    }
-    rows = rows.join(leads, "nct_id", "left")
-    for name, terms in sets.items():
-        rows = rows.join(terms.withColumnRenamed("terms", name), "nct_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    sets = ("mesh_drug_terms", "mesh_condition_terms", "trees")
+    rows = rows.join(sides(t), "nct_id", "left").withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in sets})
     return rows.select("nct_id", "ord", "brief_title", F.col("phase").alias("phase_text"), F.col("overall_status").alias("status_text"), "start_date", "completion_date", "intervention", "indication", "sponsor", *sets)
 
 

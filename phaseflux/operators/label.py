@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..sources import journal
+from ..sources.journal import Journal
 from ..sources.readers import cache_upsert, latest
 from ..sources.shared import kept
 
@@ -37,7 +39,7 @@ class Answer(NamedTuple):
 
 #: Takes the system and the user prompt of one request; returns the reply, bare or as an Answer, or None for a failed call.
 Model = Callable[[str, str], "Answer | str | None"]
-_ASKED = "batch long, members array<struct<candidate_index:int,id:string>>, reply string, input_tokens long, output_tokens long, cache_write long, cache_read long"
+_ASKED = f"batch long, members array<struct<candidate_index:int,id:string>>, {journal.ANSWER}"
 
 
 @dataclass(frozen=True)
@@ -124,24 +126,51 @@ def requests(rows: DataFrame, task: Task, id_col: str, size: int = BATCH) -> Dat
     return listed.select("batch", members.alias("members"), F.replace(F.lit(task.user), F.lit(PLACE), F.array_join("all.block", "\n\n")).alias("prompt"))
 
 
-def ask(asked: DataFrame, model: Model, system: str) -> DataFrame:
-    """(batch, members, reply, tokens) of each request; the model is called on the executors, once for each request that is read."""
+def ask(asked: DataFrame, model: Model, system: str, book: Journal | None = None) -> DataFrame:
+    """(batch, members, reply, tokens) of each request; the model is called on the executors, once for each request that is read.
+
+    With a journal (and the requests' names in `request`) each answer is on disk before the next request is sent, and a task
+    that runs again sends only what has no answer yet. Failed calls are not written: they are sent again.
+    """
+
+    def one(prompt: str, name: str | None) -> Answer:
+        if name and (found := book.get(name)):
+            return Answer(*(found[x] for x in Answer._fields))
+        try:
+            got = model(system, prompt)
+        except Exception:  # whatever a model's client raises: its rows go to the next tier
+            log.warning("a request failed; its candidates go on without an answer", exc_info=True)
+            return Answer(None)
+        got = got if isinstance(got, Answer) else Answer(got)
+        if name and got.reply is not None:
+            book.put(name, got._asdict())
+        return got
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for prompt in part["prompt"]:
-                try:
-                    got = model(system, prompt)
-                except Exception:  # whatever a model's client raises: its rows go to the next tier
-                    log.warning("a request failed; its candidates go on without an answer", exc_info=True)
-                    got = None
-                out.append(got if isinstance(got, Answer) else Answer(got))
+            out = [one(p, n) for p, n in zip(part["prompt"], part["request"] if book else [None] * len(part), strict=True)]
             yield pd.concat([part[["batch", "members"]].reset_index(drop=True), pd.DataFrame(out, columns=Answer._fields)], axis=1)
 
     return asked.mapInPandas(run, _ASKED)
 
 
+def answered(rows: DataFrame, task: Task, model: Model, tier: str, id_col: str, size: int = BATCH, book: Journal | None = None) -> DataFrame:
+    """The answers of a tier with `resumed`, whether an earlier run had paid for them; written to the shared folder before
+    anything is made of them, so that no request is sent twice.
+
+    Requests are the same in every run over the same candidates, as slices follow the order of ids; a request's name is made of
+    stage, tier and both prompts. Those that the journal has are not sent: their answers join by name.
+    """
+    sent = requests(rows, task, id_col, size)
+    if book is None:
+        return kept(ask(sent, model, task.system).withColumn("resumed", F.lit(False)))
+    sent = sent.withColumn("request", journal.request(F.lit(task.stage), F.lit(tier), F.lit(task.system), F.col("prompt")))
+    known = kept(book.answers(rows.sparkSession))
+    old = sent.join(known, "request").drop("request", "prompt").withColumn("resumed", F.lit(True))
+    new = ask(sent.join(known.select("request"), "request", "left_anti"), model, task.system, book).withColumn("resumed", F.lit(False))
+    return kept(new.unionByName(old))
+
+
 def parsed(answers: DataFrame, task: Task, id_col: str) -> DataFrame:
     """Each candidate's own item of its reply, the last of repeated indexes, as labels and whether they are unsure."""
     each = answers.select(F.explode("members").alias("m"), text.reply(F.col("reply"), schema=task.schema).alias("items"))
@@ -172,7 +201,8 @@ class Run(NamedTuple):
 
 def _entries(answers: DataFrame, stage: str, model: str) -> DataFrame:
     tokens = ("input_tokens", "output_tokens", "cache_write", "cache_read")
-    return answers.where("reply IS NOT NULL").select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), *tokens, F.size("members").cast("long").alias("n_candidates"), F.lit(False).alias("cache_hit"))
+    paid = [F.when(F.col("resumed"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in tokens]
+    return answers.where("reply IS NOT NULL").select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), *paid, F.size("members").cast("long").alias("n_candidates"), F.col("resumed").alias("cache_hit"))
 
 
 def hits(rows: DataFrame, stage: str) -> DataFrame:
@@ -181,16 +211,16 @@ def hits(rows: DataFrame, stage: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_candidates")).where("n_candidates > 0").select(F.lit(stage).alias("stage"), F.lit(None).cast("string").alias("model"), *zero, "n_candidates", F.lit(True).alias("cache_hit"))
 
 
-def tiered(cands: DataFrame, task: Task, tier1: Model, tier2: Model, id_col: str = "candidate_id", size: int = BATCH) -> Run:
+def tiered(cands: DataFrame, task: Task, tier1: Model, tier2: Model, id_col: str = "candidate_id", size: int = BATCH, book: Journal | None = None) -> Run:
     """Labels by tier 1, by tier 2 for unsure and missing ones, else the defaults. An empty second answer leaves the first one.
 
-    The answers of a tier are written to the shared folder before anything is made of them: no request is sent twice.
+    Answers that a journal has from an earlier run cost nothing, and count as cache hits in the ledger.
     """
-    first = kept(ask(requests(cands, task, id_col, size), tier1, task.system))
+    first = answered(cands, task, tier1, "tier1", id_col, size, book)
     labels = parsed(first, task, id_col)
     one = cands.select(id_col).join(labels, id_col, "left")
     again = cands.join(one.where(F.coalesce("unsure", F.lit(True))).select(id_col), id_col, "left_semi")
-    second = kept(ask(requests(again, task, id_col, size), tier2, task.system))
+    second = answered(again, task, tier2, "tier2", id_col, size, book)
     both = merged(one, parsed(second, task, id_col), id_col)
     some = F.col("unsure").isNotNull()
     out = both.select(id_col, *(F.when(some, F.col(k)).otherwise(c).alias(k) for k, c in task.defaults.items()))
@@ -216,26 +246,26 @@ class Stage(NamedTuple):
     entries: DataFrame
 
 
-def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: Model, tier2: Model, created_at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: Model, tier2: Model, created_at: Column, book: Journal | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = cands.withColumn("cache_key", key)
     names = list(task.defaults)
     known, missing = split_cache(rows, cache.select("cache_key", *names))
-    run = tiered(missing, task, tier1, tier2)
+    run = tiered(missing, task, tier1, tier2, book=book)
     fresh = kept(run.labels.join(rows.select("candidate_id", "cache_key"), "candidate_id"))
     new = latest(fresh.select("cache_key", *names, created_at.alias("created_at"), "candidate_id"), ["cache_key"], ["candidate_id"])
     return known.select("candidate_id", *names).unionByName(fresh.select("candidate_id", *names)), cache_upsert(cache, new.select(*cache.columns)), run.entries.unionByName(hits(known, task.stage))
 
 
-def classify(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column) -> Stage:
+def classify(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, book: Journal | None = None) -> Stage:
     """Attributes of candidates: cached ones with their area normalised, else asked and cached as answered; then the vote of
     the tree numbers overrides the area. Cached defaults of failed calls count as answers, as in the results reproduced."""
     plain = cands.select("candidate_id", "drug_name", "drug_name_raw", "indication")
-    labels, cache, entries = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at)
+    labels, cache, entries = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at, book)
     labels = labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(cands.select("candidate_id", "trees"), "candidate_id")
     return Stage(overridden(labels).drop("trees"), cache, entries)
 
 
-def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, failures: DataFrame | None = None) -> Stage:
+def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, failures: DataFrame | None = None, book: Journal | None = None) -> Stage:
     """Outcomes of candidates: `failures` (of stopped_early(), off by default) cost nothing, then the cache, then the models.
 
     A cache with the date columns keeps them.
@@ -245,7 +275,7 @@ def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, c
     if failures is not None:
         rows = rows.join(failures.select("candidate_id"), "candidate_id", "left_anti")
     key = text.cache_key(F.col("drug_name"), F.col("indication"), F.col("highest_phase"))
-    labels, cache, entries = _stage(rows, cache, task, key, tier1, tier2, created_at)
+    labels, cache, entries = _stage(rows, cache, task, key, tier1, tier2, created_at, book)
     if failures is not None:
         labels = labels.unionByName(failures.select("candidate_id", *(F.col(k) if k in failures.columns else c.alias(k) for k, c in task.defaults.items())))
         entries = entries.unionByName(hits(failures, task.stage))

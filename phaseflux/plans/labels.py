@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import stages
 from ..functions import text
 from ..operators import evaluate, ingest, label
-from ..sources import adapter, readers
+from ..sources import adapter, readers, shared
+from ..sources.journal import Journal
 from .catalog import _CANDS, _answer, _keyed, cands, query, trials
 
 _SHOWN = "nct_id, i_id || '/' || c_id AS at, brief_title, start_date, completion_date, intervention, indication, sponsor, drug_terms, condition_terms, trees"
@@ -157,6 +160,47 @@ def u7_ledger(spark: SparkSession, d: str) -> DataFrame:
     return label.ledger(entries).select("stage", "input_tokens", "asked", "cache_hits", "tier1_asked", "tier2_asked")
 
 
+_TWICE = "count(*) AS n, count(*) FILTER (p_partkey % 3 = 0 OR p_partkey % 5 = 0) AS again FROM part"
+
+
+@query("u2_request_journal", f"""WITH p AS (SELECT {_TWICE})
+    SELECT 1 AS run, (100 * (ceil(n / 50.0) + ceil(again / 50.0)))::BIGINT AS input_tokens, n + again AS asked, 0::BIGINT AS cache_hits, round(0.0005 * ceil(n / 50.0) - 0.00005 * ceil(n / 50.0) + 0.00075 * ceil(again / 50.0), 9)::DOUBLE AS cost FROM p
+    UNION ALL SELECT 2, 0, 0, n + again, 0.0 FROM p""", False)
+def u2_journal(spark: SparkSession, d: str) -> DataFrame:
+    """The ledgers of two runs with one journal: the second finds every answer of the first, and its models are never called."""
+    path, rows = f"{shared.folder(spark)}/journal-{uuid.uuid4().hex}", _parts(spark, d)
+    out = []
+    for run, models in enumerate(((_judge(False), _judge(True)), (_refusing(), _refusing())), 1):
+        got = label.tiered(rows, label.adjudication(), *models, book=Journal(path))
+        out.append(label.ledger(got.entries).select(F.lit(run).alias("run"), "input_tokens", "asked", "cache_hits", F.round("cost", 9).alias("cost")))
+        Journal(path).seal(spark)
+    shared.delete(spark, path)  # the answers of both runs are kept
+    return out[0].unionByName(out[1])
+
+
+def _refusing() -> label.Model:
+    def call(system: str, prompt: str) -> None:
+        raise RuntimeError("nothing is to be asked")
+
+    return call
+
+
+@query("u7_side_by_side", f"""WITH p AS (SELECT {_TWICE}), q AS (SELECT count(*) FILTER (p_partkey % 7 <> 0) AS n, count(*) FILTER (p_partkey % 7 <> 0 AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0)) AS again, count(*) FILTER (p_partkey % 7 = 0) AS hits FROM part)
+    SELECT 'Classification' AS stage, 0::BIGINT AS input_tokens, n + again AS asked, 0::BIGINT AS cache_hits, n AS tier1_asked, again AS tier2_asked, n AS labels FROM p
+    UNION ALL SELECT 'Adjudication', (100 * (ceil(n / 50.0) + ceil(again / 50.0)))::BIGINT, n + again, hits, n, again, n + hits FROM q""", False)
+def u7_side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Both stages at the same time, and the ledger's rows of both."""
+    rows = _parts(spark, d)
+    none = spark.createDataFrame([], "cache_key string, modality string, disease_area string, modality_confidence double, disease_confidence double, reasoning string, created_at int")
+    got = stages.run(spark, {
+        "Classification": lambda: label.classify(rows, none, _answer(False), _answer(True), F.lit(1)),
+        "Adjudication": lambda: label.adjudicate(rows, _outcome_cache(rows), _judge(False), _judge(True), F.lit(1)),
+    }).results
+    made = [got[x].labels.agg(F.lit(x).alias("stage"), F.count("*").alias("labels")) for x in got]
+    entries = got["Classification"].entries.unionByName(got["Adjudication"].entries)
+    return label.ledger(entries).join(made[0].unionByName(made[1]), "stage").select("stage", "input_tokens", "asked", "cache_hits", "tier1_asked", "tier2_asked", "labels")
+
+
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
     """Label rows of the parts: some usable, some not, some repeated, some blank."""
     e = F.expr

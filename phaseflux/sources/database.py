@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import math
 import os
+import re
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import ingest
 
 log = logging.getLogger(__name__)
+#: Rows that a connection reads at least, and connections at most, of one table.
+ROWS, CONNECTIONS = 250_000, 64
 #: Tables that a scan reads.
 TABLES = ("studies", "interventions", "conditions", "sponsors", "browse_interventions", "browse_conditions", "mesh_terms", "brief_summaries")
 
@@ -51,15 +55,58 @@ def configured(**given: str | int | None) -> Config:
     return replace(Config(), **values | ({"port": int(values["port"])} if "port" in values else {}))
 
 
+def _unreachable(error: Exception) -> RuntimeError:
+    if "SQL" not in str(error) and "onnect" not in str(error):
+        raise error
+    return RuntimeError("the registry's database can't be read; check REGISTRY_DB_USER and REGISTRY_DB_PASSWORD or pass a configuration")
+
+
 def query(spark: SparkSession, sql: str, config: Config | None = None) -> DataFrame:
     """A query's result; an unreachable database is a RuntimeError."""
     options = (config or configured()).options()
     try:
         return spark.read.format("jdbc").options(query=sql, **options).load()
     except (Py4JJavaError, PySparkException) as error:
-        if "SQL" not in str(error) and "onnect" not in str(error):
-            raise
-        raise RuntimeError("the registry's database can't be read; check REGISTRY_DB_USER and REGISTRY_DB_PASSWORD or pass a configuration") from error
+        raise _unreachable(error) from error
+
+
+def ranges(key: str, low: str | None, high: str | None, n: int) -> list[str]:
+    """Conditions that deal all rows to n ranges of a key, nulls to the first: every row meets exactly one.
+
+    Bounds lie evenly between the least and the greatest key, both of one start and as many digits (as registries number their
+    studies); keys of any other form in between are dealt by their order. Without such bounds there is one range.
+    """
+    forms = [re.fullmatch(r"(.*?)(\d+)", x or "") for x in (low, high)]
+    if n < 2 or not all(forms) or forms[0][1] != forms[1][1] or len(low) != len(high):
+        return ["1 = 1"]
+    start, first, last = forms[0][1].replace("'", "''"), int(forms[0][2]), int(forms[1][2])
+    bounds = [f"'{start}{x:0{len(forms[0][2])}d}'" for x in sorted({first + (last - first + 1) * i // n for i in range(1, n)} - {first})]
+    if not bounds:
+        return ["1 = 1"]
+    return [f"{key} < {bounds[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)), f"{key} >= {bounds[-1]}"]
+
+
+def table(spark: SparkSession, name: str, config: Config | None = None, key: str = "nct_id", rows: int = ROWS, connections: int = CONNECTIONS) -> DataFrame:
+    """A table by as many connections as its rows are worth, each a range of the key, from bounds that one small query asks for.
+
+    Columns and simple conditions reach the database with each range's own. Tables without the key, or with keys that
+    are no numbers, are one range, which is told.
+    """
+    options = (config or configured()).options()
+    try:
+        plain = spark.read.format("jdbc").options(dbtable=name, **options).load()
+        own = next((c for c in plain.columns if c.lower() == key.lower()), None)
+        if own is None:
+            return plain
+        bounds = query(spark, f"SELECT COUNT(*) AS n, MIN({own}) AS low, MAX({own}) AS high FROM {name}", config).first()
+        n = min(connections, math.ceil(bounds[0] / rows))
+        parts = ranges(own, *(None if x is None else str(x) for x in bounds[1:]), n)
+        if len(parts) < n:
+            log.warning("%s is read by %d of %d connections: its keys from %s to %s have no even ranges", name, len(parts), n, *bounds[1:])
+        url = options.pop("url")
+        return spark.read.jdbc(url, name, predicates=parts, properties=options)
+    except (Py4JJavaError, PySparkException) as error:
+        raise _unreachable(error) from error
 
 
 def fetch_all(spark: SparkSession, sql: str, config: Config | None = None) -> list[dict]:
@@ -107,7 +154,7 @@ def fetch(spark: SparkSession, source: str = "database", config: Config | None =
         raise ValueError(f"unknown source {source!r}")
     if most is not None:
         log.warning("at most %d joined rows are read", most)
-    read = (lambda t: query(spark, f"SELECT * FROM {t}", config)) if source == "database" else (lambda t: spark.read.parquet(f"{path}/{t}.parquet"))
+    read = (lambda t: table(spark, t, config)) if source == "database" else (lambda t: spark.read.parquet(f"{path}/{t}.parquet"))
     rows = ingest.scan({t: read(t) for t in TABLES}, mesh_term, keywords, most)
     if most is not None and rows.count() >= most:  # `most` rows at most
         log.warning("the cap of %d rows was met: the result is cut", most)

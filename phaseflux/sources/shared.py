@@ -5,7 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/checkpoints/phaseflux").rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all that it holds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept(frame: DataFrame) -> DataFrame:
@@ -13,11 +27,7 @@ def kept(frame: DataFrame) -> DataFrame:
 
     Its files go with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they stay.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/checkpoints/phaseflux")
+        context.setCheckpointDir(folder(frame.sparkSession))
     return frame.checkpoint()
