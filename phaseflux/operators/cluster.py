@@ -69,13 +69,13 @@ def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
     single = F.col("is_single_arm") if "is_single_arm" in rows.columns else F.lit(True)
     p = lambda i: F.min(F.when(single & (F.col("phase") == f"Phase {i}"), F.col("p_value")))
     out = rows.groupBy(F.xxhash64("candidate_id").alias(_HASH), "candidate_id").agg(
-        first.alias("first"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
+        first.alias("first"), F.count("*").alias("n_trials"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
         F.collect_set("trees").alias("trees"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
     )
     sponsors = F.array_distinct(F.filter(F.col("seen.sponsor"), lambda s: F.coalesce(s, F.lit("")) != ""))
     return out.select(
         "candidate_id", text.cluster_key(F.col("first.intervention")).alias("drug_name"), text.cluster_key(F.col("first.indication")).alias("indication"), F.col("first.intervention").alias("drug_name_raw"),
-        F.col("seen.nct_id").alias("trial_ids"), vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
+        F.col("seen.nct_id").alias("trial_ids"), "n_trials", vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
         F.sort_array(F.array_distinct(F.flatten("trees"))).alias("trees"), "ord", modal(F.flatten("terms.mesh_drug_terms")).alias("mesh_drug"), modal(F.flatten("terms.mesh_condition_terms")).alias("mesh_indication"),
         *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
     )
@@ -122,15 +122,16 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
         "g_drug": F.coalesce(known, "candidate_id"), "g_area": F.when(known.isNotNull(), F.coalesce("mesh_indication", "indication")), "rank": rank("highest_phase"),
     })
     n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors", "trees")))
-    firsts = [c for c in cands.columns if c not in ("trial_ids", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
+    firsts = [c for c in cands.columns if c not in ("trial_ids", "n_trials", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
     sums = rows.groupBy(F.xxhash64("g_drug", "g_area").alias(_HASH), "g_drug", "g_area", known.isNull().alias("alone")).agg(
         F.min_by(F.struct(*firsts, *(c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns)), "ord").alias("first"), n.alias("merged"), listed.alias("parts"),
         F.max("rank").alias("rank"), F.min("earliest_start").alias("earliest_start"), F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"),
     )
     one, ids = F.col("merged") == 1, F.flatten("parts.trial_ids")
+    ids = F.when(one, ids).otherwise(F.array_distinct(ids))
     kept = [F.when(one, F.col(f"first.{c}")).alias(c) for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns]
     return sums.select(
-        *(F.col(f"first.{c}") for c in firsts), "merged", F.when(one, ids).otherwise(F.array_distinct(ids)).alias("trial_ids"), F.array_distinct(F.flatten("parts.sponsors")).alias("sponsors"),
+        *(F.col(f"first.{c}") for c in firsts), "merged", ids.alias("trial_ids"), F.size(ids).cast("long").alias("n_trials"), F.array_distinct(F.flatten("parts.sponsors")).alias("sponsors"),
         F.sort_array(F.array_distinct(F.flatten("parts.trees"))).alias("trees"),
         vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), "earliest_start", "latest_completion", "ord", *kept,
     )
@@ -138,4 +139,4 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
 
 def coverage(cands: DataFrame) -> DataFrame:
     """Candidates and trial rows by kind of match."""
-    return cands.groupBy("match").agg(F.count("*").alias("n_candidates"), F.sum(F.size("trial_ids").cast("long")).alias("n_trial_rows"))
+    return cands.groupBy("match").agg(F.count("*").alias("n_candidates"), F.sum("n_trials").alias("n_trial_rows"))

@@ -79,17 +79,19 @@ def _span_parts(labels: Column, spans: Column) -> Column:
     return F.flatten(F.transform(places, lambda place: F.transform(spans, lambda s: _part(place, phase=s["phase"], years=s["years"]))))
 
 
-def funnel(cands: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+def funnel(cands: DataFrame, trials: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, avg_duration_years, n_durations, rate).
 
     A null or empty modality or area counts in `overall` only. Without candidates there is `overall` with zeros. With `trials`
-    the phases have mean years over all trial rows of a study that the stratum's candidates name, whoever's rows they are.
+    the phases have mean years over all trial rows of a study that the stratum's candidates name, whoever's rows they are. Which
+    studies they name is told by `labels` (of membership.labels()), or else by the candidates' lists of trials.
     """
     known = F.when(resolved(), level())
     parts = cands.select(F.explode(_counted(_places(F.col("modality"), F.col("disease_area")), known, _years_to_market())).alias("part"))
     if trials is not None:
-        studies = cands.select("modality", "disease_area", F.explode(F.array_distinct("trial_ids")).alias("nct_id")).groupBy("nct_id").agg(F.collect_set(F.struct("modality", "disease_area")).alias("labels"))
-        rows = _spans(trials).groupBy("nct_id").agg(F.collect_list(F.struct("phase", "years")).alias("spans")).join(studies, "nct_id")
+        if labels is None:
+            labels = cands.select("modality", "disease_area", F.explode(F.array_distinct("trial_ids")).alias("nct_id")).groupBy("nct_id").agg(F.collect_set(F.struct("modality", "disease_area")).alias("labels"))
+        rows = _spans(trials).groupBy("nct_id").agg(F.collect_list(F.struct("phase", "years")).alias("spans")).join(labels, "nct_id")
         parts = parts.unionByName(rows.select(F.explode(_span_parts(F.col("labels"), F.col("spans"))).alias("part")))
     return _tallied(parts)
 

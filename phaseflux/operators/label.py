@@ -83,7 +83,7 @@ def adjudication() -> Task:
     return Task(
         "Adjudication", "Decide the development outcome of each candidate from its trials. Reply with a JSON array only, one object for each candidate_index.", f"Candidates:\n\n{PLACE}", text.OUTCOME_REPLY,
         {
-            "Drug name": field_of("drug_name_raw"), "Indication": field_of("indication"), "Highest phase reached": field_of("highest_phase"), "Number of trials": lambda: F.size("trial_ids").cast("string"),
+            "Drug name": field_of("drug_name_raw"), "Indication": field_of("indication"), "Highest phase reached": field_of("highest_phase"), "Number of trials": lambda: F.col("n_trials").cast("string"),
             "Sponsors": lambda: listed("sponsors"), "Earliest trial start": field_of("earliest_start"), "Latest trial completion": field_of("latest_completion"),
         },
         lambda item: {
@@ -118,9 +118,15 @@ def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
     return dealt.withColumns({"batch": F.floor(number / size).cast("long"), "candidate_index": (number % size + 1).cast("int")}).drop("_part", "_at")
 
 
+def _counted(cands: DataFrame) -> DataFrame:
+    """Candidates with the number of their trials, also where they have these as lists."""
+    listed = "trial_ids" in cands.columns and "n_trials" not in cands.columns
+    return cands.withColumn("n_trials", F.size("trial_ids").cast("long")) if listed else cands
+
+
 def requests(rows: DataFrame, task: Task, id_col: str, size: int = BATCH) -> DataFrame:
     """(batch, members, prompt): one row for each request."""
-    lines = batched(rows, id_col, size).select("batch", F.struct("candidate_index", F.col(id_col).alias("id"), block(task.fields, "statuses" if "statuses" in rows.columns else None).alias("block")).alias("one"))
+    lines = batched(_counted(rows), id_col, size).select("batch", F.struct("candidate_index", F.col(id_col).alias("id"), block(task.fields, "statuses" if "statuses" in rows.columns else None).alias("block")).alias("one"))
     listed = lines.groupBy("batch").agg(F.sort_array(F.collect_list("one")).alias("all"))  # `size` rows at most
     members = F.transform("all", lambda x: F.struct(x["candidate_index"].alias("candidate_index"), x["id"].alias("id")))
     return listed.select("batch", members.alias("members"), F.replace(F.lit(task.user), F.lit(PLACE), F.array_join("all.block", "\n\n")).alias("prompt"))
@@ -270,7 +276,8 @@ def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, c
 
     A cache with the date columns keeps them.
     """
-    names = ["candidate_id", "drug_name", "drug_name_raw", "indication", "highest_phase", "trial_ids", "sponsors", "earliest_start", "latest_completion", *(["statuses"] if "statuses" in cands.columns else [])]
+    cands = _counted(cands)
+    names = ["candidate_id", "drug_name", "drug_name_raw", "indication", "highest_phase", "n_trials", "sponsors", "earliest_start", "latest_completion", *(["statuses"] if "statuses" in cands.columns else [])]
     rows, task = cands.select(*names), adjudication()
     if failures is not None:
         rows = rows.join(failures.select("candidate_id"), "candidate_id", "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import stages
 from .functions import text
-from .operators import cluster, funnel, ingest, label
+from .operators import cluster, funnel, ingest, label, membership
 from .reporting import Context, compose, write_report
 from .reporting.components import Report
 from .sources import cachefiles, readers
@@ -65,15 +65,15 @@ def ingested(tables: dict[str, DataFrame], config: Config) -> DataFrame:
     return got.withColumn("p_value", F.array_min(F.col("p_values.p_value")))
 
 
-def clustered(spark: SparkSession, trials: DataFrame, config: Config) -> DataFrame:
-    """Candidates, merged by drug id where there is a lookup."""
-    cands = cluster.candidates(trials, cluster.STRATEGIES[config.method])
-    if not config.drug_lookup:
-        return cands
-    _, by_norm = readers.drug_lookup(spark, config.drug_lookup)
-    named = cands.withColumn("norm", text.canonical_drug(F.coalesce(F.nullif("drug_name_raw", F.lit("")), "drug_name")))
-    matched = cluster.two_level(named, by_norm.where("query_norm IS NOT NULL")).drop("norm", "match")
-    return cluster.remerged(matched, not config.drop_unmatched)
+def clustered(spark: SparkSession, trials: DataFrame, config: Config) -> membership.Clustered:
+    """Candidates and their members, merged by drug id where there is a lookup. Both are written to the shared folder."""
+    found = membership.clustered(trials, cluster.STRATEGIES[config.method])
+    if config.drug_lookup:
+        _, by_norm = readers.drug_lookup(spark, config.drug_lookup)
+        named = found.candidates.withColumn("norm", text.canonical_drug(F.coalesce(F.nullif("drug_name_raw", F.lit("")), "drug_name")))
+        matched = cluster.two_level(named, by_norm.where("query_norm IS NOT NULL")).drop("norm", "match")
+        found = membership.remerged(found._replace(candidates=kept(matched)), not config.drop_unmatched)
+    return membership.Clustered(kept(found.candidates), kept(found.members))
 
 
 def _labelled(spark: SparkSession, trials: DataFrame, cands: DataFrame, tier1: label.Model, tier2: label.Model, config: Config) -> tuple[label.Stage, label.Stage, DataFrame]:
@@ -107,12 +107,13 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], tier1: label.Model, t
     """All stages. Trials and candidates are written to the shared folder once, as everything after them reads them; labels go to
     the cache, if there is one, before they are used. In a report on peptides only they are adjudicated."""
     trials = kept(ingested(tables, config))
-    cands = kept(clustered(spark, trials, config))
+    found = clustered(spark, trials, config)
+    cands = found.candidates
     classified, judged, spans = _labelled(spark, trials, cands, tier1, tier2, config)
     cachefiles.write(config.cache, classified.cache, judged.cache)
     attributes, outcomes = classified.labels, judged.labels
     rows = kept(funnel.joined(cands, attributes.select("candidate_id", "modality", "disease_area"), outcomes.select("candidate_id", "outcome", "approval_date", "market_date")))
-    rates = kept(funnel.funnel(rows, trials))
+    rates = kept(funnel.funnel(rows, trials, membership.labels(found, rows)))
     report = compose(Context(rows, rates, config.as_of, config.peptide_only, config.periods))
     if config.output:
         write_report(report, config.output, config.as_of, config.formats)

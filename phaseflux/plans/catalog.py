@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text, vocab
-from ..operators import cluster, evaluate, funnel, ingest, label, report
-from ..sources import adapter, readers
+from ..operators import cluster, evaluate, funnel, ingest, label, membership, report
+from ..sources import adapter, readers, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,8 +317,11 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(cands(spark, d))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
     """Candidates with a drug id for every other drug, or a MeSH term; their MeSH indication is left out."""
-    rows = cands(spark, d)
     number = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
     names = {"drug_id": F.when(number % 4 < 2, F.concat(F.lit("DB"), (number % 100).cast("string"))), "mesh_drug": F.when(number % 4 == 2, F.concat(F.lit("m"), (number % 50).cast("string"))), "mesh_indication": F.lit(None).cast("string")}
     return rows.withColumns(names)
@@ -340,6 +343,25 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("candidate_id", "drug_name", "merged", "earliest_start", "latest_completion", "highest_phase", F.array_join("trial_ids", "|").alias("trial_ids"), F.array_join("sponsors", "|").alias("sponsors"))
 
 
+@query("j11_membership", f"""{_REMERGE}, t AS (SELECT coalesce(g, candidate_id) AS gd, CASE WHEN g IS NOT NULL THEN g.indication END AS gi, g.candidate_id, g.ord AS cord, k.nct_id FROM g JOIN keyed k USING (candidate_id)),
+    m AS (SELECT gd, gi, arg_min(candidate_id, cord) AS id, count(DISTINCT candidate_id) AS merged FROM t GROUP BY ALL)
+    SELECT m.id AS candidate_id, t.nct_id, CASE WHEN m.merged = 1 THEN count(*) ELSE 1 END AS n, sum(CASE WHEN m.merged = 1 THEN count(*) ELSE 1 END) OVER (PARTITION BY m.id)::BIGINT AS n_trials FROM t JOIN m ON m.gd = t.gd AND m.gi IS NOT DISTINCT FROM t.gi GROUP BY m.id, m.merged, t.nct_id""")
+def j11(spark: SparkSession, d: str) -> DataFrame:
+    got = membership.clustered(shared.kept(trials(spark, d)))
+    merged = membership.remerged(got._replace(candidates=shared.kept(numbered(got.candidates))))
+    return merged.members.groupBy("candidate_id", "nct_id").agg(F.count("*").alias("n")).join(merged.candidates.select("candidate_id", "n_trials"), "candidate_id").select("candidate_id", "nct_id", "n", "n_trials")
+
+
+@query("a6_long_form", f"""{_CANDS}, s AS (SELECT candidate_id, sponsor, min(ord) AS o FROM keyed WHERE sponsor IS NOT NULL GROUP BY ALL), p AS (SELECT candidate_id, string_agg(sponsor, '|' ORDER BY o) AS sponsors FROM s GROUP BY 1),
+    x AS (SELECT candidate_id, mesh_drug AS term, count(*) AS n, min(ord) AS o FROM keyed WHERE mesh_drug IS NOT NULL GROUP BY ALL), y AS (SELECT candidate_id, arg_min(term, (-n, o)) AS term FROM x GROUP BY 1),
+    t AS (SELECT candidate_id, array_to_string(list_sort(list(DISTINCT tree)), '|') AS trees FROM (SELECT candidate_id, unnest([tree1, tree2]) AS tree FROM keyed) GROUP BY 1),
+    v AS (SELECT candidate_id, min(p_value) FILTER (phase = 'Phase 1') AS p_1, min(p_value) FILTER (phase = 'Phase 2') AS p_2, min(p_value) FILTER (phase = 'Phase 3') AS p_3 FROM keyed GROUP BY 1)
+    SELECT c.candidate_id, drug_name, highest_phase, n_trials, modality, disease_area, outcome, approval_date, market_date, coalesce(sponsors, '') AS sponsors, y.term AS mesh_drug, trees, p_1, p_2, p_3 FROM cands c LEFT JOIN p USING (candidate_id) LEFT JOIN y USING (candidate_id) JOIN t USING (candidate_id) JOIN v USING (candidate_id)""")
+def a6_long(spark: SparkSession, d: str) -> DataFrame:
+    rows = membership.clustered(shared.kept(trials(spark, d))).candidates
+    return rows.select("candidate_id", "drug_name", "highest_phase", "n_trials", "modality", "disease_area", "outcome", "approval_date", "market_date", F.array_join("sponsors", "|").alias("sponsors"), "mesh_drug", F.array_join("trees", "|").alias("trees"), "p_1", "p_2", "p_3")
+
+
 @query("a25_coverage", f"{_REMERGE} SELECT CASE WHEN x % 4 < 2 THEN 'drugbank' WHEN x % 4 = 2 THEN 'mesh' ELSE 'none' END AS match, count(*) AS n_candidates, sum(n_trials)::BIGINT AS n_trial_rows FROM g GROUP BY 1")
 def a25(spark: SparkSession, d: str) -> DataFrame:
     rows = known(spark, d).withColumn("match", F.when(F.col("drug_id").isNotNull(), "drugbank").when(F.col("mesh_drug").isNotNull(), "mesh").otherwise("none"))
@@ -355,18 +377,17 @@ _LABELLED = f"""{_CANDS}, num AS (SELECT *, regexp_extract(drug_name, '(\\d+)$',
     jc AS (SELECT c.candidate_id, c.drug_name, c.highest_phase, a.modality, a.disease_area, o.outcome, o.approval_date, o.market_date FROM cands c LEFT JOIN attributes a USING (candidate_id) LEFT JOIN outcomes o USING (candidate_id))"""
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
+def labelled(rows: DataFrame) -> DataFrame:
     """Candidates joined to attributes and outcomes that some of them lack."""
-    rows = cands(spark, d)
     x = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
     attributes = rows.where(x % 7 != 0).select("candidate_id", F.when(x % 11 == 0, "").otherwise(F.col("modality")).alias("modality"), "disease_area")
     outcomes = rows.where(x % 5 != 0).select("candidate_id", "outcome", "approval_date", "market_date")
-    return funnel.joined(rows.select("candidate_id", "drug_name", "highest_phase", "trial_ids"), attributes, outcomes)
+    return funnel.joined(rows.select("candidate_id", "drug_name", "highest_phase"), attributes, outcomes)
 
 
 @query("j10_joined", f"{_LABELLED} SELECT * FROM jc")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return labelled(spark, d).drop("trial_ids")
+    return labelled(shared.kept(cluster.candidates(trials(spark, d)).select("candidate_id", "drug_name", "highest_phase", *cluster.LABELS)))
 
 
 _F = "stratum, modality, disease_area, candidate_count, from_phase, to_phase, numerator, denominator, rate, round(avg_duration_years, 9) AS avg_duration_years, n_durations"
@@ -379,7 +400,10 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a10_joined_funnel", f"{_LABELLED}, {funnel_ctes('jc')} SELECT {_F} FROM funnel")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(funnel.funnel(labelled(spark, d), trials(spark, d)), "avg_duration_years")
+    rows = shared.kept(trials(spark, d))
+    got = membership.clustered(rows)
+    cands_ = labelled(shared.kept(got.candidates.select("candidate_id", "drug_name", "highest_phase", *cluster.LABELS)))
+    return _rounded(funnel.funnel(cands_, rows, membership.labels(got, cands_)), "avg_duration_years")
 
 
 @query("a11_appr_duration", f"{_CANDS} SELECT modality, round(avg(CASE WHEN market_date - approval_date > 0 THEN (market_date - approval_date) / 365.25::DOUBLE END), 9) AS years FROM cands GROUP BY modality")
@@ -733,8 +757,8 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
 @query("s14_predictions", f"""{_LABELLED}, p AS (SELECT c.drug_name AS drug, c.indication, CASE o.outcome WHEN 'Commercialized' THEN 'commercialized' WHEN 'Approved' THEN 'approved' ELSE 'investigational' END AS predicted, c.candidate_id FROM cands c JOIN outcomes o USING (candidate_id))
     SELECT drug, indication, arg_max(predicted, candidate_id) AS predicted FROM p GROUP BY 1, 2""")
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
-    names = cands(spark, d).select("candidate_id", "drug_name", "indication")
+    once = shared.kept(cands(spark, d).select("candidate_id", "drug_name", "indication", "highest_phase", *cluster.LABELS))
+    rows, names = labelled(once), once.select("candidate_id", "drug_name", "indication")
     x = F.regexp_extract("drug_name", r"(\d+)$", 1).cast("int")
     return readers.predictions_of(names, rows.where(x % 5 != 0).select("candidate_id", "outcome"))
 
