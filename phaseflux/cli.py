@@ -8,11 +8,11 @@ import importlib
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import evaluate, label
+from .operators import evaluate, label, numbering
 from .pipeline import Config, run
 from .reporting import console
 from .sources import database, readers, sinks
@@ -26,11 +26,6 @@ def _model(name: str) -> label.Model:
     return getattr(importlib.import_module(module), attribute)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows of a small file with their place in it, from 1."""
-    return rows.withColumn("at", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
-
-
 def _run(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.source == "api":
         raise NotImplementedError("the REST source is not implemented")
@@ -60,7 +55,7 @@ def _validate(spark: SparkSession, a: argparse.Namespace) -> str:
 
 def _score(spark: SparkSession, a: argparse.Namespace) -> str:
     """Each file of replies by position against the pairs, up to the shorter of the two."""
-    pairs = _numbered(readers.csv(spark, a.pairs, PAIRS)).cache()
+    pairs = numbering.in_files(readers.csv(spark, a.pairs, PAIRS)).cache()
     files = sorted(map(str, Path(a.responses).glob("*.txt"))) if Path(a.responses).is_dir() else [a.responses]
     if not files:
         raise FileNotFoundError(f"no .txt files in {a.responses}")
@@ -90,7 +85,7 @@ def _sample(spark: SparkSession, a: argparse.Namespace) -> str:
 
 
 def _prompts(spark: SparkSession, a: argparse.Namespace) -> str:
-    rows = _numbered(readers.csv(spark, a.pairs, PAIRS)).withColumn("sponsors", F.lit(None).cast("string"))
+    rows = numbering.in_files(readers.csv(spark, a.pairs, PAIRS)).withColumn("sponsors", F.lit(None).cast("string"))
     found = [r["prompt"] for r in evaluate.prompts(rows, "at").orderBy("at").collect()]
     return "\n\n".join([*found, f"Total: {len(found)} prompts"])
 

@@ -140,15 +140,22 @@ def unseen(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return rows.join(known.select(key(name).alias("_k")).distinct(), key(name) == F.col("_k"), "left_anti")
 
 
+def turn(id_col: str, seed: int) -> Column:
+    """A row's place in an order that depends on id and seed only: a digest that any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
 def sample(rows: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows of each group, those with the least hashes of id and seed."""
-    turn = F.xxhash64(F.col(id_col), F.lit(seed))
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(turn, id_col))).where(F.col("rn") <= n).drop("rn")
+    """n rows of each group, those with the least digests of seed and id.
+
+    Spark limits every task's rows to n of each group before they are shuffled, so that a group of any size is n rows a task.
+    """
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(turn(id_col, seed), id_col))).where(F.col("rn") <= n).drop("rn")
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Rows in an order that depends on id and seed only."""
-    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    return rows.orderBy(turn(id_col, seed), id_col)
 
 
 def weak_label(outcome: Column) -> Column:

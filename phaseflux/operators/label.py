@@ -16,6 +16,7 @@ from ..sources import journal
 from ..sources.journal import Journal
 from ..sources.readers import cache_upsert, latest
 from ..sources.shared import kept
+from . import numbering
 
 #: Rows of a request; prices in dollars a million tokens (input, output) by tier; cache write and read factors.
 BATCH = 50
@@ -104,18 +105,9 @@ def block(fields: dict[str, Callable[[], Column]], statuses: str | None = None)
 
 
 def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
-    """`batch` and `candidate_index` (from 1): slices of `size` rows in the order of the ids, with no task that sees all rows.
-
-    Rows are dealt by ranges of ids and numbered within each; one count for each range gives its first number. The dealt rows are
-    written to the shared folder, as the ranges' bounds would be drawn anew if they were dealt again.
-    """
-    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    dealt = kept(rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumns({"_part": F.spark_partition_id(), "_at": at}))
-    starts, total = {}, 0
-    for r in sorted(dealt.groupBy("_part").count().collect()):  # a row for each range
-        starts[r["_part"]], total = total, total + r["count"]
-    number = F.col("_at") + (vocab.lookup(F.col("_part"), starts) if starts else F.lit(0))
-    return dealt.withColumns({"batch": F.floor(number / size).cast("long"), "candidate_index": (number % size + 1).cast("int")}).drop("_part", "_at")
+    """`batch` and `candidate_index` (from 1): slices of `size` rows in the order of the ids, with no task that sees all rows."""
+    rows = numbering.ordered(rows, id_col, name="_number", start=0)
+    return rows.withColumns({"batch": F.floor(F.col("_number") / size).cast("long"), "candidate_index": (F.col("_number") % size + 1).cast("int")}).drop("_number")
 
 
 def _counted(cands: DataFrame) -> DataFrame:
@@ -245,30 +237,33 @@ def overridden(attributes: DataFrame) -> DataFrame:
 
 
 class Stage(NamedTuple):
-    """A stage's labels, the cache with its new entries, and the ledger's entries."""
+    """A stage's labels, the cache with its new entries, the ledger's entries, and the new entries alone."""
 
     labels: DataFrame
     cache: DataFrame
     entries: DataFrame
+    fresh: DataFrame
 
 
-def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: Model, tier2: Model, created_at: Column, book: Journal | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: Model, tier2: Model, created_at: Column, book: Journal | None) -> Stage:
     rows = cands.withColumn("cache_key", key)
     names = list(task.defaults)
     known, missing = split_cache(rows, cache.select("cache_key", *names))
     run = tiered(missing, task, tier1, tier2, book=book)
     fresh = kept(run.labels.join(rows.select("candidate_id", "cache_key"), "candidate_id"))
     new = latest(fresh.select("cache_key", *names, created_at.alias("created_at"), "candidate_id"), ["cache_key"], ["candidate_id"])
-    return known.select("candidate_id", *names).unionByName(fresh.select("candidate_id", *names)), cache_upsert(cache, new.select(*cache.columns)), run.entries.unionByName(hits(known, task.stage))
+    new = new.select(*cache.columns)
+    labels = known.select("candidate_id", *names).unionByName(fresh.select("candidate_id", *names))
+    return Stage(labels, cache_upsert(cache, new), run.entries.unionByName(hits(known, task.stage)), new)
 
 
 def classify(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, book: Journal | None = None) -> Stage:
     """Attributes of candidates: cached ones with their area normalised, else asked and cached as answered; then the vote of
     the tree numbers overrides the area. Cached defaults of failed calls count as answers, as in the results reproduced."""
     plain = cands.select("candidate_id", "drug_name", "drug_name_raw", "indication")
-    labels, cache, entries = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at, book)
-    labels = labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(cands.select("candidate_id", "trees"), "candidate_id")
-    return Stage(overridden(labels).drop("trees"), cache, entries)
+    got = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at, book)
+    labels = got.labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(cands.select("candidate_id", "trees"), "candidate_id")
+    return got._replace(labels=overridden(labels).drop("trees"))
 
 
 def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, created_at: Column, failures: DataFrame | None = None, book: Journal | None = None) -> Stage:
@@ -282,11 +277,11 @@ def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, c
     if failures is not None:
         rows = rows.join(failures.select("candidate_id"), "candidate_id", "left_anti")
     key = text.cache_key(F.col("drug_name"), F.col("indication"), F.col("highest_phase"))
-    labels, cache, entries = _stage(rows, cache, task, key, tier1, tier2, created_at, book)
+    got = _stage(rows, cache, task, key, tier1, tier2, created_at, book)
     if failures is not None:
-        labels = labels.unionByName(failures.select("candidate_id", *(F.col(k) if k in failures.columns else c.alias(k) for k, c in task.defaults.items())))
-        entries = entries.unionByName(hits(failures, task.stage))
-    return Stage(labels, cache, entries)
+        labels = got.labels.unionByName(failures.select("candidate_id", *(F.col(k) if k in failures.columns else c.alias(k) for k, c in task.defaults.items())))
+        got = got._replace(labels=labels, entries=got.entries.unionByName(hits(failures, task.stage)))
+    return got
 
 
 def classify_one(spark: SparkSession, drug: str, indication: str, tier1: Model, tier2: Model) -> dict:

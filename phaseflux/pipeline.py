@@ -110,7 +110,7 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], tier1: label.Model, t
     found = clustered(spark, trials, config)
     cands = found.candidates
     classified, judged, spans = _labelled(spark, trials, cands, tier1, tier2, config)
-    cachefiles.write(config.cache, classified.cache, judged.cache)
+    cachefiles.write(config.cache, classified.fresh, judged.fresh)
     attributes, outcomes = classified.labels, judged.labels
     rows = kept(funnel.joined(cands, attributes.select("candidate_id", "modality", "disease_area"), outcomes.select("candidate_id", "outcome", "approval_date", "market_date")))
     rates = kept(funnel.funnel(rows, trials, membership.labels(found, rows)))

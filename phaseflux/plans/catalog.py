@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text, vocab
 from ..operators import cluster, evaluate, funnel, ingest, label, membership, report
-from ..sources import adapter, readers, shared
+from ..sources import adapter, cachefiles, readers, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,6 +595,18 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return readers.cache_upsert(rows.where("created_at % 2 = 0"), rows.where("created_at % 2 = 1")).select("cache_key", "disease_area", "created_at")
 
 
+@query("k9_bucketed_upsert", SQL["k9_cache_upsert"], False)
+def k9_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert of a table in parts; its folder is gone when the result is kept."""
+    rows, path = _cache(spark, d), f"{shared.folder(spark)}/cache-{uuid.uuid4().hex}"
+    cache = cachefiles.Cache(spark, path, "cache_key string, disease_area string, created_at bigint", parts=8)
+    for turn in (0, 1):
+        cache.upsert(rows.where(F.col("created_at") % 2 == turn))
+    out = shared.kept(cache.read())
+    shared.delete(spark, path)
+    return out
+
+
 @query("k10_migrate", f"WITH {_CACHE} SELECT cache_key, CASE disease_area WHEN 'Dermatology' THEN 'other' WHEN 'allergy' THEN 'autoimmune' ELSE disease_area END AS disease_area, created_at FROM c", False)
 def k10(spark: SparkSession, d: str) -> DataFrame:
     return readers.cache_migrate(_cache(spark, d))[0]
@@ -737,7 +750,8 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.unseen(rows, rows.where("p_partkey < 20"), "p_name").select("p_partkey")
 
 
-@query("a37_sample")
+@query("a37_sample", f"""{_CANDS}, w AS (SELECT candidate_id, CASE WHEN outcome LIKE 'Failed%' THEN 'Clinical' WHEN outcome IN ('Approved', 'Commercialized') THEN 'Post-Clinical' ELSE 'Other' END AS weak_label FROM cands)
+    SELECT candidate_id, weak_label FROM w QUALIFY row_number() OVER (PARTITION BY weak_label ORDER BY md5('42:' || candidate_id), candidate_id) <= 20""")
 def a37(spark: SparkSession, d: str) -> DataFrame:
     rows = cands(spark, d).withColumn("weak_label", evaluate.weak_label(F.col("outcome")))
     return evaluate.sample(rows, "weak_label", "candidate_id", 20).select("candidate_id", "weak_label")
