@@ -100,6 +100,10 @@ class Cache:
         self._commit(manifest | {"places": manifest["places"] | {str(k): write for k in touched}})
         return touched
 
+    def renew(self) -> None:
+        """The newest version again under the next number."""
+        self._commit(self._newest())
+
     def _commit(self, manifest: dict) -> None:
         """The next version; a second writer of the same version fails."""
         version = max(self._written(), default=-1) + 1
@@ -154,7 +158,8 @@ def read(spark: SparkSession, path: str | None) -> Caches:
 
 
 def write(path: str | None, classification: DataFrame, adjudication: DataFrame) -> None:
-    """Upserts the new entries of each; versions before stay until vacuum(), so that a run that fails loses nothing."""
+    """Upserts the new entries of each, a version for each run, also for one that has found everything; versions before stay until vacuum()."""
     if path:
         for cache, new in zip(caches(classification.sparkSession, path), (classification, adjudication), strict=True):
-            cache.upsert(new)
+            if not cache.upsert(new):
+                cache.renew()
