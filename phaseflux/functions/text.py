@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import unicodedata
 from collections.abc import Callable
@@ -85,16 +87,52 @@ def area_vote(trees: Column) -> Column:
     return F.when(F.size(trees) > 0, bound(bound(mapped, ranked), first))
 
 
-@F.pandas_udf(T.StringType())
-def decomposed(s: pd.Series) -> pd.Series:
-    """NFKD without combining characters; Spark has no built-in for it."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+@functools.cache
+def _decomposition() -> tuple[str, str, dict[str, str]]:
+    """What NFKD makes of each code point without combining characters, by the rule of this Python's Unicode tables: code points with
+    one in their place, those places (the code points after them go), and texts for the others.
+
+    A string's decomposition is that of its code points one by one: reordering moves combining characters only.
+    """
+    one, gone, more = {}, [], {}
+    for x in map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000))):
+        to = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        if to == x:
+            continue
+        if not to:
+            gone.append(x)
+        elif len(to) == 1:
+            one[x] = to
+        else:
+            more[x] = to
+    return "".join([*one, *gone]), "".join(one.values()), more
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class of code points."""
+    out, start = [], None
+    for at, x in enumerate(points):
+        start = x if start is None else start
+        if at + 1 == len(points) or points[at + 1] != x + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{x:x}}}")
+            start = None
+    return f"[{''.join(out)}]"
+
+
+def decomposed(c: Column) -> Column:
+    """NFKD without combining characters, by code point and without Python: most by one translation; a text with code points
+    that become several takes a table of these. ASCII texts are left as they are."""
+    old, new, more = _decomposition()
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")  # a constant: it is parsed once for a query
+    plain = F.translate(c, old, new)
+    whole = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.when(c.rlike(_ranges(sorted(map(ord, more)))), whole).otherwise(plain)).otherwise(c)
 
 
 def canonical_drug(c: Column, ascii_only: bool = False) -> Column:
     """A drug name without descriptors: brackets, separators, punctuation, noise words; roman numerals as digits.
 
-    `ascii_only` leaves out the decomposition, and with it Python, where the column is known to be ASCII.
+    `ascii_only` leaves out the decomposition where the column is known to be ASCII.
     """
     s = F.coalesce(c, F.lit(""))
     s = F.lower(s if ascii_only else decomposed(s))

@@ -192,7 +192,17 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
     return adapter.table(spark, d, "documents").select("doc_id", F.md5(text.cluster_key(F.col("text"))).alias("h"))
 
 
-@query("p6_canonical_drug")
+def _canonical_sql(name: str) -> str:
+    """The canonical form in SQL, for names in which accents are all that is not ASCII."""
+    steps = ((r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " "), (r"[/,_;:\-–—]", " "), ("[\"''“”‘’`]", ""), (r"[^\w\s]", " "), (r"\b(\d{1,3})\s*(lu|ga|y|i|tc|in)\b", r"\1\2"))
+    for pattern, to in (("", ""), *steps):
+        name = f"regexp_replace({name}, '{pattern}', '{to}', 'g')" if pattern else f"lower(strip_accents({name}))"
+    noise = ", ".join(f"'{x}'" for x in ("", *vocab.DRUG_NOISE))
+    roman = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.ROMAN.items())
+    return f"array_to_string(list_transform(list_filter(string_split_regex({name}, '\\s+'), lambda x: x NOT IN ({noise})), lambda x: CASE x {roman} ELSE x END), ' ')"
+
+
+@query("p6_canonical_drug", f"SELECT p_partkey, {_canonical_sql("'Placebo ' || p_name || ' (oral) 177 Lu-' || p_brand || ' Tablet II é'")} AS drug FROM part", False)
 def p6(spark: SparkSession, d: str) -> DataFrame:
     noisy = F.concat(F.lit("Placebo "), F.col("p_name"), F.lit(" (oral) 177 Lu-"), F.col("p_brand"), F.lit(" Tablet II é"))
     return adapter.table(spark, d, "part").select("p_partkey", text.canonical_drug(noisy).alias("drug"))
