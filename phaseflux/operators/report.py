@@ -79,11 +79,35 @@ def default_periods(counts: dict[int, int], today: dt.date) -> list[tuple[int, i
     return [(years[0], cut - 1), (cut, years[-1])]
 
 
+def period_cube(cands: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Candidates of periods by display area: (grain, period, area, candidate_count, c0..c4, loa, n), from one aggregate.
+
+    grain is `cell` for a period's area, `period`, `area` or `all`, with nulls for what it sums over; c0..c4 count the resolved
+    candidates that came as far, loa is the likelihood of approval from phase 1, n the sum of denominators. A candidate without an
+    area counts in `period` and `all` only. Every table of periods and areas reads this, and so the candidates once.
+    """
+    area = F.when(F.coalesce("disease_area", F.lit("")) != "", text.display_area(F.col("disease_area")))
+    rows = periods(cands, ranges).select("period", area.alias("area"), funnel.resolved(False).alias("known"), funnel.level().alias("level"))
+    reached = [F.sum((F.col("known") & (F.col("level") >= i)).cast("long")).alias(f"c{i}") for i in range(5)]
+    sets = [[F.col("period"), F.col("area")], [F.col("period")], [F.col("area")], []]
+    sums = rows.groupingSets(sets, F.col("period"), F.col("area")).agg(F.grouping_id().alias("id"), F.count("*").alias("candidate_count"), *reached)
+    grain = F.when(F.col("id") == 0, "cell").when(F.col("id") == 1, "period").when(F.col("id") == 2, "area").otherwise("all")
+    rate = F.lit(1.0)
+    for i in range(3, -1, -1):
+        rate = stats.ratio(F.col(f"c{i + 1}"), F.col(f"c{i}")) * rate
+    counts = [f"c{i}" for i in range(5)]
+    full = sums.where("area IS NOT NULL OR id IN (1, 3)").withColumn("grain", grain)  # the sum over a missing area is no area
+    return full.select("grain", "period", "area", "candidate_count", *counts, rate.alias("loa"), F.expr("c0 + c1 + c2 + c3").alias("n"))
+
+
 def period_area_loa(cands: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """(area, period, loa, n): likelihood of approval from phase 1 and the sum of denominators; without an area a candidate is in none."""
-    rows = periods(cands.where(F.coalesce("disease_area", F.lit("")) != ""), ranges).withColumn("area", text.display_area(F.col("disease_area")))
-    each = funnel.loa(funnel.transition(rows, ["area", "period"]), ["area", "period"])
-    return each.select("area", "period", F.col("loa_1").alias("loa"), F.expr("n_1 + n_2 + n_3 + n_4").alias("n"))
+    """(area, period, loa, n) of the cube's cells: likelihood of approval from phase 1 and the sum of denominators; without an area a candidate is in none."""
+    return period_cube(cands, ranges).where("grain = 'cell'").select("area", "period", "loa", "n")
+
+
+def in_periods(each: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Areas of any period (a distinct union), and whether all periods have them (an intersection), by one count for each area."""
+    return each.groupBy("area").agg((F.count_distinct("period") == len(ranges)).alias("in_both"))
 
 
 def period_loa(cands: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -100,9 +124,8 @@ def weighted_loa(each: DataFrame) -> DataFrame:
 
 def movers(each: DataFrame, first: str, last: str, n: int = 3) -> DataFrame:
     """Areas of both periods whose likelihood rose or fell by more than a tenth: of each kind the first `n` by change."""
-    a = each.where(F.col("period") == first).select("area", F.col("loa").alias("loa_first"))
-    b = each.where(F.col("period") == last).select("area", F.col("loa").alias("loa_last"))
-    rows = a.join(b, "area").where("loa_first > 0").withColumn("change", (F.col("loa_last") - F.col("loa_first")) / F.col("loa_first"))
+    at = lambda period, name: F.max(F.when(F.col("period") == period, F.col("loa"))).alias(name)
+    rows = each.groupBy("area").agg(at(first, "loa_first"), at(last, "loa_last")).where("loa_first > 0 AND loa_last IS NOT NULL").withColumn("change", (F.col("loa_last") - F.col("loa_first")) / F.col("loa_first"))
     rows = rows.withColumn("kind", F.when(F.col("change") > 0.1, "improvement").when(F.col("change") < -0.1, "decline")).where("kind IS NOT NULL")
     turn = Window.partitionBy("kind").orderBy(F.desc("change"), "area")  # a row for each area at most
     return rows.withColumn("at", F.row_number().over(turn)).where(F.col("at") <= n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import funnel, report
 from ..sources import adapter
-from .catalog import AS_OF, _AREA, _CANDS, _CI, _FUNNEL, _GRID, _PAREA, _PERIODS, _REBUCKET, PERIODS, _loa_sql, _rounded, _transition_sql, cands, funnels, margins, query
+from .catalog import AS_OF, _AREA, _CANDS, _CI, _FUNNEL, _GRID, _LEVEL, _PAREA, _PERIODS, _REBUCKET, PERIODS, _loa_sql, _rounded, _transition_sql, cands, funnels, margins, query
 
 _STEP = "CASE from_phase WHEN 'Phase 1' THEN 'P1→P2' WHEN 'Phase 2' THEN 'P2→P3' WHEN 'Phase 3' THEN 'P3→Appr' ELSE 'Appr→Mkt' END"
 _CROSS = f"""{_REBUCKET}, cross0 AS (SELECT modality, {_AREA.format('disease_area')} AS area, from_phase, sum(numerator)::BIGINT AS numerator, sum(denominator)::BIGINT AS denominator FROM funnel WHERE stratum = 'modality_disease_area' GROUP BY ALL),
@@ -93,10 +93,15 @@ def g3_default(spark: SparkSession, d: str) -> DataFrame:
 @query("o29_period_areas", f"{_EACH} SELECT area, count(DISTINCT period) = 2 AS in_both FROM each_ GROUP BY area")
 def o29(spark: SparkSession, d: str) -> DataFrame:
     """Areas of either period (distinct union), and whether both have them (intersection)."""
-    each = report.period_area_loa(cands(spark, d), PERIODS)
-    one, two = (each.where(F.col("period") == f"{a}–{b}").select("area") for a, b in PERIODS)
-    both = one.intersect(two).withColumn("in_both", F.lit(True))
-    return one.union(two).distinct().join(both, "area", "left").select("area", F.coalesce("in_both", F.lit(False)).alias("in_both"))
+    return report.in_periods(report.period_area_loa(cands(spark, d), PERIODS), PERIODS)
+
+
+@query("a13_period_cube", f"""{_CANDS}, {_PERIODS}, z AS (SELECT period, CASE WHEN coalesce(disease_area, '') <> '' THEN {_AREA.format('disease_area')} END AS area, coalesce(outcome NOT IN ('Ongoing', 'Unknown'), false) AS known, {_LEVEL} AS level FROM periods),
+    u AS (SELECT grouping(period, area) AS id, period, area, count(*) AS candidate_count, {', '.join(f"count(*) FILTER (known AND level >= {i}) AS c{i}" for i in range(5))} FROM z GROUP BY GROUPING SETS ((period, area), (period), (area), ()))
+    SELECT CASE id WHEN 0 THEN 'cell' WHEN 1 THEN 'period' WHEN 2 THEN 'area' ELSE 'all' END AS grain, period, area, candidate_count, c0, c1, c2, c3, c4,
+        round({' * '.join(f"CASE WHEN c{i} > 0 THEN c{i + 1} / c{i}::DOUBLE ELSE 0.0 END" for i in range(4))}, 9) AS loa, c0 + c1 + c2 + c3 AS n FROM u WHERE area IS NOT NULL OR id IN (1, 3)""")
+def a13_cube(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(report.period_cube(cands(spark, d), PERIODS), "loa")
 
 
 _WORDS = "CASE WHEN {b} = 0 THEN 'infinitely higher than' WHEN {a} / {b} >= 2.5 THEN format('{{:.0f}}-fold higher than', {a} / {b}) WHEN {a} / {b} >= 1.8 THEN 'nearly ' || round({a} / {b})::INT || '-fold higher than' WHEN {a} / {b} >= 1.3 THEN 'substantially higher than' WHEN {a} / {b} >= 1.05 THEN 'slightly higher than' WHEN {a} / {b} >= 0.95 THEN 'comparable to' WHEN {a} / {b} >= 0.7 THEN 'slightly lower than' ELSE 'substantially lower than' END"
