@@ -1,7 +1,7 @@
 """Phase-transition funnel in long form: a row per stratum and transition.
 
-Candidates contribute their level, trials their duration. Both become rows of one table of contributions, each with the strata
-it counts in, so that one aggregation makes overall, both margins and the pairs.
+Candidates contribute their level, trials their duration. Both become rows of sums, each with the strata it counts in, so that one
+aggregation makes overall, both margins and the pairs.
 """
 
 from __future__ import annotations
@@ -39,44 +39,56 @@ def _places(modality: Column, area: Column) -> Column:
     return F.array_compact(F.array(place("overall", none, none), F.when(m.isNotNull(), place("modality", m, none)), F.when(a.isNotNull(), place("disease_area", none, a)), F.when(m.isNotNull() & a.isNotNull(), place("modality_disease_area", m, a))))
 
 
-def _part(place: Column, **values: Column) -> Column:
-    """A contribution: 1 for a candidate with its level (null if its outcome is open), or a phase, with years."""
-    kinds = {"one": "long", "level": "int", "phase": "string", "years": "double"}
-    return F.struct(place.alias("place"), *(values.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()))
+#: A contribution: so many candidates of a level (null if their outcomes are open), and so many spans of a transition with their days together.
+_PART = ("one", "level", "step", "days", "n")
+_MARKET = len(PHASES)
 
 
-def _counted(places: Column, level_: Column, years: Column) -> Column:
-    return F.transform(places, lambda x: _part(x, one=F.lit(1), level=level_, years=years))
+def _days(start: str, end: str) -> Column:
+    """Days of a span that ends after it starts."""
+    days = F.datediff(end, start)
+    return F.when(days > 0, days).cast("long")
 
 
-def _tallied(parts: DataFrame) -> DataFrame:
-    """The funnel of contributions; without any there is `overall` with zeros, for a row of nothing is added to it."""
-    zero = parts.sparkSession.range(1).select(_part(F.struct(F.lit("overall").alias("stratum"), F.lit(None).cast("string").alias("modality"), F.lit(None).cast("string").alias("disease_area")), one=F.lit(0)).alias("part"))
-    rows = parts.select("part").unionByName(zero).select("part.place.*", "part.one", "part.level", "part.phase", "part.years")
-    reached = [F.sum((F.col("level") >= i).cast("long")) for i in range(5)]
-    spans = [F.when(F.col("phase") == p, F.col("years")) for p in PHASES] + [F.when(F.col("one") == 1, F.col("years"))]
+def _part(**values: Column) -> Column:
+    kinds = {"one": "long", "level": "int", "step": "int", "days": "long", "n": "long"}
+    return F.struct(*(values.get(k, F.lit(None)).cast(kinds[k]).alias(k) for k in _PART))
+
+
+def _tallied(*parts: DataFrame) -> DataFrame:
+    """The funnel of contributions with the strata that each counts in (`places`, `part`); without any there is `overall` with
+    zeros, for a row of nothing is added to it."""
+    none = F.lit(None).cast("string")
+    place = F.struct(F.lit("overall").alias("stratum"), none.alias("modality"), none.alias("disease_area"))
+    rows = parts[0].sparkSession.range(1).select(place.alias("place"), _part(one=F.lit(0)).alias("part"))
+    for part in parts:
+        rows = rows.unionByName(part.select(F.explode("places").alias("place"), "part"))
+    rows = rows.select("place.*", "part.*")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
     sums = rows.groupBy("stratum", "modality", "disease_area").agg(
-        F.coalesce(F.sum("one"), F.lit(0)).alias("candidate_count"), *(F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(reached)),
-        *(f(s).alias(f"{n}{i}") for i, s in enumerate(spans) for n, f in (("y", F.avg), ("n", F.count))),
+        F.coalesce(F.sum("one"), F.lit(0)).alias("candidate_count"), *(total("one", F.col("level") >= i).alias(f"c{i}") for i in range(5)),
+        *(total(c, F.col("step") == i).alias(f"{c[0]}{i}") for i in range(4) for c in ("days", "n")),
     )
+    mean = [F.try_divide(F.col(f"d{i}"), F.col(f"n{i}") * F.lit(365.25)).alias(f"y{i}") for i in range(4)]
     steps = ", ".join(f"'{a}', '{b}', c{i + 1}, c{i}, y{i}, n{i}" for i, (a, b) in enumerate(zip(vocab.STAGES, vocab.STAGES[1:], strict=False)))
-    out = sums.select("stratum", "modality", "disease_area", "candidate_count", F.expr(f"stack(4, {steps}) AS (from_phase, to_phase, numerator, denominator, avg_duration_years, n_durations)"))
+    out = sums.select("*", *mean).select("stratum", "modality", "disease_area", "candidate_count", F.expr(f"stack(4, {steps}) AS (from_phase, to_phase, numerator, denominator, avg_duration_years, n_durations)"))
     return out.withColumn("rate", stats.ratio(F.col("numerator"), F.col("denominator")))
 
 
-def _years_to_market() -> Column:
-    return stats.years(F.col("approval_date"), F.col("market_date"))
+def _span_sums(phase: Column, days: Column) -> list[Column]:
+    """Days and number of a study's spans in each phase."""
+    return [f(F.when(phase == p, days)).alias(f"{name}{i}") for i, p in enumerate(PHASES) for name, f in (("d", F.sum), ("n", F.count))]
 
 
-def _spans(trials: DataFrame) -> DataFrame:
-    """Years of the phase 1-3 trial rows that end after they start."""
-    return trials.where(F.col("phase").isin(*PHASES)).select("nct_id", "phase", stats.years(F.col("start_date"), F.col("completion_date")).alias("years")).where("years IS NOT NULL")
+def _spans() -> Column:
+    """The contributions of a study's sums: phases that it has spans in."""
+    each = F.array(*(_part(one=F.lit(0), step=F.lit(i), days=F.col(f"d{i}"), n=F.col(f"n{i}")) for i in range(len(PHASES))))
+    return F.filter(each, lambda x: x["n"] > 0)
 
 
-def _span_parts(labels: Column, spans: Column) -> Column:
-    """A study's durations once in each stratum that any of its (modality, disease_area) labels is in."""
-    places = F.array_distinct(F.flatten(F.transform(labels, lambda x: _places(x["modality"], x["disease_area"]))))
-    return F.flatten(F.transform(places, lambda place: F.transform(spans, lambda s: _part(place, phase=s["phase"], years=s["years"]))))
+def _study_places(labels: Column) -> Column:
+    """The strata that any of a study's (modality, disease_area) labels is in."""
+    return F.array_distinct(F.flatten(F.transform(labels, lambda x: _places(x["modality"], x["disease_area"]))))
 
 
 def funnel(cands: DataFrame, trials: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -85,30 +97,36 @@ def funnel(cands: DataFrame, trials: DataFrame | None = None, labels: DataFrame
     A null or empty modality or area counts in `overall` only. Without candidates there is `overall` with zeros. With `trials`
     the phases have mean years over all trial rows of a study that the stratum's candidates name, whoever's rows they are. Which
     studies they name is told by `labels` (of membership.labels()), or else by the candidates' lists of trials.
+    Candidates are summed by their labels, and rows by their study, before anything is dealt to strata.
     """
-    known = F.when(resolved(), level())
-    parts = cands.select(F.explode(_counted(_places(F.col("modality"), F.col("disease_area")), known, _years_to_market())).alias("part"))
+    market = _days("approval_date", "market_date")
+    labels_of = cands.groupBy("modality", "disease_area", F.when(resolved(), level()).alias("level")).agg(F.count("*").alias("one"), F.sum(market).alias("days"), F.count(market).alias("n"))
+    parts = [labels_of.select(_places(F.col("modality"), F.col("disease_area")).alias("places"), _part(one=F.col("one"), level=F.col("level"), step=F.lit(_MARKET), days=F.col("days"), n=F.col("n")).alias("part"))]
     if trials is not None:
         if labels is None:
             labels = cands.select("modality", "disease_area", F.explode(F.array_distinct("trial_ids")).alias("nct_id")).groupBy("nct_id").agg(F.collect_set(F.struct("modality", "disease_area")).alias("labels"))
-        rows = _spans(trials).groupBy("nct_id").agg(F.collect_list(F.struct("phase", "years")).alias("spans")).join(labels, "nct_id")
-        parts = parts.unionByName(rows.select(F.explode(_span_parts(F.col("labels"), F.col("spans"))).alias("part")))
-    return _tallied(parts)
+        days = _days("start_date", "completion_date")
+        sums = trials.where(F.col("phase").isin(*PHASES) & days.isNotNull()).groupBy("nct_id").agg(*_span_sums(F.col("phase"), days))
+        parts.append(sums.join(labels, "nct_id").select(_study_places(F.col("labels")).alias("places"), F.explode(_spans()).alias("part")))
+    return _tallied(*parts)
 
 
 def of_trials(trials: DataFrame, key: cluster.Strategy = cluster.string_key) -> DataFrame:
     """funnel() of the candidates that the trials cluster to, from one pass over the trials.
 
-    Rows get their candidate's labels in one shuffle; a second gathers each study's rows, from which both kinds of contribution come.
+    Rows get their candidate's labels in one shuffle. A second gathers each study's labels and first rows of candidates, and sums
+    its spans, from which both kinds of contribution come.
     """
     rows = cluster.labelled(trials, key)
-    place = F.struct("modality", "disease_area")
-    counted = F.when(F.col("is_first"), F.struct("modality", "disease_area", F.when(resolved(), level()).alias("level"), _years_to_market().alias("years")))
-    years = F.when(F.col("phase").isin(*PHASES), stats.years(F.col("start_date"), F.col("completion_date")))
-    span = F.when(years.isNotNull(), F.struct("phase", years.alias("years")))
-    studies = rows.groupBy(F.xxhash64("nct_id"), "nct_id").agg(F.collect_set(place).alias("labels"), F.collect_list(counted).alias("cands"), F.collect_list(span).alias("spans"))
-    parts = F.concat(F.flatten(F.transform("cands", lambda c: _counted(_places(c["modality"], c["disease_area"]), c["level"], c["years"]))), _span_parts(F.col("labels"), F.col("spans")))
-    return _tallied(studies.select(F.explode(parts).alias("part")))
+    market = _days("approval_date", "market_date")
+    first = _part(one=F.lit(1), level=F.when(resolved(), level()), step=F.when(market.isNotNull(), F.lit(_MARKET)), days=market, n=F.when(market.isNotNull(), F.lit(1)))
+    studies = rows.groupBy(F.xxhash64("nct_id"), "nct_id").agg(
+        F.collect_set(F.struct("modality", "disease_area")).alias("labels"), F.collect_list(F.when(F.col("is_first"), F.struct("modality", "disease_area", first.alias("part")))).alias("cands"),
+        *_span_sums(F.col("phase"), _days("start_date", "completion_date")),
+    )
+    own = F.transform("cands", lambda c: F.struct(_places(c["modality"], c["disease_area"]).alias("places"), c["part"].alias("part")))
+    shared = F.transform(_spans(), lambda s: F.struct(_study_places(F.col("labels")).alias("places"), s.alias("part")))
+    return _tallied(studies.select(F.explode(F.concat(own, shared)).alias("one")).select("one.places", "one.part"))
 
 
 def transition(frame: DataFrame, keys: list[str]) -> DataFrame:
