@@ -3,7 +3,7 @@
 Equal vectors count as one from the start. A pass orders the vectors of a label by a key of concatenated random projection
 signs and compares each with the next ones in that order, within a window; pairs that link are united across passes. Passes
 follow the label's size: as many as it takes until a pair at the threshold has stood in a common window but for a chance of
-`missed`. A label that a window holds whole needs none.
+`missed`. A label that a window holds whole needs one, in which all its pairs meet.
 
 The passes find components, which are small. Within each component every two vectors are then compared, so that a vector's
 number of links is exact whatever the windows saw, also in a family of near vectors far larger than any window: such a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch, bounded
 
-#: Vectors of a label or component that one task compares as a whole, neighbours after each vector in a pass, vectors of a block, signs of a key.
+#: Vectors of a label or component that are one window, and that one task compares as a whole, neighbours after each vector in a pass, vectors of a block, signs of a key.
 FULL, WINDOW, BLOCK, SIGNS = 1024, 512, 4096, 60
 #: Chance that a pair at the threshold meets in no pass.
 MISSED = 1e-3
@@ -260,7 +260,7 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept), one row per input row; other columns are not read.
 
     Vectors of one label link by a cosine of at least `least`, in double precision; equal vectors always link, and finite ones
-    of any magnitude may. In a label of up to `full` distinct vectors every pair is compared. In a larger one a pair at the
+    of any magnitude may. A label of up to `full` distinct vectors is a window as a whole, in which every pair meets. In a larger one a pair at the
     threshold stays unseen with a chance of `missed` at most (nearer ones with less); what a component holds is counted in
     full. Vectors of other lengths, and vectors that are null, empty or zero, that hold a null or a value that is not finite,
     or whose label is null link with nothing and are their own component. Rows that share an id are one vector for components.
@@ -280,18 +280,20 @@ def near_vectors(
     counts = reps.groupBy("grp").agg(F.count("*").alias("count"))
     keyed = reps.join(counts, "grp").select("rep", "grp", "copies", "count", "size", "vector").mapInArrow(_keying(full, window, least, missed, SIGNS), _KEYED)
     keyed = scratch.keep(keyed, reps, total)
-    small, large = keyed.where(F.col("count") <= full), keyed.where(F.col("count") > full)
-    each = large.select("rep", "grp", "unit", F.posexplode("keys").alias("pass", "key"))
-    order = ["grp", "pass", "key", "rep"]
-    edges = each.repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "grp", "pass", "unit").mapInArrow(_passing(window, least), "rep long, to long")
+    each = keyed.select("rep", "grp", "count", "unit", F.posexplode("keys").alias("pass", "key"))
+    order, row = ["grp", "pass", "key", "rep"], ["rep", "grp", "pass", "unit"]
+    small, large = each.where(F.col("count") <= full), each.where(F.col("count") > full)
+    passed = "rep long, to long"
+    edges = small.repartition("grp").sortWithinPartitions(*order).select(*row).mapInArrow(_passing(full, least), passed)  # labels stay whole
+    edges = edges.union(large.repartitionByRange(*order).sortWithinPartitions(*order).select(*row).mapInArrow(_passing(window, least), passed))
     edges = scratch.keep(edges.distinct())
     united = scratch.keep(components(edges, scratch), edges, total)
-    members = united.union(united.select("component", "component").distinct())
-    sizes = members.groupBy("component").agg(F.count("*").alias("count"))
-    parts = members.join(sizes, "component").select(F.col("node").alias("rep"), "component", "count")
-    narrow = ["rep", "cell", "copies", "unit", F.col("keys")[0].alias("key"), "count"]
-    cells = small.withColumn("cell", F.col("grp")).select(*narrow).unionByName(large.drop("count").join(parts, "rep").withColumn("cell", F.col("component")).select(*narrow))
+    members = united.union(united.select("component", "component").distinct()).select(F.col("node").alias("rep"), "component")
+    # an id may stand for vectors of several labels, which are united by it but not compared
+    cells = keyed.drop("count").join(members, "rep").select("rep", F.xxhash64("component", "grp").alias("cell"), "copies", "unit", F.col("keys")[0].alias("key"))
     cells = scratch.keep(cells, keyed, total)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("count")).where("count > 1")
+    cells = cells.join(sizes, "cell")
     less = cells.where(F.col("count") <= full).select("rep", "cell", "copies", "unit").repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_within(least), _FOUND)
     found = less.unionByName(_by_blocks(cells.where(F.col("count") > full).drop("count"), scratch, least, window, block))
     found = scratch.keep(found, rows=total)
