@@ -760,6 +760,14 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.unseen(rows, rows.where("p_partkey < 20"), "p_name").select("p_partkey")
 
 
+@query("j19_anti_shipped", "WITH n AS (SELECT p_partkey, p_name || ' ' || p_partkey AS name FROM part) SELECT p_partkey FROM n WHERE lower(trim(name)) NOT IN (SELECT lower(trim(upper(name))) FROM lineitem JOIN n ON l_partkey = p_partkey WHERE l_quantity > 45)", False)
+def j19_shipped(spark: SparkSession, d: str) -> DataFrame:
+    """The same against a known side that grows with the tables, in capitals and with repeats."""
+    rows = adapter.table(spark, d, "part").withColumn("name", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))
+    shipped = adapter.table(spark, d, "lineitem").where("l_quantity > 45").join(rows, F.col("l_partkey") == F.col("p_partkey")).select(F.upper("name").alias("name"))
+    return evaluate.unseen(rows, shipped, "name").select("p_partkey")
+
+
 @query("a37_sample", f"""{_CANDS}, w AS (SELECT candidate_id, CASE WHEN outcome LIKE 'Failed%' THEN 'Clinical' WHEN outcome IN ('Approved', 'Commercialized') THEN 'Post-Clinical' ELSE 'Other' END AS weak_label FROM cands)
     SELECT candidate_id, weak_label FROM w QUALIFY row_number() OVER (PARTITION BY weak_label ORDER BY md5('42:' || candidate_id), candidate_id) <= 20""")
 def a37(spark: SparkSession, d: str) -> DataFrame:

@@ -45,7 +45,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 @query("j8_trial_p_values", """s AS (SELECT nct_id FROM trials GROUP BY nct_id HAVING count(DISTINCT intervention) = 1 AND count(DISTINCT indication) = 1), p AS (SELECT nct_id, count(*) AS n, min(p_value) AS least FROM trials SEMI JOIN s USING (nct_id) WHERE phase <> 'Phase 4' GROUP BY 1)
     SELECT t.ord, coalesce(p.n, 0) AS n, p.least, p.n IS NOT NULL AS has_p_values FROM trials t LEFT JOIN p ON p.nct_id = t.nct_id""")
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.flagged(trials(spark, d))
+    rows = shared.kept(ingest.flagged(trials(spark, d)).select("ord", "nct_id", "phase", "p_value", "is_single_arm"))
     outcomes = rows.select(F.col("ord").alias("outcome_id"), "nct_id", F.when(F.col("phase") != "Phase 4", "PRIMARY").otherwise("SECONDARY").alias("outcome_type"))
     analyses = rows.select(F.col("ord").alias("outcome_id"), "nct_id", "p_value")
     got = ingest.with_p_values(rows, ingest.p_values(outcomes, analyses, rows.where("is_single_arm").select("nct_id")))
