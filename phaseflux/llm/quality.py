@@ -147,6 +147,8 @@ def posterior(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     """Chance that a text of each vote pattern is good, by expectation-maximisation on the patterns' counts.
 
     It starts from: a bad vote makes a bad text more likely than not. Votes count as independent given the truth.
+    FALSE and HIT are priors that cut the estimates: a labeller votes against FALSE of the good texts at most, and against
+    HIT of the bad ones at least, as each was made to be right where it speaks.
     """
     if not counts:
         return {}
