@@ -170,12 +170,16 @@ def answered(rows: DataFrame, task: Task, model: Model, tier: str, id_col: str,
 
 
 def parsed(answers: DataFrame, task: Task, id_col: str) -> DataFrame:
-    """Each candidate's own item of its reply, the last of repeated indexes, as labels and whether they are unsure."""
-    each = answers.select(F.explode("members").alias("m"), text.reply(F.col("reply"), schema=task.schema).alias("items"))
-    own = F.get(F.reverse(F.filter("items", lambda x: x["candidate_index"] == F.col("m.candidate_index"))), F.lit(0))
-    item = F.col("item")
+    """Each candidate's own item of its reply, the last of repeated indexes, as labels and whether they are unsure.
+
+    A reply is read once, before its members become rows: a request's rows carry their own items, never the whole reply.
+    """
+    read = answers.select("members", text.reply(F.col("reply"), schema=task.schema).alias("items"))
+    own = lambda m: F.get(F.reverse(F.filter("items", lambda x: x["candidate_index"] == m["candidate_index"])), F.lit(0))
+    each = read.select(F.explode(F.transform("members", lambda m: F.struct(m["id"].alias("id"), own(m).alias("item")))).alias("m"))
+    item = F.col("m.item")
     labels = [c.alias(k) for k, c in task.parse(item).items()]
-    return each.select(F.col("m.id").alias(id_col), own.alias("item")).where("item IS NOT NULL").select(id_col, *labels, F.coalesce(task.unsure(item), F.lit(True)).alias("unsure"))
+    return each.where("m.item IS NOT NULL").select(F.col("m.id").alias(id_col), *labels, F.coalesce(task.unsure(item), F.lit(True)).alias("unsure"))
 
 
 def escalates() -> Column:
