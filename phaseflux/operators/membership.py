@@ -35,27 +35,39 @@ def _values(rows: DataFrame) -> DataFrame:
     """Of each candidate: distinct sponsors in the order first seen, sorted distinct tree numbers, the most frequent MeSH term of
     drugs and of conditions (the first seen of equals).
 
-    All four come from one long table of (candidate, kind, value), counted with its first place before anything is gathered.
+    Rows that are equal in all four are counted with their first place before anything is gathered, one row for a trial at most
+    (a row for each value would be five). A candidate's distinct rows are its sponsors' by far; they meet in its own list.
     """
-    kind = lambda name, x: F.struct(F.lit(name).alias("kind"), x.alias("value"))
-    plain = lambda t: text.strip(F.lower(t))
-    each = F.concat(
-        F.when(F.coalesce("sponsor", F.lit("")) != "", F.array(kind("sponsor", F.col("sponsor")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")),
-        F.transform("trees", lambda x: kind("tree", x)), F.transform("mesh_drug_terms", lambda x: kind("drug", plain(x))), F.transform("mesh_condition_terms", lambda x: kind("condition", plain(x))),
+    sides = ("mesh_drug_terms", "mesh_condition_terms")
+    counts = rows.groupBy("candidate_id", "sponsor", "trees", *sides).agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    found = counts.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("ord", "sponsor", "trees", *sides, "n"))).alias("all"))
+    return found.select(
+        "candidate_id", F.array_distinct(F.filter("all.sponsor", lambda s: F.coalesce(s, F.lit("")) != "")).alias("sponsors"),
+        F.sort_array(F.array_distinct(F.filter(F.flatten(F.array_distinct(F.filter("all.trees", lambda x: x.isNotNull()))), lambda x: x.isNotNull()))).alias("trees"),
+        *(_modal(side).alias(name) for side, name in zip(sides, ("mesh_drug", "mesh_indication"), strict=True)),
     )
-    long = rows.select("candidate_id", "ord", F.posexplode(each).alias("at", "one")).select("candidate_id", "ord", "at", "one.*").where("value IS NOT NULL")
-    counts = long.groupBy("candidate_id", "kind", "value").agg(F.count("*").alias("n"), F.min(F.struct("ord", "at")).alias("seen"))
-    of = lambda name, *c: F.when(F.col("kind") == name, F.struct(*c))
-    return counts.groupBy("candidate_id").agg(
-        F.sort_array(F.collect_list(of("sponsor", "seen", "value"))).alias("sponsors"), F.sort_array(F.collect_list(of("tree", "value"))).alias("trees"),
-        *(F.min(of(name, (-F.col("n")).alias("less"), "seen", "value")).alias(name) for name in ("drug", "condition")),
-    ).select("candidate_id", F.col("sponsors.value").alias("sponsors"), F.col("trees.value").alias("trees"), F.col("drug.value").alias("mesh_drug"), F.col("condition.value").alias("mesh_indication"))
 
 
-def clustered(trials: DataFrame, key: cluster.Strategy = cluster.string_key) -> Clustered:
+def _modal(side: str) -> Column:
+    """The most frequent lower-case term of a candidate's counted rows, the first seen of equals; null for none."""
+    plain = F.transform("all", lambda x: F.struct(F.transform(F.filter(x[side], lambda t: t.isNotNull()), lambda t: text.strip(F.lower(t))).alias("terms"), x["n"].alias("n")))
+
+    def count(all_: Column, term: Column) -> Column:
+        times = lambda terms: F.size(terms) - F.size(F.array_remove(terms, term))
+        return F.aggregate(all_, F.lit(0).cast("long"), lambda total, x: total + F.when(x["terms"].isNotNull(), times(x["terms"]) * x["n"]).otherwise(0))
+
+    def most(all_: Column) -> Column:
+        seen = F.array_distinct(F.flatten(F.filter(F.transform(all_, lambda x: x["terms"]), lambda x: x.isNotNull())))
+        return F.when(F.size(seen) < 2, F.get(seen, F.lit(0))).otherwise(F.array_min(F.transform(seen, lambda t, at: F.struct((-count(all_, t)).alias("less"), at.alias("at"), t.alias("term"))))["term"])
+
+    return text.bound(plain, most)
+
+
+def clustered(trials: DataFrame, key: cluster.Strategy = cluster.string_key, values: bool = True) -> Clustered:
     """cluster.candidates() without lists of trials, but with their number `n_trials`, and the members beside it.
 
-    The p-values are the least of the candidate's single-arm rows by phase, from the members as well.
+    The p-values are the least of the candidate's single-arm rows by phase, from the members as well. Without `values` candidates have
+    no sponsors, trees and MeSH terms, whose shuffles are then left out.
     """
     rows = keyed(trials, key)
     labels = [x for x in cluster.LABELS if x in rows.columns]
@@ -66,9 +78,10 @@ def clustered(trials: DataFrame, key: cluster.Strategy = cluster.string_key) ->
         F.max("completion_date").alias("latest_completion"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
     )
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
-    found = sums.join(_values(rows), "candidate_id", "left").select(
+    terms = [empty("sponsors"), empty("trees"), F.col("mesh_drug"), F.col("mesh_indication")] if values else []
+    found = (sums.join(_values(rows), "candidate_id", "left") if values else sums).select(
         "candidate_id", text.cluster_key(F.col("first.intervention")).alias("drug_name"), text.cluster_key(F.col("first.indication")).alias("indication"), F.col("first.intervention").alias("drug_name_raw"),
-        "n_trials", _phase(F.col("rank")).alias("highest_phase"), empty("sponsors"), "earliest_start", "latest_completion", empty("trees"), "ord", "mesh_drug", "mesh_indication", *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
+        "n_trials", _phase(F.col("rank")).alias("highest_phase"), *terms[:1], "earliest_start", "latest_completion", *terms[1:2], "ord", *terms[2:], *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
     )
     return Clustered(found, rows.select("candidate_id", *COLUMNS))
 
@@ -89,9 +102,10 @@ def remerged(found: Clustered, keep_unmatched: bool = True) -> Clustered:
     rows, group = rows.withColumn("alone", known.isNull()), ["g_drug", "g_area", "alone"]
     ps = [c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns]
     firsts = [c for c in cands.columns if c not in ("n_trials", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", *ps)]
+    gathered = {"sponsors": F.sort_array(F.collect_list(F.struct("ord", "sponsors"))), "trees": F.sort_array(F.array_distinct(F.flatten(F.collect_list("trees"))))} if "sponsors" in cands.columns else {}
     sums = rows.groupBy(*group).agg(
         F.min_by(F.struct(*firsts, *ps), "ord").alias("first"), F.count("*").alias("merged"), F.max(cluster.rank("highest_phase")).alias("rank"), F.min("earliest_start").alias("earliest_start"),
-        F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("ord", "sponsors"))).alias("sponsors"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("trees")))).alias("trees"),
+        F.max("latest_completion").alias("latest_completion"), F.min("ord").alias("ord"), *(c.alias(name) for name, c in gathered.items()),
     )
     same = F.col("r.g_area").eqNullSafe(F.col("s.g_area")) & (F.col("r.g_drug") == F.col("s.g_drug")) & (F.col("r.alone") == F.col("s.alone"))
     ids = rows.alias("r").join(sums.select(*group, F.col("first.candidate_id").alias("to"), "merged").alias("s"), same).select("r.candidate_id", "to", "merged", F.col("r.ord").alias("cord"))
@@ -102,7 +116,7 @@ def remerged(found: Clustered, keep_unmatched: bool = True) -> Clustered:
     counts = members.groupBy("candidate_id").agg(F.count("*").alias("n_trials"))
     one = F.col("merged") == 1
     out = sums.select(
-        *(F.col(f"first.{c}") for c in firsts), "merged", F.array_distinct(F.flatten("sponsors.sponsors")).alias("sponsors"), "trees", _phase(F.col("rank")).alias("highest_phase"), "earliest_start", "latest_completion", "ord",
+        *(F.col(f"first.{c}") for c in firsts), "merged", *((F.array_distinct(F.flatten("sponsors.sponsors")).alias("sponsors"), F.col("trees")) if gathered else ()), _phase(F.col("rank")).alias("highest_phase"), "earliest_start", "latest_completion", "ord",
         *(F.when(one, F.col(f"first.{c}")).alias(c) for c in ps),
     )
     return Clustered(out.join(counts, "candidate_id"), members)

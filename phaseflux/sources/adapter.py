@@ -14,11 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table from which its files are worth several tasks as they are: Spark splits them at their row groups.
+_SPLIT = 64 << 20
+
+
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by their keys to all cores where there are fewer files than cores: a file may be one row group, and then a single
-    task would read it and do all that is computed before the first shuffle. With more files, rows stay where they are read."""
+    task would read it and do all that is computed before the first shuffle. With more files, or with files of many row groups, rows
+    stay where they are read: a shuffle of the whole table would only come on top of those of its joins."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, *keys) if len(frame.inputFiles()) < cores else frame
+    small = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < _SPLIT
+    return frame.repartition(cores, *keys) if small and len(frame.inputFiles()) < cores else frame
 
 
 def _of(table_: dict, column: str) -> str:
@@ -28,13 +34,14 @@ def _of(table_: dict, column: str) -> str:
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trial rows in source form; `ord` is unique and stands for the source's order.
 
-    Large sides meet by key; nation has a row per country, and Spark's own size check decides on its broadcast.
+    Large sides meet by key; nation has a row per country, and Spark's own size check decides on its broadcast. What hangs on an
+    order is joined before line items come to it, so that their rows are shuffled by order and by part, and no third time.
     """
     line, orders, part = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "part"))
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     line = spread(line, "l_orderkey", "l_linenumber")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
-    rows = rows.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    owners = orders.join(customer.join(nation, customer.c_nationkey == nation.n_nationkey), orders.o_custkey == customer.c_custkey)
+    rows = line.join(owners, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
     e = F.expr
     rows = rows.select(
         F.concat(F.lit("NCT"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("nct_id"),

@@ -1,7 +1,12 @@
 """What work grows with: replies are read once for each request, kept frames hold packed columns."""
 
-from phaseflux.operators import label
-from phaseflux.sources import shared
+import pytest
+
+from phaseflux.operators import label, membership
+from phaseflux.plans import catalog
+from phaseflux.sources import adapter, shared
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(frame):
@@ -20,3 +25,36 @@ def test_a_reply_is_read_before_its_members_become_rows(spark):
 def test_a_kept_frame_is_read_by_its_columns(spark):
     rows = shared.kept(spark.range(10).selectExpr("id", "repeat('x', 1000) AS text"))
     assert "ReadSchema: struct<id:bigint>" in plan(rows.select("id")) and rows.selectExpr("sum(length(text))").first()[0] == 10_000
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_line_items_are_shuffled_by_order_and_by_part_alone(spark, unbroadcast, monkeypatch):
+    monkeypatch.setattr(adapter, "_SPLIT", 0, raising=False)  # the table counts as a large one
+    text = plan(adapter.trials(spark, SF))
+    moved = [x for x in text.split("Exchange ")[1:] if x.startswith("hashpartitioning(")]
+    assert "REPARTITION" not in text and len(moved) == 8  # both sides of four joins
+
+
+def test_values_are_gathered_from_counted_rows(spark, unbroadcast):
+    """One row for a trial, not one for each of its values."""
+    rows = shared.kept(catalog.trials(spark, SF))
+    text = plan(membership.clustered(rows).candidates)
+    assert "Generate" not in text and text.count("Exchange hashpartitioning(") == 3
+
+
+def test_candidates_without_values(spark, unbroadcast):
+    rows = shared.kept(catalog.trials(spark, SF).select(*membership.COLUMNS, "intervention", "indication", "start_date", "completion_date", "p_value"))
+    got = membership.clustered(rows, values=False)
+    assert plan(got.candidates).count("Exchange hashpartitioning(") == 1 and not {"sponsors", "trees", "mesh_drug"} & set(got.candidates.columns)
+    merged, whole = (membership.remerged(x._replace(candidates=catalog.numbered(x.candidates))) for x in (got, membership.clustered(shared.kept(catalog.trials(spark, SF)))))
+    assert sorted(map(tuple, merged.members.collect())) == sorted(map(tuple, whole.members.collect()))
