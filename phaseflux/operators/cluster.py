@@ -56,31 +56,42 @@ def modal(terms: Column) -> Column:
     return text.bound(plain, ranked)
 
 
-def candidates(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
+def candidates(trials: DataFrame, key: Strategy = string_key, ids: bool = True, statuses: bool = False) -> DataFrame:
     """One row per key: the first trial's names and labels, trial ids in order with repeats, distinct sponsors first seen, top
     phase, dates, trees, modal MeSH terms, and the least p-value of its single-arm trials (`is_single_arm`, if there) by phase.
 
-    Lists that keep the order (`ord`) are as long as a candidate has trials; what a query does not use is not gathered.
+    Lists that keep the order (`ord`) are as long as a candidate has trials; what a query does not use is not gathered. Rows are dealt by
+    candidate before anything is gathered: a task that reads rows as they lie has about one of each candidate, and lists of one, with
+    their orders beside them, would be made, sorted and shuffled in the place of plain rows. Each name and label is gathered by itself, so
+    that a query shuffles those it uses. Without `ids` there are no `trial_ids`; `statuses` adds label.statuses()'s text.
     """
     rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | (approvals() if "outcome" in trials.columns else {}))
+    rows = rows.repartition("candidate_id")
     labels = [x for x in LABELS if x in rows.columns]  # trials that nobody has labelled have none
-    first = F.min_by(F.struct("intervention", "indication", *labels), "ord")
-    seen, terms = (F.sort_array(F.collect_list(F.struct("ord", *c))) for c in (("nct_id", "sponsor"), ("mesh_drug_terms", "mesh_condition_terms")))
+    firsts = [F.min_by(x, "ord").alias(f"first_{x}") for x in ("intervention", "indication", *labels)]
+    seen, terms = (F.sort_array(F.collect_list(F.struct("ord", *c))) for c in (("nct_id", "sponsor") if ids else ("sponsor",), ("mesh_drug_terms", "mesh_condition_terms")))
     single = F.col("is_single_arm") if "is_single_arm" in rows.columns else F.lit(True)
     p = lambda i: F.min(F.when(single & (F.col("phase") == f"Phase {i}"), F.col("p_value")))
     out = rows.groupBy(F.xxhash64("candidate_id").alias(_HASH), "candidate_id").agg(
-        first.alias("first"), F.count("*").alias("n_trials"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
+        *firsts, F.count("*").alias("n_trials"), seen.alias("seen"), terms.alias("terms"), F.max("rank").alias("rank"), F.min("start_date").alias("earliest_start"), F.max("completion_date").alias("latest_completion"),
         F.collect_set("trees").alias("trees"), F.min("ord").alias("ord"), *(p(i).alias(f"p_{i}") for i in (1, 2, 3)), F.max(single & F.col("p_value").isNotNull() & F.col("phase").isNotNull()).alias("has_p"),
+        *([F.sort_array(F.collect_list("status")).alias("all_status")] if statuses else []),
     )
     sponsors = F.array_distinct(F.filter(F.col("seen.sponsor"), lambda s: F.coalesce(s, F.lit("")) != ""))
     return out.select(
-        "candidate_id", text.cluster_key(F.col("first.intervention")).alias("drug_name"), text.cluster_key(F.col("first.indication")).alias("indication"), F.col("first.intervention").alias("drug_name_raw"),
-        F.col("seen.nct_id").alias("trial_ids"), "n_trials", vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
+        "candidate_id", text.cluster_key(F.col("first_intervention")).alias("drug_name"), text.cluster_key(F.col("first_indication")).alias("indication"), F.col("first_intervention").alias("drug_name_raw"),
+        *([F.col("seen.nct_id").alias("trial_ids")] if ids else []), "n_trials", vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), sponsors.alias("sponsors"), "earliest_start", "latest_completion",
         F.sort_array(F.array_distinct(F.flatten("trees"))).alias("trees"), "ord", modal(F.flatten("terms.mesh_drug_terms")).alias("mesh_drug"), modal(F.flatten("terms.mesh_condition_terms")).alias("mesh_indication"),
-        *(F.col(f"first.{x}") for x in labels), "p_1", "p_2", "p_3", "has_p",
+        *(F.col(f"first_{x}").alias(x) for x in labels), "p_1", "p_2", "p_3", "has_p", *([counted("all_status").alias("statuses")] if statuses else []),
     )
 
 
+def counted(values: str) -> Column:
+    """'n Value' of each value of a sorted list, joined by commas; nulls count with no name."""
+    size = lambda v: F.size(F.filter(values, lambda x: x.eqNullSafe(v))).cast("string")
+    return F.array_join(F.transform(F.array_distinct(values), lambda v: F.concat_ws(" ", size(v), v)), ", ")
+
+
 def labelled(trials: DataFrame, key: Strategy = string_key) -> DataFrame:
     """Trial rows with their candidate's id, labels, top rank and whether the row is the candidate's first, in one shuffle."""
     rows = trials.withColumns({"candidate_id": key(), "rank": rank("phase")} | approvals())
@@ -121,7 +132,8 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     rows = (cands if keep_unmatched else cands.where(known.isNotNull())).withColumns({
         "g_drug": F.coalesce(known, "candidate_id"), "g_area": F.when(known.isNotNull(), F.coalesce("mesh_indication", "indication")), "rank": rank("highest_phase"),
     })
-    n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors", "trees")))
+    trees = ["trees"] if "trees" in cands.columns else []
+    n, listed = F.count("*"), F.sort_array(F.collect_list(F.struct("ord", "trial_ids", "sponsors", *trees)))
     firsts = [c for c in cands.columns if c not in ("trial_ids", "n_trials", "sponsors", "trees", "highest_phase", "earliest_start", "latest_completion", "ord", "p_1", "p_2", "p_3", "has_p")]
     sums = rows.groupBy(F.xxhash64("g_drug", "g_area").alias(_HASH), "g_drug", "g_area", known.isNull().alias("alone")).agg(
         F.min_by(F.struct(*firsts, *(c for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns)), "ord").alias("first"), n.alias("merged"), listed.alias("parts"),
@@ -132,7 +144,7 @@ def remerged(cands: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     kept = [F.when(one, F.col(f"first.{c}")).alias(c) for c in ("p_1", "p_2", "p_3", "has_p") if c in cands.columns]
     return sums.select(
         *(F.col(f"first.{c}") for c in firsts), "merged", ids.alias("trial_ids"), F.size(ids).cast("long").alias("n_trials"), F.array_distinct(F.flatten("parts.sponsors")).alias("sponsors"),
-        F.sort_array(F.array_distinct(F.flatten("parts.trees"))).alias("trees"),
+        *(F.sort_array(F.array_distinct(F.flatten(f"parts.{x}"))).alias(x) for x in trees),
         vocab.lookup(F.col("rank"), _PHASES).alias("highest_phase"), "earliest_start", "latest_completion", "ord", *kept,
     )
 

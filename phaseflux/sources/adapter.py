@@ -27,6 +27,14 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(cores, *keys) if small and len(frame.inputFiles()) < cores else frame
 
 
+def compiled(spark: SparkSession) -> None:
+    """Lets Spark split a projection whose generated method is beyond the 8000 bytes up to which HotSpot compiles one; the view's are
+    wide, and a method that stays interpreted takes most of a query's time. A lower limit of the session's own stays."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > 8000:
+        spark.conf.set(name, "8000")
+
+
 def _of(table_: dict, column: str) -> str:
     return "CASE " + column + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
 
@@ -37,6 +45,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     Large sides meet by key; nation has a row per country, and Spark's own size check decides on its broadcast. What hangs on an
     order is joined before line items come to it, so that their rows are shuffled by order and by part, and no third time.
     """
+    compiled(spark)
     line, orders, part = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "part"))
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     line = spread(line, "l_orderkey", "l_linenumber")

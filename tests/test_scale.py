@@ -2,6 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from phaseflux.functions import text as texts
+from phaseflux.functions import vocab
 from phaseflux.operators import label, membership
 from phaseflux.plans import catalog
 from phaseflux.sources import adapter, shared
@@ -58,3 +62,26 @@ def test_candidates_without_values(spark, unbroadcast):
     assert plan(got.candidates).count("Exchange hashpartitioning(") == 1 and not {"sponsors", "trees", "mesh_drug"} & set(got.candidates.columns)
     merged, whole = (membership.remerged(x._replace(candidates=catalog.numbered(x.candidates))) for x in (got, membership.clustered(shared.kept(catalog.trials(spark, SF)))))
     assert sorted(map(tuple, merged.members.collect())) == sorted(map(tuple, whole.members.collect()))
+
+
+def test_plain_names_take_no_replacement(spark):
+    names = ["large ring 7", "NATION_3", "", " a", "a ", "a  b", "a\tb", "Sodium x", "x sodiumy", "a b", "É  b", "a\n", "İ hcl", " x", None]
+    rows = spark.createDataFrame([(x,) for x in names], "name string")
+    got = rows.select("name", texts.cluster_key(F.col("name")).alias("a"), texts.match_key(F.col("name")).alias("plain"), texts.strip(F.regexp_replace(texts.match_key(F.col("name")), rf"(?U)\b({'|'.join(vocab.SALTS)})\b", "")).alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and "RLIKE(lower(name" in plan(rows.select(texts.cluster_key(F.col("name"))))
+
+
+def test_the_view_is_compiled(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    for before, after in (("65535", "8000"), ("4000", "4000")):
+        spark.conf.set(name, before)
+        adapter.trials(spark, SF)
+        assert spark.conf.get(name) == after
+    spark.conf.set(name, "8000")
+
+
+def test_candidates_are_dealt_as_rows(spark, unbroadcast):
+    """Nothing is gathered before the rows of a candidate meet, and what a query does not use is not shuffled."""
+    dealt = plan(catalog.cands(spark, SF, ids=False).select("candidate_id", "sponsors", "disease_area")).split("REPARTITION_BY_COL", 1)
+    assert len(dealt) == 2 and "Aggregate" not in dealt[1] and "Aggregate" in dealt[0]
+    assert not any(f"AS {x}#" in dealt[1] for x in ("nct_id", "approval_date", "market_date", "p_value", "outcome", "trees"))
