@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import funnel, report
-from ..sources import adapter
+from ..sources import adapter, shared
 from .catalog import AS_OF, _AREA, _CANDS, _CI, _FUNNEL, _GRID, _LEVEL, _PAREA, _PERIODS, _REBUCKET, PERIODS, _loa_sql, _rounded, _transition_sql, cands, funnels, margins, query
 
 _STEP = "CASE from_phase WHEN 'Phase 1' THEN 'P1→P2' WHEN 'Phase 2' THEN 'P2→P3' WHEN 'Phase 3' THEN 'P3→Appr' ELSE 'Appr→Mkt' END"
@@ -19,7 +19,7 @@ _CROSS = f"""{_REBUCKET}, cross0 AS (SELECT modality, {_AREA.format('disease_are
 @query("g9_bubbles", f"""{_CROSS}, b AS (SELECT view, modality, {_GRID}, {_STEP} AS step, greatest(0.0, centre - half) AS lo, least(1.0, centre + half) AS hi FROM ci)
     SELECT view, modality, from_phase, denominator, round(greatest(8.0, least(60.0, sqrt(denominator) * 5)), 9) AS size, modality || ' | ' || step || ', rate ' || format('{{:.1f}}%', rate * 100) || ', ' || numerator || ' of ' || denominator || ', 95 % interval ' || format('{{:.1f}}%', lo * 100) || ' to ' || format('{{:.1f}}%', hi * 100) AS hover FROM b""")
 def g9(spark: SparkSession, d: str) -> DataFrame:
-    rows = report.bubble_views(report.displayed(funnels(spark, d)), "modality", "disease_area")
+    rows = report.bubble_views(report.displayed(shared.kept(funnels(spark, d))), "modality", "disease_area")  # three views of few rows
     return _rounded(rows, "size").select("view", "modality", "from_phase", "denominator", "size", "hover")
 
 

@@ -85,3 +85,9 @@ def test_candidates_are_dealt_as_rows(spark, unbroadcast):
     dealt = plan(catalog.cands(spark, SF, ids=False).select("candidate_id", "sponsors", "disease_area")).split("REPARTITION_BY_COL", 1)
     assert len(dealt) == 2 and "Aggregate" not in dealt[1] and "Aggregate" in dealt[0]
     assert not any(f"AS {x}#" in dealt[1] for x in ("nct_id", "approval_date", "market_date", "p_value", "outcome", "trees"))
+
+
+@pytest.mark.parametrize(("name", "times"), [("g9_bubbles", 0)])
+def test_the_view_is_read_once(spark, name, times):
+    """Once by the query, or once while a frame is kept that the query then reads."""
+    assert plan(catalog.QUERIES[name](spark, SF)).count("lineitem.parquet") == times
