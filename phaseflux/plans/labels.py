@@ -13,7 +13,7 @@ from ..functions import text
 from ..operators import evaluate, ingest, label, numbering
 from ..sources import adapter, readers, shared
 from ..sources.journal import Journal
-from .catalog import _CANDS, _answer, _keyed, cands, query, trials
+from .catalog import _CANDS, _answer, cands, query, trials
 
 _SHOWN = "nct_id, i_id || '/' || c_id AS at, brief_title, start_date, completion_date, intervention, indication, sponsor, drug_terms, condition_terms, trees"
 
@@ -82,7 +82,7 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     SELECT c.candidate_id, '[1]' || chr(10) || 'Drug name: ' || drug_name_raw || chr(10) || 'Indication: ' || c.indication || chr(10) || 'Highest phase reached: ' || highest_phase || chr(10) || 'Number of trials: ' || n_trials || chr(10) || 'Sponsors: ' || coalesce(sponsors, 'Unknown') || chr(10)
         || 'Earliest trial start: ' || strftime(earliest_start, '%Y-%m-%d') || chr(10) || 'Latest trial completion: ' || strftime(latest_completion, '%Y-%m-%d') || chr(10) || 'Trial statuses: ' || statuses AS block FROM cands c LEFT JOIN p ON p.candidate_id = c.candidate_id JOIN st ON st.candidate_id = c.candidate_id""")
 def p18(spark: SparkSession, d: str) -> DataFrame:
-    rows = cands(spark, d).join(label.statuses(_keyed(spark, d), "candidate_id"), "candidate_id").withColumn("candidate_index", F.lit(1))
+    rows = cands(spark, d, ids=False, statuses=True).withColumn("candidate_index", F.lit(1))
     return rows.select("candidate_id", label.block(label.adjudication().fields, "statuses").alias("block"))
 
 
