@@ -27,12 +27,18 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(cores, *keys) if small and len(frame.inputFiles()) < cores else frame
 
 
+#: Bytes of shuffled rows that a task of the view takes: they unpack to twenty times as much, in a sort or a table of groups.
+_TASK = 16 << 20
+
+
 def compiled(spark: SparkSession) -> None:
     """Lets Spark split a projection whose generated method is beyond the 8000 bytes up to which HotSpot compiles one; the view's are
-    wide, and a method that stays interpreted takes most of a query's time. A lower limit of the session's own stays."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    if int(spark.conf.get(name)) > 8000:
-        spark.conf.set(name, "8000")
+    wide, and a method that stays interpreted takes most of a query's time. Tasks after a shuffle are of `_TASK` bytes instead of
+    Spark's 64 MB, of which the view's narrow rows pack too many. Lower limits of the session's own stay."""
+    bytes_ = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most, read in (("spark.sql.codegen.hugeMethodLimit", 8000, int), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", _TASK, bytes_)):
+        if read(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
 
 
 def _of(table_: dict, column: str) -> str:
@@ -43,14 +49,16 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trial rows in source form; `ord` is unique and stands for the source's order.
 
     Large sides meet by key; nation has a row per country, and Spark's own size check decides on its broadcast. What hangs on an
-    order is joined before line items come to it, so that their rows are shuffled by order and by part, and no third time.
+    order is joined before line items come to it, so that their rows are shuffled by order and by part, and no third time. Line
+    items and orders meet by shuffles at every size: a packed file's few bytes would pass the size check, and the few tasks
+    that read orders would then make all rows.
     """
     compiled(spark)
     line, orders, part = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "part"))
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     line = spread(line, "l_orderkey", "l_linenumber")
     owners = orders.join(customer.join(nation, customer.c_nationkey == nation.n_nationkey), orders.o_custkey == customer.c_custkey)
-    rows = line.join(owners, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
+    rows = line.join(owners.hint("merge"), line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
     e = F.expr
     rows = rows.select(
         F.concat(F.lit("NCT"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("nct_id"),

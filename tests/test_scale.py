@@ -80,6 +80,17 @@ def test_the_view_is_compiled(spark):
     spark.conf.set(name, "8000")
 
 
+def test_tasks_of_the_view_are_bounded(spark):
+    """Neither a broadcast of packed line items nor a task of many packed rows: tables this small would pass any size check."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    for value, after in (("64MB", "16777216"), ("8m", "8m")):
+        spark.conf.set(name, value)
+        text = plan(adapter.trials(spark, SF))
+        assert spark.conf.get(name) == after and text.count("SortMergeJoin") == 1
+    spark.conf.set(name, before)
+
+
 def test_candidates_are_dealt_as_rows(spark, unbroadcast):
     """Nothing is gathered before the rows of a candidate meet, and what a query does not use is not shuffled."""
     dealt = plan(catalog.cands(spark, SF, ids=False).select("candidate_id", "sponsors", "disease_area")).split("REPARTITION_BY_COL", 1)
