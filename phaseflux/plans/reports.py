@@ -85,7 +85,7 @@ def a36(spark: SparkSession, d: str) -> DataFrame:
     p AS (SELECT ys[1] AS first, ys[-1] AS last, CASE WHEN 2001 - 9 <= ys[1] THEN ys[len(ys) // 2 + 1] + 1 ELSE 2001 - 9 END AS cut FROM c)
     SELECT first || '–' || (cut - 1) AS period, count(*) FILTER (year < cut) AS n FROM p, y GROUP BY ALL UNION ALL SELECT cut || '–' || last, count(*) FILTER (year >= cut) FROM p, y GROUP BY ALL""")
 def g3_default(spark: SparkSession, d: str) -> DataFrame:
-    rows = cands(spark, d)
+    rows = shared.kept(cands(spark, d).select("earliest_start"))  # the years are counted before their periods are known
     counts = {r["year"]: r["n"] for r in report.start_years(rows).where("year IS NOT NULL").collect()}  # a row for each year
     return report.periods(rows, report.default_periods(counts, AS_OF)).groupBy("period").agg(F.count("*").alias("n"))
 

@@ -102,3 +102,7 @@ def test_candidates_are_dealt_as_rows(spark, unbroadcast):
 def test_the_view_is_read_once(spark, name, times):
     """Once by the query, or once while a frame is kept that the query then reads."""
     assert plan(catalog.QUERIES[name](spark, SF)).count("lineitem.parquet") == times
+
+
+def test_start_years_are_read_from_a_kept_frame(spark):
+    assert "lineitem.parquet" not in plan(catalog.QUERIES["g3_default_periods"](spark, SF))
