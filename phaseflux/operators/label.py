@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -131,8 +132,8 @@ def ask(asked: DataFrame, model: Model, system: str, book: Journal | None = None
     that runs again sends only what has no answer yet. Failed calls are not written: they are sent again.
     """
 
-    def one(prompt: str, name: str | None) -> Answer:
-        if name and (found := book.get(name)):
+    def one(prompt: str, name: str | None, get: Callable, put: Callable) -> Answer:
+        if name and (found := get(name)):
             return Answer(*(found[x] for x in Answer._fields))
         try:
             got = model(system, prompt)
@@ -141,13 +142,14 @@ def ask(asked: DataFrame, model: Model, system: str, book: Journal | None = None
             return Answer(None)
         got = got if isinstance(got, Answer) else Answer(got)
         if name and got.reply is not None:
-            book.put(name, got._asdict())
+            put(name, got._asdict())
         return got
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [one(p, n) for p, n in zip(part["prompt"], part["request"] if book else [None] * len(part), strict=True)]
-            yield pd.concat([part[["batch", "members"]].reset_index(drop=True), pd.DataFrame(out, columns=Answer._fields)], axis=1)
+        with book.of_task() if book else contextlib.nullcontext((None, None)) as (get, put):
+            for part in parts:
+                out = [one(p, n, get, put) for p, n in zip(part["prompt"], part["request"] if book else [None] * len(part), strict=True)]
+                yield pd.concat([part[["batch", "members"]].reset_index(drop=True), pd.DataFrame(out, columns=Answer._fields)], axis=1)
 
     return asked.mapInPandas(run, _ASKED)
 

@@ -146,3 +146,19 @@ def test_journal_without_a_folder(spark, tmp_path):
     book.seal(spark)
     book.put("ab" * 32, label.Answer("é [\n]", 1)._asdict())  # a run that did not know of the first
     assert [r.reply for r in book.answers(spark).collect()] == ["é [\n]"]
+
+
+def test_a_task_keeps_one_file_of_its_answers(spark, tmp_path):
+    """Files are as many as tasks, not as requests; a line that was cut off is no answer."""
+    calls, path = tmp_path / "calls", tmp_path / "journal"
+    calls.mkdir()
+    sent = shared.kept(label.requests(candidates(spark, 300), label.classification(), "candidate_id", 10).withColumn("request", F.sha2("prompt", 256)).coalesce(1))
+    book = Journal(str(path))
+    assert label.ask(sent, model(str(calls)), "system", book).count() == len(os.listdir(calls)) == 30
+    (file,) = [x for x in path.rglob("*.json") if x.stat().st_size]
+    whole = file.read_bytes()
+    file.write_bytes(whole[: whole.rindex(b"reply") + 12])  # the last answer goes, within its text
+    assert book.answers(spark).count() == 29
+    assert label.ask(sent, model(str(calls)), "system", book).count() == 30 and book.answers(spark).count() == 30
+    book.seal(spark)
+    assert book.answers(spark).count() == 30 and not list(path.rglob("*.json"))
