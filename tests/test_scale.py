@@ -106,3 +106,15 @@ def test_the_view_is_read_once(spark, name, times):
 
 def test_start_years_are_read_from_a_kept_frame(spark):
     assert "lineitem.parquet" not in plan(catalog.QUERIES["g3_default_periods"](spark, SF))
+
+
+def test_plain_texts_are_not_searched_for_white_space(spark):
+    """Two characters tell that nothing is to be stripped, and a reply without a fence is not searched for one."""
+    names = ["a", "a b", "", " ", " a", "a ", " a ", "é", "é ", "\x1ca", "a\x85", "~a!", None]
+    rows = spark.createDataFrame([(x,) for x in names], "name string")
+    got = rows.select(texts.strip(F.col("name")).alias("a"), F.regexp_replace("name", r"(?U)^\s+|\s+$", "").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and "ascii(name" in plan(rows.select(texts.strip(F.col("name"))))
+    replies = [' [{"candidate_index": 1}]\n', '```json\n[{"candidate_index": 1}]\n``` ', 'x ```[{"candidate_index": 1}]```']
+    rows = spark.createDataFrame([(x,) for x in replies], "reply string")
+    assert [len(r[0]) for r in rows.select(texts.reply(F.col("reply"))).collect()] == [1, 1, 1]
+    assert "Contains(" in plan(rows.select(texts.reply(F.col("reply"))))
