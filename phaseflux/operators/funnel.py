@@ -115,18 +115,21 @@ def of_trials(trials: DataFrame, key: cluster.Strategy = cluster.string_key) ->
     """funnel() of the candidates that the trials cluster to, from one pass over the trials.
 
     Rows get their candidate's labels in one shuffle. A second gathers each study's labels and first rows of candidates, and sums
-    its spans, from which both kinds of contribution come.
+    its spans, from which both kinds of contribution come. Rows are dealt by study before anything is gathered: a task that has
+    candidates has about one row of each study, and would make, sort and write lists of one. Contributions of the same labels are
+    summed before they are dealt to strata, as there are far fewer sets of labels than candidates and studies.
     """
     rows = cluster.labelled(trials, key)
     market = _days("approval_date", "market_date")
     first = _part(one=F.lit(1), level=F.when(resolved(), level()), step=F.when(market.isNotNull(), F.lit(_MARKET)), days=market, n=F.when(market.isNotNull(), F.lit(1)))
-    studies = rows.groupBy(F.xxhash64("nct_id"), "nct_id").agg(
-        F.collect_set(F.struct("modality", "disease_area")).alias("labels"), F.collect_list(F.when(F.col("is_first"), F.struct("modality", "disease_area", first.alias("part")))).alias("cands"),
-        *_span_sums(F.col("phase"), _days("start_date", "completion_date")),
-    )
-    own = F.transform("cands", lambda c: F.struct(_places(c["modality"], c["disease_area"]).alias("places"), c["part"].alias("part")))
-    shared = F.transform(_spans(), lambda s: F.struct(_study_places(F.col("labels")).alias("places"), s.alias("part")))
-    return _tallied(studies.select(F.explode(F.concat(own, shared)).alias("one")).select("one.places", "one.part"))
+    dealt = rows.select("nct_id", "modality", "disease_area", F.when(F.col("is_first"), first).alias("part"), "phase", _days("start_date", "completion_date").alias("span")).repartition("nct_id")
+    studies = dealt.groupBy(F.xxhash64("nct_id"), "nct_id").agg(F.collect_list(F.struct(F.struct("modality", "disease_area").alias("label"), "part")).alias("all"), *_span_sums(F.col("phase"), F.col("span")))
+    studies = studies.withColumn("labels", F.sort_array(F.array_distinct("all.label")))
+    own = F.transform(F.filter("all", lambda x: x["part"].isNotNull()), lambda x: F.struct(F.array(x["label"]).alias("labels"), x["part"].alias("part")))
+    shared = F.transform(_spans(), lambda s: F.struct(F.col("labels"), s.alias("part")))
+    each = studies.select(F.explode(F.concat(own, shared)).alias("x")).select("x.labels", "x.part.*")
+    sums = each.groupBy("labels", "level", "step").agg(*(F.sum(x).alias(x) for x in ("one", "days", "n")))
+    return _tallied(sums.select(_study_places(F.col("labels")).alias("places"), _part(**{x: F.col(x) for x in _PART}).alias("part")))
 
 
 def transition(frame: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,3 +118,9 @@ def test_plain_texts_are_not_searched_for_white_space(spark):
     rows = spark.createDataFrame([(x,) for x in replies], "reply string")
     assert [len(r[0]) for r in rows.select(texts.reply(F.col("reply"))).collect()] == [1, 1, 1]
     assert "Contains(" in plan(rows.select(texts.reply(F.col("reply"))))
+
+
+def test_the_funnel_deals_rows_by_study(spark, unbroadcast):
+    """Lists are made where the rows of a study meet, and contributions are summed by labels before they are dealt to strata."""
+    above, below = plan(catalog.QUERIES["a8_funnel"](spark, SF)).split("REPARTITION_BY_COL", 1)
+    assert "collect_list" in above and "collect_list" not in below and "labels" in above
