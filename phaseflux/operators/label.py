@@ -117,6 +117,12 @@ def _counted(cands: DataFrame) -> DataFrame:
     return cands.withColumn("n_trials", F.size("trial_ids").cast("long")) if listed else cands
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A join's side of a row for each candidate or request: never a broadcast by the size of its files, which hold a tenth or less of
+    what its rows take in the driver's memory. Both sides meet by shuffles at every size."""
+    return side.hint("merge")
+
+
 def requests(rows: DataFrame, task: Task, id_col: str, size: int = BATCH) -> DataFrame:
     """(batch, members, prompt): one row for each request."""
     lines = batched(_counted(rows), id_col, size).select("batch", F.struct("candidate_index", F.col(id_col).alias("id"), block(task.fields, "statuses" if "statuses" in rows.columns else None).alias("block")).alias("one"))
@@ -166,8 +172,8 @@ def answered(rows: DataFrame, task: Task, model: Model, tier: str, id_col: str,
         return kept(ask(sent, model, task.system).withColumn("resumed", F.lit(False)))
     sent = sent.withColumn("request", journal.request(F.lit(task.stage), F.lit(tier), F.lit(task.system), F.col("prompt")))
     known = kept(book.answers(rows.sparkSession))
-    old = sent.join(known, "request").drop("request", "prompt").withColumn("resumed", F.lit(True))
-    new = ask(sent.join(known.select("request"), "request", "left_anti"), model, task.system, book).withColumn("resumed", F.lit(False))
+    old = sent.join(_large(known), "request").drop("request", "prompt").withColumn("resumed", F.lit(True))
+    new = ask(sent.join(_large(known.select("request")), "request", "left_anti"), model, task.system, book).withColumn("resumed", F.lit(False))
     return kept(new.unionByName(old))
 
 
@@ -193,7 +199,7 @@ def merged(first: DataFrame, second: DataFrame, id_col: str) -> DataFrame:
     """First-tier answers, overridden where the second tier has one."""
     names = [c for c in first.columns if c != id_col]
     two = second.select(F.col(id_col), *(F.col(c).alias(f"{c}_2") for c in names), F.lit(True).alias("_new"))
-    return first.join(two, id_col, "left").select(id_col, *(F.when(F.col("_new"), F.col(f"{c}_2")).otherwise(F.col(c)).alias(c) for c in names))
+    return first.join(_large(two), id_col, "left").select(id_col, *(F.when(F.col("_new"), F.col(f"{c}_2")).otherwise(F.col(c)).alias(c) for c in names))
 
 
 class Run(NamedTuple):
@@ -222,8 +228,8 @@ def tiered(cands: DataFrame, task: Task, tier1: Model, tier2: Model, id_col: str
     """
     first = answered(cands, task, tier1, "tier1", id_col, size, book)
     labels = parsed(first, task, id_col)
-    one = cands.select(id_col).join(labels, id_col, "left")
-    again = cands.join(one.where(F.coalesce("unsure", F.lit(True))).select(id_col), id_col, "left_semi")
+    one = cands.select(id_col).join(_large(labels), id_col, "left")
+    again = cands.join(_large(one.where(F.coalesce("unsure", F.lit(True))).select(id_col)), id_col, "left_semi")
     second = answered(again, task, tier2, "tier2", id_col, size, book)
     both = merged(one, parsed(second, task, id_col), id_col)
     some = F.col("unsure").isNotNull()
@@ -233,7 +239,7 @@ def tiered(cands: DataFrame, task: Task, tier1: Model, tier2: Model, id_col: str
 
 def split_cache(cands: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates with a cached label, and the others."""
-    return cands.join(cache, "cache_key"), cands.join(cache.select("cache_key"), "cache_key", "left_anti")
+    return cands.join(_large(cache), "cache_key"), cands.join(_large(cache.select("cache_key")), "cache_key", "left_anti")
 
 
 def overridden(attributes: DataFrame) -> DataFrame:
@@ -256,7 +262,7 @@ def _stage(cands: DataFrame, cache: DataFrame, task: Task, key: Column, tier1: M
     names = list(task.defaults)
     known, missing = split_cache(rows, cache.select("cache_key", *names))
     run = tiered(missing, task, tier1, tier2, book=book)
-    fresh = kept(run.labels.join(rows.select("candidate_id", "cache_key"), "candidate_id"))
+    fresh = kept(run.labels.join(_large(rows.select("candidate_id", "cache_key")), "candidate_id"))
     new = latest(fresh.select("cache_key", *names, created_at.alias("created_at"), "candidate_id"), ["cache_key"], ["candidate_id"])
     new = new.select(*cache.columns)
     labels = known.select("candidate_id", *names).unionByName(fresh.select("candidate_id", *names))
@@ -268,7 +274,7 @@ def classify(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, cre
     the tree numbers overrides the area. Cached defaults of failed calls count as answers, as in the results reproduced."""
     plain = cands.select("candidate_id", "drug_name", "drug_name_raw", "indication")
     got = _stage(plain, cache, classification(), text.cache_key(F.col("drug_name"), F.col("indication")), tier1, tier2, created_at, book)
-    labels = got.labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(cands.select("candidate_id", "trees"), "candidate_id")
+    labels = got.labels.withColumn("disease_area", text.disease_area(F.col("disease_area"))).join(_large(cands.select("candidate_id", "trees")), "candidate_id")
     return got._replace(labels=overridden(labels).drop("trees"))
 
 
@@ -281,7 +287,7 @@ def adjudicate(cands: DataFrame, cache: DataFrame, tier1: Model, tier2: Model, c
     names = ["candidate_id", "drug_name", "drug_name_raw", "indication", "highest_phase", "n_trials", "sponsors", "earliest_start", "latest_completion", *(["statuses"] if "statuses" in cands.columns else [])]
     rows, task = cands.select(*names), adjudication()
     if failures is not None:
-        rows = rows.join(failures.select("candidate_id"), "candidate_id", "left_anti")
+        rows = rows.join(_large(failures.select("candidate_id")), "candidate_id", "left_anti")
     key = text.cache_key(F.col("drug_name"), F.col("indication"), F.col("highest_phase"))
     got = _stage(rows, cache, task, key, tier1, tier2, created_at, book)
     if failures is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phaseflux.functions import text as texts
 from phaseflux.functions import vocab
-from phaseflux.operators import label, membership
+from phaseflux.operators import label, membership, numbering
 from phaseflux.plans import catalog, labels, reports  # noqa: F401  the last two add their queries to the catalogue
 from phaseflux.sources import adapter, shared
 
@@ -124,3 +124,17 @@ def test_the_funnel_deals_rows_by_study(spark, unbroadcast):
     """Lists are made where the rows of a study meet, and contributions are summed by labels before they are dealt to strata."""
     above, below = plan(catalog.QUERIES["a8_funnel"](spark, SF)).split("REPARTITION_BY_COL", 1)
     assert "collect_list" in above and "collect_list" not in below and "labels" in above
+
+
+def test_labels_meet_by_shuffles(spark, monkeypatch):
+    """Tables this small pass any size check, as packed files of millions of candidates do; what is kept on the way counts as well."""
+    plans = []
+    for module in (label, numbering):
+        monkeypatch.setattr(module, "kept", lambda frame: plans.append(plan(frame)) or shared.kept(frame))
+    rows = labels._parts(spark, SF)
+    failures = rows.where("candidate_id % 10 = 3").select("candidate_id", F.lit("Failed Phase 2").alias("outcome"), F.lit(1.0).alias("confidence"))
+    outcomes = label.adjudicate(rows, labels._outcome_cache(rows), labels._judge(False), labels._judge(True), F.lit(1), failures)
+    none = spark.createDataFrame([], "cache_key string, modality string, disease_area string, modality_confidence double, disease_confidence double, reasoning string, created_at int")
+    classes = label.classify(rows, none, catalog._answer(False), catalog._answer(True), F.lit(1))
+    plans += [plan(x) for got in (outcomes, classes) for x in (got.labels, got.entries, got.cache)]
+    assert sum("SortMergeJoin" in x for x in plans) > 6 and not any("Broadcast" in x for x in plans)
