@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..sources.shared import kept
 from . import cluster
 
 #: What is kept of a trial row.
@@ -122,6 +123,40 @@ def remerged(found: Clustered, keep_unmatched: bool = True) -> Clustered:
     return Clustered(out.join(counts, "candidate_id"), members)
 
 
+def named(trials: DataFrame, key: cluster.Strategy = cluster.string_key) -> Clustered:
+    """clustered() with names alone: of candidates drug_name, indication, n_trials and ord, of members (candidate_id, nct_id).
+
+    A trial row is sent with its names and its order, where clustered() sends all that is known of it.
+    """
+    rows = trials.withColumn("candidate_id", key())
+    sums = rows.groupBy("candidate_id").agg(F.min(F.struct("ord", "intervention", "indication")).alias("first"), F.count("*").alias("n_trials"))
+    names = [text.cluster_key(F.col(f"first.{c}")).alias(name) for c, name in (("intervention", "drug_name"), ("indication", "indication"))]
+    return Clustered(sums.select("candidate_id", *names, "n_trials", F.col("first.ord").alias("ord")), rows.select("candidate_id", "nct_id"))
+
+
+def studies(found: Clustered, keep_unmatched: bool = True) -> DataFrame:
+    """(candidate_id, nct_id, n, n_trials): the members of remerged() counted by study, and all of their candidate; named()'s will do.
+
+    Candidates without an id stay what they are, and go through no group. Members are sent three times: to their candidate's new id,
+    by that and their study, and those of merged candidates to the sums. What the second has made is kept, as the sums and the rows both
+    read it. No side is broadcast by the size of its files.
+    """
+    known = F.coalesce("drug_id", "mesh_drug")
+    rows = found.candidates.select("candidate_id", "ord", "n_trials", known.alias("g_drug"), F.coalesce("mesh_indication", "indication").alias("g_area"))
+    some = rows.where("g_drug IS NOT NULL")
+    groups = some.groupBy("g_drug", "g_area").agg(F.min_by("candidate_id", "ord").alias("to"), F.count("*").alias("merged"))
+    same = (F.col("r.g_drug") == F.col("s.g_drug")) & F.col("r.g_area").eqNullSafe(F.col("s.g_area"))
+    ids = some.alias("r").join(groups.hint("merge").alias("s"), same).select("candidate_id", "to", "merged", "n_trials")
+    if keep_unmatched:
+        ids = ids.unionByName(rows.where("g_drug IS NULL").select("candidate_id", F.col("candidate_id").alias("to"), F.lit(1).cast("long").alias("merged"), "n_trials"))
+    moved = found.members.join(ids.hint("merge"), "candidate_id")  # one row for each candidate: a hot one is split
+    own = F.max(F.when(F.col("merged") == 1, F.col("n_trials")))  # of a candidate that is alone
+    each = kept(moved.groupBy(F.col("to").alias("candidate_id"), "nct_id").agg(F.count("*").alias("n"), own.alias("n_trials")))
+    alone, once = each.where("n_trials IS NOT NULL"), each.where("n_trials IS NULL").select("candidate_id", "nct_id", F.lit(1).cast("long").alias("n"))
+    sums = once.groupBy("candidate_id").agg(F.count("*").alias("n_trials"))
+    return alone.unionByName(once.join(sums.hint("merge"), "candidate_id"))
+
+
 def labels(found: Clustered, rows: DataFrame) -> DataFrame:
     """(nct_id, labels): each study's distinct (modality, disease_area) among its candidates, whose labels are in `rows`.
 

@@ -112,6 +112,28 @@ def test_the_hot_candidate_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("unmatched", [True, False])
+def test_studies_equal_merged_members(spark, trials, unmatched):
+    hot = skewed(spark, 3000)[1].replace("Hot Drug", "drug 4000")
+    for frame in (trials, shared.kept(hot), trials.where("false")):
+        found, names = membership.clustered(frame), membership.named(frame)
+        assert shown(names.candidates, *names.candidates.columns) == shown(found.candidates, *names.candidates.columns)
+        merged = membership.remerged(found._replace(candidates=shared.kept(catalog.numbered(found.candidates))), unmatched)
+        want = merged.members.groupBy("candidate_id", "nct_id").agg(F.count("*").alias("n")).join(merged.candidates.select("candidate_id", "n_trials"), "candidate_id")
+        got = membership.studies(names._replace(candidates=shared.kept(catalog.numbered(names.candidates))), unmatched)
+        assert shown(got, "candidate_id", "nct_id", "n", "n_trials") == shown(want, "candidate_id", "nct_id", "n", "n_trials")
+    assert got.count() == 0
+
+
+def test_ids_and_areas_that_are_missing(spark):
+    """A MeSH drug in the place of an id, no area at all, a group of one, a study twice in a candidate that is alone."""
+    rows = [("a", "1", "DB1", None, "x"), ("b", "2", None, "DB1", "x"), ("c", "3", "DB2", None, None), ("d", "4", "DB2", None, None), ("e", "5", None, None, "x"), ("f", "6", "DB3", None, "x")]
+    cands = spark.createDataFrame([(*r, None, 2) for r in rows], "candidate_id string, ord string, drug_id string, mesh_drug string, indication string, mesh_indication string, n_trials long")
+    members = spark.createDataFrame([(c, n) for c, ns in {"a": "pp", "b": "pq", "c": "rs", "d": "st", "e": "pp", "f": "qq"}.items() for n in ns], "candidate_id string, nct_id string")
+    got = membership.studies(membership.Clustered(cands, members))
+    assert sorted(map(tuple, got.collect())) == [("a", "p", 1, 2), ("a", "q", 1, 2), ("c", "r", 1, 3), ("c", "s", 1, 3), ("c", "t", 1, 3), ("e", "p", 2, 2), ("f", "q", 2, 2)]
+
+
 def test_no_trials(spark):
     _, frame = skewed(spark, 30)
     found = membership.clustered(frame.where("false"))

@@ -138,3 +138,13 @@ def test_labels_meet_by_shuffles(spark, monkeypatch):
     classes = label.classify(rows, none, catalog._answer(False), catalog._answer(True), F.lit(1))
     plans += [plan(x) for got in (outcomes, classes) for x in (got.labels, got.entries, got.cache)]
     assert sum("SortMergeJoin" in x for x in plans) > 6 and not any("Broadcast" in x for x in plans)
+
+
+def test_membership_sends_little_of_a_trial(spark, monkeypatch):
+    """What is known of a trial beside its names and its order is not sent, and members go to the merged candidates' ids once."""
+    plans, write = [], shared.kept
+    for module in (shared, membership):
+        monkeypatch.setattr(module, "kept", lambda frame: plans.append(plan(frame)) or write(frame), raising=False)
+    plans.append(plan(catalog.QUERIES["j11_membership"](spark, SF)))
+    assert len(plans) == 4 and not any(x in "".join(plans) for x in ("l_discount", "o_orderpriority", "p_value", "earliest_start"))
+    assert plans[2].count("SortMergeJoin") == 2 and not any("Broadcast" in x for x in plans[2:])
